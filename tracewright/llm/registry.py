@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from tracewright.llm.bpe import op1_bpe
+from tracewright.llm.fingerprint import op5_fingerprints
+from tracewright.llm.media import op8_media
+from tracewright.llm.mixing import op10_mixing
+from tracewright.llm.sharding import op6_sharding, op6_sql
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_sharding": op6_sharding,
+    "op8_media": op8_media,
+    "op10_mixing": op10_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op6_sharding": op6_sql(),
 }
-ORACLES: dict[str, str] = {}
