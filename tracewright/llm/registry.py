@@ -6,6 +6,7 @@ from tracewright.llm.bpe import op1_bpe
 from tracewright.llm.fingerprint import op5_fingerprints
 from tracewright.llm.media import op8_media
 from tracewright.llm.mixing import op10_mixing
+from tracewright.llm.ngram_join import op9_ngram_join
 from tracewright.llm.sharding import op6_sharding, op6_sql
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
     "op8_media": op8_media,
+    "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
