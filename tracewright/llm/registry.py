@@ -7,10 +7,12 @@ from tracewright.llm.fingerprint import op5_fingerprints
 from tracewright.llm.media import op8_media
 from tracewright.llm.mixing import op10_mixing
 from tracewright.llm.ngram_join import op9_ngram_join
+from tracewright.llm.quality import op4_quality
 from tracewright.llm.sharding import op6_sharding, op6_sql
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
     "op8_media": op8_media,

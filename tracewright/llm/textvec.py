@@ -63,17 +63,29 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each row's range in them (offsets, one more than rows)."""
+    (hashes,), _, counts = word_parts(data, offsets)
+    return hashes, counts
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of all words, then of their first bytes for each length in heads; the words' places; each row's range."""
     cuts = _cuts(data, offsets)
-    hashes, counts = [], np.zeros(len(offsets), np.int64)
+    parts, places, counts, before = [[] for _ in range(1 + len(heads))], [], np.zeros(len(offsets), np.int64), 0
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         first, last = np.searchsorted(offsets, [a, b])
         inner = offsets[first:last] - a
-        start, h = _chunk(data[a:b], inner)
-        hashes.append(h)
-        counts[first:last] = np.searchsorted(start, inner)
-        counts[last:] += len(h)
-        counts[first:last] += sum(len(x) for x in hashes[:-1])
-    return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), counts
+        chunk = data[a:b]
+        start, end = _bounds(chunk, inner)
+        low = LOWER[chunk]
+        total = _running(low)
+        parts[0].append(_span_hash(total, start, end))
+        for k, n in enumerate(heads, 1):
+            parts[k].append(_span_hash(total, start, np.minimum(start + n, end)))
+        places.append(start + a)
+        counts[first:last] = before + np.searchsorted(start, inner)
+        before += len(start)
+    counts[np.searchsorted(offsets, cuts[-1]) :] = before
+    return [np.concatenate(p) if p else np.zeros(0, U64) for p in parts], np.concatenate(places) if places else np.zeros(0, np.int64), counts
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
@@ -102,7 +114,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return [*cuts, n] if n > cuts[-1] else cuts
 
 
-def _chunk(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of one chunk; a row's start parts words."""
     inside = ~SEPARATOR[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
@@ -110,16 +123,22 @@ def _chunk(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.nda
     rows = row_starts[(row_starts > 0) & (row_starts < len(data))]
     start[rows] = inside[rows]
     end[rows - 1] = inside[rows - 1]
-    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return start, spans(LOWER[data], start, end)
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges of one chunk."""
-    up, down = powers(len(data))
+def _running(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of byte codes times powers of the base."""
+    up, _ = powers(len(data))
+    total = np.zeros(len(data) + 1, U64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def _span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, equal for equal bytes wherever they stand."""
+    _, down = powers(len(total))
+    with np.errstate(over="ignore"):
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
 
 
