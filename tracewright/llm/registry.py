@@ -9,12 +9,14 @@ from tracewright.llm.mixing import op10_mixing
 from tracewright.llm.ngram_join import op9_ngram_join
 from tracewright.llm.quality import op4_quality
 from tracewright.llm.sharding import op6_sharding, op6_sql
+from tracewright.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_ngram_join": op9_ngram_join,
     "op10_mixing": op10_mixing,
