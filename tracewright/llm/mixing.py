@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import shared_folder, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -101,13 +101,17 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.select("slot", "source", "rank").unionByName(tail.select("slot", "source", "rank"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def measured(docs: DataFrame) -> DataFrame:
+    """The sizes as a written table, so that the texts are read and counted once."""
+    return written(sized(docs), shared_folder(docs.sparkSession, "mix-sizes"))
+
+
+def mix(sizes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The mix, one row for each slot's piece of a document (slot, source, rank, doc_id, mark, words), and the targets.
 
     Block ``rank`` of a source covers words [rank * block, (rank + 1) * block) of its passes laid end to end, cut at the
     goal; each pass has a shuffled order of its own. Pieces of documents meet their slot by (source, rank).
     """
-    sizes = sized(docs)
     goals = targets(sizes)
     slots = schedule(goals, block)
     laid = None
@@ -128,9 +132,10 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Equal rows (same id, text, source) share evenly what is taken of them, the remainder going to the first.
     """
-    stream, goals = mix(docs, block)
+    sizes = measured(docs)
+    stream, goals = mix(sizes, block)
     sums = stream.groupBy("source", "doc_id", "mark").agg(F.sum("words").alias("words"))
-    sizes = sized(docs).withColumn("copy", F.row_number().over(W.partitionBy("source", "doc_id", "mark").orderBy(F.lit(1)))).withColumn("copies", F.count(F.lit(1)).over(W.partitionBy("source", "doc_id", "mark")))
+    sizes = sizes.withColumn("copy", F.row_number().over(W.partitionBy("source", "doc_id", "mark").orderBy(F.lit(1)))).withColumn("copies", F.count(F.lit(1)).over(W.partitionBy("source", "doc_id", "mark")))
     joined = sizes.alias("d").join(sums.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.mark").eqNullSafe(F.col("t.mark")), "left")
     joined = joined.join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     words = F.coalesce(F.col("t.words"), F.lit(0))
