@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -60,7 +61,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             yield batch
             continue
         start = size = 0
-        lengths = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+        lengths = pc.binary_length(texts).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 yield batch.slice(start, i - start)

@@ -143,5 +143,16 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return joined.select("d.doc_id", F.col("d.size").alias("size"), F.col("g.source_size").alias("source_size"), F.col("g.target").alias("target"), share.cast("long").alias("taken"), F.col("d.source").alias("source"), F.col("d.mark").alias("mark"))
 
 
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The documents of the mix, in their columns: each row as often as its words are taken, to the nearest whole
+    number (parts arise only where a source's target ends)."""
+    by = taken(docs, block).groupBy("doc_id", "source", "mark").agg(F.sum("taken").alias("words"), F.sum("size").alias("of"))
+    by = by.select(*(F.col(c).alias(f"mix_{c}") for c in by.columns)).filter("mix_of > 0")
+    marked = docs.withColumn("mix_key", F.xxhash64(F.col("text").cast("string")))
+    met = marked.join(by, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.col("mix_key") == F.col("mix_mark")))
+    copies = F.floor(F.col("mix_words") / F.col("mix_of") + 0.5).cast("int")
+    return met.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -226,6 +226,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without those whose group has a smaller id; rows without an id stay."""
+    gone = near_duplicates(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(gone, shared_folder(docs.sparkSession, "ngram-gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def _items(entries: DataFrame) -> DataFrame:
     """The items of dealt entries, repeats included."""
 

@@ -223,6 +223,20 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None) -> Da
     return documents(docs).mapInArrow(rows, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score the threshold or more, in one pass; without a model all stay."""
+    if model is None:
+        return docs
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text_"):
+            found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
+            yield batch.select(names).filter(pa.array(found >= threshold))
+
+    return docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
+
+
 def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
     """The operator's line output: doc_id and each non-blank line's probability of being good, in order."""
     model = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracewright.llm.bpe import op1_bpe
 from tracewright.llm.fingerprint import op5_fingerprints
+from tracewright.llm.line_dedup import op3_line_dedup
 from tracewright.llm.lm import op2_lm
 from tracewright.llm.media import op8_media
 from tracewright.llm.mixing import op10_mixing
@@ -15,6 +16,7 @@ from tracewright.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
