@@ -1,0 +1,208 @@
+"""Queries over source files: classification, contents, duplicates, findings, facts on lines, redaction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F, Window as W
+
+from tracewright.functions import labels, paths, text
+from tracewright.operators import findings
+from tracewright.plans.base import FILES_SQL, case_rules, files, query, table
+
+_LANG = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in paths.LANGUAGES.items()) + " WHEN ext = '' THEN 'Configuration' ELSE upper(ext) END"
+_LOW = "lower(path)"
+_ROLE = f"""CASE WHEN regexp_matches({_LOW}, '(^|/)(app|pages)/.+(page|route)\\.(tsx?|jsx?)$') OR contains({_LOW}, 'routes/') THEN 'route'
+ WHEN (ext <> 'md' AND regexp_matches(content, '(?i)@(app|router)\\.(get|post|put|patch|delete)')) OR contains({_LOW}, 'api/') THEN 'api endpoint'
+ WHEN contains({_LOW}, 'middleware') THEN 'middleware'
+ WHEN contains({_LOW}, 'auth') OR (ext IN ('php','js','jsx','ts','tsx','py','rb','go','java','cs') AND regexp_matches(content, '(?i)(?:password_(?:hash|verify)|session_start\\s*\\(|\\bBearer\\s+|supabase\\.auth\\.(?:signIn|signUp|getUser|onAuthStateChange)|nextauth/|firebase\\.auth\\(\\))')) THEN 'authentication'
+ WHEN contains({_LOW}, 'model') OR contains({_LOW}, 'schema') OR (ext <> 'md' AND regexp_matches(content, '(?i)(CREATE TABLE|prisma|sequelize|mongoose)')) THEN 'data model'
+ WHEN regexp_matches({_LOW}, '(^|/)(components?|ui)/') THEN 'ui component' ELSE 'source' END"""
+
+
+@query("p1_p2_language_role_counts", f"WITH {FILES_SQL} SELECT {_LANG} AS language, {_ROLE} AS role, count(*) AS files FROM files GROUP BY ALL")
+def language_roles(spark, sf_dir):
+    found = files(spark, sf_dir).select(paths.language(F.col("path")).alias("language"), paths.role(F.col("path"), F.col("content")).alias("role"))
+    return found.groupBy("language", "role").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("p3_role_summaries", f"WITH {FILES_SQL}, r AS (SELECT page_id, {_ROLE} AS role FROM files) SELECT page_id, CASE " + " ".join(f"WHEN role = '{k}' THEN '{v}'" for k, v in paths.SUMMARIES.items()) + f" ELSE '{paths.PLAIN_SUMMARY}' END AS summary FROM r")
+def role_summaries(spark, sf_dir):
+    return files(spark, sf_dir).select("page_id", paths.summary(paths.role(F.col("path"), F.col("content"))).alias("summary"))
+
+
+@query("p7_p8_runtime_paths", f"""WITH {FILES_SQL} SELECT page_id, NOT (regexp_matches(lower(path), '{paths.SUPPORT[0]}') OR regexp_matches(lower(path), '{paths.SUPPORT[1]}') OR regexp_matches(lower(path), '{paths.SUPPORT[2]}')) AS runtime,
+ (NOT (regexp_matches(lower(path), '{paths.SUPPORT[0]}') OR regexp_matches(lower(path), '{paths.SUPPORT[1]}') OR regexp_matches(lower(path), '{paths.SUPPORT[2]}'))) AND regexp_matches(path, '{paths.BEHAVIOR}') AS behavior FROM files""")
+def runtime_paths(spark, sf_dir):
+    return files(spark, sf_dir).select("page_id", paths.is_runtime(F.col("path")).alias("runtime"), paths.is_runtime_behavior(F.col("path")).alias("behavior"))
+
+
+@query("p15_change_areas", f"""WITH {FILES_SQL}, c AS (SELECT {case_rules(paths.AREAS, 'lower(path)', paths.OTHER_AREA)} AS area,
+ CASE WHEN page_id % 5 = 0 THEN 'Removed file' WHEN regexp_matches(lower(path), '{paths.SENSITIVE_AREA}') THEN 'Sensitive area' END AS risk FROM files) SELECT area, risk, count(*) AS files FROM c GROUP BY ALL""")
+def change_areas(spark, sf_dir):
+    status = F.when(F.col("page_id") % 5 == 0, "D").otherwise("M")
+    found = files(spark, sf_dir).select(paths.area(F.col("path")).alias("area"), paths.change_risk(F.col("path"), status).alias("risk"))
+    return found.groupBy("area", "risk").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("p26_hosts", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1")
+def hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(paths.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("p27_web_paths", "SELECT page_id, regexp_replace('/' || regexp_replace(regexp_replace(url, '^https?:/', ''), '^/+', ''), '/+', '/', 'g') AS web_path FROM pages")
+def web_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.web_path(F.regexp_replace("url", "^https?:/", "")).alias("web_path"))
+
+
+@query("p28_file_routes", f"""WITH {FILES_SQL}, f AS (SELECT page_id, 'app/' || regexp_replace(path, '\\.[a-z]+$', '') || '/[id' || (page_id % 3)::VARCHAR || ']/(group)/page.tsx' AS p FROM files)
+ SELECT page_id, '/' || regexp_replace(regexp_replace(p, '^app/|/\\(group\\)/page\\.tsx$', '', 'g'), '\\[([A-Za-z0-9_]+)\\]', ':\\1', 'g') AS route FROM f""")
+def file_routes(spark, sf_dir):
+    path = F.concat(F.lit("app/"), F.regexp_replace("path", r"\.[a-z]+$", ""), F.lit("/[id"), (F.col("page_id") % 3).cast("string"), F.lit("]/(group)/page.tsx"))
+    return files(spark, sf_dir).select("page_id", paths.file_route(path).alias("route"))
+
+
+@query("s2_digests_lines", "SELECT doc_id, sha256(text) AS digest, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents")
+def digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), text.line_count(F.col("text")).cast("long").alias("n_lines"))
+
+
+@query("s8_corpus_revision", "SELECT count(*) AS files, sha256(string_agg(page_id::VARCHAR || ':' || sha256(html), '|' ORDER BY page_id::VARCHAR || ':' || sha256(html))) AS revision FROM pages")
+def revision(spark, sf_dir):
+    """A digest of a tree's file digests: sorted by bucket first, so that only bucket digests meet in one row."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(":"), F.sha2("html", 256)).alias("d"))
+    return pages.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "|"), 256).alias("revision"))
+
+
+@query("s9_excerpts", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+ SELECT doc_id, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) AS excerpt FROM l WHERE n BETWEEN 2 AND 8 GROUP BY doc_id""")
+def excerpts(spark, sf_dir):
+    """Lines 5 - 3 to 5 + 3 of every text: an excerpt around line 5."""
+    found = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).cast("long").alias("n"), x.alias("line"))), lambda x: x.n.between(2, 8))
+    kept = table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).filter(F.size("x") > 0)
+    return kept.select("doc_id", F.element_at("x", 1)["n"].alias("first_line"), F.element_at("x", -1)["n"].alias("last_line"), F.array_join("x.line", "\n").alias("excerpt"))
+
+
+@query("a6_duplicate_content", "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicates(spark, sf_dir):
+    return findings.duplicate_content(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest")))
+
+
+@query("a7_size_findings", """SELECT source, count(*) FILTER (length(text) - length(replace(text, chr(10), '')) + 1 > 20) AS large_files,
+ sum(length(text) - length(replace(text, 'the', ''))) // 3 AS mentions, count(*) FILTER ((length(text) - length(replace(text, '+1 (', ''))) // 4 >= 1) AS noted FROM documents GROUP BY source""")
+def size_findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(
+        F.count_if(text.line_count(F.col("text")) > 20).alias("large_files"), F.sum(F.regexp_count("text", F.lit("the")).cast("long")).alias("mentions"), F.count_if(F.regexp_count("text", F.lit(r"\+1 \(")) >= 1).alias("noted")
+    )
+
+
+@query("a8_needle_counts", """SELECT 'src' || n AS needle, sum((length(text) - length(replace(text, w, ''))) // length(w)) AS uses FROM documents, (VALUES (0, 'ing'), (1, 'tion'), (2, 'que'), (3, 'ung')) v(n, w) GROUP BY 1""")
+def needle_counts(spark, sf_dir):
+    """How often each needle of a fixed list stands in all texts, in one scan."""
+    needles = {"src0": "ing", "src1": "tion", "src2": "que", "src3": "ung"}
+    counted = table(spark, sf_dir, "documents").agg(*(F.sum(findings.occurrences(F.col("text"), w)).alias(k) for k, w in needles.items()))
+    return counted.select(F.expr("stack({}, {}) as (needle, uses)".format(len(needles), ", ".join(f"'{k}', {k}" for k in needles))))
+
+
+@query("p10_term_matches", "SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])') AS has_the, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])de la($|[^\\p{L}\\p{N}])') AS has_de_la FROM documents")
+def term_matches(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.contains_term(F.col("text"), "the").alias("has_the"), text.contains_term(F.col("text"), "de la").alias("has_de_la"))
+
+
+_TOKEN = "'AKIA' || lpad(doc_id::VARCHAR, 16, '0')"
+
+
+@query("p24_redaction", f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\bAKIA[0-9A-Z]{{16}}\\b', '<redacted>', 'g'),
+ '\\bgh[opusr]_[A-Za-z0-9]{{20,}}\\b', '<redacted>', 'g'), '\\bsk-(?:proj-)?[A-Za-z0-9_-]{{20,}}\\b', '<redacted>', 'g'), '\\bxox[baprs]-[A-Za-z0-9-]{{20,}}\\b', '<redacted>', 'g'), '(?i)\\bpostgres(?:ql)?://[^\\s"'']+', '<redacted>', 'g')) AS redacted
+ FROM (SELECT doc_id, text || ' key ' || {_TOKEN} || ' and postgres://u:p@h/' || doc_id::VARCHAR AS t FROM documents)""")
+def redaction(spark, sf_dir):
+    key = F.concat(F.col("text"), F.lit(" key AKIA"), F.lpad(F.col("doc_id").cast("string"), 16, "0"), F.lit(" and postgres://u:p@h/"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(key), 256).alias("redacted"))
+
+
+@query("p24_keyed_redaction", """SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","password":"<redacted>"}' AS props FROM events""")
+def keyed_redaction(spark, sf_dir):
+    pairs = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("password"), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(text.redact_values(pairs)).alias("props"))
+
+
+_LINES_SQL = "lines AS (SELECT doc_id, n - 1 AS line_no, 'if (' || word || ') return db.from(\"' || source || '\").select(1); fetch(\"/api/' || lang || '\")' AS line FROM (SELECT doc_id, source, lang, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, unnest(string_split(text, chr(10))) AS full_line, 'ok' AS word FROM documents) WHERE full_line LIKE '%the%')"
+
+
+@query("p18_p20_line_facts", f"""WITH {_LINES_SQL} SELECT kind, relationship, target, count(*) AS n FROM (
+ SELECT 'READ' AS kind, 'reads_table' AS relationship, regexp_extract(line, 'from\\("([a-z0-9]+)"\\)', 1) AS target FROM lines
+ UNION ALL SELECT 'condition', 'branches_if', NULL FROM lines UNION ALL SELECT 'return', 'returns', NULL FROM lines
+ UNION ALL SELECT 'request', 'http_request', 'http:GET ' || regexp_extract(line, 'fetch\\("([^"]+)', 1) FROM lines) GROUP BY ALL""")
+def line_facts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "full_line")).filter(F.col("full_line").contains("the"))
+    line = F.concat(F.lit('if (ok) return db.from("'), F.col("source"), F.lit('").select(1); fetch("/api/'), F.col("lang"), F.lit('")'))
+    facts = lines.select(F.explode(F.concat(text.table_facts(line), text.control_facts(line), text.ui_facts(line))).alias("f")).select("f.*")
+    return facts.groupBy("kind", "relationship", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p22_endpoint_types", f"""WITH {FILES_SQL} SELECT CASE WHEN contains(b, 'graphql') THEN 'GraphQL' WHEN contains(b, 'webhook') THEN 'Webhook' WHEN contains(b, 'websocket') OR contains(lower(content), 'socket.io') THEN 'WebSocket' WHEN contains(b, 'rpc') THEN 'RPC'
+ WHEN contains(lower(content), 'use server') THEN 'Server action' ELSE 'REST' END AS endpoint, CASE WHEN regexp_matches(content, '(?i)\\b(auth|authorize|permission|middleware|session|jwt|bearer)\\b') THEN 'evidence present' ELSE 'not proven' END AS auth,
+ regexp_matches(content, '(?i)throw|catch|error|status\\s*[:=]\\s*[45]\\d\\d') AS error_hint, count(*) AS n FROM (SELECT *, lower(path || ' ' || content) AS b FROM files) GROUP BY ALL""")
+def endpoint_types(spark, sf_dir):
+    found = files(spark, sf_dir).select(text.endpoint_type(F.col("path"), F.col("content")).alias("endpoint"), text.auth_evidence(F.col("content")).alias("auth"), F.array_contains(text.response_hints(F.col("content")), "error").alias("error_hint"))
+    return found.groupBy("endpoint", "auth", "error_hint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p25_excerpt_lines", """WITH l AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 300 THEN left(t, 297) || '...' ELSE t END AS excerpt FROM l""")
+def excerpt_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("p11_open_quotes", """WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+ c AS (SELECT doc_id, line_no, sum(length(line) - length(replace(line, '.', ''))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
+ SELECT doc_id, count(*) FILTER (coalesce(before, 0) % 2 = 1) AS inside, count(*) AS n_lines FROM c GROUP BY doc_id""")
+def open_quotes(spark, sf_dir):
+    """Lines with an odd number of marks before them in their file: the test for being inside a quoted block."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    before = F.sum(findings.occurrences(F.col("line"), ".")).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
+    marked = lines.select("doc_id", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
+    return marked.groupBy("doc_id").agg(F.count_if("inside").alias("inside"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("p6_j10_import_resolution", f"""WITH {FILES_SQL}, links AS (SELECT page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, unnest(regexp_extract_all(content, 'href="/([^"/]+)"', 1)) AS name FROM files),
+ known AS (SELECT DISTINCT regexp_extract(path, '^(?:.*/)?([^/]*)$', 1) AS base FROM files),
+ wanted AS (SELECT page_id, folder, name, folder || '/' || (page_id % 400)::VARCHAR AS base FROM links)
+ SELECT w.page_id, count(DISTINCT w.name) AS names, min(f.path) AS target FROM wanted w LEFT JOIN files f ON f.path IN (w.base || '-' || w.page_id::VARCHAR, w.base || '-' || w.page_id::VARCHAR || '.ts', w.base || '-' || w.page_id::VARCHAR || '.js', w.base || '-' || w.page_id::VARCHAR || '.php', w.base || '-' || w.page_id::VARCHAR || '.py')
+ GROUP BY w.page_id""")
+def import_resolution(spark, sf_dir):
+    """Relative imports probed against the files that exist; the first candidate that does wins."""
+    all_files = files(spark, sf_dir)
+    links = all_files.select("page_id", "path", F.explode(F.regexp_extract_all("content", F.lit('href="/([^"/]+)"'), F.lit(1))).alias("name"))
+    target = F.concat(F.lit("./x/../"), (F.col("page_id") % 400).cast("string"), F.lit("-"), F.col("page_id").cast("string"))
+    found = findings.resolve_imports(links.select("page_id", "name", "path", target.alias("import")), all_files.select(F.col("path").alias("known")))
+    return found.groupBy("page_id").agg(F.countDistinct("name").alias("names"), F.min("target").alias("target"))
+
+
+@query("e24_citations", """WITH t AS (SELECT doc_id, 'a [' || (doc_id % 7)::VARCHAR || '] b [3] c [' || (doc_id % 7)::VARCHAR || ']' AS a FROM documents)
+ SELECT doc_id, array_to_string(list_distinct([doc_id % 7, 3])::BIGINT[] , ',') AS x FROM t WHERE false UNION ALL SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN '3' WHEN doc_id % 7 IN (1, 2) THEN (doc_id % 7)::VARCHAR || ',3' ELSE '3' END FROM t""")
+def citations(spark, sf_dir):
+    answer = F.concat(F.lit("a ["), (F.col("doc_id") % 7).cast("string"), F.lit("] b [3] c ["), (F.col("doc_id") % 7).cast("string"), F.lit("]"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.cited(answer, F.array(*(F.lit(x).cast("long") for x in (1, 2, 3)))), ",").alias("x"))
+
+
+@query("p33_e18_scope_drift", f"""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'fix login session' WHEN 1 THEN 'add table migration' WHEN 2 THEN 'restyle button' ELSE 'speed' END AS intent,
+ CASE source WHEN 'src1' THEN 'Authentication and access' WHEN 'src2' THEN 'Data and schema' WHEN 'src3' THEN 'Tests' WHEN 'src4' THEN 'User interface' ELSE 'Application code' END AS actual FROM documents),
+ e AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'Authentication and access' WHEN 1 THEN 'Data and schema' WHEN 2 THEN 'User interface' ELSE 'Application code' END AS expected FROM c)
+ SELECT intent, actual, actual <> expected AND actual <> 'Tests' AND actual <> 'Application code' AS drift, count(*) AS n FROM e GROUP BY ALL""")
+def scope_drift(spark, sf_dir):
+    intent = F.element_at(F.array(*map(F.lit, ("fix login session", "add table migration", "restyle button", "speed"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    areas = F.create_map(*[F.lit(x) for pair in {"src1": "Authentication and access", "src2": "Data and schema", "src3": "Tests", "src4": "User interface"}.items() for x in pair])
+    docs = table(spark, sf_dir, "documents").select(intent.alias("intent"), F.coalesce(F.try_element_at(areas, "source"), F.lit(paths.OTHER_AREA)).alias("actual"))
+    drift = findings.also_changed(paths.expected_areas(F.col("intent")), F.array("actual"))
+    return docs.groupBy("intent", "actual", (F.size(drift) > 0).alias("drift")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p16_p17_node_labels", f"""SELECT {case_rules(labels.SUBSYSTEMS, "lower(event_type || ' ' || props || ' ' || 'source')", 'Application core')} AS subsystem, {case_rules(labels.FEATURES, "lower(event_type || ' ' || props || ' ' || 'event')", 'Core behavior')} AS feature,
+ {case_rules(labels.RISKS, "lower('event' || ' ' || event_type || ' ' || props)", 'low')} AS risk, {case_rules(labels.EDGE_KINDS, 'lower(event_type)', 'code')} AS edge_kind, count(*) AS n FROM events GROUP BY ALL""")
+def node_labels(spark, sf_dir):
+    kind, name = F.lit("event"), F.col("event_type")
+    found = table(spark, sf_dir, "events").select(
+        labels.subsystem(name, F.col("props"), F.lit("source")).alias("subsystem"), labels.feature(name, F.col("props"), kind).alias("feature"), labels.risk(kind, name, F.col("props")).alias("risk"), labels.edge_kind(name).alias("edge_kind")
+    )
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "e1_symbol_fusion"
+from tracewright.plans import files, graph, relational  # noqa: F401  (their queries register themselves)
+from tracewright.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "e1_e6_symbol_fusion"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
