@@ -230,11 +230,11 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text_"):
+        for batch in small_batches(batches, "quality_text_"):
             found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
             yield batch.select(names).filter(pa.array(found >= threshold))
 
-    return docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
+    return docs.withColumn("quality_text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
 
 
 def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
