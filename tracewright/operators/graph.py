@@ -135,7 +135,7 @@ def distances(edges: DataFrame, source: int, most: int | None = None) -> DataFra
     """(node, distance) over undirected edges weighing 1, 2 or 5 by confidence, from one node; rounds go on until no
     distance falls. With ``most``, farther nodes are left out."""
     weight = F.when(F.col("confidence") == "high", 1).when(F.col("confidence") == "medium", 2).otherwise(5).cast("long")
-    one = edges.select(F.col("source").alias("at"), F.col("target").alias("next"), weight.alias("w"))
+    one = edges.filter("source is not null and target is not null").select(F.col("source").alias("at"), F.col("target").alias("next"), weight.alias("w"))
     step = kept(one.union(one.select("next", "at", "w")).groupBy("at", "next").agg(F.min("w").alias("w")))
     best = kept(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).cast("long").alias("distance")))
     front = best
