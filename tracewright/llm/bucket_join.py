@@ -1,9 +1,10 @@
 """Components of a similarity join whose candidates meet in buckets, without pairing up a bucket's members.
 
-Two items may be similar only if some bucket holds both. A first round tests each member against its bucket's smallest
-member (its pivot), best-supported pairs first. Buckets whose members are not yet all in one component stay open: they
-get other pivots for some rounds, and in the end all pairs of members in different components that have not been tested.
-So no link between components is lost, while a family of m similar items costs about m tests instead of m * m / 2.
+Two items may be similar only if some bucket holds both. A first round tests each member against its bucket's pivot (the
+member of the highest score, as its caller rates how central items are), best-supported pairs first, and the pivot leaves.
+Buckets whose members are then not all in one component stay open. Their members are compared by small bitmaps, in blocks
+of bounded size dealt over the tasks, and only pairs in different components that the bitmaps cannot rule out are emitted
+and tested. The bitmaps' bound is exact, so no link between components is lost; a family of m items costs about m tests.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tracewright.llm.common import written
 from tracewright.llm.components import connected
 from tracewright.llm.textvec import mix
 
-#: Rounds of other pivots before the open rest is paired, and pairs a member that end them early.
-ROUNDS, FEW = 6, 3
+#: Members of an open bucket that are compared in one block.
+BLOCK = 1024
 
 
 def blob(x: np.ndarray) -> bytes:
@@ -39,19 +40,19 @@ def split_by(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[cut[b] : cut[b + 1]]
 
 
-ENTRY_SCHEMA = "part int, keys binary, items binary"
+ENTRY_SCHEMA = "part int, keys binary, items binary, scores binary"
 
 
-def entry_rows(keys: np.ndarray, items: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries (key, item) dealt into parts by key."""
-    rows = [(b, blob(keys[i]), blob(items[i])) for b, i in split_by((mix(keys) % np.uint64(parts)).astype(np.int64), parts)]
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "keys", "items"])
+def entry_rows(keys: np.ndarray, items: np.ndarray, scores: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Entries (key, item, the item's score) dealt into parts by key."""
+    rows = [(b, blob(keys[i]), blob(items[i]), blob(scores[i].astype(np.float32))) for b, i in split_by((mix(keys) % np.uint64(parts)).astype(np.int64), parts)]
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "items", "scores"])
 
 
-def sorted_entries(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct entries by key and item, and the starts of keys (with the end)."""
-    order = np.lexsort((items, keys))
+def sorted_entries(keys: np.ndarray, items: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries by key, the key's highest score first, and the starts of keys (with the end)."""
+    order = np.lexsort((items, -scores, keys))
     keys, items = keys[order], items[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (items[1:] != items[:-1])
@@ -62,14 +63,14 @@ def sorted_entries(keys: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def stars(entries: DataFrame) -> DataFrame:
-    """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot, and rows (bucket, item) of
-    buckets of three and more, each distinct set of members once a part."""
+    """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot, and rows (bucket, item) of the
+    other members of buckets of three and more, each distinct set of them once a part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.int64)) for b in batches if b.num_rows]
+        held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.int64), unblob(b.column(3), np.float32)) for b in batches if b.num_rows]
         if not held:
             return
-        keys, items, at = sorted_entries(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+        keys, items, at = sorted_entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
         size = np.diff(at)
         pivot = np.repeat(items[at[:-1]], size)
         pair = items != pivot
@@ -77,12 +78,14 @@ def stars(entries: DataFrame) -> DataFrame:
             ab, support = np.unique(np.stack([pivot[pair], items[pair]]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), pa.nulls(len(support), pa.int64()), pa.nulls(len(support), pa.int64())], ["a", "b", "support", "bucket", "item"])
         with np.errstate(over="ignore"):
-            who = np.add.reduceat(mix(items.view(np.uint64)), at[:-1]) + size.astype(np.uint64) if len(items) else np.zeros(0, np.uint64)
+            own = mix(items.view(np.uint64))
+            who = np.add.reduceat(own, at[:-1]) - own[at[:-1]] + size.astype(np.uint64)
         _, once = np.unique(who, return_index=True)
         once = once[size[once] >= 3]
         take = np.zeros(len(size), bool)
         take[once] = True
         big = np.repeat(take, size)
+        big[at[:-1]] = False
         if big.any():
             n = int(big.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(np.repeat(who.view(np.int64), size)[big]), pa.array(items[big])], ["a", "b", "support", "bucket", "item"])
@@ -90,75 +93,102 @@ def stars(entries: DataFrame) -> DataFrame:
     return entries.repartition("part").mapInArrow(rows, "a long, b long, support long, bucket long, item long")
 
 
-def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """(node, component) of items with a link. ``links_of`` keeps the similar ones of pairs (a, b), a < b."""
+def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFrame], marks: DataFrame, near: Callable, folder: str) -> DataFrame:
+    """(node, component) of items with a link. ``links_of`` keeps the similar ones of pairs (a, b). ``marks`` has item, n
+    and a bitmap of fixed size for each item; near(n_a, n_b, differing bits) is true for all similar pairs."""
     both = written(stars(entries), f"{folder}/stars")
     pairs = both.filter("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     pairs = written(pairs, f"{folder}/pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b")
-    labels, tested = None, None
+    links = written(links_of(best).select("a", "b"), f"{folder}/best-links")
+    labels = written(connected(links, f"{folder}/best-cc"), f"{folder}/best-labels")
+
+    def labelled(df: DataFrame, item: str, to: str) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(item), F.col("component").alias(to)), item, "left").withColumn(to, F.coalesce(to, item))
 
     def test(candidates: DataFrame, name: str) -> None:
-        nonlocal labels, tested
-        now = candidates.select("a", "b").distinct()
-        if tested is not None:
-            now = now.join(tested, ["a", "b"], "left_anti")
-        now = written(now, f"{folder}/{name}-tested")
-        tested = now if tested is None else tested.union(now)
-        links = written(links_of(now).select("a", "b"), f"{folder}/{name}-links")
-        if labels is None:
-            labels = written(connected(links, f"{folder}/{name}-cc"), f"{folder}/{name}-labels")
-            return
-        old = labels
-        up = labelled(labelled(links, old, "a", "ca"), old, "b", "cb").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        """Add the links among pairs of items from different components."""
+        nonlocal labels
+        found = written(links_of(candidates).select("a", "b"), f"{folder}/{name}-links")
+        up = labelled(labelled(found, "a", "ca"), "b", "cb").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         up = written(up, f"{folder}/{name}-up")
         if up.isEmpty():
             return
         moved = connected(up, f"{folder}/{name}-cc").select(F.col("node").alias("component"), F.col("component").alias("top"))
-        seen = old.union(moved.select(F.col("component").alias("node"), "component").join(old, "node", "left_anti"))
+        seen = labels.union(moved.select(F.col("component").alias("node"), "component").join(labels, "node", "left_anti"))
         labels = written(seen.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component")), f"{folder}/{name}-labels")
 
-    def labelled(df: DataFrame, of: DataFrame, item: str, to: str) -> DataFrame:
-        return df.join(of.select(F.col("node").alias(item), F.col("component").alias(to)), item, "left").withColumn(to, F.coalesce(to, item))
-
-    test(best, "best")
-    rest = labelled(labelled(pairs.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb")
-    test(rest, "stars")
-    members = both.filter("bucket is not null").select("bucket", "item").distinct()
-    for turn in range(ROUNDS + 1):
-        named = labelled(members, labels, "item", "component")
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-        members = written(named.join(open_, "bucket").select("bucket", "item", "component"), f"{folder}/open-{turn}")
-        sizes = members.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        total = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
-        if not total[0]:
-            break
-        last = turn == ROUNDS or total[1] <= FEW * total[0]
-        if last:
-            other = members.select("bucket", F.col("item").alias("other"), F.col("component").alias("theirs"))
-            found = members.join(other, "bucket").filter("component < theirs")
-        else:
-            pivots = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("item").alias("other"), F.col("component").alias("theirs")), F.xxhash64(F.lit(turn), "item")).alias("p"))
-            found = members.join(pivots, "bucket").select("bucket", "item", "component", "p.other", "p.theirs").filter("component != theirs")
-        test(found.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")), f"round-{turn}")
-        if last:
-            break
-        members = members.select("bucket", "item")
+    rest = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
+    test(written(rest.join(best, ["a", "b"], "left_anti"), f"{folder}/rest"), "stars")
+    members = labelled(both.filter("bucket is not null").select("bucket", "item").distinct(), "item", "component")
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("bucket", "m")
+    members = written(members.join(open_, "bucket"), f"{folder}/open")
+    test(written(possible_pairs(members, marks, near).distinct(), f"{folder}/possible"), "open")
     return labels
 
 
-def bitmap(spark_items: DataFrame, column: str, bits: int) -> np.ndarray:
+def possible_pairs(members: DataFrame, marks: DataFrame, near: Callable) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (bucket, m, item, component) in different components that bitmaps do not rule
+    out. A bucket is cut into blocks by item; every two blocks, and each block with itself, meet in one group."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("item"), blocks)
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component").join(marks, "item")
+    dealt = rows.select("bucket", "low", "high", "own", "item", "component", "n", "bits").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(group)
+        low, high, own, items, comps, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(items), -1)
+        found = []
+        for i in range(len(items) - 1):
+            j = slice(i + 1, None)
+            ok = (comps[j] != comps[i]) & ((own[j] != own[i]) | (low[i] == high[i]))
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                off = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+                at = at[near(n[at], n[i], off)]
+                found.append(np.stack([np.minimum(items[at], items[i]), np.maximum(items[at], items[i])]))
+        if not found:
+            return None
+        ab = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                key = tuple(keys[:, a].tolist())
+                if held and key != now:
+                    if (out := pairs(held)) is not None:
+                        yield out
+                    held = []
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held and (out := pairs(held)) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def bitmap(rows_of_items: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for each item's hash, in a map of fixed size: a Bloom filter with one hash. It may pass items that are not
-    there, never drops one that is. At most eight partial maps reach the driver."""
+    there, never drops one that is. ``column`` holds items as blobs. At most eight partial maps reach the driver."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
         for b in batches:
-            seen[bit_of(np.asarray(b.column(0)), bits)] = True
+            for x in b.column(0):
+                seen[bit_of(np.frombuffer(x.as_buffer(), np.int64), bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     found = np.zeros(bits // 8, np.uint8)
-    for r in spark_items.select(F.col(column).alias("item")).coalesce(8).mapInArrow(rows, "bits binary").toLocalIterator():
+    for r in rows_of_items.select(column).coalesce(8).mapInArrow(rows, "bits binary").toLocalIterator():
         found |= np.frombuffer(bytes(r.bits), np.uint8)
     return found
 

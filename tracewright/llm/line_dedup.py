@@ -24,9 +24,9 @@ from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows,
 from tracewright.llm.common import shared_folder, small_batches, table, written
 
 EDITS, LEAST_CHARS = 2, 20
-PICK_BITS = 1 << 24
+PICK_BITS, MARK_BITS = 1 << 24, 512
 #: Lines that a task remembers so as not to enter a repeat twice.
-REMEMBER = 500_000
+REMEMBER = 200_000
 _CODE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -157,7 +157,7 @@ def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=1 << 20):
             cut = Cut(batch.column(1))
             _, once = np.unique(cut.item, return_index=True)
             once = once[cut.size[once] >= least]
@@ -172,7 +172,7 @@ def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int =
             for part, i in split_by((tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob(keys[i])], pa.binary()), pa.array([blob(cut.item[owner[i]])], pa.binary())], ["part", "keys", "items"])
 
-    return docs.mapInArrow(rows, ENTRY_SCHEMA)
+    return docs.mapInArrow(rows, "part int, keys binary, items binary")
 
 
 def met_entries(entries: DataFrame, parts: int) -> DataFrame:
@@ -194,7 +194,7 @@ def met_entries(entries: DataFrame, parts: int) -> DataFrame:
         keep = (np.add.reduceat(own, at) > 0) & (np.maximum.reduceat(items, at) != np.minimum.reduceat(items, at))
         keep = np.repeat(keep, size)
         if keep.any():
-            yield entry_rows(keys[keep].view(np.int64), items[keep], parts)
+            yield entry_rows(keys[keep].view(np.int64), items[keep], np.zeros(int(keep.sum())), parts)
 
     return entries.repartition("part").mapInArrow(rows, ENTRY_SCHEMA)
 
@@ -206,7 +206,7 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches, limit=1 << 20):
             cut = Cut(batch.column(1))
             wanted = passes(pick.value, cut.item) & (cut.size >= least) if len(cut.item) else np.zeros(0, bool)
             at = np.concatenate(([0], np.cumsum(cut.count)))
@@ -228,6 +228,24 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS)
     return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>, texts array<struct<item: long, line: string>>")
 
 
+def pair_marks(texts: DataFrame) -> DataFrame:
+    """item, length and a bitmap of its pairs of neighbouring characters. An edit takes two pairs away at most and brings
+    two at most, so it changes four bits at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, marks = [], []
+            for line in batch.column(1).to_pylist():
+                points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                bits = np.zeros(MARK_BITS, bool)
+                bits[(tv.mix(points[1:] * np.uint64(1 << 32) + points[:-1]) % np.uint64(MARK_BITS)).astype(np.int64)] = True
+                size.append(len(points))
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], ["item", "n", "bits"])
+
+    return texts.select("item", "line").mapInArrow(rows, "item long, n long, bits binary")
+
+
 def alike_pairs(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """Those of pairs (a, b) whose lines are within the edit distance."""
 
@@ -254,10 +272,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = marked(docs)
     met = written(met_entries(probe_entries(docs.select("doc_id", "text"), parts, edits, least), parts), f"{folder}/met")
-    pick = bitmap(_items(met), "item", PICK_BITS)
+    pick = bitmap(met, "items", PICK_BITS)
     known = written(lines_and_texts(docs, pick, least), f"{folder}/lines")
     texts = written(known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line")), f"{folder}/texts")
-    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), f"{folder}/join")
+    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), pair_marks(texts), lambda a, b, off: (np.abs(a - b) <= edits) & (off <= 4 * edits), f"{folder}/join")
     rows = known.select("doc_id", "mark", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
     rows = written(rows.select("doc_id", "mark", "line_no", "class"), f"{folder}/classed")
@@ -274,30 +292,21 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     )
 
 
-def _items(entries: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_buffer(), np.int64)))], ["item"])
-
-    return entries.select("items").mapInArrow(rows, "item long")
-
-
 def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """The documents with repeated lines taken out, in their columns; n_chars follows where there is one. A document
     whose lines are all repeats goes; others that lose lines keep the rest in order."""
     names = docs.columns
     classes = written(line_classes(docs, edits, least), shared_folder(docs.sparkSession, "line-classes"))
-    drops = classes.groupBy("doc_id", "mark").agg(F.collect_list(F.when(~F.col("keep"), F.col("line_no"))).alias("drop"), F.max("keep").alias("some")).filter("size(drop) > 0")
-    drops = drops.select(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"), "drop", "some")
+    drops = classes.groupBy("doc_id", "mark").agg(F.collect_list(F.when(~F.col("keep"), F.col("line_no"))).alias("dedup_lines"), F.max("keep").alias("dedup_some")).filter("size(dedup_lines) > 0")
+    drops = drops.select(F.col("doc_id").alias("dedup_id"), F.col("mark").alias("dedup_mark"), "dedup_lines", "dedup_some")
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("drop_mark_", mark).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")) & (F.col("drop_mark_") == F.col("drop_mark")), "left")
-    joined = joined.filter(F.coalesce("some", F.lit(True)))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    joined = docs.withColumn("dedup_own", mark).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("dedup_id")) & (F.col("dedup_own") == F.col("dedup_mark")), "left")
+    joined = joined.filter(F.coalesce("dedup_some", F.lit(True)))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dedup_lines", i)), "\n")
+    out = joined.withColumn("text", F.when(F.col("dedup_lines").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("dedup_lines").isNull(), F.col("n_chars")).otherwise(size))
     return out.select(*names)
 
 

@@ -2,10 +2,11 @@
 
 Candidates must share prefix tokens under several token orders before their sets are compared:
 
-1. Order by hash. A set's first n - ceil(0.8 n) + k tokens (k = ceil(n / 10)) hold at least k tokens of any set that is
-   similar enough, so a set with fewer tokens that any other set's prefix has too drops out here.
-2. Order by frequency within those prefixes, rarest first. Two similar sets share a token in the first |P| - k' + 1 of
-   theirs, k' being the least overlap above; these tokens are the buckets where candidates meet.
+1. Order by hash. A set's first n - ceil(0.8 n) + k tokens (k = ceil(n / 10)) hold at least k' of the like prefix of any
+   similar set (k' is k for the smallest such set), so a set of whose prefix fewer tokens occur in other prefixes drops out.
+2. Order by frequency, rarest first, over the whole remaining sets. Frequencies come from a sketch of fixed size, the same
+   for all tasks, so the order is one order whatever the sketch's error. Similar sets share one of their first
+   n - ceil(0.8 n) + 1 tokens; these are the buckets where candidates meet. Sets of frequent tokens are a bucket's pivots.
 3. Two more orders of the whole set (other hashes): a candidate pair must share a prefix token in each, which bitmaps of
    the prefixes tell, before the sets are intersected.
 
@@ -28,6 +29,8 @@ from tracewright.llm.common import documents, shared_folder, small_batches, tabl
 WORDS = 5
 #: Bits of the map that picks the sets to fetch (2 MB), and of the prefix bitmaps of a set.
 PICK_BITS, PREFIX_BITS = 1 << 24, 1024
+#: Cells of the frequency sketch (8 MB).
+SKETCH_CELLS = 1 << 21
 #: Items that a task remembers so as not to send a copy's prefix twice.
 REMEMBER = 200_000
 _OTHER_ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
@@ -108,7 +111,7 @@ def _by_item(items, sizes, tokens, parts) -> pa.RecordBatch:
 
 
 def shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
-    """Tokens that two or more items have in their prefixes, with their frequency, dealt by item."""
+    """How many of an item's prefix tokens other items have too, by part of the tokens, dealt by item."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -125,41 +128,73 @@ def shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (items[1:] != items[:-1])
         tokens, items, sizes = tokens[new], items[new], sizes[new]
-        first = np.ones(len(tokens), bool)
-        first[1:] = tokens[1:] != tokens[:-1]
-        at = np.concatenate((np.flatnonzero(first), [len(tokens)]))
-        df = np.repeat(np.diff(at), np.diff(at))
-        keep = df > 1
-        tokens, items, sizes, df = tokens[keep], items[keep], sizes[keep], df[keep].astype(np.uint32)
+        alone = np.ones(len(tokens), bool)
+        same = tokens[1:] == tokens[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        items, at, counts = np.unique(items[~alone], return_index=True, return_counts=True)
+        sizes = sizes[~alone][at]
         for part, i in split_by((items.view(np.uint64) % np.uint64(parts)).astype(np.int64), parts):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([blob(x[i])], pa.binary()) for x in (items, sizes, tokens, df))], ["part", "items", "sizes", "tokens", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([blob(x)], pa.binary()) for x in (items[i], sizes[i], counts[i].astype(np.uint32)))], ["part", "items", "sizes", "counts"])
 
-    return entries.repartition("part").mapInArrow(rows, "part int, items binary, sizes binary, tokens binary, df binary")
+    return entries.repartition("part").mapInArrow(rows, "part int, items binary, sizes binary, counts binary")
 
 
-def bucket_entries(shared: DataFrame, parts: int) -> DataFrame:
-    """Order 2: of items with enough shared tokens, the rarest-first prefix, dealt by token."""
+def candidates(shared: DataFrame) -> DataFrame:
+    """Items with enough shared tokens, as blobs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(unblob(b.column(k), t) for k, t in ((1, np.int64), (2, np.uint32), (3, np.uint64), (4, np.uint32))) for b in batches if b.num_rows]
-        if not held:
-            return
-        items, sizes, tokens, df = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((tokens, df, items))
-        items, sizes, tokens = items[order], sizes[order].astype(np.int64), tokens[order]
-        first = np.ones(len(items), bool)
-        first[1:] = items[1:] != items[:-1]
-        at = np.flatnonzero(first)
-        count = np.diff(np.concatenate((at, [len(items)])))
-        n = sizes[at]
-        length = prefix_length(n)
-        take = np.where(count >= least_shared(n), length - least_shared(n) + 1 - (length - count), 0)
-        rank = np.arange(len(items)) - np.repeat(at, count)
-        keep = rank < np.repeat(take, count)
-        if keep.any():
-            yield entry_rows(tokens[keep].view(np.int64), items[keep], parts)
-
-    return shared.repartition("part").mapInArrow(rows, ENTRY_SCHEMA)
+        held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.uint32), unblob(b.column(3), np.uint32)) for b in batches if b.num_rows]
+        if held:
+            items, sizes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            items, at, back = np.unique(items, return_index=True, return_inverse=True)
+            total = np.bincount(back, counts, len(items))
+            yield pa.RecordBatch.from_arrays([pa.array([blob(items[total >= least_shared(sizes[at].astype(np.int64))])], pa.binary())], ["items"])
+
+    return shared.repartition("part").mapInArrow(rows, "items binary")
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """Counts of tokens over distinct sets in a table of fixed size; tokens that fall on one cell share its count. At most
+    eight partial tables reach the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SKETCH_CELLS, np.uint32)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(found, _cell(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["cells"])
+
+    total = np.zeros(SKETCH_CELLS, np.uint64)
+    for r in sets.select("tokens").coalesce(8).mapInArrow(rows, "cells binary").toLocalIterator():
+        total += np.frombuffer(bytes(r.cells), np.uint32)
+    return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tv.mix(tokens + np.uint64(1)) % np.uint64(SKETCH_CELLS)).astype(np.int64)
+
+
+def bucket_entries(sets: DataFrame, parts: int) -> DataFrame:
+    """Order 2: the rarest-first prefix of each set, dealt by token. An item's score is its tokens' mean frequency."""
+    known = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, items, scores = [], [], []
+            for item, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(tokens)
+                count = known.value[_cell(tokens)]
+                take = n - least_overlap(n) + 1
+                order = np.lexsort((tokens, count))[:take]
+                keys.append(tokens[order].view(np.int64))
+                items.append(np.full(take, item, np.int64))
+                scores.append(np.full(take, count.mean(), np.float32))
+            if keys:
+                yield entry_rows(np.concatenate(keys), np.concatenate(items), np.concatenate(scores), parts)
+
+    return sets.select("item", "tokens").mapInArrow(rows, ENTRY_SCHEMA)
 
 
 def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
@@ -189,6 +224,28 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, item long, n long, tokens binary, bits binary")
 
 
+def token_marks(sets: DataFrame) -> DataFrame:
+    """item, n and a bitmap of all its tokens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, marks = [], []
+            for x in batch.column(1):
+                tokens = np.frombuffer(x.as_buffer(), np.uint64)
+                bits = np.zeros(PREFIX_BITS, bool)
+                bits[(tv.mix(tokens) % np.uint64(PREFIX_BITS)).astype(np.int64)] = True
+                size.append(len(tokens))
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], ["item", "n", "bits"])
+
+    return sets.select("item", "tokens").mapInArrow(rows, "item long, n long, bits binary")
+
+
+def may_be_similar(a, b, off):
+    """Each differing bit is a token that only one of the sets has; similar sets differ in a ninth of their sum at most."""
+    return 9 * off.astype(np.int64) <= a + b
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose prefixes meet under the other orders and whose sets are similar."""
 
@@ -215,11 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = documents(docs)
     folder = shared_folder(spark, "ngram-join")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = written(bucket_entries(shared_tokens(prefix_entries(docs, parts), parts), parts), f"{folder}/buckets")
-    pick = bitmap(_items(buckets), "item", PICK_BITS)
+    few = written(candidates(shared_tokens(prefix_entries(docs, parts), parts)), f"{folder}/candidates")
+    pick = bitmap(few, "items", PICK_BITS)
     known = written(items_and_sets(docs, pick), f"{folder}/items")
     sets = written(known.filter("tokens is not null").groupBy("item").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), f"{folder}/sets")
-    labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), f"{folder}/join")
+    buckets = written(bucket_entries(sets, parts), f"{folder}/buckets")
+    labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), token_marks(sets), may_be_similar, f"{folder}/join")
     rows = known.select("doc_id", "item", "n").join(labels.withColumnRenamed("node", "item"), "item", "left")
     rows = rows.withColumn("component", F.coalesce("component", "item"))
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -233,16 +291,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
-def _items(entries: DataFrame) -> DataFrame:
-    """The items of dealt entries, repeats included."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_buffer(), np.int64)))], ["item"])
-
-    return entries.select("items").mapInArrow(rows, "item long")
-
-
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
