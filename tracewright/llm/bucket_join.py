@@ -21,6 +21,8 @@ from tracewright.llm.textvec import mix
 
 #: Members of an open bucket that are compared in one block.
 BLOCK = 1024
+#: Pieces in which arrays of fixed size are combined.
+CUTS = 32
 
 
 def blob(x: np.ndarray) -> bytes:
@@ -176,21 +178,43 @@ def possible_pairs(members: DataFrame, marks: DataFrame, near: Callable) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def combined(partial: DataFrame, dtype, how) -> np.ndarray:
+    """One array from partial ones of the same fixed size (one a task, column ``value``): cut into CUTS pieces that meet by
+    number and combine where they meet, so that the driver gets one array's size whatever the number of tasks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                for k, piece in enumerate(np.array_split(np.frombuffer(x.as_buffer(), dtype), CUTS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob(piece)], pa.binary())], ["k", "value"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                value = np.frombuffer(x.as_buffer(), dtype)
+                pieces[k] = how(pieces[k], value) if k in pieces else value.copy()
+        for k, value in pieces.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob(value)], pa.binary())], ["k", "value"])
+
+    schema = "k int, value binary"
+    got = partial.mapInArrow(cut, schema).repartition("k").mapInArrow(meet, schema).collect()
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(bytes(r.value), dtype) for r in sorted(got, key=lambda r: r.k))])
+
+
 def bitmap(rows_of_items: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for each item's hash, in a map of fixed size: a Bloom filter with one hash. It may pass items that are not
-    there, never drops one that is. ``column`` holds items as blobs. At most eight partial maps reach the driver."""
+    there, never drops one that is. ``column`` holds items as blobs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
         for b in batches:
             for x in b.column(0):
                 seen[bit_of(np.frombuffer(x.as_buffer(), np.int64), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["value"])
 
-    found = np.zeros(bits // 8, np.uint8)
-    for r in rows_of_items.select(column).coalesce(8).mapInArrow(rows, "bits binary").toLocalIterator():
-        found |= np.frombuffer(bytes(r.bits), np.uint8)
-    return found
+    found = combined(rows_of_items.select(column).mapInArrow(rows, "value binary"), np.uint8, np.bitwise_or)
+    return found if len(found) else np.zeros(bits // 8, np.uint8)
 
 
 def bit_of(items: np.ndarray, bits: int) -> np.ndarray:

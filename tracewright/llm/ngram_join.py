@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by, unblob
+from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, combined, entry_rows, join_components, passes, split_by, unblob
 from tracewright.llm.common import documents, shared_folder, small_batches, table, written
 
 WORDS = 5
@@ -155,20 +155,17 @@ def candidates(shared: DataFrame) -> DataFrame:
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """Counts of tokens over distinct sets in a table of fixed size; tokens that fall on one cell share its count. At most
-    eight partial tables reach the driver."""
+    """Counts of tokens over distinct sets in a table of fixed size; tokens that fall on one cell share its count."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(SKETCH_CELLS, np.uint32)
         for b in batches:
             for x in b.column(0):
                 np.add.at(found, _cell(np.frombuffer(x.as_buffer(), np.uint64)), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["value"])
 
-    total = np.zeros(SKETCH_CELLS, np.uint64)
-    for r in sets.select("tokens").coalesce(8).mapInArrow(rows, "cells binary").toLocalIterator():
-        total += np.frombuffer(bytes(r.cells), np.uint32)
-    return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+    found = combined(sets.select("tokens").mapInArrow(rows, "value binary"), np.uint32, np.add)
+    return found if len(found) else np.zeros(SKETCH_CELLS, np.uint32)
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
