@@ -7,7 +7,7 @@ Discounts follow from counts of counts, a few numbers a bucket.
 
 Model files of one order and bucket: sorted 64-bit n-gram hashes with 16-bit counts (larger ones apart, exact), and
 sorted context hashes with their total and numbers of words seen once, twice, more often. Workers map the files where the
-shared folder is a path, and copy them to a scratch folder first where it is another store.
+shared folder is a path; from other stores they read the buckets' files that they need into memory.
 
 p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + (D1 n1(h) + D2 n2(h) + D3 n3(h)) / c(h) * p(w | shorter h); at the end stands
 the uniform distribution over the vocabulary and one unknown word. Each text begins after one start mark and ends with
@@ -17,7 +17,6 @@ one end mark, which counts as a token. Null and empty texts have that one token.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -85,6 +84,17 @@ def totals(*keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np
     return [k[at] for k in keys], n.astype(np.int64)
 
 
+def counted(ctx: np.ndarray, short: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (context, word) rows, sorted, with their summed weight; the shorter form follows from the context."""
+    order = np.lexsort((words, ctx))
+    ctx, words = ctx[order], words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ctx[1:] != ctx[:-1]) | (words[1:] != words[:-1])
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+    return ctx[at], short[order[at]], words[at], total
+
+
 # counts travel as rows of blobs: contexts, their shorter forms, words per context, words (48 bits), counts
 ROW = "part int, contexts binary, shorter binary, lengths binary, words binary, counts binary"
 
@@ -128,9 +138,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | Non
             held.append((np.repeat(np.frombuffer(ctx.as_buffer(), U64), lengths), np.repeat(np.frombuffer(short.as_buffer(), U64), lengths), words, counts))
     if not held:
         return None
-    ctx, short, words, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    (ctx, words, short), n = totals(ctx, words, short, weight=n)
-    return ctx, short, words, n
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    held.clear()
+    return counted(*columns)
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -141,12 +151,15 @@ def count_batches(docs: DataFrame, order: int, parts: int) -> DataFrame:
     """Highest-order counts dealt by context, and plain word counts dealt by word (parts from ``parts`` on)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=24 << 20):
+        for batch in small_batches(batches, limit=12 << 20):
             words, place, _ = sequences(batch.column(1), order)
             ctx, short = context(words, order - 1, place), context(words, order - 2, place)
-            (ctx, w, short), n = totals(ctx, words[place] & LOW48, short)
+            target = words[place] & LOW48
+            del words, place
+            ctx, short, w, n = counted(ctx, short, target, np.ones(len(target), np.int64))
             yield from _rows(ctx, short, w, n, _part_of(ctx, parts), parts)
-            (w,), n = totals(words[place] & LOW48)
+            del ctx, short
+            (w,), n = totals(target)
             same = np.full(len(w), NOTHING)
             for r in _rows(same, same, w, n, _part_of(w, parts), parts):
                 yield r.set_column(0, "part", shifted(r.column(0), parts))
@@ -181,17 +194,12 @@ class Store:
         where.move(own, path)
 
     def load(self, name: str, dtype) -> np.ndarray:
+        """The array, mapped where the shared folder is a path; from other stores it is read into memory."""
         where, path = self._place(name)
-        if not isinstance(where, pafs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), "lm-" + str(abs(hash(self.folder))), name)
-            if not os.path.exists(local):
-                os.makedirs(os.path.dirname(local), exist_ok=True)
-                pafs.copy_files(path, own := f"{local}.{os.getpid()}", source_filesystem=where, destination_filesystem=pafs.LocalFileSystem())
-                os.replace(own, local)
-            path = local
-        if where.get_file_info(path).size == 0 if isinstance(where, pafs.LocalFileSystem) else os.path.getsize(path) == 0:
-            return np.zeros(0, dtype)
-        return np.memmap(path, dtype, "r")
+        if isinstance(where, pafs.LocalFileSystem):
+            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        with where.open_input_file(path) as f:
+            return np.frombuffer(f.read(), dtype)
 
 
 STATS = "level int, part int, n1 long, n2 long, n3 long, n4 long, types long, tokens long, row_part int, contexts binary, shorter binary, lengths binary, words binary, counts binary"
@@ -269,21 +277,31 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     lower = told(_top_level(count_batches(docs, order, parts).repartition("part"), folder, order, parts), f"rows-{order}")
     for level in range(order - 1, 0, -1):
         make = _word_rows if level == 1 else _level_rows
-        lower = told(lower.repartition("part").mapInArrow(lambda batches, make=make, level=level: make(batches, folder, level, parts), STATS), f"rows-{level}")
+
+        def rows(batches: Iterator[pa.RecordBatch], make=make, level=level) -> Iterator[pa.RecordBatch]:
+            for _, own in by_part(batches):
+                yield from make(iter(own), folder, level, parts)
+
+        lower = told(lower.repartition("part").mapInArrow(rows, STATS), f"rows-{level}")
     return describe(stats, folder, order, parts)
 
 
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each part of a task's share, one part after the other: only one is unpacked at a time."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            held.setdefault(part, []).append(batch.slice(i, 1))
+    for part in sorted(held):
+        yield part, held.pop(part)
+
+
 def _top_level(counts: DataFrame, folder: str, order: int, parts: int) -> DataFrame:
     """The highest order and the plain word counts, from one shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, plain = [], []
-        for batch in batches:
-            low = np.asarray(batch.column(0)) < parts
-            grams.append(batch.filter(pa.array(low)))
-            plain.append(batch.filter(pa.array(~low)))
-        yield from _level_rows(iter(grams), folder, order, parts)
-        yield from _word_rows(iter(plain), folder, 0, parts)
+        for part, own in by_part(batches):
+            yield from _level_rows(iter(own), folder, order, parts) if part < parts else _word_rows(iter(own), folder, 0, parts)
 
     return counts.mapInArrow(rows, STATS)
 
@@ -382,7 +400,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model)
-        for batch in small_batches(batches, limit=24 << 20):
+        for batch in small_batches(batches, limit=4 << 20):
             words, place, at = sequences(batch.column(1), model["order"])
             uniq, back = np.unique(words[place] & LOW48, return_inverse=True)
             c = look.counts(0, uniq, uniq)
