@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm.common import written
 from tracewright.llm.components import connected
+from tracewright.llm.store import Store
 from tracewright.llm.textvec import mix
 
 #: Members of an open bucket that are compared in one block.
@@ -64,9 +65,65 @@ def sorted_entries(keys: np.ndarray, items: np.ndarray, scores: np.ndarray) -> t
     return keys, items, np.concatenate((np.flatnonzero(first), [len(keys)]))
 
 
-def stars(entries: DataFrame) -> DataFrame:
-    """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot, and rows (bucket, item) of the
-    other members of buckets of three and more, each distinct set of them once a part."""
+class Marks:
+    """Sizes and bitmaps of items in mapped files, dealt by item: what tells most pairs apart without their contents."""
+
+    def __init__(self, folder: str, parts: int, width: int):
+        self.folder, self.parts, self.width, self.files = folder, parts, width, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "files": {}}
+
+    def write(self, marks: DataFrame) -> None:
+        """Store rows (item, n, bits)."""
+        store, parts = Store(self.folder), self.parts
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for b in batches:
+                for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    held.setdefault(part, []).append(row)
+            for part, own in held.items():
+                own.sort()
+                store.save(f"{part}.items", np.array([r[0] for r in own], np.int64))
+                store.save(f"{part}.n", np.array([r[1] for r in own], np.int64))
+                store.save(f"{part}.bits", np.frombuffer(b"".join(r[2] for r in own), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([len(own)])], ["n"])
+
+        marks.select(F.pmod("item", F.lit(parts)).cast("int").alias("part"), "item", "n", "bits").repartition("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
+
+    def of(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """known (bool), n and bits of items."""
+        known, n, bits = np.zeros(len(items), bool), np.zeros(len(items), np.int64), np.zeros((len(items), self.width), np.uint64)
+        for part, i in split_by(items % self.parts, self.parts):
+            if part not in self.files:
+                try:
+                    store = Store(self.folder)
+                    self.files[part] = store.load(f"{part}.items", np.int64), store.load(f"{part}.n", np.int64), store.load(f"{part}.bits", np.uint64).reshape(-1, self.width)
+                except FileNotFoundError:
+                    self.files[part] = None
+            if self.files[part] is None or not len(self.files[part][0]):
+                continue
+            keys, size, maps = self.files[part]
+            at = np.minimum(np.searchsorted(keys, items[i]), len(keys) - 1)
+            hit = keys[at] == items[i]
+            known[i[hit]], n[i[hit]], bits[i[hit]] = True, size[at[hit]], maps[at[hit]]
+        return known, n, bits
+
+    def near(self, a: np.ndarray, b: np.ndarray, may: Callable) -> np.ndarray:
+        """Whether pairs may be similar; those without marks may."""
+        items, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+        known, n, bits = self.of(items)
+        out = np.ones(len(a), bool)
+        for k in range(0, len(a), 65536):
+            i, j = back[: len(a)][k : k + 65536], back[len(a) :][k : k + 65536]
+            out[k : k + 65536] = ~(known[i] & known[j]) | may(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(1))
+        return out
+
+
+def stars(entries: DataFrame, marks: Marks, may: Callable) -> DataFrame:
+    """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
+    (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.int64), unblob(b.column(3), np.float32)) for b in batches if b.num_rows]
@@ -78,6 +135,8 @@ def stars(entries: DataFrame) -> DataFrame:
         pair = items != pivot
         if pair.any():
             ab, support = np.unique(np.stack([pivot[pair], items[pair]]), axis=1, return_counts=True)
+            fit = marks.near(ab[0], ab[1], may)
+            ab, support = ab[:, fit], support[fit]
             yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), pa.nulls(len(support), pa.int64()), pa.nulls(len(support), pa.int64())], ["a", "b", "support", "bucket", "item"])
         with np.errstate(over="ignore"):
             own = mix(items.view(np.uint64))
@@ -95,10 +154,12 @@ def stars(entries: DataFrame) -> DataFrame:
     return entries.repartition("part").mapInArrow(rows, "a long, b long, support long, bucket long, item long")
 
 
-def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFrame], marks: DataFrame, near: Callable, folder: str) -> DataFrame:
-    """(node, component) of items with a link. ``links_of`` keeps the similar ones of pairs (a, b). ``marks`` has item, n
-    and a bitmap of fixed size for each item; near(n_a, n_b, differing bits) is true for all similar pairs."""
-    both = written(stars(entries), f"{folder}/stars")
+def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFrame], item_marks: DataFrame, width: int, may: Callable, folder: str) -> DataFrame:
+    """(node, component) of items with a link. ``links_of`` keeps the similar ones of pairs (a, b). ``item_marks`` has item, n
+    and a bitmap of ``width`` 64-bit words for each item; may(n_a, n_b, differing bits) is true for all similar pairs."""
+    marks = Marks(f"{folder}/marks", int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
+    marks.write(item_marks)
+    both = written(stars(entries, marks, may), f"{folder}/stars")
     pairs = both.filter("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     pairs = written(pairs, f"{folder}/pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b")
@@ -125,23 +186,23 @@ def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFram
     members = labelled(both.filter("bucket is not null").select("bucket", "item").distinct(), "item", "component")
     open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("bucket", "m")
     members = written(members.join(open_, "bucket"), f"{folder}/open")
-    test(written(possible_pairs(members, marks, near).distinct(), f"{folder}/possible"), "open")
+    test(written(possible_pairs(members, marks, may).distinct(), f"{folder}/possible"), "open")
     return labels
 
 
-def possible_pairs(members: DataFrame, marks: DataFrame, near: Callable) -> DataFrame:
+def possible_pairs(members: DataFrame, marks: Marks, may: Callable) -> DataFrame:
     """Pairs (a, b) of a bucket's members (bucket, m, item, component) in different components that bitmaps do not rule
     out. A bucket is cut into blocks by item; every two blocks, and each block with itself, meet in one group."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("item"), blocks)
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component").join(marks, "item")
-    dealt = rows.select("bucket", "low", "high", "own", "item", "component", "n", "bits").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component")
+    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(group)
-        low, high, own, items, comps, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
-        bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(items), -1)
+        low, high, own, items, comps = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+        known, n, bits = marks.of(items)
         found = []
         for i in range(len(items) - 1):
             j = slice(i + 1, None)
@@ -149,7 +210,7 @@ def possible_pairs(members: DataFrame, marks: DataFrame, near: Callable) -> Data
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 off = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-                at = at[near(n[at], n[i], off)]
+                at = at[~(known[at] & known[i]) | may(n[at], n[i], off)]
                 found.append(np.stack([np.minimum(items[at], items[i]), np.maximum(items[at], items[i])]))
         if not found:
             return None

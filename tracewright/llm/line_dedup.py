@@ -24,7 +24,7 @@ from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows,
 from tracewright.llm.common import shared_folder, small_batches, table, written
 
 EDITS, LEAST_CHARS = 2, 20
-PICK_BITS, MARK_BITS = 1 << 24, 512
+PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 2048, 4
 #: Lines that a task remembers so as not to enter a repeat twice.
 REMEMBER = 200_000
 _CODE = np.uint64(0xD6E8FEB86659FD93)
@@ -228,17 +228,20 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS)
     return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>, texts array<struct<item: long, line: string>>")
 
 
-def pair_marks(texts: DataFrame) -> DataFrame:
-    """item, length and a bitmap of its pairs of neighbouring characters. An edit takes two pairs away at most and brings
-    two at most, so it changes four bits at most."""
+def gram_marks(texts: DataFrame) -> DataFrame:
+    """item, length and a bitmap of its runs of MARK_CHARS characters. An edit takes so many runs away at most and brings
+    as many at most, so it changes twice as many bits at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, marks = [], []
             for line in batch.column(1).to_pylist():
                 points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                h = np.zeros(max(len(points) - MARK_CHARS + 1, 0), np.uint64)
+                for k in range(MARK_CHARS if len(h) else 0):
+                    h = tv.mix(h ^ (points[k : k + len(h)] + np.uint64(k << 40)))
                 bits = np.zeros(MARK_BITS, bool)
-                bits[(tv.mix(points[1:] * np.uint64(1 << 32) + points[:-1]) % np.uint64(MARK_BITS)).astype(np.int64)] = True
+                bits[(h % np.uint64(MARK_BITS)).astype(np.int64)] = True
                 size.append(len(points))
                 marks.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], ["item", "n", "bits"])
@@ -275,7 +278,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     pick = bitmap(met, "items", PICK_BITS)
     known = written(lines_and_texts(docs, pick, least), f"{folder}/lines")
     texts = written(known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line")), f"{folder}/texts")
-    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), pair_marks(texts), lambda a, b, off: (np.abs(a - b) <= edits) & (off <= 4 * edits), f"{folder}/join")
+    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), gram_marks(texts), MARK_BITS // 64, lambda a, b, off: (np.abs(a - b) <= edits) & (off <= 2 * MARK_CHARS * edits), f"{folder}/join")
     rows = known.select("doc_id", "mark", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
     rows = written(rows.select("doc_id", "mark", "line_no", "class"), f"{folder}/classed")

@@ -16,18 +16,16 @@ one end mark, which counts as a token. Null and empty texts have that one token.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import blob, split_by, unblob
 from tracewright.llm.common import crc_bucket, documents, shared_folder, small_batches, table
+from tracewright.llm.store import Store
 
 U64 = np.uint64
 ORDER = 2
@@ -171,37 +169,6 @@ def shifted(column: pa.Array, n: int) -> pa.Array:
     return pa.array(np.asarray(column) + n, pa.int32())
 
 
-class Store:
-    """Files of arrays under a folder that all workers share."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def _place(self, name: str) -> tuple[pafs.FileSystem, str]:
-        url = urlparse(self.folder)
-        if url.scheme in ("", "file"):
-            return pafs.LocalFileSystem(), f"{url.path}/{name}"
-        where, path = pafs.FileSystem.from_uri(self.folder)
-        return where, f"{path}/{name}"
-
-    def save(self, name: str, array: np.ndarray) -> None:
-        """A repeated task writes the same bytes under the same name; readers see whole files only."""
-        where, path = self._place(name)
-        where.create_dir(os.path.dirname(path), recursive=True)
-        own = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-        with where.open_output_stream(own) as f:
-            f.write(np.ascontiguousarray(array).tobytes())
-        where.move(own, path)
-
-    def load(self, name: str, dtype) -> np.ndarray:
-        """The array, mapped where the shared folder is a path; from other stores it is read into memory."""
-        where, path = self._place(name)
-        if isinstance(where, pafs.LocalFileSystem):
-            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-        with where.open_input_file(path) as f:
-            return np.frombuffer(f.read(), dtype)
-
-
 STATS = "level int, part int, n1 long, n2 long, n3 long, n4 long, types long, tokens long, row_part int, contexts binary, shorter binary, lengths binary, words binary, counts binary"
 _NAMES = ["level", "part", "n1", "n2", "n3", "n4", "types", "tokens", "row_part", "contexts", "shorter", "lengths", "words", "counts"]
 

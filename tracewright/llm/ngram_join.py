@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = written(items_and_sets(docs, pick), f"{folder}/items")
     sets = written(known.filter("tokens is not null").groupBy("item").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), f"{folder}/sets")
     buckets = written(bucket_entries(sets, parts), f"{folder}/buckets")
-    labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), token_marks(sets), may_be_similar, f"{folder}/join")
+    labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), token_marks(sets), PREFIX_BITS // 64, may_be_similar, f"{folder}/join")
     rows = known.select("doc_id", "item", "n").join(labels.withColumnRenamed("node", "item"), "item", "left")
     rows = rows.withColumn("component", F.coalesce("component", "item"))
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
