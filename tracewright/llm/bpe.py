@@ -27,8 +27,8 @@ from tracewright.llm.common import documents, table
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters that str.split() cuts at though the file's pattern does not count them as white space.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
-#: Words and pieces whose ids a worker keeps; beyond it either memory starts afresh.
-CACHE_WORDS = 500_000
+#: Pieces, and words between blanks, whose ids a worker keeps; beyond it either memory starts afresh.
+CACHE_PIECES, CACHE_WORDS = 400_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -96,7 +96,7 @@ class Codec:
         symbols = [x for b in first if (x := self.inner[b]) is not None]
         if (x := self.final[last]) is not None:
             symbols.append(x)
-        if len(self.whole) >= CACHE_WORDS:
+        if len(self.whole) >= CACHE_PIECES:
             self.whole.clear()
         ids = self.merge(symbols) if len(symbols) > 1 else symbols
         self.whole[piece] = done = array("I", ids).tobytes()

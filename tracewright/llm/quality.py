@@ -28,6 +28,8 @@ THRESHOLD = 0.3
 #: The score of a text without lines.
 EMPTY = 0.0
 STEPS, RIDGE = 250, 1e-3
+#: Bytes of text whose lines are described together.
+BATCH = 2 << 20
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _OTHER, _HIGH = range(7)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -196,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
         sample = part if sample is None else sample.union(part)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=BATCH):
             found = lines_of(batch.column(1))
             parts = [found.features[a : min(b, a + TRAIN_LINES)] for a, b in zip(found.rows[:-1], found.rows[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "y", "features"])
@@ -216,7 +218,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None) -> Da
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=BATCH):
             found = scores(lines_of(batch.column(1)), model.value) if model.value else np.full(batch.num_rows, EMPTY)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -230,7 +232,7 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "quality_text_"):
+        for batch in small_batches(batches, "quality_text_", BATCH):
             found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
             yield batch.select(names).filter(pa.array(found >= threshold))
 
@@ -243,7 +245,7 @@ def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, trans, mean, scale = model.value
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=BATCH):
             found = lines_of(batch.column(1))
             p, _ = chain(((found.features - mean) / scale) @ w, found.rows, trans)
             good = pa.ListArray.from_arrays(pa.array(found.rows.astype(np.int32)), pa.array(p[:, 1]))
