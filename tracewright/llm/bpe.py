@@ -126,6 +126,11 @@ class Codec:
             out.append(b"".join(map(cache.__getitem__, words)))
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Give back the memory of words and pieces: a worker lives on after its task."""
+        self.cache.clear()
+        self.whole.clear()
+
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of the ids, special tokens included."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -151,6 +156,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(start, 256)
                 ids = [c.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        c.forget()
 
     return documents(docs).mapInArrow(rows, "doc_id long, ids binary, decoded string")
 
@@ -169,6 +175,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 a.append(sha(ids).hexdigest())
                 b.append(sha(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return documents(docs).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

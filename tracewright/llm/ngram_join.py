@@ -31,8 +31,10 @@ WORDS = 5
 PICK_BITS, PREFIX_BITS = 1 << 24, 1024
 #: Cells of the frequency sketch (8 MB).
 SKETCH_CELLS = 1 << 21
+#: Bytes of text whose sets are made together.
+BATCH = 2 << 20
 #: Items that a task remembers so as not to send a copy's prefix twice.
-REMEMBER = 200_000
+REMEMBER = 100_000
 _OTHER_ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
@@ -82,7 +84,7 @@ def prefix_entries(docs: DataFrame, parts: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=BATCH):
             items, sizes, tokens = [], [], []
             for s in text_sets(batch.column(1)):
                 if not len(s) or (item := item_of(s)) in seen:
@@ -200,7 +202,7 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, limit=BATCH):
             sets = text_sets(batch.column(1))
             items = np.array([item_of(s) if len(s) else 0 for s in sets], np.int64)
             wanted = passes(pick.value, items) if len(items) else []
