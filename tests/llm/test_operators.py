@@ -207,6 +207,47 @@ def test_documents_without_repeats(docs, corpus, no_docs):
     assert line_dedup.without_repeats(no_docs).count() == 0
 
 
+def test_lines_with_a_changed_word(spark, tmp_path):
+    """Near copies with word-level edits meet within a tenth of their length; those beyond it do not."""
+    import random
+
+    rng = random.Random(5)
+    words_ = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 11))) for _ in range(400)]
+    lines = []
+    for size in (3, 5, 8, 12, 20, 30, 50, 80):
+        for _ in range(5):
+            line = [rng.choice(words_) for _ in range(size)]
+            for changed in range(5):
+                near = list(line)
+                for _ in range(changed):
+                    at = rng.randrange(len(near))
+                    near[at : at + rng.randint(0, 1)] = [rng.choice(words_)] * rng.randint(0, 1)
+                lines.append(" ".join(near))
+    rows = [(i, x) for i, x in enumerate(lines)]
+    top = {x: x for x in lines}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    far = 0
+    long = [x for x in top if len(x) >= 20]
+    for i, a in enumerate(long):
+        for b in long[i + 1 :]:
+            most = min(max(min(len(a), len(b)) // 10, 2), 15)
+            if abs(len(a) - len(b)) <= most and plain_distance(a, b) <= most:
+                far += plain_distance(a, b) > 2
+                top[find(a)] = find(b)
+    assert far > 40
+    firsts = {}
+    for i, x in rows:
+        firsts.setdefault(find(x), i)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: firsts[find(x)] for i, x in rows if x.strip()}
+
+
 # 4. quality
 
 

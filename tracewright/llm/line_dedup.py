@@ -1,10 +1,15 @@
 """Near-duplicate lines within an edit distance, and documents without their repeats.
 
 Lines are cut at line feeds. Lines of equal text are one item. Two lines of at least LEAST_CHARS characters (code points)
-are alike at an edit distance of EDITS or less, so that of EDITS + 1 equal segments of the shorter one at least one
-stands in the other, near its place. A line is entered under the segments of its own length and probes, for each length
-down to EDITS less, the substrings that may match a segment there (those that leave edits enough on both sides). Where a
-probe meets another line's segment, both meet in a bucket; pairs are verified with a banded bit-parallel edit distance.
+are alike within the edits that the shorter one's length allows: a tenth of it, EDITS at least and ``edits`` at most
+(MOST_EDITS in the query; with the default, EDITS, the same for all lines).
+
+A line has h chunks of equal size from its start and h from its end, where 2 * h is more than its edits. Of two alike
+lines, one end of the shorter holds fewer than h edits; there some chunk j, counted from that end, is whole and has just j
+edits outside of it, so the other line has it at most j places away. h and the chunk size follow from length classes. A
+line is entered under its own chunks, and probes, for its class and those of lengths within reach below it, the places
+where a chunk may be: h * h an end and class. Where a probe meets another line's chunk, both meet in a bucket; pairs are
+verified with a banded bit-parallel edit distance.
 
 Classes are connected components of alike lines. The first line of a class by doc_id (null first), line number, text
 hash stays; later ones are repeats. Blank lines are never repeats; shorter lines repeat only if equal. Null and empty
@@ -23,19 +28,27 @@ from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by, unblob
 from tracewright.llm.common import shared_folder, small_batches, table, written
 
-EDITS, LEAST_CHARS = 2, 20
+#: Edits between alike lines: a tenth of the shorter one within these bounds. Keys grow with the square of the upper one.
+EDITS, MOST_EDITS, LEAST_CHARS = 2, 15, 20
 PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 2048, 4
 #: Lines that a task remembers so as not to enter a repeat twice.
 REMEMBER = 200_000
+#: Bytes of a key that are dealt; the part it is dealt to tells more.
+KEY_BYTES = 5
 _CODE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def segments(length, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of the k even segments of lines of the given lengths, shorter ones first."""
-    length = np.asarray(length)
-    small = length // k
-    longer = length - small * k
-    return [(i * small + np.maximum(i - (k - longer), 0), small + (i >= k - longer)) for i in range(k)]
+def allowed(length, most: int = MOST_EDITS) -> np.ndarray:
+    """Edits within which a line of the given length is alike to one of its length or longer."""
+    return np.clip(np.asarray(length) // 10, min(EDITS, most), most)
+
+
+def chunks(length, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks at each end, and their size, of lines of the given lengths. Sizes above 8 go in steps of a third to a half."""
+    h = allowed(length, most) // 2 + 1
+    size = np.asarray(length) // (2 * h)
+    step = 1 << np.maximum(np.frexp(size)[1] - 2, 0)
+    return h, np.where(size > 8, size // step * step, size)
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -128,30 +141,48 @@ class Cut:
         return self.text[self.start[i] : self.end[i]]
 
 
-def probes(cut: Cut, lines: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the lines' substrings that may match a segment of some length; the lowest bit marks a line's own segments.
-    Second, the line of each key."""
-    start, size = cut.start[lines], cut.size[lines]
-    keys, owners = [], []
-    k = edits + 1
-    for less in range(edits + 1):
-        length = size - less
-        for i, (at, width) in enumerate(segments(length, k)):
-            for shift in range(-edits, edits + 1 + less):
-                # edits left of the segment and right of it: the shift there, and the rest of the length difference
-                if abs(shift) > i or abs(less - shift) > k - 1 - i:
-                    continue
-                place = at + shift
-                fits = np.flatnonzero((place >= 0) & (place + width <= size) & (width > 0))
-                h = cut.hashes(start[fits] + place[fits], width[fits])
-                with np.errstate(over="ignore"):
-                    h = tv.mix(h + tv.mix(length[fits].astype(np.uint64) * np.uint64(64) + np.uint64(i)))
-                own = np.uint64(less == 0 and shift == 0)
-                keys.append(h & ~np.uint64(1) | own)
-                owners.append(lines[fits])
+def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the places where the lines may hold a chunk of an alike line of their length or shorter; the lowest bit marks
+    a line's own chunks. Second, the line of each key."""
+    length, found, before = cut.size[lines], [], np.full(len(lines), -1)
+    for less in range(most + 1):
+        h, width = chunks(length - less, most)
+        kind = h * (1 << 32) + width
+        # classes are runs of lengths: each is probed once, at the first length of it
+        new = np.flatnonzero((allowed(length - less, most) >= less) & (width > 0) & (kind != before))
+        before[new] = kind[new]
+        found.append((new, h[new], width[new], kind[new], np.full(len(new), less == 0)))
+    line, h, width, kind, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    start, size = cut.start[lines][line], length[line]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, lines.dtype)]
+    for n in np.unique(h).tolist():
+        some = np.flatnonzero(h == n)
+        for side in range(2):
+            for j in range(n):
+                for shift in range(-j, j + 1):
+                    place = (size[some] - (j + 1) * width[some] if side else j * width[some]) + shift
+                    fits = (place >= 0) & (place + width[some] <= size[some])
+                    i = some[fits]
+                    k = cut.hashes(start[i] + place[fits], width[i])
+                    with np.errstate(over="ignore"):
+                        k = tv.mix(k + tv.mix(kind[i].astype(np.uint64) * np.uint64(4096) + np.uint64(side * 2048 + j)))
+                    keys.append(k & ~np.uint64(1) | (first[i] & (shift == 0)).astype(np.uint64))
+                    owners.append(lines[line[i]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """The low KEY_BYTES of each key; keys that meet by chance are told apart when their lines are compared."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    low = unblob(column, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :KEY_BYTES] = low
+    return out.view("<u8").ravel()
+
+
 def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """Keys of each line long enough, dealt by key."""
 
@@ -170,7 +201,7 @@ def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int =
                 continue
             keys, owner = probes(cut, once, edits)
             for part, i in split_by((tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob(keys[i])], pa.binary()), pa.array([blob(cut.item[owner[i]])], pa.binary())], ["part", "keys", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(keys[i])], pa.binary()), pa.array([blob(cut.item[owner[i]])], pa.binary())], ["part", "keys", "items"])
 
     return docs.mapInArrow(rows, "part int, keys binary, items binary")
 
@@ -179,7 +210,7 @@ def met_entries(entries: DataFrame, parts: int) -> DataFrame:
     """Entries of keys under which some line's own segment and another line meet."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(unblob(b.column(1), np.uint64), unblob(b.column(2), np.int64)) for b in batches if b.num_rows]
+        held = [(unpacked(b.column(1)), unblob(b.column(2), np.int64)) for b in batches if b.num_rows]
         if not held:
             return
         keys, items = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -250,11 +281,13 @@ def gram_marks(texts: DataFrame) -> DataFrame:
 
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Those of pairs (a, b) whose lines are within the edit distance."""
+    """Those of pairs (a, b) whose lines are within the edits allowed, ``edits`` at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [distance(a, b, edits) <= edits for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            lines = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            limits = allowed([min(len(a), len(b)) for a, b in lines], edits).tolist()
+            keep = [distance(a, b, most) <= most for (a, b), most in zip(lines, limits, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(texts.select(F.col("item").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("line").alias("line_b")), "b")
@@ -278,7 +311,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     pick = bitmap(met, "items", PICK_BITS)
     known = written(lines_and_texts(docs, pick, least), f"{folder}/lines")
     texts = written(known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line")), f"{folder}/texts")
-    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), gram_marks(texts), MARK_BITS // 64, lambda a, b, off: (np.abs(a - b) <= edits) & (off <= 2 * MARK_CHARS * edits), f"{folder}/join")
+
+    def may(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+        most = allowed(np.minimum(a, b), edits)
+        return (np.abs(a - b) <= most) & (off <= 2 * MARK_CHARS * most)
+
+    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), gram_marks(texts), MARK_BITS // 64, may, f"{folder}/join")
     rows = known.select("doc_id", "mark", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
     rows = written(rows.select("doc_id", "mark", "line_no", "class"), f"{folder}/classed")
@@ -314,5 +352,5 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHAR
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_classes(table(spark, sf_dir, "documents"))
+    found = line_classes(table(spark, sf_dir, "documents"), MOST_EDITS)
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "class_doc_id", F.col("class_line_no").cast("long").alias("class_line_no"), "class_lines", "keep")
