@@ -173,3 +173,38 @@ def test_job_states(spark):
     log = [(1, 1, "enqueue", "quick"), (1, 2, "enqueue", "deep"), (1, 3, "claim", None), (1, 4, "enqueue", "maximum"), (1, 5, "finish", None), (1, 6, "finish", None), (1, 7, "enqueue", "quick"), (2, 1, "claim", None), (2, 2, "enqueue", "quick"), (2, 3, "fail", None), (2, 4, "claim", None), (2, 5, "fail", None)]
     got = state.job_states(spark.createDataFrame(log, "project_id long, seq long, action string, profile string")).collect()
     assert {tuple(r) for r in got} == {(1, 1, "completed", "deep", 3), (1, 7, "queued", "quick", 1), (2, 2, "failed", "quick", 1)}
+
+
+def test_distances_to_the_fix_point(spark, sf_dir):
+    """Every node in reach has its distance, the far ones too."""
+    import heapq
+
+    from tracewright.plans import base, registry
+
+    weight = {"high": 1, "medium": 2}
+    near = {}
+    for r in base.edges(spark, sf_dir).collect():
+        near.setdefault(r.source, []).append((r.target, weight.get(r.confidence, 5)))
+        near.setdefault(r.target, []).append((r.source, weight.get(r.confidence, 5)))
+    want, heap = {}, [(0, 42)]
+    while heap:
+        d, node = heapq.heappop(heap)
+        if node not in want:
+            want[node] = d
+            for other, w in near.get(node, ()):
+                heapq.heappush(heap, (d + w, other))
+    assert {r.node: r.distance for r in registry.QUERIES["g12_shortest_paths_all"](spark, sf_dir).collect()} == want
+    chain = spark.createDataFrame([(i, i + 1, "low") for i in range(5)], "source long, target long, confidence string")
+    assert {r.node: r.distance for r in graph.distances(chain, 0).collect()} == {i: 5 * i for i in range(6)}
+
+
+def test_impact_of_all_changed_paths(spark, sf_dir):
+    from tracewright.plans import base, registry
+
+    s = base.symbols(spark, sf_dir).collect()
+    paths_ = {r.path for r in s if r.size == 7}
+    own = {r.id for r in s if r.path in paths_}
+    before = {r.source for r in base.edges(spark, sf_dir).collect() if r.confidence in ("high", "medium") and r.target in own}
+    got = registry.QUERIES["e27_e29_path_impact_all"](spark, sf_dir).collect()
+    assert sorted((r.id, r.touch) for r in got) == sorted([(i, "changed") for i in own] + [(i, "dependent") for i in before - own])
+    assert any(r.id >= 100 and r.size == 7 for r in s if r.id in own)

@@ -93,6 +93,13 @@ def shortest(spark, sf_dir):
     return graph.distances(edges(spark, sf_dir), _ROOT, 12)
 
 
+@query("g12_shortest_paths_all")
+def shortest_all(spark, sf_dir):
+    """Distances of all nodes that can be reached, to the fix point; without SQL (a recursion without a bound goes round
+    cycles for ever), tested by brute force."""
+    return graph.distances(edges(spark, sf_dir), _ROOT)
+
+
 @query("g13_both_ends", f"WITH {EDGES_SQL} SELECT edge_id, CASE WHEN source = {_ROOT} THEN target ELSE source END AS other FROM edges WHERE source = {_ROOT} OR target = {_ROOT}")
 def both_ends(spark, sf_dir):
     other = F.when(F.col("source") == _ROOT, F.col("target")).otherwise(F.col("source"))

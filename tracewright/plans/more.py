@@ -156,6 +156,14 @@ def path_impact(spark, sf_dir):
     return product.impact(edges(spark, sf_dir), s, s.filter("size = 7 and id < 100").select("path"))
 
 
+@query("e27_e29_path_impact_all", f"""WITH {EDGES_SQL}, {SYMBOLS_SQL}, own AS (SELECT id FROM symbols WHERE path IN (SELECT path FROM symbols WHERE size = 7)), b AS (SELECT DISTINCT source AS id FROM edges WHERE confidence IN ('high', 'medium') AND target IN (SELECT id FROM own))
+ SELECT id, 'changed' AS touch FROM own UNION ALL SELECT id, 'dependent' FROM b WHERE id NOT IN (SELECT id FROM own)""")
+def path_impact_all(spark, sf_dir):
+    """Changed are the paths of all rows of size 7, so that they grow with the table."""
+    s = symbols(spark, sf_dir)
+    return product.impact(edges(spark, sf_dir), s, s.filter("size = 7").select("path"))
+
+
 @query("e31_overview", "SELECT (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM events WHERE event_type = 'error') AS findings, (SELECT max(event_id) FROM events) AS latest_run, (SELECT count(DISTINCT source) FROM documents) AS systems")
 def overview(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
