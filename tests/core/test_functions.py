@@ -208,3 +208,24 @@ def test_impact_of_all_changed_paths(spark, sf_dir):
     got = registry.QUERIES["e27_e29_path_impact_all"](spark, sf_dir).collect()
     assert sorted((r.id, r.touch) for r in got) == sorted([(i, "changed") for i in own] + [(i, "dependent") for i in before - own])
     assert any(r.id >= 100 and r.size == 7 for r in s if r.id in own)
+
+
+def test_duplicate_members(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None), (6, "c")], "doc_id long, digest string")
+    assert sorted(map(tuple, findings.duplicate_members(files).collect()), key=lambda r: r[3]) == [("a", 2, 1, 1), ("a", 2, 1, 3), (None, 2, 4, 4), (None, 2, 4, 5)]
+
+
+def test_revision_by_bucket(spark):
+    import hashlib
+
+    from tracewright.plans import registry
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(f"p{i}", sha(str(i))) for i in range(300)]
+    buckets = {}
+    for path, digest in rows:
+        buckets.setdefault(sha(path)[:3], []).append(f"{path}:{digest}")
+    want = sha("|".join(sha("|".join(sorted(buckets[b]))) for b in sorted(buckets)))
+    files = spark.createDataFrame(rows, "path string, hash string")
+    assert trees.revision(files).first().revision == want == trees.revision(files.repartition(7)).first().revision
+    assert "s8_corpus_revision_by_bucket" in registry.QUERIES

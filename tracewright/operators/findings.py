@@ -12,8 +12,16 @@ def occurrences(text: Column, needle: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
 
 
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """Members of groups of equal digests: (doc_id, digest) to digest, copies, first_doc, doc_id. No row holds a group."""
+    groups = files.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
+    groups = groups.withColumnRenamed("digest", "group_digest")
+    return files.join(groups, F.col("digest").eqNullSafe(F.col("group_digest"))).select("digest", "copies", "first_doc", "doc_id")
+
+
 def duplicate_content(files: DataFrame) -> DataFrame:
-    """Groups of equal digests: (doc_id, digest) to digest, copies, first_doc, docs."""
+    """Groups of equal digests: (doc_id, digest) to digest, copies, first_doc, docs. A group is one row with all its ids;
+    duplicate_members has a row for each instead."""
     groups = files.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.array_sort(F.collect_list("doc_id")).alias("ids")).filter("copies > 1")
     return groups.select("digest", "copies", "first_doc", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("docs"))
 

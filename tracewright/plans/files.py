@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, Window as W
 from tracewright.functions import labels, paths, text
 from tracewright.operators import findings
 from tracewright.plans.base import FILES_SQL, case_rules, files, query, table
+from tracewright.sources import trees
 
 _LANG = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in paths.LANGUAGES.items()) + " WHEN ext = '' THEN 'Configuration' ELSE upper(ext) END"
 _LOW = "lower(path)"
@@ -67,11 +68,19 @@ def digests(spark, sf_dir):
 
 @query("s8_corpus_revision", "SELECT count(*) AS files, sha256(string_agg(page_id::VARCHAR || ':' || sha256(html), '|' ORDER BY page_id::VARCHAR || ':' || sha256(html))) AS revision FROM pages")
 def revision(spark, sf_dir):
-    """A digest of a tree's file digests: sorted by bucket first, so that only bucket digests meet in one row."""
+    """A digest of all file digests in one row, as its SQL has it; for large trees there is s8_corpus_revision_by_bucket."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(":"), F.sha2("html", 256)).alias("d"))
     return pages.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "|"), 256).alias("revision"))
 
 
+@query("s8_corpus_revision_by_bucket", """WITH p AS (SELECT page_id::VARCHAR AS path, sha256(html) AS hash FROM pages),
+ b AS (SELECT substr(sha256(path), 1, 3) AS b, sha256(string_agg(concat_ws(':', path, hash), '|' ORDER BY concat_ws(':', path, hash))) AS d FROM p GROUP BY 1) SELECT (SELECT count(*) FROM p) AS files, sha256(coalesce(string_agg(d, '|' ORDER BY b), '')) AS revision FROM b""")
+def revision_by_bucket(spark, sf_dir):
+    """A digest of a tree's file digests: sorted by bucket first, so that only bucket digests meet in one row."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("hash"))
+    return pages.agg(F.count(F.lit(1)).alias("files")).crossJoin(trees.revision(pages))
+
+
 @query("s9_excerpts", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
  SELECT doc_id, min(n) AS first_line, max(n) AS last_line, string_agg(line, chr(10) ORDER BY n) AS excerpt FROM l WHERE n BETWEEN 2 AND 8 GROUP BY doc_id""")
 def excerpts(spark, sf_dir):
@@ -86,6 +95,13 @@ def duplicates(spark, sf_dir):
     return findings.duplicate_content(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest")))
 
 
+@query("a6_duplicate_members", """WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents), g AS (SELECT digest, count(*) AS copies, min(doc_id) AS first_doc FROM d GROUP BY 1 HAVING count(*) > 1)
+ SELECT g.digest, g.copies, g.first_doc, d.doc_id FROM d JOIN g ON d.digest IS NOT DISTINCT FROM g.digest""")
+def duplicate_members(spark, sf_dir):
+    """The groups of a6_duplicate_content with a row for each member."""
+    return findings.duplicate_members(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest")))
+
+
 @query("a7_size_findings", """SELECT source, count(*) FILTER (length(text) - length(replace(text, chr(10), '')) + 1 > 20) AS large_files,
  sum(length(text) - length(replace(text, 'the', ''))) // 3 AS mentions, count(*) FILTER ((length(text) - length(replace(text, '+1 (', ''))) // 4 >= 1) AS noted FROM documents GROUP BY source""")
 def size_findings(spark, sf_dir):

@@ -76,7 +76,7 @@ def commits(rows: DataFrame, line: str = "line") -> DataFrame:
 def revision(files: DataFrame) -> DataFrame:
     """One digest of all (path, hash): digests by bucket first, so that the last task sees 4,096 values at most."""
     item = F.concat_ws(":", "path", "hash")
-    by = files.groupBy(F.pmod(F.xxhash64("path"), F.lit(4096)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("d"))
+    by = files.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("d"))
     return by.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x.d), "|"), 256).alias("revision"))
 
 
