@@ -501,6 +501,15 @@ def test_one_of_each(docs, corpus):
     assert None in ids and all(i in ids for i, c in by.items() if i is not None and c == i and i not in (3, 5))
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated rows, null ids and ids with two texts: each group keeps one row, rows outside of groups stay."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, one), (1, one), (2, one), (None, one), (2, two), (None, three), (None, three), (None, ""), (None, None), (7, "")]
+    for n in (1, 4):
+        kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (2, two), (None, three), (None, ""), (None, None), (7, "")], key=str)
+
+
 def test_components(spark, tmp_path):
     import random
 

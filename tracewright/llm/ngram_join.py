@@ -197,7 +197,7 @@ def bucket_entries(sets: DataFrame, parts: int) -> DataFrame:
 
 
 def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
-    """doc_id, item (null for an empty set), size n; with the set and prefix bitmaps where the item may be a candidate."""
+    """doc_id, mark, item (null for an empty set), size n; with the set and prefix bitmaps where the item may be a candidate."""
     pick = docs.sparkSession.sparkContext.broadcast(pick)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +217,10 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
                 bits.append(blob(prefix_bits(s)) if send else None)
             empty = np.array([not len(s) for s in sets], bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(items, pa.int64(), mask=empty), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "item", "n", "tokens", "bits"]
+                [batch.column(0), batch.column(2), pa.array(items, pa.int64(), mask=empty), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "mark", "item", "n", "tokens", "bits"]
             )
 
-    return docs.mapInArrow(rows, "doc_id long, item long, n long, tokens binary, bits binary")
+    return docs.mapInArrow(rows, "doc_id long, mark long, item long, n long, tokens binary, bits binary")
 
 
 def token_marks(sets: DataFrame) -> DataFrame:
@@ -262,13 +262,10 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(rows, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) for each row of ``documents``.
-
-    A null doc_id gives a null component unless a linked document has an id.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), n and component (null for an empty set) for each row of ``documents``."""
     spark = docs.sparkSession
-    docs = documents(docs)
+    docs = documents(docs).withColumn("mark", F.xxhash64("text"))
     folder = shared_folder(spark, "ngram-join")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = written(candidates(shared_tokens(prefix_entries(docs, parts), parts)), f"{folder}/candidates")
@@ -277,17 +274,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(known.filter("tokens is not null").groupBy("item").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), f"{folder}/sets")
     buckets = written(bucket_entries(sets, parts), f"{folder}/buckets")
     labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), token_marks(sets), PREFIX_BITS // 64, may_be_similar, f"{folder}/join")
-    rows = known.select("doc_id", "item", "n").join(labels.withColumnRenamed("node", "item"), "item", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "item"))
+    rows = known.select("doc_id", "mark", "item", "n").join(labels.withColumnRenamed("node", "item"), "item", "left")
+    return rows.select("doc_id", "mark", "n", F.coalesce("component", "item").alias("component"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) for each row of ``documents``.
+
+    A null doc_id gives a null component unless a linked document has an id.
+    """
+    rows = grouped(docs)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those whose group has a smaller id; rows without an id stay."""
-    gone = near_duplicates(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(gone, shared_folder(docs.sparkSession, "ngram-gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The documents with just one row of each group: the first by doc_id (null last), then text hash, then all columns.
+    Rows without words are in no group and stay."""
+    folder = shared_folder(docs.sparkSession, "ngram-gone")
+    rows = written(grouped(docs).filter("component is not null"), f"{folder}/rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = rows.groupBy("component").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    known = rows.join(first, "component").select("doc_id", "mark", rank.eqNullSafe(F.col("first")).alias("stays"))
+    known = written(known.groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("m")), f"{folder}/known")
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def met(some: DataFrame, how: str) -> DataFrame:
+        some = some.select("gone_id", "gone_mark")
+        on = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("gone_own") == F.col("gone_mark"))
+        return docs.withColumn("gone_own", mark).join(some, on, how)
+
+    # of rows equal in id and text all go, or one stays
+    repeats = known.filter("stays and m > 1")
+    out = met(known.filter("not stays or m > 1"), "left_anti").select(*docs.columns)
+    if repeats.isEmpty():
+        return out
+    once = met(repeats, "left_semi").groupBy(F.col("doc_id").alias("gone_id"), "gone_own").agg(F.min(F.struct(*docs.columns)).alias("gone_row"))
+    return out.unionByName(once.select("gone_row.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
