@@ -154,7 +154,8 @@ def test_banded_distance():
         assert line_dedup.distance(a, b, most) == min(plain_distance(a, b), most + 1)
 
 
-def plain_classes(corpus, edits, least):
+def plain_classes(corpus, edits):
+    """Lines by class; two lines are alike within a tenth of the shorter one's length, ``edits`` at most."""
     docs = {(r[0], r[1] or "") for r in corpus}
     places = defaultdict(list)
     for i, t in docs:
@@ -168,10 +169,11 @@ def plain_classes(corpus, edits, least):
             x = top[x]
         return x
 
-    long = [x for x in places if len(x) >= least]
-    for i, a in enumerate(long):
-        for b in long[i + 1 :]:
-            if abs(len(a) - len(b)) <= edits and line_dedup.distance(a, b, edits) <= edits:
+    lines = list(places)
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            most = min(min(len(a), len(b)) // 10, edits)
+            if abs(len(a) - len(b)) <= most and line_dedup.distance(a, b, most) <= most:
                 top[find(a)] = find(b)
     classes = defaultdict(list)
     for line, where in places.items():
@@ -180,13 +182,13 @@ def plain_classes(corpus, edits, least):
 
 
 def test_line_classes(docs, corpus, no_docs):
-    near = [(1000, "a line with some words in it, long enough\nother", "en", "s", 1), (1001, "a line with some w0rds in it, long enough\nx", "en", "s", 1), (1002, "a line with sme w0rds in it, long enogh", "en", "s", 1)]
+    near = [(1000, "a line with some words in it, long enough\nother", "en", "s", 1), (1001, "a line with some w0rds in it, long enough\nx", "en", "s", 1), (1002, "a line with sme w0rds in it, long enogh", "en", "s", 1), (1003, "short line\nshort lane\nshrt line\nnine char\nnine chars", "en", "s", 1)]
     spark = docs.sparkSession
     more = docs.select("doc_id", "text", "lang", "source", "n_chars", "item", "part", "class", "mark").union(spark.createDataFrame([(*r, "p", "q", "r", "s") for r in near], "doc_id long, text string, lang string, source string, n_chars long, i string, p string, c string, m string"))
     got = {}
     for r in line_dedup.line_classes(more).collect():
         got.setdefault((r.doc_id, r.line_no, r.mark), set()).add((r.class_doc_id, r.class_line_no, r.keep))
-    classes = plain_classes([*corpus, *near], 2, 20)
+    classes = plain_classes([*corpus, *near], 2)
     kept = Counter()
     for members in classes.values():
         first = min(members, key=lambda m: (m[0] is not None, m[0] or 0, m[1]))

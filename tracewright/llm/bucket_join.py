@@ -2,9 +2,10 @@
 
 Two items may be similar only if some bucket holds both. A first round tests each member against its bucket's pivot (the
 member of the highest score, as its caller rates how central items are), best-supported pairs first, and the pivot leaves.
-Buckets whose members are then not all in one component stay open. Their members are compared by small bitmaps, in blocks
-of bounded size dealt over the tasks, and only pairs in different components that the bitmaps cannot rule out are emitted
-and tested. The bitmaps' bound is exact, so no link between components is lost; a family of m items costs about m tests.
+Buckets whose members are then not all in one component stay open. Their members meet in blocks of bounded size dealt over
+the tasks. There, pairs in different components that small bitmaps cannot rule out (their bound is exact) are tested on
+contents from mapped files, and links that join two components go out: no link between components is lost, and no task
+gives more links than it has members.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm.common import written
@@ -22,6 +24,8 @@ from tracewright.llm.textvec import mix
 
 #: Members of an open bucket that are compared in one block.
 BLOCK = 1024
+#: Pairs tested together, and tested pairs that a task remembers.
+CHUNK, REMEMBER = 4096, 200_000
 #: Pieces in which arrays of fixed size are combined.
 CUTS = 32
 
@@ -65,8 +69,8 @@ def sorted_entries(keys: np.ndarray, items: np.ndarray, scores: np.ndarray) -> t
     return keys, items, np.concatenate((np.flatnonzero(first), [len(keys)]))
 
 
-class Marks:
-    """Sizes and bitmaps of items in mapped files, dealt by item: what tells most pairs apart without their contents."""
+class Contents:
+    """Items' sizes, bitmaps and contents in mapped files, dealt by item: bitmaps tell most pairs apart, contents the rest."""
 
     def __init__(self, folder: str, parts: int, width: int):
         self.folder, self.parts, self.width, self.files = folder, parts, width, {}
@@ -74,54 +78,90 @@ class Marks:
     def __getstate__(self):
         return {**self.__dict__, "files": {}}
 
-    def write(self, marks: DataFrame) -> None:
-        """Store rows (item, n, bits)."""
+    def write(self, contents: DataFrame) -> None:
+        """Store rows (item, n, bits, content)."""
         store, parts = Store(self.folder), self.parts
 
+        def save(part: int, t: pa.Table) -> None:
+            items = t.column("item").to_numpy()
+            order = np.argsort(items, kind="stable")
+            t = t.take(pa.array(order))
+            store.save(f"{part}.items", items[order])
+            store.save(f"{part}.n", t.column("n").to_numpy())
+            store.save(f"{part}.bits", unblob(t.column("bits"), np.uint64))
+            store.save(f"{part}.at", np.concatenate(([0], np.cumsum(pc.binary_length(t.column("content")).to_numpy(), dtype=np.int64))))
+            store.save(f"{part}.data", unblob(t.column("content"), np.uint8))
+
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            for b in batches:
-                for part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    held.setdefault(part, []).append(row)
-            for part, own in held.items():
-                own.sort()
-                store.save(f"{part}.items", np.array([r[0] for r in own], np.int64))
-                store.save(f"{part}.n", np.array([r[1] for r in own], np.int64))
-                store.save(f"{part}.bits", np.frombuffer(b"".join(r[2] for r in own), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([len(own)])], ["n"])
-
-        marks.select(F.pmod("item", F.lit(parts)).cast("int").alias("part"), "item", "n", "bits").repartition("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
+            # rows come sorted by part: one part is held at a time
+            held, now, done = [], None, 0
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                for part in np.unique(at).tolist():
+                    if held and part != now:
+                        save(now, pa.Table.from_batches(held))
+                        held = []
+                    now = part
+                    held.append(batch.filter(pa.array(at == part)))
+                done += batch.num_rows
+            if held:
+                save(now, pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array([done])], ["n"])
+
+        dealt = contents.select(F.pmod("item", F.lit(parts)).cast("int").alias("part"), "item", "n", "bits", "content")
+        dealt.repartition("part").sortWithinPartitions("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
+
+    def _part(self, part: int):
+        if part not in self.files:
+            store, kinds = Store(self.folder), {"items": np.int64, "n": np.int64, "bits": np.uint64, "at": np.int64, "data": np.uint8}
+            try:
+                self.files[part] = {k: store.load(f"{part}.{k}", kind) for k, kind in kinds.items()}
+            except FileNotFoundError:
+                self.files[part] = None
+        return self.files[part]
 
     def of(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """known (bool), n and bits of items."""
         known, n, bits = np.zeros(len(items), bool), np.zeros(len(items), np.int64), np.zeros((len(items), self.width), np.uint64)
-        for part, i in split_by(items % self.parts, self.parts):
-            if part not in self.files:
-                try:
-                    store = Store(self.folder)
-                    self.files[part] = store.load(f"{part}.items", np.int64), store.load(f"{part}.n", np.int64), store.load(f"{part}.bits", np.uint64).reshape(-1, self.width)
-                except FileNotFoundError:
-                    self.files[part] = None
-            if self.files[part] is None or not len(self.files[part][0]):
-                continue
-            keys, size, maps = self.files[part]
-            at = np.minimum(np.searchsorted(keys, items[i]), len(keys) - 1)
-            hit = keys[at] == items[i]
-            known[i[hit]], n[i[hit]], bits[i[hit]] = True, size[at[hit]], maps[at[hit]]
+        for part, i, at in self._found(items):
+            known[i], n[i], bits[i] = True, self.files[part]["n"][at], self.files[part]["bits"].reshape(-1, self.width)[at]
         return known, n, bits
 
+    def content(self, items: np.ndarray) -> list[np.ndarray | None]:
+        """The bytes of each item's content."""
+        out: list[np.ndarray | None] = [None] * len(items)
+        for part, i, at in self._found(items):
+            cut, data = self.files[part]["at"], self.files[part]["data"]
+            for k, a, b in zip(i.tolist(), cut[at].tolist(), cut[at + 1].tolist(), strict=True):
+                out[k] = np.asarray(data[a:b])
+        return out
+
+    def _found(self, items: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for part, i in split_by(items % self.parts, self.parts):
+            files = self._part(part)
+            if files and len(keys := files["items"]):
+                at = np.minimum(np.searchsorted(keys, items[i]), len(keys) - 1)
+                hit = keys[at] == items[i]
+                yield part, i[hit], at[hit]
+
     def near(self, a: np.ndarray, b: np.ndarray, may: Callable) -> np.ndarray:
-        """Whether pairs may be similar; those without marks may."""
+        """Whether pairs may be similar."""
         items, back = np.unique(np.concatenate([a, b]), return_inverse=True)
         known, n, bits = self.of(items)
-        out = np.ones(len(a), bool)
-        for k in range(0, len(a), 65536):
-            i, j = back[: len(a)][k : k + 65536], back[len(a) :][k : k + 65536]
-            out[k : k + 65536] = ~(known[i] & known[j]) | may(n[i], n[j], np.bitwise_count(bits[i] ^ bits[j]).sum(1))
-        return out
+        return maybe(known, n, bits, back[: len(a)], back[len(a) :], may)
+
 
+def maybe(known: np.ndarray, n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, may: Callable) -> np.ndarray:
+    """Whether the pairs of places (i, j) may be similar by their sizes, then their bitmaps; unknown items may."""
+    out = ~(known[i] & known[j])
+    for k in range(0, len(i), 65536):
+        a, b = i[k : k + 65536], j[k : k + 65536]
+        s = np.flatnonzero(~out[k : k + 65536] & may(n[a], n[b], np.zeros(len(a), np.int64)))
+        out[k + s] = may(n[a[s]], n[b[s]], np.bitwise_count(bits[a[s]] ^ bits[b[s]]).sum(1, dtype=np.int64))
+    return out
 
-def stars(entries: DataFrame, marks: Marks, may: Callable) -> DataFrame:
+
+def stars(entries: DataFrame, store: Contents, may: Callable) -> DataFrame:
     """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
     (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
 
@@ -135,7 +175,7 @@ def stars(entries: DataFrame, marks: Marks, may: Callable) -> DataFrame:
         pair = items != pivot
         if pair.any():
             ab, support = np.unique(np.stack([pivot[pair], items[pair]]), axis=1, return_counts=True)
-            fit = marks.near(ab[0], ab[1], may)
+            fit = store.near(ab[0], ab[1], may)
             ab, support = ab[:, fit], support[fit]
             yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), pa.nulls(len(support), pa.int64()), pa.nulls(len(support), pa.int64())], ["a", "b", "support", "bucket", "item"])
         with np.errstate(over="ignore"):
@@ -154,25 +194,27 @@ def stars(entries: DataFrame, marks: Marks, may: Callable) -> DataFrame:
     return entries.repartition("part").mapInArrow(rows, "a long, b long, support long, bucket long, item long")
 
 
-def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFrame], item_marks: DataFrame, width: int, may: Callable, folder: str) -> DataFrame:
-    """(node, component) of items with a link. ``links_of`` keeps the similar ones of pairs (a, b). ``item_marks`` has item, n
-    and a bitmap of ``width`` 64-bit words for each item; may(n_a, n_b, differing bits) is true for all similar pairs."""
-    marks = Marks(f"{folder}/marks", int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), width)
-    marks.write(item_marks)
-    both = written(stars(entries, marks, may), f"{folder}/stars")
+def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Callable, similar: Callable, folder: str) -> DataFrame:
+    """(node, component) of items with a link. ``contents`` has item, n, a bitmap of ``width`` 64-bit words and content for
+    each item; may(n_a, n_b, differing bits) is true for all similar pairs; similar(contents, i, j) tests pairs of places in
+    a list of contents."""
+    spark = entries.sparkSession
+    store = Contents(f"{folder}/contents", int(spark.conf.get("spark.sql.shuffle.partitions")), width)
+    store.write(contents)
+    both = written(stars(entries, store, may), f"{folder}/stars")
     pairs = both.filter("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     pairs = written(pairs, f"{folder}/pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(links_of(best).select("a", "b"), f"{folder}/best-links")
+    links = written(tested(best, store, similar), f"{folder}/best-links")
     labels = written(connected(links, f"{folder}/best-cc"), f"{folder}/best-labels")
 
     def labelled(df: DataFrame, item: str, to: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(item), F.col("component").alias(to)), item, "left").withColumn(to, F.coalesce(to, item))
 
-    def test(candidates: DataFrame, name: str) -> None:
-        """Add the links among pairs of items from different components."""
+    def add(found: DataFrame, name: str) -> None:
+        """Merge the components that the links found join."""
         nonlocal labels
-        found = written(links_of(candidates).select("a", "b"), f"{folder}/{name}-links")
+        found = written(found, f"{folder}/{name}-links")
         up = labelled(labelled(found, "a", "ca"), "b", "cb").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         up = written(up, f"{folder}/{name}-up")
         if up.isEmpty():
@@ -182,63 +224,142 @@ def join_components(entries: DataFrame, links_of: Callable[[DataFrame], DataFram
         labels = written(seen.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component")), f"{folder}/{name}-labels")
 
     rest = labelled(labelled(pairs.select("a", "b"), "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
-    test(written(rest.join(best, ["a", "b"], "left_anti"), f"{folder}/rest"), "stars")
+    add(tested(rest.join(best, ["a", "b"], "left_anti"), store, similar), "stars")
     members = labelled(both.filter("bucket is not null").select("bucket", "item").distinct(), "item", "component")
     open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("bucket", "m")
     members = written(members.join(open_, "bucket"), f"{folder}/open")
-    test(written(possible_pairs(members, marks, may).distinct(), f"{folder}/possible"), "open")
+    add(joining_links(members, store, may, similar), "open")
     return labels
 
 
-def possible_pairs(members: DataFrame, marks: Marks, may: Callable) -> DataFrame:
-    """Pairs (a, b) of a bucket's members (bucket, m, item, component) in different components that bitmaps do not rule
-    out. A bucket is cut into blocks by item; every two blocks, and each block with itself, meet in one group."""
+def tested(pairs: DataFrame, store: Contents, similar: Callable) -> DataFrame:
+    """The similar ones of pairs (a, b), their contents read from the store."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(k, CHUNK)
+                items, back = np.unique(np.concatenate([c.to_numpy() for c in some.columns]), return_inverse=True)
+                keep = similar(store.content(items), back[: some.num_rows], back[some.num_rows :])
+                yield some.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b").mapInArrow(rows, "a long, b long")
+
+
+class Joined:
+    """Sets of components found to be one, by their smallest name; components never met stand for themselves."""
+
+    def __init__(self):
+        self.top: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.top.get(x, x)) != x:
+            self.top[x] = self.top.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.top[max(x, y)] = min(x, y)
+        return True
+
+
+def joining_links(members: DataFrame, store: Contents, may: Callable, similar: Callable) -> DataFrame:
+    """Links (a, b) among a bucket's members (bucket, m, item, component) that join different components. A bucket is cut
+    into blocks by item; every two blocks, and each block with itself, meet in one task, which compares bitmaps, tests what
+    they leave, and gives a link only if its ends are not yet joined there: fewer links than members."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("item"), blocks)
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component")
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
-    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(group)
-        low, high, own, items, comps = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-        known, n, bits = marks.of(items)
-        found = []
-        for i in range(len(items) - 1):
-            j = slice(i + 1, None)
-            ok = (comps[j] != comps[i]) & ((own[j] != own[i]) | (low[i] == high[i]))
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                off = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-                at = at[~(known[at] & known[i]) | may(n[at], n[i], off)]
-                found.append(np.stack([np.minimum(items[at], items[i]), np.maximum(items[at], items[i])]))
-        if not found:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, seen = Joined(), set()
+
+        def links(groups: pa.RecordBatch | pa.Table, cut: np.ndarray) -> pa.RecordBatch | None:
+            """Of whole groups that start and end at the places in cut."""
+            low, high, own, items, comps = (groups.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            uniq, back = np.unique(items, return_inverse=True)
+            comp_of = np.zeros(len(uniq), np.int64)
+            comp_of[back] = comps
+            known, n, bits = store.of(uniq)
+            found = [np.zeros((2, 0), np.int64)]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                for i, j in index_pairs(b - a):
+                    i, j = i + a, j + a
+                    ok = comps[i] != comps[j]
+                    if low[a] != high[a]:
+                        ok &= own[i] != own[j]
+                    i, j = back[i[ok]], back[j[ok]]
+                    if len(i) > 256:
+                        fit = maybe(known, n, bits, i, j, may)
+                        i, j = i[fit], j[fit]
+                    found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+            code = np.unique(np.concatenate(found, axis=1)[0] * len(uniq) + np.concatenate(found, axis=1)[1]) if len(uniq) else np.zeros(0, np.int64)
+            i, j = code // max(len(uniq), 1), code % max(len(uniq), 1)
+            fit = maybe(known, n, bits, i, j, may)
+            i, j = i[fit], j[fit]
+            out = []
+            for k in range(0, len(i), CHUNK):
+                # pairs that the links before have joined, and those tested before, need no test
+                some = [(x, y) for x, y in zip(i[k : k + CHUNK].tolist(), j[k : k + CHUNK].tolist(), strict=True) if joined.find(int(comp_of[x])) != joined.find(int(comp_of[y])) and (int(uniq[x]), int(uniq[y])) not in seen]
+                if not some:
+                    continue
+                x, y = np.array(some).T
+                if len(seen) > REMEMBER:
+                    seen.clear()
+                seen.update(zip(uniq[x].tolist(), uniq[y].tolist(), strict=True))
+                used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                keep = similar(store.content(uniq[used]), at[: len(x)], at[len(x) :])
+                for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                    if joined.join(int(comp_of[u]), int(comp_of[v])):
+                        out.append((int(uniq[u]), int(uniq[v])))
+            if out:
+                ends = list(zip(*out, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], ["a", "b"])
             return None
-        ab = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                key = tuple(keys[:, a].tolist())
-                if held and key != now:
-                    if (out := pairs(held)) is not None:
-                        yield out
-                    held = []
-                now = key
-                held.append(batch.slice(a, b - a))
-        if held and (out := pairs(held)) is not None:
-            yield out
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+            starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1))
+            # the last group may go on in the next batch
+            if len(starts) > 1:
+                if (out := links(table, starts)) is not None:
+                    yield out
+                held = table.slice(int(starts[-1])).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            if (out := links(table, np.array([0, table.num_rows]))) is not None:
+                yield out
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+_TRIANGLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def index_pairs(m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All i < j below m, in pieces of bounded size."""
+    if m <= 64:
+        if m not in _TRIANGLES:
+            _TRIANGLES[m] = np.triu_indices(m, 1)
+        yield _TRIANGLES[m]
+        return
+    step = max(1, (1 << 18) // m)
+    for a in range(0, m - 1, step):
+        i, j = np.meshgrid(np.arange(a, min(a + step, m - 1)), np.arange(a + 1, m), indexing="ij")
+        fit = i < j
+        yield i[fit], j[fit]
+
+
 def combined(partial: DataFrame, dtype, how) -> np.ndarray:
     """One array from partial ones of the same fixed size (one a task, column ``value``): cut into CUTS pieces that meet by
     number and combine where they meet, so that the driver gets one array's size whatever the number of tasks."""

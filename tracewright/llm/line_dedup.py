@@ -1,19 +1,20 @@
 """Near-duplicate lines within an edit distance, and documents without their repeats.
 
-Lines are cut at line feeds. Lines of equal text are one item. Two lines of at least LEAST_CHARS characters (code points)
-are alike within the edits that the shorter one's length allows: a tenth of it, EDITS at least and ``edits`` at most
-(MOST_EDITS in the query; with the default, EDITS, the same for all lines).
+Lines are cut at line feeds. Lines of equal text are one item. Two lines are alike within the edits that the shorter one's
+length in code points allows: a tenth of it, rounded down, ``edits`` at most (MOST_EDITS in the query, EDITS by default).
 
 A line has h chunks of equal size from its start and h from its end, where 2 * h is more than its edits. Of two alike
 lines, one end of the shorter holds fewer than h edits; there some chunk j, counted from that end, is whole and has just j
 edits outside of it, so the other line has it at most j places away. h and the chunk size follow from length classes. A
 line is entered under its own chunks, and probes, for its class and those of lengths within reach below it, the places
-where a chunk may be: h * h an end and class. Where a probe meets another line's chunk, both meet in a bucket; pairs are
-verified with a banded bit-parallel edit distance.
+where a chunk may be: h * h an end and class. A chunk's key is taken from its run of ``anchor`` characters with the least
+hash (short chunks: all of it), so that places next to each other mostly share one key and are entered once. Where a probe
+meets another line's chunk, both meet in a bucket; pairs are verified with a banded bit-parallel edit distance.
 
 Classes are connected components of alike lines. The first line of a class by doc_id (null first), line number, text
-hash stays; later ones are repeats. Blank lines are never repeats; shorter lines repeat only if equal. Null and empty
-texts have no lines. Rows equal in id and text count as one document here and are treated alike.
+hash stays; later ones are repeats, those in repeated rows included: of rows equal in id and text one holds the lines that
+stay. Blank lines are never repeats. Null and empty texts have no lines; an empty table gives no rows. Lines of any length
+are taken whole. Extra columns, whatever their names, do not matter here and stay in ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -22,25 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by, unblob
-from tracewright.llm.common import shared_folder, small_batches, table, written
-
-#: Edits between alike lines: a tenth of the shorter one within these bounds. Keys grow with the square of the upper one.
-EDITS, MOST_EDITS, LEAST_CHARS = 2, 15, 20
-PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 2048, 4
+from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by
+from tracewright.llm.common import free_name, shared_folder, small_batches, table, written
+
+#: Edits between alike lines: a tenth of the shorter one and so many at most. Keys grow with the square of that number.
+EDITS, MOST_EDITS, TENTH = 2, 15, 10
+PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 512, 4
+#: Pairs that go through the band together.
+BAND_PAIRS = 1024
 #: Lines that a task remembers so as not to enter a repeat twice.
 REMEMBER = 200_000
-#: Bytes of a key that are dealt; the part it is dealt to tells more.
-KEY_BYTES = 5
 _CODE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def allowed(length, most: int = MOST_EDITS) -> np.ndarray:
     """Edits within which a line of the given length is alike to one of its length or longer."""
-    return np.clip(np.asarray(length) // 10, min(EDITS, most), most)
+    return np.minimum(np.asarray(length) // TENTH, most)
 
 
 def chunks(length, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
@@ -51,59 +53,105 @@ def chunks(length, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
     return h, np.where(size > 8, size // step * step, size)
 
 
+def anchor(width: int) -> int:
+    """Characters of the run that stands for a chunk of the given size."""
+    return width if width < 12 else max(10, 5 * width // 8)
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance of two strings, or most + 1 if it is larger.
+    """Edit distance of two strings, or most + 1 if it is larger."""
+    points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b)]
+    return int(distances(points, np.array([0]), np.array([1]), most)[0])
 
-    Common ends go first. Then bit vectors hold the steps of a band of 2 * most + 1 diagonals; the band moves down one row
-    with each character of b, and the distance is followed along its lower edge, then along the last row.
+
+def distances(lines: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of pairs of lines (code points), most + 1 for larger ones; ``most`` is 31 at most.
+
+    Common ends go first. Then, for many pairs at once, bit vectors hold the steps of a band of 2 * most + 1 diagonals; the
+    band moves down one row with each character of the second line, and the distance is followed along its lower edge, then
+    along the last row.
     """
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    a, b = _trimmed(a, b)
-    if not a or not b:
-        return min(len(a) + len(b), most + 1)
-    rows, width = len(a), 2 * most + 1
-    mask, edge = (1 << width) - 1, 1 << width - 1
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i + most
-    # bit r of column j stands for row j - most + r (from 1); rows from 1 on rise by one in column 0
-    up, down, now = mask & ~((1 << most) - 1), 0, min(rows, most)
-    for j, c in enumerate(b):
-        same = places.get(c, 0) >> j & mask
+    out = np.full(len(i), most + 1)
+    left, right, place = [], [], []
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if abs(len(lines[x]) - len(lines[y])) > most:
+            continue
+        a, b = trimmed(lines[x], lines[y])
+        if not len(a) or not len(b):
+            out[k] = min(len(a) + len(b), most + 1)
+            continue
+        left.append(a)
+        right.append(b)
+        place.append(k)
+    # pairs of like lengths go through the band together
+    order = sorted(range(len(place)), key=lambda k: -len(right[k]))
+    for k in range(0, len(order), BAND_PAIRS):
+        some = order[k : k + BAND_PAIRS]
+        out[[place[x] for x in some]] = _banded([left[x] for x in some], [right[x] for x in some], most)
+    return out
+
+
+def _banded(left: list[np.ndarray], right: list[np.ndarray], most: int) -> np.ndarray:
+    """Distances of pairs, the longest second lines first."""
+    width = 2 * most + 1
+    rows, cols = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    out, ids = np.full(len(left), most + 1), np.arange(len(left))
+    one, mask = np.uint64(1), np.uint64((1 << width) - 1)
+    # places outside of a line hold a number that is no character
+    a = np.full((len(left), max(int(rows.max()), int(cols.max())) + 2 * most + 65), 0xFFFFFFFF, np.uint32)
+    b = np.full((len(left), int(cols.max())), 0xFFFFFFFE, np.uint32)
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        a[k, most : most + len(x)] = x
+        b[k, : len(y)] = y
+    # bit r of column t stands for row t - most + r (from 1); rows from 1 on rise by one in column 0
+    up = np.full(len(left), mask & ~np.uint64((1 << most) - 1))
+    down = np.zeros(len(left), np.uint64)
+    now = np.minimum(rows, most)
+    for t in range(int(cols.max())):
+        if t % 16 == 0 and t:
+            # the last row can fall by one a step at most, so pairs beyond 3 * most + 1 are far
+            live = (now <= 3 * most + 1) & (cols > t)
+            if not live.all():
+                ended = cols <= t
+                out[ids[ended]] = np.minimum(now[ended], most + 1)
+                a, b, rows, cols, up, down, now, ids = (x[live] for x in (a, b, rows, cols, up, down, now, ids))
+                if not len(ids):
+                    return out
+        same = np.packbits(a[:, t : t + 64] == b[:, t : t + 1], axis=1, bitorder="little").view("<u8").ravel() & mask
         diagonal = (((same & up) + up) ^ up | same | down) & mask
         plus = (down | ~(diagonal | up)) & mask
         minus = diagonal & up
-        bottom = rows - (j + 1) + most  # the bit of the last row
-        if bottom >= width - 1:
-            now += not diagonal & edge
-        else:
-            bit = 1 << bottom
-            now += bool(plus & bit) - bool(minus & bit)
-        if now > 3 * most + 1:  # the last row can fall by one a step at most
-            return most + 1
-        up = (minus | ~(diagonal >> 1 | plus)) & mask
-        down = diagonal >> 1 & plus
-    return min(now, most + 1)
-
-
-def _trimmed(a: str, b: str) -> tuple[str, str]:
+        bottom = rows - (t + 1) + most  # the bit of the last row
+        bit = np.clip(bottom, 0, width - 1).astype(np.uint64)
+        inside = (plus >> bit & one).astype(np.int64) - (minus >> bit & one).astype(np.int64)
+        step = np.where(bottom >= width - 1, 1 - (diagonal >> bit & one).astype(np.int64), inside)
+        now = np.where(cols > t, now + step, now)
+        up = (minus | ~(diagonal >> one | plus)) & mask
+        down = diagonal >> one & plus
+    out[ids] = np.where(now <= most, now, most + 1)
+    return out
+
+
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without their common start and end."""
     n = _common(a, b)
     a, b = a[n:], b[n:]
     n = _common(a[::-1], b[::-1])
     return a[: len(a) - n], b[: len(b) - n]
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common start, by bisection over slices."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    off = a[:n] != b[:n]
+    k = int(off.argmax()) if n else 0
+    return k if n and off[k] else n
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    return tv.mix((points.astype(np.uint64) + np.uint64(1)) * _CODE)
+
+
+_POINT_CODES = _codes(np.arange(1 << 16))
 
 
 class Cut:
@@ -129,8 +177,10 @@ class Cut:
         self.size = end - start
         up, self.down = tv.powers(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
+        code = _POINT_CODES[self.points] if n and self.points.max() < len(_POINT_CODES) else _codes(self.points)
         with np.errstate(over="ignore"):
-            np.cumsum(tv.mix((self.points.astype(np.uint64) + np.uint64(1)) * _CODE) * up[:n], out=self.total[1:])
+            code *= up[:n]
+            np.cumsum(code, out=self.total[1:])
         self.item = self.hashes(self.start, self.size).view(np.int64)
 
     def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -151,47 +201,48 @@ def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
         # classes are runs of lengths: each is probed once, at the first length of it
         new = np.flatnonzero((allowed(length - less, most) >= less) & (width > 0) & (kind != before))
         before[new] = kind[new]
-        found.append((new, h[new], width[new], kind[new], np.full(len(new), less == 0)))
-    line, h, width, kind, first = (np.concatenate(x) for x in zip(*found, strict=True))
-    start, size = cut.start[lines][line], length[line]
+        found.append((new, kind[new], np.full(len(new), less == 0)))
+    line, kind, first = (np.concatenate(x) for x in zip(*found, strict=True))
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, lines.dtype)]
-    for n in np.unique(h).tolist():
-        some = np.flatnonzero(h == n)
+    for k in np.unique(kind).tolist():
+        n, width = divmod(k, 1 << 32)
+        some = np.flatnonzero(kind == k)
+        start, size, own = cut.start[lines[line[some]]], length[line[some]], first[some]
+        run = anchor(width)
         for side in range(2):
             for j in range(n):
-                for shift in range(-j, j + 1):
-                    place = (size[some] - (j + 1) * width[some] if side else j * width[some]) + shift
-                    fits = (place >= 0) & (place + width[some] <= size[some])
-                    i = some[fits]
-                    k = cut.hashes(start[i] + place[fits], width[i])
-                    with np.errstate(over="ignore"):
-                        k = tv.mix(k + tv.mix(kind[i].astype(np.uint64) * np.uint64(4096) + np.uint64(side * 2048 + j)))
-                    keys.append(k & ~np.uint64(1) | (first[i] & (shift == 0)).astype(np.uint64))
-                    owners.append(lines[line[i]])
+                # places from j before to j after the chunk's own, and the runs in them
+                place = (size - (j + 1) * width if side else np.full(len(some), j * width))[:, None] + np.arange(-j, j + 1)
+                fits = (place >= 0) & (place + width <= size[:, None])
+                at = (start + place[:, 0])[:, None] + np.arange(2 * j + 1 + width - run)
+                low = cut.hashes(np.clip(at, 0, len(cut.points) - run), np.full(1, run))
+                span = width - run + 1
+                while span > 1:
+                    step = span // 2
+                    low = np.minimum(low[:, : low.shape[1] - step], low[:, step:])
+                    span -= step
+                # equal neighbours are entered once, nearest to the chunk's own place
+                keep = fits.copy()
+                keep[:, :j] &= (low[:, :j] != low[:, 1 : j + 1]) | ~fits[:, 1 : j + 1]
+                keep[:, j + 1 :] &= (low[:, j + 1 :] != low[:, j:-1]) | ~fits[:, j:-1]
+                i, c = np.nonzero(keep)
+                with np.errstate(over="ignore"):
+                    made = tv.mix(low[i, c] + tv.mix(np.array([k * 4096 + side * 2048 + j], np.uint64)))
+                keys.append(made & ~np.uint64(1) | (own[i] & (c == j)).astype(np.uint64))
+                owners.append(lines[line[some[i]]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """The low KEY_BYTES of each key; keys that meet by chance are told apart when their lines are compared."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-
-
-def unpacked(column: pa.Array) -> np.ndarray:
-    low = unblob(column, np.uint8).reshape(-1, KEY_BYTES)
-    out = np.zeros((len(low), 8), np.uint8)
-    out[:, :KEY_BYTES] = low
-    return out.view("<u8").ravel()
-
-
-def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Keys of each line long enough, dealt by key."""
+def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS) -> DataFrame:
+    """Keys of each line that may have an alike one, dealt by key: the low half of each key (the part tells more, and keys
+    that meet by chance are told apart when their lines are compared), items, and how many keys each item has in a row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in small_batches(batches, limit=1 << 20):
             cut = Cut(batch.column(1))
             _, once = np.unique(cut.item, return_index=True)
-            once = once[cut.size[once] >= least]
+            once = once[allowed(cut.size[once], edits) > 0]
             fresh = np.array([x not in seen for x in cut.item[once].tolist()], bool)
             once = once[fresh]
             if len(seen) > REMEMBER:
@@ -200,37 +251,66 @@ def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS, least: int =
             if not len(once):
                 continue
             keys, owner = probes(cut, once, edits)
-            for part, i in split_by((tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(keys[i])], pa.binary()), pa.array([blob(cut.item[owner[i]])], pa.binary())], ["part", "keys", "items"])
+            order = np.argsort(owner.astype(np.int32), kind="stable")
+            keys, owner = keys[order], owner[order]
+            part = (tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
+            for k, i in split_by(part, parts):
+                who, counts = runs(owner[i])
+                row = (blob(keys[i].astype(np.uint32)), blob(cut.item[who]), blob(counts.astype(np.uint16)))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "keys", "items", "counts"])
 
-    return docs.mapInArrow(rows, "part int, keys binary, items binary")
+    return docs.mapInArrow(rows, "part int, keys binary, items binary, counts binary")
 
 
-def met_entries(entries: DataFrame, parts: int) -> DataFrame:
-    """Entries of keys under which some line's own segment and another line meet."""
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of the runs of equal values."""
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    at = np.flatnonzero(first)
+    return x[at], np.diff(np.append(at, len(x)))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(unpacked(b.column(1)), unblob(b.column(2), np.int64)) for b in batches if b.num_rows]
-        if not held:
-            return
-        keys, items = (np.concatenate(x) for x in zip(*held, strict=True))
-        own, keys = keys & np.uint64(1), keys >> np.uint64(1)
-        # most keys are met by one line only: they go before the larger sort
-        order = np.argsort(keys, kind="stable")
-        keys, items, own = keys[order], items[order], own[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
+
+def met_entries(entries: DataFrame, parts: int) -> DataFrame:
+    """Entries of keys under which some line's own chunk and another line meet."""
+
+    def met(low: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # keys are sorted together with their places
+        both = np.sort((low.astype(np.uint64) >> np.uint64(1) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+        place = both.astype(np.uint32)
+        both >>= np.uint64(32)
+        edge = np.ones(len(both) + 1, bool)
+        edge[1:-1] = both[1:] != both[:-1]
+        # most keys are met by one line only
+        some = np.flatnonzero(~(edge[:-1] & edge[1:]))
+        keys, place = both[some], place[some]
+        del both
+        items, own = items[place], low[place] & np.uint32(1)
+        first = edge[:-1][some]
         at = np.flatnonzero(first)
-        size = np.diff(np.concatenate((at, [len(keys)])))
+        size = np.diff(np.append(at, len(keys)))
+        if not len(at):
+            return keys, items
         keep = (np.add.reduceat(own, at) > 0) & (np.maximum.reduceat(items, at) != np.minimum.reduceat(items, at))
         keep = np.repeat(keep, size)
-        if keep.any():
-            yield entry_rows(keys[keep].view(np.int64), items[keep], np.zeros(int(keep.sum())), parts)
+        return keys[keep], items[keep]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for b in batches:
+            for k, keys, items, counts in zip(*b.columns, strict=True):
+                items = np.repeat(np.frombuffer(items.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.uint16))
+                held.setdefault(k.as_py(), []).append((np.frombuffer(keys.as_buffer(), np.uint32).copy(), items))
+        # keys of two parts are not compared: each part stands for itself
+        for k in sorted(held):
+            keys, items = met(*(np.concatenate(x) for x in zip(*held.pop(k), strict=True)))
+            if len(keys):
+                keys = tv.mix(keys + np.uint64(k << 32))
+                yield entry_rows(keys.view(np.int64), items, np.zeros(len(keys)), parts)
 
     return entries.repartition("part").mapInArrow(rows, ENTRY_SCHEMA)
 
 
-def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS) -> DataFrame:
+def lines_and_texts(docs: DataFrame, pick: np.ndarray) -> DataFrame:
     """doc_id, mark, items of its lines (null for blank ones); and of lines that may be candidates, item and text."""
     pick = docs.sparkSession.sparkContext.broadcast(pick)
     kind = pa.list_(pa.struct([("item", pa.int64()), ("line", pa.string())]))
@@ -239,7 +319,7 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS)
         sent: set[int] = set()
         for batch in small_batches(batches, limit=1 << 20):
             cut = Cut(batch.column(1))
-            wanted = passes(pick.value, cut.item) & (cut.size >= least) if len(cut.item) else np.zeros(0, bool)
+            wanted = passes(pick.value, cut.item) if len(cut.item) else np.zeros(0, bool)
             at = np.concatenate(([0], np.cumsum(cut.count)))
             # a line is blank if it holds nothing but blanks and control characters
             solid = np.concatenate(([0], np.cumsum(cut.points > 32)))
@@ -259,39 +339,36 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray, least: int = LEAST_CHARS)
     return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>, texts array<struct<item: long, line: string>>")
 
 
-def gram_marks(texts: DataFrame) -> DataFrame:
-    """item, length and a bitmap of its runs of MARK_CHARS characters. An edit takes so many runs away at most and brings
-    as many at most, so it changes twice as many bits at most."""
+def line_contents(texts: DataFrame) -> DataFrame:
+    """item, length, a bitmap of its runs of MARK_CHARS characters, and the line in UTF-8. An edit takes so many runs away
+    at most and brings as many at most, so it changes twice as many bits at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, marks = [], []
-            for line in batch.column(1).to_pylist():
-                points = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                h = np.zeros(max(len(points) - MARK_CHARS + 1, 0), np.uint64)
-                for k in range(MARK_CHARS if len(h) else 0):
-                    h = tv.mix(h ^ (points[k : k + len(h)] + np.uint64(k << 40)))
-                bits = np.zeros(MARK_BITS, bool)
-                bits[(h % np.uint64(MARK_BITS)).astype(np.int64)] = True
-                size.append(len(points))
-                marks.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], ["item", "n", "bits"])
+        for batch in small_batches(batches, "line", 1 << 20):
+            cut = np.concatenate(([0], np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(), dtype=np.int64)))
+            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            h = np.zeros(max(len(points) - MARK_CHARS + 1, 0), np.uint64)
+            for k in range(MARK_CHARS if len(h) else 0):
+                h = (h + points[k : k + len(h)]) * _CODE
+            line = np.repeat(np.arange(batch.num_rows), np.diff(cut))[: len(h)]
+            inside = np.arange(len(h)) + MARK_CHARS <= cut[line + 1]
+            bits = np.zeros((batch.num_rows, MARK_BITS), bool)
+            bits[line[inside], (tv.mix(h[inside]) % np.uint64(MARK_BITS)).astype(np.int64)] = True
+            marks = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut)), pa.array([m.tobytes() for m in marks], pa.binary()), batch.column(1).cast(pa.binary())], ["item", "n", "bits", "content"])
 
-    return texts.select("item", "line").mapInArrow(rows, "item long, n long, bits binary")
+    return texts.select("item", "line").mapInArrow(rows, "item long, n long, bits binary, content binary")
 
 
-def alike_pairs(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Those of pairs (a, b) whose lines are within the edits allowed, ``edits`` at most."""
+def alike(edits: int):
+    """A test of pairs of places in a list of lines: whether they are within the edits allowed."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            limits = allowed([min(len(a), len(b)) for a, b in lines], edits).tolist()
-            keep = [distance(a, b, most) <= most for (a, b), most in zip(lines, limits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def test(contents: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        lines = [np.frombuffer(c.tobytes().decode().encode("utf-32-le"), np.uint32) for c in contents]
+        size = np.array([len(x) for x in lines])
+        return distances(lines, i, j, edits) <= allowed(np.minimum(size[i], size[j]), edits)
 
-    met = pairs.join(texts.select(F.col("item").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("line").alias("line_b")), "b")
-    return met.select("a", "b", "line_a", "line_b").mapInArrow(rows, "a long, b long")
+    return test
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -300,32 +377,33 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """One row for each non-blank line: doc_id, mark, line_no (from 0), the class's first line (class_doc_id,
-    class_line_no), lines in the class, and whether this line stays."""
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """One row for each non-blank line: doc_id, mark, row (a number of the document's row), line_no (from 0), the class's
+    first line (class_doc_id, class_line_no), lines in the class, and whether this line stays."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "line-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = marked(docs)
-    met = written(met_entries(probe_entries(docs.select("doc_id", "text"), parts, edits, least), parts), f"{folder}/met")
+    met = written(met_entries(probe_entries(docs.select("doc_id", "text"), parts, edits), parts), f"{folder}/met")
     pick = bitmap(met, "items", PICK_BITS)
-    known = written(lines_and_texts(docs, pick, least), f"{folder}/lines")
-    texts = written(known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line")), f"{folder}/texts")
+    # rows get numbers in the written table, where they are fixed
+    known = written(lines_and_texts(docs, pick).withColumn("row", F.monotonically_increasing_id()), f"{folder}/lines")
+    texts = known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line"))
 
     def may(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
         most = allowed(np.minimum(a, b), edits)
         return (np.abs(a - b) <= most) & (off <= 2 * MARK_CHARS * most)
 
-    labels = join_components(met, lambda pairs: alike_pairs(pairs, texts, edits), gram_marks(texts), MARK_BITS // 64, may, f"{folder}/join")
-    rows = known.select("doc_id", "mark", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
+    labels = join_components(met, line_contents(texts), MARK_BITS // 64, may, alike(edits), f"{folder}/join")
+    rows = known.select("doc_id", "mark", "row", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
-    rows = written(rows.select("doc_id", "mark", "line_no", "class"), f"{folder}/classed")
-    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("first"), F.count(F.lit(1)).alias("class_lines"))
+    rows = written(rows.select("doc_id", "mark", "row", "line_no", "class"), f"{folder}/classed")
+    own = F.struct("doc_id", "line_no", "mark", "row")
+    first = rows.groupBy("class").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("class_lines"))
     first = written(first.filter("class_lines > 1"), f"{folder}/first")
     rows = rows.join(first, "class", "left")
-    own = F.struct("doc_id", "line_no", "mark")
     return rows.select(
-        "doc_id", "mark", "line_no",
+        "doc_id", "mark", "row", "line_no",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
         F.when(F.col("first").isNull(), F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
         F.coalesce("class_lines", F.lit(1)).alias("class_lines"),
@@ -333,22 +411,43 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """The documents with repeated lines taken out, in their columns; n_chars follows where there is one. A document
-    whose lines are all repeats goes; others that lose lines keep the rest in order."""
-    names = docs.columns
-    classes = written(line_classes(docs, edits, least), shared_folder(docs.sparkSession, "line-classes"))
-    drops = classes.groupBy("doc_id", "mark").agg(F.collect_list(F.when(~F.col("keep"), F.col("line_no"))).alias("dedup_lines"), F.max("keep").alias("dedup_some")).filter("size(dedup_lines) > 0")
-    drops = drops.select(F.col("doc_id").alias("dedup_id"), F.col("mark").alias("dedup_mark"), "dedup_lines", "dedup_some")
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("dedup_own", mark).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("dedup_id")) & (F.col("dedup_own") == F.col("dedup_mark")), "left")
-    joined = joined.filter(F.coalesce("dedup_some", F.lit(True)))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dedup_lines", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("dedup_lines").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in names:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("dedup_lines").isNull(), F.col("n_chars")).otherwise(size))
-    return out.select(*names)
+def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The documents with repeated lines taken out, in their columns; n_chars follows where there is one. A document whose
+    lines are all repeats goes, so of rows equal in id and text one stays at most (the least by all columns); others that
+    lose lines keep the rest in order. Rows without lines stay."""
+    names, folder = docs.columns, shared_folder(docs.sparkSession, "line-classes")
+    classes = written(line_classes(docs, edits), f"{folder}/classes")
+    by_row = classes.groupBy("doc_id", "mark", "row").agg(F.collect_list(F.when(~F.col("keep"), F.col("line_no"))).alias("lines"), F.max("keep").alias("some"))
+    # rows equal in id and text: the first holds what stays
+    known = by_row.groupBy("doc_id", "mark").agg(F.min_by("lines", "row").alias("lines"), F.min_by("some", "row").alias("some"), F.count(F.lit(1)).alias("rows"))
+    known = written(known.filter("size(lines) > 0 or rows > 1"), f"{folder}/known")
+    own, text = F.struct(*(F.col(c) for c in names)).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked_ = docs.select(own, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_mark"))
+    on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))
+    rest = marked_.join(known.filter("rows > 1").select("doc_id", "mark"), on, "left_anti")
+    repeats = known.filter("rows > 1 and some")
+    if not repeats.isEmpty():
+        once = marked_.join(repeats.select("doc_id", "mark"), on, "left_semi").groupBy("own_id", "own_mark").agg(F.min_by("own", F.to_json("own")).alias("own"))
+        rest = rest.unionByName(once)
+    joined = rest.join(known.select("doc_id", "mark", "lines", "some"), on, "left").filter(F.coalesce("some", F.lit(True)))
+    extra = free_name(docs, "lines")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=False))
+            texts, gone = columns["text"].to_pylist(), batch.columns[-1].to_pylist()
+            changed = np.array([bool(g) for g in gone], bool)
+            if changed.any():
+                for i in np.flatnonzero(changed).tolist():
+                    drop = set(gone[i])
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    sizes = pa.array([len(t) if c else None for t, c in zip(texts, changed, strict=True)]).cast(columns["n_chars"].type)
+                    columns["n_chars"] = pc.if_else(pa.array(changed), sizes, columns["n_chars"])
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return joined.select(*(F.col(f"own.`{c}`").alias(c) for c in names), F.col("lines").alias(extra)).mapInArrow(cut, docs.schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

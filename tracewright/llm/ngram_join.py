@@ -29,6 +29,7 @@ from tracewright.llm.common import documents, shared_folder, small_batches, tabl
 WORDS = 5
 #: Bits of the map that picks the sets to fetch (2 MB), and of the prefix bitmaps of a set.
 PICK_BITS, PREFIX_BITS = 1 << 24, 1024
+PREFIX_BYTES = 2 * PREFIX_BITS // 8
 #: Cells of the frequency sketch (8 MB).
 SKETCH_CELLS = 1 << 21
 #: Bytes of text whose sets are made together.
@@ -68,11 +69,44 @@ def prefix_bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if 10 * min(len(a), len(b)) < 8 * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 80 * (len(a) + len(b) - both) and both > 0
+def similar_sets(contents: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets i and j (places in a list of prefix bitmaps followed by tokens) meet under the other orders and are similar.
+
+    Tokens that at least two of the sets hold are numbered, and sets become rows of bits over these numbers: the overlap of
+    a pair is the count of bits in both rows.
+    """
+    prefixes = np.stack([c[:PREFIX_BYTES] for c in contents]).reshape(len(contents), len(_OTHER_ORDERS), -1)
+    sets = [c[PREFIX_BYTES:].view(np.uint64) for c in contents]
+    n = np.array([len(s) for s in sets])
+    keep = (prefixes[i] & prefixes[j]).any(2).all(1) & (10 * np.minimum(n[i], n[j]) >= 8 * np.maximum(n[i], n[j]))
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return keep
+    used, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+    x, y = back[: len(at)], back[len(at) :]
+    owner = np.repeat(np.arange(len(used)), n[used])
+    tokens = np.concatenate([sets[u] for u in used])
+    order = np.argsort(tokens)
+    tokens, owner = tokens[order], owner[order]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    common = ~first
+    common[:-1] |= ~first[1:]
+    number = (np.cumsum(first & common) - 1)[common]
+    owner = owner[common]
+    both = np.zeros(len(at), np.int64)
+    # the bits of so many numbers at a time stay within a few MB
+    width = max(64, (32 << 20) // max(len(used), 1) // 64 * 64)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(number, [low, low + width])
+        bits = np.zeros((len(used), -(-min(width, int(number[-1]) + 1 - low) // 64) * 64), bool)
+        bits[owner[a:b], number[a:b] - low] = True
+        rows = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, (4 << 20) // rows.shape[1] // 8)
+        for k in range(0, len(at), step):
+            both[k : k + step] += np.bitwise_count(rows[x[k : k + step]] & rows[y[k : k + step]]).sum(1, dtype=np.int64)
+    keep[at] = 100 * both >= 80 * (n[i[at]] + n[j[at]] - both)
+    return keep
 
 
 def text_sets(column: pa.Array) -> list[np.ndarray]:
@@ -223,43 +257,27 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, mark long, item long, n long, tokens binary, bits binary")
 
 
-def token_marks(sets: DataFrame) -> DataFrame:
-    """item, n and a bitmap of all its tokens."""
+def set_contents(sets: DataFrame) -> DataFrame:
+    """item, n, a bitmap of all its tokens, and its prefix bitmaps followed by its tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, marks = [], []
-            for x in batch.column(1):
+            size, marks, content = [], [], []
+            for x, prefix in zip(batch.column(1), batch.column(2), strict=True):
                 tokens = np.frombuffer(x.as_buffer(), np.uint64)
                 bits = np.zeros(PREFIX_BITS, bool)
                 bits[(tv.mix(tokens) % np.uint64(PREFIX_BITS)).astype(np.int64)] = True
                 size.append(len(tokens))
                 marks.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], ["item", "n", "bits"])
+                content.append(prefix.as_py() + x.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(marks, pa.binary()), pa.array(content, pa.binary())], ["item", "n", "bits", "content"])
 
-    return sets.select("item", "tokens").mapInArrow(rows, "item long, n long, bits binary")
+    return sets.select("item", "tokens", "bits").mapInArrow(rows, "item long, n long, bits binary, content binary")
 
 
 def may_be_similar(a, b, off):
-    """Each differing bit is a token that only one of the sets has; similar sets differ in a ninth of their sum at most."""
-    return 9 * off.astype(np.int64) <= a + b
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose prefixes meet under the other orders and whose sets are similar."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for bits_a, bits_b, a, b in zip(*(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
-                met = (np.frombuffer(bits_a.as_buffer(), np.uint8) & np.frombuffer(bits_b.as_buffer(), np.uint8)).reshape(len(_OTHER_ORDERS), -1).any(1).all()
-                keep.append(bool(met) and similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("item").alias("a"), F.col("bits").alias("bits_a"), F.col("tokens").alias("set_a"))
-    two = sets.select(F.col("item").alias("b"), F.col("bits").alias("bits_b"), F.col("tokens").alias("set_b"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "bits_a", "bits_b", "set_a", "set_b")
-    return met.mapInArrow(rows, "a long, b long")
+    """Similar sets have like sizes. Each differing bit is a token that only one of them has: a ninth of their sum at most."""
+    return (10 * np.minimum(a, b) >= 8 * np.maximum(a, b)) & (9 * off <= a + b)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -273,7 +291,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     known = written(items_and_sets(docs, pick), f"{folder}/items")
     sets = written(known.filter("tokens is not null").groupBy("item").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), f"{folder}/sets")
     buckets = written(bucket_entries(sets, parts), f"{folder}/buckets")
-    labels = join_components(buckets, lambda pairs: similar_pairs(pairs, sets), token_marks(sets), PREFIX_BITS // 64, may_be_similar, f"{folder}/join")
+    labels = join_components(buckets, set_contents(sets), PREFIX_BITS // 64, may_be_similar, similar_sets, f"{folder}/join")
     rows = known.select("doc_id", "mark", "item", "n").join(labels.withColumnRenamed("node", "item"), "item", "left")
     return rows.select("doc_id", "mark", "n", F.coalesce("component", "item").alias("component"))
 
