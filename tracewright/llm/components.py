@@ -7,6 +7,8 @@ a lost executor costs one round at most. Nothing but two numbers a round reaches
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm.common import written
@@ -21,11 +23,11 @@ def _pointed(links: DataFrame) -> DataFrame:
 def connected(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that a link touches; a component is named by its smallest node.
 
-    Links with a null end or from a node to itself do not count.
+    Links with a null end or from a node to itself do not count. Rounds go on until one changes nothing.
     """
     edges = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct(), f"{folder}/0")
     before = None
-    for turn in range(1, 64):
+    for turn in count(1):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _pointed(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: u holds its smaller neighbours only
