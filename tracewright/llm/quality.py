@@ -4,11 +4,14 @@ Each line is good or bad. Its features are shares of kinds of characters, word s
 line before and the line after; two weights a feature and a 2 x 2 table of transitions make up the field. Forward and
 backward sums give each line's probability of being good, and a document's score is their mean by length.
 
-The field is fitted on a bounded sample of labelled documents (TRAIN_DOCUMENTS a label, the first TRAIN_LINES lines of
-each). Only documents are labelled, so a bad document's lines start as bad, and a first fit without transitions turns
-those that look good to good before the field is fitted.
-
-Null, empty and blank texts have no lines and score EMPTY. Rows are scored one by one: repeats score alike.
+The field is fitted on all lines of a bounded sample of labelled documents (TRAIN_DOCUMENTS a label); there, documents of
+more than CHAIN lines stand as several chains. Only documents are labelled, so a bad document's lines start as bad, and a
+first fit without transitions turns those that look good to good before the field is fitted.
+
+Null, empty and blank texts have no lines and score EMPTY. Texts of any length are read whole. Rows are scored one by one:
+repeated rows, and ties of any kind, score alike; a null doc_id is not held out. A document labelled twice counts as bad if
+one label says so. Without labels of both kinds every text scores EMPTY and the filter keeps all; empty tables give no
+rows. Extra columns do not matter, whatever their names, and stay in ``good_documents``.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.common import crc_bucket, documents, small_batches, table
+from tracewright.llm.common import crc_bucket, documents, free_name, small_batches, table
 
-TRAIN_DOCUMENTS, TRAIN_LINES = 1500, 200
+#: Labelled documents of each kind to fit on, and lines of a chain in fitting.
+TRAIN_DOCUMENTS, CHAIN = 1500, 100
 THRESHOLD = 0.3
 #: The score of a text without lines.
 EMPTY = 0.0
@@ -200,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=BATCH):
             found = lines_of(batch.column(1))
-            parts = [found.features[a : min(b, a + TRAIN_LINES)] for a, b in zip(found.rows[:-1], found.rows[1:], strict=True)]
+            parts = [found.features[a:b] for a, b in zip(found.rows[:-1], found.rows[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "y", "features"])
 
     # at most 2 * TRAIN_DOCUMENTS rows: safe to broadcast and to collect
@@ -210,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     if len(set(y.tolist())) < 2:
         return None
     x = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
-    return fit(np.concatenate(x).astype(float), np.concatenate(([0], np.cumsum([len(p) for p in x]))), y)
+    sizes = [[min(CHAIN, len(p) - k) for k in range(0, len(p), CHAIN)] for p in x]
+    rows_ = np.concatenate(([0], np.cumsum([n for s in sizes for n in s])))
+    return fit(np.concatenate(x).astype(float), rows_, np.repeat(y, [len(s) for s in sizes]))
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None) -> DataFrame:
@@ -229,14 +235,14 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
     """The rows of ``docs``, all columns, that score the threshold or more, in one pass; without a model all stay."""
     if model is None:
         return docs
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, names, extra = docs.sparkSession.sparkContext.broadcast(model), docs.columns, free_name(docs, "quality_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "quality_text_", BATCH):
+        for batch in small_batches(batches, extra, BATCH):
             found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
             yield batch.select(names).filter(pa.array(found >= threshold))
 
-    return docs.withColumn("quality_text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
+    return docs.withColumn(extra, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
 
 
 def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
@@ -257,4 +263,5 @@ def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
