@@ -2,9 +2,15 @@
 
 A sketch holds every 5-word shingle hash (64 bits, uniform) below a fixed fraction of the hash range. Sketches of parts
 merge by union, and the share of one sketch found in another estimates containment however unequal the sizes are.
-A text whose shingles all miss the fraction keeps its smallest hash, so only texts without words have empty sketches.
+A text whose shingles all miss the fraction keeps its smallest hash, so only texts without words have empty sketches; a
+merge drops such hashes again where another part has some below the fraction.
 
-Order of documents: doc_id descending, nulls last, repeated ids by text. Null texts count as empty.
+One hash in SCALE is kept: a document of 50 words has about a dozen, enough to tell a third's edit from another text, while
+a sketch stays a third of its text's size. For large documents alone a smaller fraction does.
+
+Order of documents: doc_id descending, nulls last, repeated ids by text; equal rows follow each other and are equally like.
+Null texts count as empty, texts of any length are read whole, and an empty table gives no rows; a single document is its
+own next one. Extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,15 @@ from tracewright.llm.common import documents, small_batches, table
 SCALE, WORDS = 4, 5
 
 
+def limit(scale: int) -> np.uint64:
+    """The largest hash that a sketch keeps."""
+    return np.uint64(((1 << 64) - 1) // scale)
+
+
 def sketches(texts: pa.Array, scale: int = SCALE, n: int = WORDS) -> list[np.ndarray]:
     """The sketch of each text: sorted distinct hashes below 2**64 / scale."""
     h, at = tv.shingles(*tv.words(*tv.utf8(texts)), n)
-    limit = np.uint64(((1 << 64) - 1) // scale)
-    low = h <= limit
+    low = h <= limit(scale)
     kept = np.concatenate(([0], np.cumsum(low)))[at]
     few = h[low]
     out = []
@@ -41,9 +51,12 @@ def sketches(texts: pa.Array, scale: int = SCALE, n: int = WORDS) -> list[np.nda
     return out
 
 
-def merge(*parts: np.ndarray) -> np.ndarray:
-    """The sketch of texts together, up to shingles that cross their borders."""
-    return np.unique(np.concatenate(parts))
+def merge(*parts: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sketch of texts together, up to shingles that cross their borders. The hash that stands for a part without any
+    below the fraction stays only while no part has one below it."""
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    low = every[every <= limit(scale)]
+    return low if len(low) else every[:1]
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
