@@ -8,8 +8,13 @@ The labels name one kind of toxicity; the chain's categories are that kind in ea
 documents, and last ``toxic`` itself, whose probability is the score. Languages only choose training targets: the score
 of a text depends on its words alone.
 
-The chain is fitted on a bounded sample (TRAIN_DOCUMENTS of each label, the first TRAIN_WORDS words of each). Null, empty
-and wordless texts have no features and get the chain's prior. Repeated rows score alike.
+The chain is fitted on the whole texts of a bounded sample (TRAIN_DOCUMENTS of each label). Its vocabulary and its documents
+as rows of numbers are made once; each link keeps the features whose rates differ between the labels by CERTAIN standard
+errors.
+
+Null, empty and wordless texts have no features and get the chain's prior. Texts of any length are read whole. Repeated rows
+and ties score alike; a null doc_id is not held out. A document labelled twice counts as toxic if one label says so. Without
+labels every text gets one half; empty tables give no rows. Extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,23 +29,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracewright.llm import textvec as tv
 from tracewright.llm.common import crc_bucket, documents, small_batches, table
 
-TRAIN_DOCUMENTS, TRAIN_WORDS = 3000, 5000
+TRAIN_DOCUMENTS = 3000
 #: Bytes of a word's start that count as features of their own.
 HEADS = (4, 6)
-#: Features kept for a category, by how far their rate differs between the labels; documents that must hold one.
-FEATURES, LEAST_DOCUMENTS = 4000, 4
-LANGUAGES, LANGUAGE_DOCUMENTS = 6, 30
+#: Documents of the sample that must hold a feature, and standard errors by which its rate differs between the labels.
+LEAST_DOCUMENTS, CERTAIN = 4, 2.5
+#: Toxic documents of the sample from which a language is a category of its own.
+LANGUAGE_DOCUMENTS = 30
 FOLDS, STEPS, RIDGE = 3, 200, 3e-3
+#: A fit ends early where no slope is steeper.
+FLAT = 1e-5
 THRESHOLD = 0.4
 
 
-def features_of(column: pa.Array, most: int | None = None) -> list[np.ndarray]:
+def features_of(column: pa.Array) -> list[np.ndarray]:
     """The distinct word and word-start hashes of each text, punctuation around words included in the whole word only."""
     parts, _, counts = tv.word_parts(*tv.utf8(_plain(column)), HEADS)
     salted = [p ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k, p in enumerate(parts)]
     out = []
     for a, b in zip(counts[:-1], counts[1:], strict=True):
-        b = b if most is None else min(b, a + most)
         out.append(np.unique(np.concatenate([p[a:b] for p in salted])))
     return out
 
@@ -94,25 +101,45 @@ def link_scores(link: Link, flat: np.ndarray, at: np.ndarray, earlier: np.ndarra
     return _sigmoid(_sums(w, at) + (earlier - 0.5) @ link.earlier + link.bias)
 
 
-def fit_link(sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link:
-    """Logistic regression over the features whose rates differ most, each scaled by its log rate ratio."""
-    flat, at = _flat(sets)
-    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+@dataclass
+class Sample:
+    """Documents as rows of feature numbers: one entry for each feature of a document that enough documents hold."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    number: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Sample:
+        flat, at = _flat(sets)
+        owner = np.repeat(np.arange(len(sets)), np.diff(at))
+        hashes, number, df = np.unique(flat, return_inverse=True, return_counts=True)
+        place = np.where(df >= LEAST_DOCUMENTS, np.cumsum(df >= LEAST_DOCUMENTS) - 1, -1)[number] if len(flat) else number
+        return cls(hashes[df >= LEAST_DOCUMENTS], owner[place >= 0], place[place >= 0])
+
+
+def fit_link(sample: Sample, chosen: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
+    """Logistic regression over the documents ``chosen`` (bool) and the features whose rates differ, each scaled by its log
+    rate ratio."""
+    n1, n0 = float((y[chosen] == 1).sum()), float((y[chosen] == 0).sum())
+    rate = float(np.clip(n1 / max(n1 + n0, 1), 1e-3, 1 - 1e-3)) if n1 + n0 else 0.5
     start = Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
-    if not len(flat) or len(set(y.tolist())) < 2:
+    if not n1 or not n0 or not len(sample.hashes):
         return start
-    hashes, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), np.diff(at))
-    hit = np.bincount(inverse, y[owner], len(hashes))
-    n1, n0 = y.sum(), len(y) - y.sum()
+    mine = chosen[sample.owner]
+    owner, number = sample.owner[mine], sample.number[mine]
+    df = np.bincount(number, minlength=len(sample.hashes))
+    hit = np.bincount(number, y[owner], len(sample.hashes))
     ratio = np.log((hit + 0.5) / (n1 + 1)) - np.log((df - hit + 0.5) / (n0 + 1))
-    gain = np.where(df >= LEAST_DOCUMENTS, np.abs(hit / n1 - (df - hit) / n0) * np.abs(ratio), 0)
-    keep = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    keep = keep[gain[keep] > 0]
-    place = np.full(len(hashes), -1)
+    mean = df / (n1 + n0)
+    error = np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n1 + 1 / n0))
+    keep = np.flatnonzero((df >= LEAST_DOCUMENTS) & (np.abs(hit / n1 - (df - hit) / n0) >= CERTAIN * error))
+    place = np.full(len(sample.hashes), -1)
     place[keep] = np.arange(len(keep))
-    col = place[inverse]
+    col = place[number]
     owner, col = owner[col >= 0], col[col >= 0]
+    rows = np.cumsum(chosen) - 1
+    owner, earlier, y = rows[owner], earlier[chosen], y[chosen]
     value = ratio[keep][col]
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, e, b = np.zeros(len(keep)), np.zeros(earlier.shape[1]), 0.0
@@ -121,18 +148,20 @@ def fit_link(sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link
         z = np.bincount(owner, w[col] * value, len(y)) + (earlier - 0.5) @ e + b
         off = (_sigmoid(z) - y) * share
         grads = (np.bincount(col, off[owner] * value, len(keep)) + RIDGE * w, (earlier - 0.5).T @ off + RIDGE * e, off.sum())
+        if max(np.abs(grads[0]).max(initial=0), np.abs(grads[1]).max(initial=0), abs(grads[2])) < FLAT:
+            break
         moved = []
         for p, g, m in zip((w, e, b), grads, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             moved.append(p - 0.05 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9))
         w, e, b = moved
-    return Link(hashes[keep], w * ratio[keep], e, float(b))
+    return Link(sample.hashes[keep], w * ratio[keep], e, float(b))
 
 
 def fit_chain(sets: list[np.ndarray], truth: np.ndarray, categories: list[str]) -> Chain:
     """truth: 0 or 1 by document and category. Folds go by position."""
-    model = Chain(categories)
+    model, sample = Chain(categories), Sample.of(sets)
     fold = np.arange(len(sets)) % FOLDS
     seen = np.zeros((len(sets), 0))
     for k in range(len(categories)):
@@ -140,11 +169,10 @@ def fit_chain(sets: list[np.ndarray], truth: np.ndarray, categories: list[str])
         out = np.zeros(len(sets))
         if k + 1 < len(categories):
             for f in range(FOLDS):
-                there = np.flatnonzero(fold != f)
                 here = np.flatnonzero(fold == f)
-                part = fit_link([sets[i] for i in there], seen[there], y[there])
+                part = fit_link(sample, fold != f, seen, y)
                 out[here] = link_scores(part, *_flat([sets[i] for i in here]), seen[here])
-        model.links.append(fit_link(sets, seen, y))
+        model.links.append(fit_link(sample, np.ones(len(sets), bool), seen, y))
         seen = np.concatenate([seen, out[:, None]], axis=1)
     return model
 
@@ -167,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [s.tobytes() for s in features_of(batch.column(1), TRAIN_WORDS)]
+            found = [s.tobytes() for s in features_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], ["doc_id", "lang", "y", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
@@ -177,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
     common: dict[str, int] = {}
     for _, lang, y, _ in got:
         common[lang] = common.get(lang, 0) + y
-    langs = sorted((x for x in common if x and common[x] >= LANGUAGE_DOCUMENTS), key=lambda x: (-common[x], x))[:LANGUAGES]
+    langs = sorted((x for x in common if x and common[x] >= LANGUAGE_DOCUMENTS), key=lambda x: (-common[x], x))
     sets = [np.frombuffer(r[3], np.uint64) for r in got]
     truth = np.array([[*(r[2] and r[1] == x for x in langs), r[2]] for r in got], int).reshape(len(got), len(langs) + 1)
     return fit_chain(sets, truth, [*(f"toxic_{x}" for x in langs), "toxic"])
@@ -205,4 +233,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     toxic = (F.col("score") >= THRESHOLD).cast("int")
-    return found.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", toxic.alias("predicted"), toxic.alias("toxic"), "categories")
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", toxic.alias("predicted"), toxic.alias("toxic"), "categories")
