@@ -1,6 +1,10 @@
 """Netpbm and BMP images as numpy arrays, area-resized by integral images, kept as NPY tiles with difference hashes.
 
 Images that cannot be decoded give null tiles and hashes and an error text; null bytes give nulls throughout.
+
+Texts as media: null texts count as empty and have one row of 64 zero samples; texts of any length are taken whole. Payloads
+of an even number of rows are stored as P5 greymaps, others as 8-bit BMP. Repeated rows and equal texts get equal values; an
+empty table gives no rows. Extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import documents, small_batches, table
+from tracewright.llm.common import documents, shared_folder, small_batches, table, written
 
-#: Samples in a stored row of the payload image.
-WIDTH = 64
+#: Samples in a stored row of the payload image, and rows and columns of a payload's tile.
+WIDTH, TILE = 64, 16
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
 
@@ -84,6 +88,15 @@ def write_pgm(samples: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, len(samples) // width) + samples
 
 
+def write_bmp(samples: bytes, width: int = WIDTH) -> bytes:
+    """An uncompressed BMP of 8-bit grey samples, rows from the top; the width is a multiple of four."""
+    rows, start = len(samples) // width, 14 + 40 + 4 * 256
+    head = struct.pack("<2sIHHI", b"BM", start + len(samples), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, -rows, 1, 8, 0, len(samples), 0, 0, 256, 0)
+    grey = np.zeros((256, 4), np.uint8)
+    grey[:, :3] = np.arange(256, dtype=np.uint8)[:, None]
+    return head + grey.tobytes() + samples
+
+
 def _areas(a: np.ndarray, size: int) -> np.ndarray:
     """Means of ``size`` equal spans of axis 0, from the running sum read at fractional places."""
     n = len(a)
@@ -142,24 +155,26 @@ def tiles(media: DataFrame, id_column: str = "doc_id", column: str = "media", si
 
 
 def payload_images(docs: DataFrame) -> DataFrame:
-    """Texts as greymaps: doc_id, n_bytes and media (the P5 file of the zero-padded UTF-8 bytes)."""
+    """Texts as grey images: doc_id, n_bytes and media (a P5 or BMP file of the zero-padded UTF-8 bytes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             raw = [x.as_py().encode() for x in batch.column(1)]
-            media = [write_pgm(b.ljust(max(WIDTH, -(-len(b) // WIDTH) * WIDTH), b"\0")) for b in raw]
+            padded = [b.ljust(max(WIDTH, -(-len(b) // WIDTH) * WIDTH), b"\0") for b in raw]
+            media = [write_bmp(b) if len(b) // WIDTH % 2 else write_pgm(b) for b in padded]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return documents(docs).mapInArrow(rows, "doc_id long, n_bytes long, media binary")
 
 
 def payload_features(media: DataFrame) -> DataFrame:
-    """What payload_images stored, read back: digests of samples and file, the tail's CRC, the difference hash."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """What payload_images stored, read back: digests of samples and file, the tail's CRC, the difference hash, and an NPY
+    tile (TILE x TILE, 8 bits)."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sha, tail, length, file_sha, feature = [], [], [], [], [], []
+            size, sha, tail, length, file_sha, feature, tile = [], [], [], [], [], [], []
             for value in batch.column(2):
                 data = value.as_py()
                 image = decode(data)
@@ -170,13 +185,15 @@ def payload_features(media: DataFrame) -> DataFrame:
                 length.append(len(data))
                 file_sha.append(hashlib.sha256(data).hexdigest())
                 feature.append(difference_hash(image))
+                tile.append(npy(np.round(resize(image, TILE, TILE)).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(length, pa.int64()), pa.array(file_sha, pa.string()), pa.array(feature, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(length, pa.int64()), pa.array(file_sha, pa.string()), pa.array(feature, pa.string()), pa.array(tile, pa.binary())],
                 names,
             )
 
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload_features(payload_images(table(spark, sf_dir, "documents")))
+    stored = written(payload_images(table(spark, sf_dir, "documents")), shared_folder(spark, "media"))
+    return payload_features(stored)
