@@ -9,8 +9,10 @@ is served, and a source's last block is cut where its target ends.
 Sources weigh 5, 2, 1, 5, ... in code-point order of their names, null last. Targets share 150 % of all words by weight;
 a target over twice its source's words stops there and the excess goes to the others by weight.
 
-Null texts have size 0. Rows of one doc_id are told apart by text and count; documents of size 0 take nothing. An empty
-table gives an empty mix. Only DataFrame operations are used.
+Null texts have size 0; texts of any length are counted whole. Rows of one doc_id, null ids included, are told apart by text;
+equal rows share evenly what is taken of them. Ties in the shuffled order go by id and text. Documents of size 0 take
+nothing. An empty table gives an empty mix. Extra columns, whatever their names, do not matter and stay in ``mixed``. Only
+DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from tracewright.llm.common import shared_folder, table, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-#: Words of a block, and runs into which a source's shuffled order and the slots of a schedule are cut for ranking.
-BLOCK, RUNS = 512, 256
+#: Words of a block.
+BLOCK = 512
 GOLDEN = 0.6180339887498949
-#: Slots ranked together.
-STRETCH = 4096
+#: Documents of a run of a source's shuffled order, about, and slots ranked together, at least.
+RUN, STRETCH = 1 << 16, 4096
 #: Cells of [0, 1) over which points meet the cumulative shares.
 CELLS = 1024
 
@@ -61,11 +63,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "weight", target.alias("target"), F.least(F.round(target).cast("long"), F.col("source_size") * MOST_PASSES).alias("goal"))
 
 
-def shuffled(sizes: DataFrame, turn: int = 0) -> DataFrame:
+def run_bits(sizes: DataFrame) -> int:
+    """Bits of a key that name its run, so that a run of the largest source has about RUN documents; 256 runs at least."""
+    return max(8, min(40, (sizes.count() // RUN).bit_length()))
+
+
+def shuffled(sizes: DataFrame, turn: int = 0, bits: int = 8) -> DataFrame:
     """Places of documents along a shuffled order of their source: from, to (words). Sums run within runs of the order
     and over the runs' totals, so no window holds a whole source."""
     key = F.xxhash64(F.lit(turn), "doc_id", "mark", "size")
-    dealt = sizes.filter("size > 0").withColumn("key", key).withColumn("run", F.shiftright(F.col("key"), 56).cast("int"))
+    dealt = sizes.filter("size > 0").withColumn("key", key).withColumn("run", F.shiftright(F.col("key"), 64 - bits))
     within = W.partitionBy("source", "run").orderBy("key", "doc_id", "mark").rowsBetween(W.unboundedPreceding, 0)
     totals = dealt.groupBy("source", "run").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
@@ -87,8 +94,10 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     need = need.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
     cells = need.select("source", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     slots = int(need.agg(F.max("all")).first()[0] or 0)
+    # as many slots in a stretch as there are stretches
+    stretch = max(STRETCH, int(slots**0.5))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * GOLDEN, F.lit(1.0)).alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS))
-    named = points.join(cells, "cell").filter("point >= low and point < high").select("slot", "source", "blocks").withColumn("stretch", F.floor(F.col("slot") / STRETCH))
+    named = points.join(cells, "cell").filter("point >= low and point < high").select("slot", "source", "blocks").withColumn("stretch", F.floor(F.col("slot") / stretch))
     counts = named.groupBy("source", "stretch").count()
     ahead = W.partitionBy("source").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
@@ -114,9 +123,9 @@ def mix(sizes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """
     goals = targets(sizes)
     slots = schedule(goals, block)
-    laid = None
+    bits, laid = run_bits(sizes), None
     for turn in range(MOST_PASSES):
-        one = shuffled(sizes, turn).alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+        one = shuffled(sizes, turn, bits).alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
         shift = F.col("g.source_size") * turn
         one = one.select("d.doc_id", "d.mark", "d.source", (F.col("d.from") + shift).alias("from"), F.least(F.col("d.to") + shift, F.col("g.goal")).alias("to")).filter("from < to")
         laid = one if laid is None else laid.unionByName(one)
@@ -146,12 +155,12 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents of the mix, in their columns: each row as often as its words are taken, to the nearest whole
     number (parts arise only where a source's target ends)."""
-    by = taken(docs, block).groupBy("doc_id", "source", "mark").agg(F.sum("taken").alias("words"), F.sum("size").alias("of"))
-    by = by.select(*(F.col(c).alias(f"mix_{c}") for c in by.columns)).filter("mix_of > 0")
-    marked = docs.withColumn("mix_key", F.xxhash64(F.col("text").cast("string")))
-    met = marked.join(by, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("mix_source")) & (F.col("mix_key") == F.col("mix_mark")))
-    copies = F.floor(F.col("mix_words") / F.col("mix_of") + 0.5).cast("int")
-    return met.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    by = taken(docs, block).groupBy("doc_id", "source", "mark").agg(F.sum("taken").alias("words"), F.sum("size").alias("of")).filter("of > 0")
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark")).alias("d")
+    met = own.join(by.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.mark") == F.col("t.mark")))
+    copies = F.floor(F.col("t.words") / F.col("t.of") + 0.5).cast("int")
+    met = met.select("d.own", F.explode(F.array_repeat(F.lit(1), copies)))
+    return met.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
