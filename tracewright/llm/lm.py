@@ -11,7 +11,12 @@ shared folder is a path; from other stores they read the buckets' files that the
 
 p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + (D1 n1(h) + D2 n2(h) + D3 n3(h)) / c(h) * p(w | shorter h); at the end stands
 the uniform distribution over the vocabulary and one unknown word. Each text begins after one start mark and ends with
-one end mark, which counts as a token. Null and empty texts have that one token. Equal rows count and score alike.
+one end mark, which counts as a token. Discounts are kept between 0.05 and k - 0.05, so that no probability is zero or
+negative where a corpus has no counts of counts to go by.
+
+Null and empty texts have the end mark alone; texts of any length are read whole. Equal rows, and ties of any kind, count
+and score alike; a null doc_id is not held out. An empty table gives no rows, a model of nothing the uniform probability.
+Extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import blob, split_by, unblob
-from tracewright.llm.common import crc_bucket, documents, shared_folder, small_batches, table
+from tracewright.llm.common import crc_bucket, documents, shared_folder, small_batches, table, tidy
 from tracewright.llm.store import Store
 
 U64 = np.uint64
@@ -93,24 +98,10 @@ def counted(ctx: np.ndarray, short: np.ndarray, words: np.ndarray, n: np.ndarray
     return ctx[at], short[order[at]], words[at], total
 
 
-# counts travel as rows of blobs: contexts, their shorter forms, words per context, words (48 bits), counts
+# counts travel as rows of blobs: contexts, their shorter forms, words per context, words, counts
 ROW = "part int, contexts binary, shorter binary, lengths binary, words binary, counts binary"
 
 
-def _packed(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
-
-
-LOW48 = U64((1 << 48) - 1)
-
-
 def _rows(ctx: np.ndarray, short: np.ndarray, words: np.ndarray, n: np.ndarray, part: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Sorted (context, word) counts as a row for each part."""
     for b, i in split_by(part, parts):
@@ -120,7 +111,7 @@ def _rows(ctx: np.ndarray, short: np.ndarray, words: np.ndarray, n: np.ndarray,
         at = np.flatnonzero(first)
         lengths = np.diff(np.concatenate((at, [len(i)])))
         big = n[i].max(initial=0) > TOP
-        row = (blob(c[at]), blob(short[i][at]), blob(lengths.astype(np.uint32)), _packed(words[i]), blob(n[i].astype(np.uint64 if big else np.uint16)))
+        row = (blob(c[at]), blob(short[i][at]), blob(lengths.astype(np.uint32)), blob(words[i]), blob(n[i].astype(np.uint64 if big else np.uint16)))
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "contexts", "shorter", "lengths", "words", "counts"])
 
 
@@ -130,7 +121,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | Non
     for batch in batches:
         for _, ctx, short, lengths, words, counts in zip(*batch.columns, strict=True):
             lengths = np.frombuffer(lengths.as_buffer(), np.uint32)
-            words = _unpacked(words.as_py())
+            words = np.frombuffer(words.as_buffer(), U64)
             counts = counts.as_py()
             counts = np.frombuffer(counts, np.uint64 if len(counts) == 8 * len(words) else np.uint16).astype(np.int64)
             held.append((np.repeat(np.frombuffer(ctx.as_buffer(), U64), lengths), np.repeat(np.frombuffer(short.as_buffer(), U64), lengths), words, counts))
@@ -148,11 +139,12 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
 def count_batches(docs: DataFrame, order: int, parts: int) -> DataFrame:
     """Highest-order counts dealt by context, and plain word counts dealt by word (parts from ``parts`` on)."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=12 << 20):
             words, place, _ = sequences(batch.column(1), order)
             ctx, short = context(words, order - 1, place), context(words, order - 2, place)
-            target = words[place] & LOW48
+            target = words[place]
             del words, place
             ctx, short, w, n = counted(ctx, short, target, np.ones(len(target), np.int64))
             yield from _rows(ctx, short, w, n, _part_of(ctx, parts), parts)
@@ -245,6 +237,7 @@ def train(docs: DataFrame, order: int = ORDER) -> dict:
     for level in range(order - 1, 0, -1):
         make = _word_rows if level == 1 else _level_rows
 
+        @tidy
         def rows(batches: Iterator[pa.RecordBatch], make=make, level=level) -> Iterator[pa.RecordBatch]:
             for _, own in by_part(batches):
                 yield from make(iter(own), folder, level, parts)
@@ -266,6 +259,7 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
 def _top_level(counts: DataFrame, folder: str, order: int, parts: int) -> DataFrame:
     """The highest order and the plain word counts, from one shuffle."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in by_part(batches):
             yield from _level_rows(iter(own), folder, order, parts) if part < parts else _word_rows(iter(own), folder, 0, parts)
@@ -336,7 +330,7 @@ class Lookup:
 def probabilities(look: Lookup, words: np.ndarray, place: np.ndarray) -> np.ndarray:
     """p of each token of padded sequences."""
     model = look.model
-    target = words[place] & LOW48
+    target = words[place]
     uniq, back = np.unique(target, return_inverse=True)
     p = None
     for level in range(1, model["order"] + 1):
@@ -365,11 +359,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     plain = model["levels"][0]
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model)
         for batch in small_batches(batches, limit=4 << 20):
             words, place, at = sequences(batch.column(1), model["order"])
-            uniq, back = np.unique(words[place] & LOW48, return_inverse=True)
+            uniq, back = np.unique(words[place], return_inverse=True)
             c = look.counts(0, uniq, uniq)
             base = np.log10((c + 1) / (plain["tokens"] + plain["types"] + 1))[back]
             known = (c > 0)[back].astype(np.int64)
