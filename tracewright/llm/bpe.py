@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import documents, table
+from tracewright.llm.common import documents, table, tidy
 
 #: Fixed value of the file format: how words are split. White space only separates, so collapsing it first changes nothing.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -149,6 +149,7 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary, 32-bit little-endian) and decoded text of every row of ``documents``."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -164,6 +165,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of decoded text, one row for each row of ``documents``."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         sha = hashlib.sha256

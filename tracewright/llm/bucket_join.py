@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tracewright.llm.common import written
+from tracewright.llm.common import tidy, written
 from tracewright.llm.components import connected
 from tracewright.llm.store import Store
 from tracewright.llm.textvec import mix
@@ -92,6 +92,7 @@ class Contents:
             store.save(f"{part}.at", np.concatenate(([0], np.cumsum(pc.binary_length(t.column("content")).to_numpy(), dtype=np.int64))))
             store.save(f"{part}.data", unblob(t.column("content"), np.uint8))
 
+        @tidy
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # rows come sorted by part: one part is held at a time
             held, now, done = [], None, 0
@@ -165,6 +166,7 @@ def stars(entries: DataFrame, store: Contents, may: Callable) -> DataFrame:
     """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
     (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.int64), unblob(b.column(3), np.float32)) for b in batches if b.num_rows]
         if not held:
@@ -235,6 +237,7 @@ def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Ca
 def tested(pairs: DataFrame, store: Contents, similar: Callable) -> DataFrame:
     """The similar ones of pairs (a, b), their contents read from the store."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
@@ -276,6 +279,7 @@ def joining_links(members: DataFrame, store: Contents, may: Callable, similar: C
     rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component")
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, seen = Joined(), set()
 
@@ -364,12 +368,14 @@ def combined(partial: DataFrame, dtype, how) -> np.ndarray:
     """One array from partial ones of the same fixed size (one a task, column ``value``): cut into CUTS pieces that meet by
     number and combine where they meet, so that the driver gets one array's size whatever the number of tasks."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
                 for k, piece in enumerate(np.array_split(np.frombuffer(x.as_buffer(), dtype), CUTS)):
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob(piece)], pa.binary())], ["k", "value"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, np.ndarray] = {}
         for b in batches:
@@ -388,6 +394,7 @@ def bitmap(rows_of_items: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit for each item's hash, in a map of fixed size: a Bloom filter with one hash. It may pass items that are not
     there, never drops one that is. ``column`` holds items as blobs."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, bool)
         for b in batches:

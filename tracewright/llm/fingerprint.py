@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.common import documents, small_batches, table
+from tracewright.llm.common import documents, small_batches, table, tidy
 
 #: One shingle hash in so many is kept, and a shingle has so many words.
 SCALE, WORDS = 4, 5
@@ -79,6 +79,7 @@ def text_form(sketch: np.ndarray) -> str:
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """doc_id, hashes (array of long) and text form for each document."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = sketches(batch.column(1), scale)
@@ -129,6 +130,7 @@ def neighbours(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprints of each document and of its edited text, with their likeness and the one to the next document."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in small_batches(batches):

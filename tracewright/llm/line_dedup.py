@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by
-from tracewright.llm.common import free_name, shared_folder, small_batches, table, written
+from tracewright.llm.common import free_name, shared_folder, small_batches, table, tidy, written
 
 #: Edits between alike lines: a tenth of the shorter one and so many at most. Keys grow with the square of that number.
 EDITS, MOST_EDITS, TENTH = 2, 15, 10
@@ -237,6 +237,7 @@ def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS) -> DataFrame:
     """Keys of each line that may have an alike one, dealt by key: the low half of each key (the part tells more, and keys
     that meet by chance are told apart when their lines are compared), items, and how many keys each item has in a row."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in small_batches(batches, limit=1 << 20):
@@ -294,6 +295,7 @@ def met_entries(entries: DataFrame, parts: int) -> DataFrame:
         keep = np.repeat(keep, size)
         return keys[keep], items[keep]
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
         for b in batches:
@@ -315,6 +317,7 @@ def lines_and_texts(docs: DataFrame, pick: np.ndarray) -> DataFrame:
     pick = docs.sparkSession.sparkContext.broadcast(pick)
     kind = pa.list_(pa.struct([("item", pa.int64()), ("line", pa.string())]))
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in small_batches(batches, limit=1 << 20):
@@ -343,6 +346,7 @@ def line_contents(texts: DataFrame) -> DataFrame:
     """item, length, a bitmap of its runs of MARK_CHARS characters, and the line in UTF-8. An edit takes so many runs away
     at most and brings as many at most, so it changes twice as many bits at most."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "line", 1 << 20):
             cut = np.concatenate(([0], np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(), dtype=np.int64)))
@@ -432,6 +436,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     joined = rest.join(known.select("doc_id", "mark", "lines", "some"), on, "left").filter(F.coalesce("some", F.lit(True)))
     extra = free_name(docs, "lines")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(names, batch.columns, strict=False))

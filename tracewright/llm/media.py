@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import documents, shared_folder, small_batches, table, written
+from tracewright.llm.common import documents, shared_folder, small_batches, table, tidy, written
 
 #: Samples in a stored row of the payload image, and rows and columns of a payload's tile.
 WIDTH, TILE = 64, 16
@@ -133,6 +133,7 @@ def npy(image: np.ndarray) -> bytes:
 def tiles(media: DataFrame, id_column: str = "doc_id", column: str = "media", size: int = 32) -> DataFrame:
     """Of each image: its shape, an NPY tile (size x size, float32), the difference hash, or an error text."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes, made, hashes, errors = [], [], [], []
@@ -157,6 +158,7 @@ def tiles(media: DataFrame, id_column: str = "doc_id", column: str = "media", si
 def payload_images(docs: DataFrame) -> DataFrame:
     """Texts as grey images: doc_id, n_bytes and media (a P5 or BMP file of the zero-padded UTF-8 bytes)."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             raw = [x.as_py().encode() for x in batch.column(1)]
@@ -172,6 +174,7 @@ def payload_features(media: DataFrame) -> DataFrame:
     tile (TILE x TILE, 8 bits)."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy"]
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sha, tail, length, file_sha, feature, tile = [], [], [], [], [], [], []

@@ -11,7 +11,9 @@ Candidates must share prefix tokens under several token orders before their sets
    the prefixes tell, before the sets are intersected.
 
 Equal sets count as one item from the start. Null texts, and texts without words, have empty sets and link with nothing;
-1 to 4 words form one shingle. Rows of one doc_id are separate documents that share a component by id only if linked.
+1 to 4 words form one shingle; texts of any length are taken whole. Rows of one doc_id are separate documents that share a
+component by id only if linked; repeated rows are linked. Ties in an order go by token. An empty table gives no rows. Extra
+columns, whatever their names, do not matter and stay in ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, combined, entry_rows, join_components, passes, split_by, unblob
-from tracewright.llm.common import documents, shared_folder, small_batches, table, written
+from tracewright.llm.common import documents, shared_folder, small_batches, table, tidy, written
 
 WORDS = 5
 #: Bits of the map that picks the sets to fetch (2 MB), and of the prefix bitmaps of a set.
@@ -116,6 +118,7 @@ def text_sets(column: pa.Array) -> list[np.ndarray]:
 def prefix_entries(docs: DataFrame, parts: int) -> DataFrame:
     """Order 1: each item's prefix tokens, dealt by token."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in small_batches(batches, limit=BATCH):
@@ -149,6 +152,7 @@ def _by_item(items, sizes, tokens, parts) -> pa.RecordBatch:
 def shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
     """How many of an item's prefix tokens other items have too, by part of the tokens, dealt by item."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
@@ -179,6 +183,7 @@ def shared_tokens(entries: DataFrame, parts: int) -> DataFrame:
 def candidates(shared: DataFrame) -> DataFrame:
     """Items with enough shared tokens, as blobs."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.uint32), unblob(b.column(3), np.uint32)) for b in batches if b.num_rows]
         if held:
@@ -193,6 +198,7 @@ def candidates(shared: DataFrame) -> DataFrame:
 def frequencies(sets: DataFrame) -> np.ndarray:
     """Counts of tokens over distinct sets in a table of fixed size; tokens that fall on one cell share its count."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(SKETCH_CELLS, np.uint32)
         for b in batches:
@@ -212,6 +218,7 @@ def bucket_entries(sets: DataFrame, parts: int) -> DataFrame:
     """Order 2: the rarest-first prefix of each set, dealt by token. An item's score is its tokens' mean frequency."""
     known = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, items, scores = [], [], []
@@ -234,6 +241,7 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
     """doc_id, mark, item (null for an empty set), size n; with the set and prefix bitmaps where the item may be a candidate."""
     pick = docs.sparkSession.sparkContext.broadcast(pick)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in small_batches(batches, limit=BATCH):
@@ -260,6 +268,7 @@ def items_and_sets(docs: DataFrame, pick: np.ndarray) -> DataFrame:
 def set_contents(sets: DataFrame) -> DataFrame:
     """item, n, a bitmap of all its tokens, and its prefix bitmaps followed by its tokens."""
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, marks, content = [], [], []
@@ -315,20 +324,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("component").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     known = rows.join(first, "component").select("doc_id", "mark", rank.eqNullSafe(F.col("first")).alias("stays"))
     known = written(known.groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("m")), f"{folder}/known")
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-    def met(some: DataFrame, how: str) -> DataFrame:
-        some = some.select("gone_id", "gone_mark")
-        on = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("gone_own") == F.col("gone_mark"))
-        return docs.withColumn("gone_own", mark).join(some, on, how)
-
+    # the documents' own columns stay apart from the working ones
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_mark"))
+    on = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_mark") == F.col("gone_mark"))
     # of rows equal in id and text all go, or one stays
-    repeats = known.filter("stays and m > 1")
-    out = met(known.filter("not stays or m > 1"), "left_anti").select(*docs.columns)
-    if repeats.isEmpty():
-        return out
-    once = met(repeats, "left_semi").groupBy(F.col("doc_id").alias("gone_id"), "gone_own").agg(F.min(F.struct(*docs.columns)).alias("gone_row"))
-    return out.unionByName(once.select("gone_row.*"))
+    repeats = known.filter("stays and m > 1").select("gone_id", "gone_mark")
+    out = marked.join(known.filter("not stays or m > 1").select("gone_id", "gone_mark"), on, "left_anti")
+    if not repeats.isEmpty():
+        once = marked.join(repeats, on, "left_semi").groupBy("own_id", "own_mark").agg(F.min_by("own", F.to_json("own")).alias("own"))
+        out = out.select("own").unionByName(once.select("own"))
+    return out.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

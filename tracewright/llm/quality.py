@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.common import crc_bucket, documents, free_name, small_batches, table
+from tracewright.llm.common import crc_bucket, documents, free_name, small_batches, table, tidy
 
 #: Labelled documents of each kind to fit on, and lines of a chain in fitting.
 TRAIN_DOCUMENTS, CHAIN = 1500, 100
@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
         part = known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(TRAIN_DOCUMENTS)
         sample = part if sample is None else sample.union(part)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=BATCH):
             found = lines_of(batch.column(1))
@@ -223,6 +224,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None) -> Da
     """doc_id and score of each row; without a model every text scores EMPTY."""
     model = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, limit=BATCH):
             found = scores(lines_of(batch.column(1)), model.value) if model.value else np.full(batch.num_rows, EMPTY)
@@ -237,6 +239,7 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
         return docs
     shared, names, extra = docs.sparkSession.sparkContext.broadcast(model), docs.columns, free_name(docs, "quality_text")
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, extra, BATCH):
             found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
@@ -249,6 +252,7 @@ def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:
     """The operator's line output: doc_id and each non-blank line's probability of being good, in order."""
     model = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, trans, mean, scale = model.value
         for batch in small_batches(batches, limit=BATCH):

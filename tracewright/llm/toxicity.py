@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.common import crc_bucket, documents, small_batches, table
+from tracewright.llm.common import crc_bucket, documents, small_batches, table, tidy
 
 TRAIN_DOCUMENTS = 3000
 #: Bytes of a word's start that count as features of their own.
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
         sample = part if sample is None else sample.union(part)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = [s.tobytes() for s in features_of(batch.column(1))]
@@ -219,6 +220,7 @@ def score_documents(docs: DataFrame, model: Chain) -> DataFrame:
     """doc_id, probabilities by category (map, in chain order) and score (the last one) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             p = predict(shared.value, features_of(batch.column(1)))
