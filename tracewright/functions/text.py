@@ -126,8 +126,9 @@ def excerpt(line: Column) -> Column:
     return F.when(F.length(flat) > 300, F.concat(F.substring(flat, 1, 297), F.lit("..."))).otherwise(flat)
 
 
-def is_analysis_code(content: Column) -> Column:
-    return sum((content.rlike(p).cast("int") for p in IMPLEMENTATION), F.lit(0)) >= 2
+def is_analysis_code(content: Column, patterns: tuple[str, ...] = IMPLEMENTATION) -> Column:
+    """Whether at least two of the patterns occur: code that analyses others mentions what it looks for."""
+    return sum((content.rlike(p).cast("int") for p in patterns), F.lit(0)) >= 2
 
 
 def is_detector(line: Column) -> Column:

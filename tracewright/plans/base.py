@@ -73,7 +73,8 @@ SYMBOLS_SQL = """symbols AS (
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edge_id, source, target, type, confidence: 7k + 3 for each part, and k + size for every third size."""
     part = table(spark, sf_dir, "part")
-    n = part.count()
+    # the number of parts comes as one row, when the query runs
+    part, n = part.crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("parts")))), F.col("parts")
     key = F.col("p_partkey")
     confidence = F.element_at(F.array(*map(F.lit, labels.CONFIDENCES)), (F.col("p_size") % 3 + 1).cast("int"))
     one = part.select((key * 2).alias("edge_id"), key.alias("source"), ((key * 7 + 3) % n).alias("target"), F.lit("calls").alias("type"), confidence.alias("confidence"))

@@ -16,12 +16,6 @@ def stack(spark, sf_dir):
     return product.stack(files(spark, sf_dir), {"markup": c.contains("<html"), "scripts": c.contains("<script"), "navigation": c.contains("<nav"), "styles": paths.extension(F.col("path")) == "css"})
 
 
-@query("p14_implied_edges", "SELECT * FROM (VALUES ('frontend', 'backend', 'requests'), ('backend', 'database', 'stores data in')) v(source, target, label) WHERE (SELECT count(*) FROM events) > 0")
-def implied(spark, sf_dir):
-    nodes = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "click", "frontend").when(F.col("event_type") == "view", "backend").otherwise("database").alias("key"))
-    return product.implied_edges(nodes.distinct())
-
-
 @query("p21_services", "SELECT unnest(CASE doc_id % 4 WHEN 0 THEN ['Stripe'] WHEN 1 THEN ['Redis', 'Sentry'] ELSE []::VARCHAR[] END) AS service, count(*) AS n FROM documents GROUP BY 1")
 def services(spark, sf_dir):
     word = F.when(F.col("doc_id") % 4 == 0, " use stripe now").when(F.col("doc_id") % 4 == 1, " (redis) sentry.io").otherwise(" stripes rediscovered")
@@ -108,7 +102,10 @@ def prompt_evidence(spark, sf_dir):
 @query("t12_e8_compaction", f"WITH {EDGES_SQL}, {SYMBOLS_SQL}, k AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY type ORDER BY id) AS n FROM symbols) WHERE n <= 100) SELECT edge_id FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
 def compaction(spark, sf_dir):
     """A budget of symbols for each kind, then the edges among those kept."""
-    kept = symbols(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("id"))).filter("n <= 100")
+    # the first of each run of ids, then the first of those: no window holds a whole kind
+    near = W.partitionBy("type", F.col("id") % 64).orderBy("id")
+    some = symbols(spark, sf_dir).select("type", "id").withColumn("k", F.row_number().over(near)).filter("k <= 100")
+    kept = some.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("id"))).filter("n <= 100")
     return graph.induced(edges(spark, sf_dir), kept).select("edge_id")
 
 
