@@ -32,8 +32,9 @@ from tracewright.llm.common import crc_bucket, documents, small_batches, table,
 TRAIN_DOCUMENTS = 3000
 #: Bytes of a word's start that count as features of their own.
 HEADS = (4, 6)
-#: Documents of the sample that must hold a feature, and standard errors by which its rate differs between the labels.
-LEAST_DOCUMENTS, CERTAIN = 4, 2.5
+#: Documents of the sample that must hold a feature, and standard errors by which its rate differs between the labels:
+#: with some hundred thousand features to choose from, fewer than one passes by chance.
+LEAST_DOCUMENTS, CERTAIN = 4, 4.5
 #: Toxic documents of the sample from which a language is a category of its own.
 LANGUAGE_DOCUMENTS = 30
 FOLDS, STEPS, RIDGE = 3, 200, 3e-3
@@ -117,6 +118,12 @@ class Sample:
         place = np.where(df >= LEAST_DOCUMENTS, np.cumsum(df >= LEAST_DOCUMENTS) - 1, -1)[number] if len(flat) else number
         return cls(hashes[df >= LEAST_DOCUMENTS], owner[place >= 0], place[place >= 0])
 
+    def scores(self, link: Link, earlier: np.ndarray) -> np.ndarray:
+        """link_scores of all documents; a link's features are all among the sample's."""
+        weights = np.zeros(len(self.hashes))
+        weights[np.searchsorted(self.hashes, link.hashes)] = link.weights
+        return _sigmoid(np.bincount(self.owner, weights[self.number], len(earlier)) + (earlier - 0.5) @ link.earlier + link.bias)
+
 
 def fit_link(sample: Sample, chosen: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
     """Logistic regression over the documents ``chosen`` (bool) and the features whose rates differ, each scaled by its log
@@ -169,9 +176,8 @@ def fit_chain(sets: list[np.ndarray], truth: np.ndarray, categories: list[str])
         out = np.zeros(len(sets))
         if k + 1 < len(categories):
             for f in range(FOLDS):
-                here = np.flatnonzero(fold == f)
-                part = fit_link(sample, fold != f, seen, y)
-                out[here] = link_scores(part, *_flat([sets[i] for i in here]), seen[here])
+                here = fold == f
+                out[here] = sample.scores(fit_link(sample, ~here, seen, y), seen)[here]
         model.links.append(fit_link(sample, np.ones(len(sets), bool), seen, y))
         seen = np.concatenate([seen, out[:, None]], axis=1)
     return model
