@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window as W
 
 from tracewright.functions import labels, paths, text
-from tracewright.operators import findings, graph, product, relational
+from tracewright.operators import findings, fusion, graph, product, relational
 from tracewright.plans.base import EDGES_SQL, FILES_SQL, SYMBOLS_SQL, edges, files, query, symbols, table
 from tracewright.sources import snapshots
 
@@ -232,3 +232,41 @@ def json_records(spark, sf_dir):
     rows = table(spark, sf_dir, "nation")
     arrays = rows.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("json"))
     return snapshots.read_records(spark, arrays, "n_nationkey:int, n_name:string")
+
+
+@query("s13_s20_event_records", "SELECT event_id, event_type, value FROM events")
+def event_records(spark, sf_dir):
+    """Events out as JSON arrays of a hundred records at most and in again."""
+    arrays = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100)).agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("json"))
+    return snapshots.read_records(spark, arrays, "event_id:bigint, event_type:string, value:double")
+
+
+@query("s16_upsert_customers", """WITH c AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS amount FROM orders GROUP BY 1)
+ SELECT k, status, amount FROM c UNION ALL SELECT c_custkey, 'none', c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)""")
+def upsert_customers(spark, sf_dir):
+    """Orders applied in order to a table of customers: a key's last change wins, keys without one stay."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("none").alias("status"), F.col("c_acctbal").alias("amount"))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"), "o_orderkey")
+    return snapshots.upsert(current, changes, ["k"], "o_orderkey").select("k", "status", "amount")
+
+
+@query("g8_top_degree_subgraph", f"""WITH {EDGES_SQL}, ends AS (SELECT source AS id, edge_id FROM edges UNION SELECT target, edge_id FROM edges), top AS (SELECT id FROM ends GROUP BY id ORDER BY count(*) DESC, id LIMIT 500)
+ SELECT edge_id, source, target FROM edges WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top) ORDER BY edge_id LIMIT 700""")
+def top_degree_subgraph(spark, sf_dir):
+    """The edges among the nodes of most edges, 700 at most."""
+    e = edges(spark, sf_dir)
+    top = graph.degrees(e).orderBy(F.desc("degree"), "id").limit(500)
+    return graph.induced(e, top).select("edge_id", "source", "target").orderBy("edge_id").limit(700)
+
+
+@query("e2_finding_fusion", """WITH f AS (SELECT 'p' || l_partkey AS path, l_linenumber AS line, l_returnflag AS type, l_linestatus AS rule, CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity > 20 THEN 1 ELSE 0 END AS s, l_suppkey % 3 AS engine FROM lineitem)
+ SELECT path, line, type, list_extract(['info', 'attention', 'risk'], max(s) + 1) AS severity, string_agg(DISTINCT 'e' || engine, ',' ORDER BY 'e' || engine) AS engines, CASE WHEN count(DISTINCT engine) > 1 THEN 'confirmed' ELSE 'single source' END AS label FROM f GROUP BY path, line, type, rule""")
+def finding_fusion(spark, sf_dir):
+    """Findings that several engines report at one place for one rule, as one."""
+    severity = F.when(F.col("l_quantity") > 40, "risk").when(F.col("l_quantity") > 20, "attention").otherwise("info")
+    engine = F.concat(F.lit("e"), (F.col("l_suppkey") % 3).cast("string"))
+    reported = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("type"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("rule"),
+        F.col("l_linestatus").alias("title"), severity.alias("severity"), engine.alias("engine"), (F.col("l_suppkey") % 3).alias("engine_ord"), F.col("l_orderkey").alias("fact_ord"),
+    )
+    return fusion.fuse_findings(reported).select("path", "line", "type", "severity", F.array_join("engines", ",").alias("engines"), "label")
