@@ -1,5 +1,7 @@
 """Column functions, sources and state on hand-written cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,46 @@ def test_revision_by_bucket(spark):
     files = spark.createDataFrame(rows, "path string, hash string")
     assert trees.revision(files).first().revision == want == trees.revision(files.repartition(7)).first().revision
     assert "s8_corpus_revision_by_bucket" in registry.QUERIES
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_transitive_is_the_shortest_way_without_repeats(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(9), rng.randrange(9)) for _ in range(16)] + [(3, 3), (0, 4), (4, 0)]
+    want: dict[int, int] = {}
+
+    def walk(way):
+        if len(way) >= 2:
+            want[way[-1]] = min(want.get(way[-1], 99), len(way))
+        if len(way) < 8:
+            for s, t in edges:
+                if t == way[-1] and s not in way:
+                    walk([*way, s])
+
+    for s, t in edges:
+        if t == 0:
+            walk([s])
+    got = graph.transitive(spark.createDataFrame([*edges, (None, 1)], "source long, target long"), 0)
+    assert {r.node: r.depth for r in got.collect()} == want
+
+
+def test_upper_median_of_keys_over_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice((1.0, 1.0, rng.random()))) for k in ("a", "b", None) for _ in range(501)] + [("c", 2.0), ("d", None), ("e", 1.0), ("e", 3.0)]
+    got = {r.k: (r.median, r.n) for r in relational.upper_median(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    values: dict = {}
+    for k, v in rows:
+        values.setdefault(k, []).extend([] if v is None else [v])
+    assert got == {k: (sorted(v)[len(v) // 2], len(v)) for k, v in values.items() if v}
+
+
+def test_first_of_each(spark):
+    rows = [(i % 3, i) for i in range(400)]
+    got = relational.first_of_each(spark.createDataFrame(rows, "k long, id long"), "k", 5, "id", deal="id")
+    assert sorted((r.k, r.id, r.place_) for r in got.collect()) == [(k, k + 3 * j, j + 1) for k in range(3) for j in range(5)]
+
+
+def test_alias_groups_follow_long_chains(spark):
+    rows = [("p", [f"i{n:03d}", f"i{n + 1:03d}"]) for n in range(40)] + [("q", ["i003", "x"]), ("p", ["z"])]
+    got = fusion.alias_groups(spark.createDataFrame(rows, "package string, ids array<string>"))
+    assert sorted({(r.package, r.group) for r in got.collect()}) == [("p", "p|i000"), ("p", "p|z"), ("q", "q|i003")]

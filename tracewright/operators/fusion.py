@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewright.functions import labels
+from tracewright.operators.graph import kept
 
 
 def identity(*parts: Column) -> Column:
@@ -94,21 +95,20 @@ def alias_groups(advisories: DataFrame) -> DataFrame:
     """Advisories of one package version that share an id or alias, directly or through others, as one group.
 
     Groups are connected components of the id graph of a package version: (package, ids array) gain group, the least id
-    of the component. Unlike a greedy merge the result does not depend on order.
+    of the component. Unlike a greedy merge the result does not depend on order. A round takes the least group met through
+    shared ids, then that group's own least, so that chains shorten by more than a link a round.
     """
     rows = advisories.withColumn("row", F.sha2(F.concat_ws("|", "package", F.array_join(F.array_sort("ids"), ",")), 256))
     node = F.concat_ws("|", "package", "id")
-    pairs = rows.select("package", "row", F.explode("ids").alias("id")).select("row", node.alias("node")).distinct()
-    group = pairs.groupBy("row").agg(F.min("node").alias("group"))
-    from tracewright.operators.graph import kept
-
-    while True:
-        least = pairs.join(group, "row").groupBy("node").agg(F.min("group").alias("low"))
-        new = kept(pairs.join(least, "node").groupBy("row").agg(F.min("low").alias("group")))
-        changed = new.alias("n").join(group.alias("g"), "row").filter("n.group != g.group").isEmpty()
+    pairs = kept(rows.select("package", "row", F.explode("ids").alias("id")).select("row", node.alias("node")).distinct())
+    group, settled = kept(pairs.groupBy("row").agg(F.min("node").alias("group"))), False
+    while not settled:
+        least = kept(pairs.join(group, "row").groupBy("node").agg(F.min("group").alias("low")))
+        near = pairs.join(least, "node").groupBy("row").agg(F.min("low").alias("near"))
+        far = least.select(F.col("node").alias("near"), F.col("low").alias("group"))
+        new = kept(near.join(far, "near").select("row", "group"))
+        settled = new.alias("n").join(group.alias("g"), "row").filter("n.group != g.group").isEmpty()
         group = new
-        if changed:
-            break
     return rows.join(group, "row").drop("row")
 
 

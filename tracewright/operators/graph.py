@@ -8,6 +8,7 @@ lost executor costs one level. Only counts reach the driver.
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,15 +36,16 @@ def confident(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("confidence").isin("high", "medium"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, backwards: bool = False, both: bool = False) -> DataFrame:
-    """(seed, node, depth) for nodes within ``depth`` hops of each seed (the seed itself at 0), by least depth."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, backwards: bool = False, both: bool = False) -> DataFrame:
+    """(seed, node, depth) for nodes within ``depth`` hops of each seed (the seed itself at 0), by least depth; with None
+    for all nodes that can be reached."""
     step = edges.select(F.col("source").alias("at"), F.col("target").alias("next"))
     turned = edges.select(F.col("target").alias("at"), F.col("source").alias("next"))
     step = step.union(turned) if both else turned if backwards else step
     step = kept(step.filter("at is not null and next is not null").distinct())
     seen = kept(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     front = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         front = front.join(step, front["node"] == step["at"]).select("seed", F.col("next").alias("node")).distinct()
         front = kept(front.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
@@ -58,7 +60,12 @@ def blast(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 6)
     Every dependent counts (no cap), at its least depth.
     """
     used = confident(edges)
-    affected = kept(reach(used, seeds, depth, backwards=True))
+    return scored(reach(used, seeds, depth, backwards=True), used, nodes)
+
+
+def scored(reached: DataFrame, used: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The counts, score and risk of each seed from what it reaches (seed, node, depth) over the used edges."""
+    affected = kept(reached)
     ahead = affected.join(used, F.col("node") == F.col("source")).select("seed", F.col("target").alias("id")).distinct()
     typed = ahead.join(nodes.select("id", "type"), "id")
     outer = typed.groupBy("seed").agg(F.count_if(F.col("type") == "table").alias("tables"), F.count_if(F.col("type").isin("external_service", "environment_variable")).alias("services"))
@@ -75,25 +82,31 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     return reached.join(used, F.col("node") == F.col("source")).select("seed", "edge_id", "source", "target", "type", (F.col("depth") + 1).alias("hop"))
 
 
-TRANSITIVE_SQL = """
-WITH RECURSIVE walk(node, depth, visited) AS (
-  SELECT source, 1, array(source) FROM {edges} WHERE target = {root}
-  UNION ALL
-  SELECT e.source, w.depth + 1, array_append(w.visited, e.source) FROM walk w JOIN {edges} e ON e.target = w.node
-  WHERE w.depth < 8 AND NOT array_contains(w.visited, e.source))
-SELECT node, min(depth) AS depth FROM walk WHERE depth >= 2 GROUP BY node"""
+def transitive(edges: DataFrame, root: int, most: int = 8) -> DataFrame:
+    """Nodes that depend on the root over two to ``most`` steps without repeats, with the least such depth; the root itself
+    may appear through a cycle.
 
-
-def transitive(edges: DataFrame, root: int) -> DataFrame:
-    """Nodes that depend on the root over two to eight steps without repeats, with the least such depth; the root itself
-    may appear through a cycle. For sparse edges: a recursive query that follows single walks."""
-    name = f"edges_{uuid.uuid4().hex[:8]}"
-    edges.createOrReplaceTempView(name)
-    return edges.sparkSession.sql(TRANSITIVE_SQL.format(edges=name, root=int(root)))
+    A way to a node without repeats starts at another direct dependent, so the nearest of those decides. Every node keeps
+    its two nearest direct dependents: one of them is not the node itself. At most two rows a node, however many ways.
+    """
+    whole = edges.filter("source is not null and target is not null")
+    step = kept(whole.select(F.col("target").alias("at"), F.col("source").alias("next")).distinct())
+    front = kept(step.filter(F.col("at") == root).select(F.col("next").alias("node"), F.col("next").alias("origin"), F.lit(1).alias("depth")))
+    seen = front
+    for depth in range(2, most + 1):
+        met = front.join(step, front["node"] == step["at"]).select(F.col("next").alias("node"), "origin").join(seen, ["node", "origin"], "left_anti")
+        met = met.groupBy("node").agg(F.min("origin").alias("one"), F.max("origin").alias("two"))
+        met = met.join(seen.groupBy("node").agg(F.count(F.lit(1)).alias("held")), "node", "left").filter("held is null or held < 2")
+        origins = F.when(F.col("held").isNull(), F.array_distinct(F.array("one", "two"))).otherwise(F.array("one"))
+        front = kept(met.select("node", F.explode(origins).alias("origin"), F.lit(depth).alias("depth")))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    return seen.filter("depth >= 2").groupBy("node").agg(F.min("depth").alias("depth"))
 
 
-def descendants(parents: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """(seed, node): closure of parent links (id, parent) under the seeds, themselves included."""
+def descendants(parents: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, node): closure of parent links (id, parent) under the seeds, themselves included, to any depth unless given."""
     return reach(parents.select(F.col("parent").alias("source"), F.col("id").alias("target")), roots, depth).select("seed", "node")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewright.functions import labels
+from tracewright.operators.graph import kept
 
 #: Symbol kinds in the order in which listings show them.
 KIND_ORDER = ("route", "controller", "class", "component", "function", "method", "table", "model", "external_service", "module")
@@ -53,12 +54,29 @@ def first_per(rows: DataFrame, key: list[str], *order: Column | str) -> DataFram
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Of each key the value at index floor(n / 2) of the ascending order, from exact value counts: equal values meet
-    first, and running counts go over distinct values."""
+    """Of each key the value at index floor(n / 2) of the ascending order, from exact value counts.
+
+    Equal values meet first. Counts are dealt by ranges of (key, value), so that a key with many values spans many tasks;
+    running sums over the ranges name the one that holds the median, and only its values are looked through.
+    """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).count()
+    counts = kept(counts.repartitionByRange(key, value).withColumn("range_", F.spark_partition_id()))
+    ahead = W.partitionBy(key).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.groupBy(key, "range_").agg(F.sum("count").alias("held_"))
+    sums = sums.withColumn("before_", F.coalesce(F.sum("held_").over(ahead), F.lit(0))).withColumn("n", F.sum("held_").over(W.partitionBy(key)))
+    holding = sums.filter("before_ <= floor(n / 2) and before_ + held_ > floor(n / 2)").select(F.col(key).alias("key_"), F.col("range_").alias("at_"), "before_", "n")
+    met = counts.join(holding, F.col(key).eqNullSafe(F.col("key_")) & (F.col("range_") == F.col("at_")))
     run = W.partitionBy(key).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    places = counts.withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(W.partitionBy(key)))
-    return places.filter("upto > floor(n / 2)").groupBy(key).agg(F.min(value).alias("median"), F.max("n").alias("n"))
+    upto = met.withColumn("upto_", F.col("before_") + F.sum("count").over(run))
+    return upto.filter("upto_ > floor(n / 2)").groupBy(key).agg(F.min(value).alias("median"), F.max("n").alias("n"))
+
+
+def first_of_each(rows: DataFrame, key: str, most: Column | int, *order: str, deal: str) -> DataFrame:
+    """The first rows of each key by an order that ends with a unique column, with their number in place_. Rows are first
+    numbered within 64 parts of their key (by the column ``deal``), so that no window holds more than ``most`` from each."""
+    part = F.pmod(F.xxhash64(deal), F.lit(64))
+    some = rows.withColumn("place_", F.row_number().over(W.partitionBy(key, part).orderBy(*order))).filter(F.col("place_") <= most)
+    return some.withColumn("place_", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("place_") <= most)
 
 
 def contained(points: DataFrame, ranges: DataFrame, bucket: int = 64) -> DataFrame:
