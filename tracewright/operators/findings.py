@@ -26,17 +26,18 @@ def duplicate_content(files: DataFrame) -> DataFrame:
     return groups.select("digest", "copies", "first_doc", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("docs"))
 
 
-def resolve_imports(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows with path and import gain target: the first candidate among the known paths, or null."""
-    names = [c for c in links.columns]
-    asked = links.select("path", "import").distinct().select("path", "import", F.posexplode(paths.import_candidates(F.col("path"), F.col("import"))).alias("place", "known"))
-    best = asked.join(known.select("known").distinct(), "known").groupBy("path", "import").agg(F.min_by("known", "place").alias("target"))
-    return links.join(best, ["path", "import"], "left").select(*names, "target")
+def resolve_imports(links: DataFrame, known: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with path and import gain target: the first candidate among the known paths, or null. With ``within``, columns
+    of both, only among the known paths that are equal in them."""
+    names, own = links.columns, [*within, "path", "import"]
+    asked = links.select(*own).distinct().select(*own, F.posexplode(paths.import_candidates(F.col("path"), F.col("import"))).alias("place", "known"))
+    best = asked.join(known.select(*within, "known").distinct(), [*within, "known"]).groupBy(*own).agg(F.min_by("known", "place").alias("target"))
+    return links.join(best, own, "left").select(*names, "target")
 
 
-def unresolved_imports(links: DataFrame, known: DataFrame) -> DataFrame:
+def unresolved_imports(links: DataFrame, known: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Relative imports that no known path answers."""
-    return resolve_imports(links, known).filter(F.col("import").startswith(".") & F.col("target").isNull()).drop("target")
+    return resolve_imports(links, known, within).filter(F.col("import").startswith(".") & F.col("target").isNull()).drop("target")
 
 
 def also_changed(expected: Column, actual: Column) -> Column:

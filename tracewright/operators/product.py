@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tracewright.functions import paths, text
+from tracewright.operators import findings
 
 # What a service is recognised by, what a query's word also stands for, which nodes imply which edges.
 SERVICES = {
@@ -60,6 +61,8 @@ CLIENTS = r"\b(?:createClient|new\s+PrismaClient|new\s+PDO)\b"
 LARGE_LINES = 500
 #: Characters of a symbol's edge text after which no more edges are added, and evidence kept for a feature.
 EDGE_TEXT, EVIDENCE = 500, 20
+#: Dependencies of a manifest, in its order, that are looked for in the other files.
+DEPENDENCIES = 12
 
 
 def services(texts: Column) -> Column:
@@ -178,22 +181,51 @@ def clusters(told: DataFrame) -> DataFrame:
 
 
 def file_findings(files: DataFrame) -> DataFrame:
-    """Findings of each project: project, type, severity, path (null for the project's own), n. files: project, path,
-    language, content."""
+    """Findings of each project by nine rules: project, type, severity, path (null for the project's own), n. files:
+    project, path, language, content."""
     kept = files.filter(paths.is_runtime(F.col("path")))
     count = lambda pattern: F.regexp_count("content", F.lit(pattern)).cast("long")
     found = lambda kind, severity, n: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), n.cast("long").alias("n"))
     lines = text.line_count(F.col("content"))
     secret = ~F.col("path").rlike(r"(?i)(^|/)(?:\.env(?:\.|$)|README|CHANGELOG)") & F.col("content").rlike(CREDENTIAL)
-    own = F.array_compact(F.array(F.when(count(NOTES) >= 4, found("implementation_notes", "info", count(NOTES))), F.when(secret, found("possible_secret", "risk", F.lit(1))), F.when(lines > LARGE_LINES, found("large_file", "attention", lines))))
+    auth = F.when(paths.role(F.col("path"), F.col("content")) == "authentication", found("sensitive_system", "attention", F.lit(1)))
+    own = F.array_compact(F.array(auth, F.when(count(NOTES) >= 4, found("implementation_notes", "info", count(NOTES))), F.when(secret, found("possible_secret", "risk", F.lit(1))), F.when(lines > LARGE_LINES, found("large_file", "attention", lines))))
     single = kept.select("project", "path", F.explode(own).alias("f")).select("project", "f.type", "f.severity", "path", "f.n")
     same = kept.groupBy("project", F.sha2("content", 256).alias("digest")).agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same = same.select("project", F.lit("duplicate_content").alias("type"), F.lit("info").alias("severity"), "path", "n")
     sums = kept.filter("language != 'Markdown'").groupBy("project").agg(F.sum(count(ENVIRONMENT)).alias("e"), F.sum(count(CLIENTS)).alias("c"))
     whole = sums.select("project", F.explode(F.array_compact(F.array(F.when(F.col("e") > 12, found("environment_surface", "info", F.col("e"))), F.when(F.col("c") > 3, found("repeated_client_setup", "info", F.col("c")))))).alias("f"))
+    unused = unused_dependencies(files).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("possible_unused_dependency").alias("type"), F.lit("info").alias("severity"), "path", "n")
+    single = single.unionByName(unresolved(files)).unionByName(unused)
     return single.unionByName(same).unionByName(whole.select("project", "f.type", "f.severity", F.lit(None).cast("string").alias("path"), "f.n"))
 
 
+def unresolved(files: DataFrame) -> DataFrame:
+    """Relative imports of runtime files that no file of their project answers, in the columns of ``file_findings``; n is
+    how many of a file's imports are so."""
+    kept = files.filter(paths.is_runtime(F.col("path")))
+    links = kept.select("project", "path", F.explode(text.imports(F.col("path"), F.col("content"))).alias("import")).filter(F.col("import").startswith("."))
+    open_ = findings.unresolved_imports(links, kept.select("project", F.col("path").alias("known")), ("project",))
+    return open_.groupBy("project", "path").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("unresolved_local_import").alias("type"), F.lit("attention").alias("severity"), "path", "n")
+
+
+def unused_dependencies(files: DataFrame) -> DataFrame:
+    """(project, path, dependency): the first DEPENDENCIES names of each package.json, of its dependencies and then its
+    devDependencies, that the project's other runtime files do not mention. Prose files are not looked through."""
+    kept = files.filter(paths.is_runtime(F.col("path")) & (F.col("language") != "Markdown"))
+    manifest = F.from_json("content", "dependencies map<string, string>, devDependencies map<string, string>")
+    none = F.array().cast("array<string>")
+    names = F.array_distinct(F.concat(*(F.coalesce(F.map_keys(manifest[g]), none) for g in ("dependencies", "devDependencies"))))
+    asked = kept.filter(paths.base_name(F.col("path")) == "package.json").select("project", "path", F.explode(F.slice(names, 1, DEPENDENCIES)).alias("dependency")).filter("dependency != ''")
+    # a project's few names go to each of its files, so that every text is read once where it lies
+    lists = asked.groupBy("project").agg(F.collect_set("dependency").alias("names"))
+    told = kept.join(lists, "project").select("project", F.col("path").alias("by"), F.explode(F.filter("names", lambda n: F.contains("content", n))).alias("dependency"))
+    # some other file does if the least or the greatest path is another one
+    ends = told.groupBy("project", "dependency").agg(F.min("by").alias("one"), F.max("by").alias("two"))
+    met = asked.join(ends, ["project", "dependency"], "left")
+    return met.filter(F.coalesce((F.col("one") == F.col("path")) & (F.col("two") == F.col("path")), F.lit(True))).select("project", "path", "dependency")
+
+
 def known_aliases(query: Column) -> Column:
     """The synonyms of a known query, else null."""
     known = F.create_map(*[x for names, words in ALIAS_GROUPS for k in names for x in (F.lit(k), F.array(*map(F.lit, words)))])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracewright.functions import paths, text
 from tracewright.operators import product
 from tracewright.plans.base import ENDINGS, query, table
+from tracewright.plans.files import _ROLE
 
 CODE = (
     "import React from 'react'", "const next = require('next/router')", "from fastapi import FastAPI", "from django.db import models", "import flask", "import { Module } from '@nestjs/common'",
@@ -149,15 +150,27 @@ def clusters(spark, sf_dir):
 _COUNT = lambda pattern: "len(regexp_extract_all(content, '{}'))".format(pattern.replace("'", "''"))
 
 
-@query("e16_project_findings", f"""WITH {CODE_SQL}, f AS (SELECT * FROM code WHERE runtime)
+_E16_SQL = f"""{CODE_SQL}, f AS (SELECT page_id, project, path, base, ext, language, CASE WHEN page_id % 29 IN (0, 6) THEN content ELSE content || chr(10) || 'import a from ' || chr(39) || './f' || (page_id + 7) || chr(39) END AS content FROM code WHERE runtime),
+ links AS (SELECT project, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, unnest(list_distinct(regexp_extract_all(content, CASE WHEN ext IN ('js', 'jsx', 'ts', 'tsx', 'vue', 'svelte') THEN '{text.IMPORTS[0][1].replace("'", "''")}' WHEN ext = 'php' THEN '{text.IMPORTS[1][1].replace("'", "''")}' WHEN ext = 'py' THEN '{text.IMPORTS[2][1]}' ELSE '(never)^' END, 1))) AS import FROM f),
+ open_ AS (SELECT project, path FROM links l WHERE import LIKE '.%' AND NOT EXISTS (SELECT 1 FROM f, (SELECT unnest({_list(paths.IMPORT_ENDINGS)}) AS e) WHERE f.project = l.project AND f.path = l.folder || '/' || substr(l.import, 3) || e)),
+ asked AS (SELECT DISTINCT project, path, unnest(CASE WHEN json_valid(content) THEN list_concat(coalesce(json_keys(content, '$.dependencies'), []), coalesce(json_keys(content, '$.devDependencies'), [])) ELSE [] END) AS dependency FROM f WHERE base = 'package.json')"""
+
+
+@query("e16_project_findings", f"""WITH {_E16_SQL}
  SELECT project, 'implementation_notes' AS type, 'info' AS severity, path, {_COUNT(product.NOTES)}::BIGINT AS n FROM f WHERE {_COUNT(product.NOTES)} >= 4
+ UNION ALL SELECT project, 'sensitive_system', 'attention', path, 1 FROM f WHERE {_ROLE} = 'authentication'
  UNION ALL SELECT project, 'possible_secret', 'risk', path, 1 FROM f WHERE NOT regexp_matches(path, '(?i)(^|/)(\\.env(\\.|$)|README|CHANGELOG)') AND regexp_matches(content, '{product.CREDENTIAL}')
  UNION ALL SELECT project, 'large_file', 'attention', path, len(string_split(content, chr(10))) FROM f WHERE len(string_split(content, chr(10))) > {product.LARGE_LINES}
+ UNION ALL SELECT project, 'unresolved_local_import', 'attention', path, count(*) FROM open_ GROUP BY ALL
+ UNION ALL SELECT project, 'possible_unused_dependency', 'info', path, count(*) FROM asked a WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project = a.project AND f.path <> a.path AND language <> 'Markdown' AND contains(content, a.dependency)) GROUP BY ALL
  UNION ALL SELECT project, 'duplicate_content', 'info', min(path), count(*) FROM f GROUP BY project, content HAVING count(*) > 1
  UNION ALL SELECT project, 'environment_surface', 'info', NULL, sum({_COUNT(product.ENVIRONMENT)})::BIGINT FROM f WHERE language <> 'Markdown' GROUP BY 1 HAVING sum({_COUNT(product.ENVIRONMENT)}) > 12
  UNION ALL SELECT project, 'repeated_client_setup', 'info', NULL, sum({_COUNT(product.CLIENTS)})::BIGINT FROM f WHERE language <> 'Markdown' GROUP BY 1 HAVING sum({_COUNT(product.CLIENTS)}) > 3""")
 def project_findings(spark, sf_dir):
-    return product.file_findings(code_files(spark, sf_dir))
+    """The nine rules over files of which each but the manifests also imports a neighbour that may not exist."""
+    neighbour = F.concat(F.lit("\nimport a from './f"), (F.col("page_id") + 7).cast("string"), F.lit("'"))
+    content = F.when((F.col("page_id") % 29).isin(0, 6), F.col("content")).otherwise(F.concat("content", neighbour))
+    return product.file_findings(code_files(spark, sf_dir).withColumn("content", content))
 
 
 # G3: synonym groups
