@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans import code, files, graph, impact, more, relational, rules  # noqa: F401  (their queries register themselves)
+from tracewright.plans import code, enrich, files, graph, impact, more, relational, rules  # noqa: F401  (their queries register themselves)
 from tracewright.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "e1_e6_symbol_fusion"
