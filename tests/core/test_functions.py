@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import labels, paths, text
-from tracewright.operators import findings, fusion, graph, providers, relational
+from tracewright.operators import enrich, findings, fusion, graph, impact, providers, relational
 from tracewright.sources import reports, snapshots, trees
 from tracewright.streaming import state
 
@@ -52,7 +52,8 @@ def test_text(spark):
     assert [f.kind for f in one(spark, text.control_facts(F.lit("if (isValid) return redirect(1)")))] == ["validation", "condition", "return", "redirect"]
     assert [f.target for f in one(spark, text.ui_facts(F.lit("onClick={() => axios.post('/api/x')}")))] == ["ui:onclick", "http:POST /api/x"]
     assert one(spark, text.excerpt(F.lit("a \n  b" + "c" * 400))).endswith("...") and len(one(spark, text.excerpt(F.lit("a" * 301)))) == 300
-    assert one(spark, text.is_analysis_code(F.lit("AnalyzerResult addSymbol (x)"))) and not one(spark, text.is_analysis_code(F.lit("addSymbol(")))
+    own = (r"\bMyResult\b", r"\baddFact\s*\(")
+    assert one(spark, text.is_analysis_code(F.lit("MyResult addFact (x)"), own)) and not one(spark, text.is_analysis_code(F.lit("addFact("), own)) and not one(spark, text.is_analysis_code(F.lit("MyResult addFact (x)")))
 
 
 def test_labels(spark):
@@ -274,3 +275,32 @@ def test_alias_groups_follow_long_chains(spark):
     rows = [("p", [f"i{n:03d}", f"i{n + 1:03d}"]) for n in range(40)] + [("q", ["i003", "x"]), ("p", ["z"])]
     got = fusion.alias_groups(spark.createDataFrame(rows, "package string, ids array<string>"))
     assert sorted({(r.package, r.group) for r in got.collect()}) == [("p", "p|i000"), ("p", "p|z"), ("q", "q|i003")]
+
+
+def test_idle_services_go_with_their_edges(spark):
+    lines = ["fetch('https://a.io')", "// fetch('https://b.io')", "plain words", "/* open", "fetch('https://c.io')", "*/", "base_host = 'http://d.io'"]
+    files = spark.createDataFrame([("src/a.ts", "\n".join(lines)), ("docs/a.ts", "fetch('x')"), ("src/b.py", "'''\nrequests.get(u)\n'''\nrequests.get(u)")], "path string, content string")
+    at = [(1, "src/a.ts", 1), (2, "src/a.ts", 2), (3, "src/a.ts", 3), (5, "src/a.ts", 5), (6, "src/a.ts", 7), (7, "docs/a.ts", 1), (8, "src/b.py", 2), (9, "src/b.py", 4), (10, "gone.ts", 1), (11, "src/a.ts", 99)]
+    symbols = spark.createDataFrame([(i, p, "external_service", "a.io", n) for i, p, n in at] + [(12, "src/a.ts", "external_service", "example.com", 1), (13, "docs/a.ts", "class", "C", 1)], "id long, path string, type string, name string, start_line int")
+    edges = spark.createDataFrame([(13, 1), (13, 2), (3, 13), (9, 1), (13, None)], "source long, target long")
+    kept, left = enrich.without_idle_services(symbols, edges, files)
+    assert sorted(r.id for r in kept.collect()) == [1, 6, 9, 13]
+    assert sorted((r.source, r.target or 0) for r in left.collect()) == [(9, 1), (13, 0), (13, 1)]
+
+
+def test_derived_facts_keep_to_both_budgets(spark):
+    facts = [("p", 1, "a", n, "READ", "reads_table", t) for n, t in enumerate(("Old", "x", "y", "z", "X", "old"), 1)] + [("p", 1, "a", n, "return", "returns", None) for n in range(7, 12)] * 2
+    schema = "project string, id long, path string, line int, kind string, relationship string, target string"
+    sizes = spark.createDataFrame([("p", 5, 1)], "project string, edges long, symbols long")
+    got = enrich.derived(spark.createDataFrame(facts, schema), sizes, spark.createDataFrame([("p", "old")], "project string, name string"), ((9, 1), (-1, 7)), ((9, 1), (-1, 2)))
+    assert [(r.line, r.derived) for r in sorted(got.collect(), key=lambda r: r.place_)] == [(1, False), (2, True), (3, True), (5, True), (6, False), (7, False), (8, False)]
+
+
+def test_targets_of_nothing_and_of_unknown_kinds(spark):
+    symbols = spark.createDataFrame([(1, None, "A", "m.A", "class", "a.ts"), (2, 1, "b", "m.A.b", "method", "a.ts"), (3, 2, "c", None, "method", "other.ts"), (4, None, "a.ts", None, "module", "a.ts")], "id long, parent long, name string, qualified_name string, type string, path string")
+    routes = spark.createDataFrame([("GET", "/x", "a.ts", 2), ("POST", "/x", "a.ts", None)], "method string, route_path string, path string, handler long")
+    found = impact.targets(symbols, routes, [("symbol", "a"), ("symbol", "nowhere"), ("route", "get /X"), ("route", "post /x"), ("table", "a")])
+    assert sorted((r.target, r.id) for r in found.collect()) == [(0, 1), (0, 2), (0, 4), (2, 2)]
+    assert impact.targets(symbols, routes, []).isEmpty()
+    with pytest.raises(ValueError):
+        impact.targets(symbols, routes, [("word", "a")])

@@ -51,14 +51,6 @@ CONTROL_FACTS = (
     ("error handling", "handles_error", r"(?i)\bcatch\s*\(|\bexcept\b"),
     ("success", "success_path", r"(?i)\b(?:success|completed|ok\s*[:=]|status\s*[:=]\s*2\d\d)\b"),
 )
-IMPLEMENTATION = (
-    r"\b(?:AnalyzerProviderInterface|AnalysisRequest|AnalyzerResult)\b",
-    r"\b(?:addSymbol|addRelationship|addRoute)\s*\(",
-    r"(?i)\b(?:symbol_graph|engine_runs|EvidenceFusion)\b",
-    r"\b(?:discoverFiles|extractSymbols|detectFeatures|matchingPaths)\b",
-    r"\b(?:code_symbols|symbol_relationships|code_routes)\b",
-    r"(?i)\b(?:analysis provider|runtime evidence|confidence label)\b",
-)
 DETECTOR = (
     r"(?i)\b(?:preg_match(?:_all)?|regex|regexp|[A-Za-z0-9_]*(?:pattern|matcher|detector|signal)[A-Za-z0-9_]*|needles?|rule[_-]?id)\b",
     r"(?i)[\"'][^\"']*(?:stripe|supabase|firebase|openai|anthropic|cloudflare|sentry|mongodb|kubernetes)[^\"']*[\"']",
@@ -126,8 +118,9 @@ def excerpt(line: Column) -> Column:
     return F.when(F.length(flat) > 300, F.concat(F.substring(flat, 1, 297), F.lit("..."))).otherwise(flat)
 
 
-def is_analysis_code(content: Column, patterns: tuple[str, ...] = IMPLEMENTATION) -> Column:
-    """Whether at least two of the patterns occur: code that analyses others mentions what it looks for."""
+def is_analysis_code(content: Column, patterns: tuple[str, ...] = ()) -> Column:
+    """Whether at least two of the patterns occur: code that analyses others mentions what it looks for. The patterns are
+    the names of one's own analysis code; without any no text is such code."""
     return sum((content.rlike(p).cast("int") for p in patterns), F.lit(0)) >= 2
 
 

@@ -1,4 +1,7 @@
-"""Services that source files use, told by the lines that mention them, and facts of lines under a budget."""
+"""Services that source files use, told by the lines that mention them, and facts of lines under a budget.
+
+``analysis`` are patterns of code that analyses code, whose texts tell nothing: see ``text.is_analysis_code``.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ def _deployed(base: Column, needle: str) -> Column:
     return F.lit(False)
 
 
-def service_uses(files: DataFrame) -> DataFrame:
+def service_uses(files: DataFrame, analysis: tuple[str, ...] = ()) -> DataFrame:
     """(id, path, service, line, needles): services that a runtime file uses, with the first line that holds the first of
     the needles that told so. files: id, path, content.
 
@@ -43,7 +46,7 @@ def service_uses(files: DataFrame) -> DataFrame:
     """
     any_needle = "(?i)" + "|".join(rf"\Q{n}\E" for *_, n in NEEDLES)
     base = F.lower(paths.base_name(F.col("path")))
-    kept = files.filter(paths.is_runtime(F.col("path")) & ~base.rlike(LOCKED) & F.col("content").rlike(any_needle)).filter(~text.is_analysis_code(F.col("content")))
+    kept = files.filter(paths.is_runtime(F.col("path")) & ~base.rlike(LOCKED) & F.col("content").rlike(any_needle)).filter(~text.is_analysis_code(F.col("content"), analysis))
     rows = kept.select("id", "path", F.posexplode(text.lines(F.col("content"))).alias("at", "line"))
     before = W.partitionBy("id", "path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     upto = lambda *marks: F.coalesce(F.sum(sum((F.regexp_count("line", F.lit(rf"\Q{m}\E")) for m in marks), F.lit(0))).over(before), F.lit(0))
@@ -66,7 +69,7 @@ def service_uses(files: DataFrame) -> DataFrame:
     return found.select("id", "path", "service", "line", F.transform("w", lambda x: x.needle).alias("needles"))
 
 
-def without_idle_services(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def without_idle_services(symbols: DataFrame, edges: DataFrame, files: DataFrame, analysis: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Symbols and edges without the services that no running code refers to. symbols: id, path, type, name, start_line;
     edges: source, target; files: path, content (a path once). A service stays if the line it starts on is runtime code,
     outside comments, and calls or names an address; all edges from or to the others go with them."""
@@ -78,17 +81,17 @@ def without_idle_services(symbols: DataFrame, edges: DataFrame, files: DataFrame
     opened = F.when(F.col("path").rlike(r"(?i)\.py$"), (times('"""') + times("'''")) % 2 == 1).otherwise(times("/*") > times("*/"))
     name = F.lower(F.trim("name"))
     named = (name != "") & ~name.rlike(r"[{}$\u201c\u201d]") & ~name.isin("example.com", "example.org", "example.net", "test", "https://")
-    runs = paths.is_runtime_behavior(F.col("path")) & ~text.is_analysis_code(F.coalesce("content", F.lit(""))) & named & line.rlike(r"\S") & ~line.rlike(COMMENT) & ~text.is_detector(line) & ~opened & (line.rlike(CALL) | line.rlike(HOST))
+    runs = paths.is_runtime_behavior(F.col("path")) & ~text.is_analysis_code(F.coalesce("content", F.lit("")), analysis) & named & line.rlike(r"\S") & ~line.rlike(COMMENT) & ~text.is_detector(line) & ~opened & (line.rlike(CALL) | line.rlike(HOST))
     idle = rows.filter(~F.coalesce(runs, F.lit(False))).select("id").distinct()
     of = lambda end: idle.select(F.col("id").alias(end))
     return symbols.join(idle, "id", "left_anti"), edges.join(of("source"), "source", "left_anti").join(of("target"), "target", "left_anti")
 
 
-def line_facts(files: DataFrame) -> DataFrame:
+def line_facts(files: DataFrame, analysis: tuple[str, ...] = ()) -> DataFrame:
     """(project, id, path, line, kind, relationship, target): operations on tables, control flow, events and requests of the
     lines of runtime code; of SQL files only the operations. files: project, id, path, content."""
     behaves = paths.is_runtime_behavior(F.col("path"))
-    kept = files.filter(paths.is_runtime(F.col("path")) & (behaves | F.col("path").rlike(r"(?i)\.sql$"))).filter(~text.is_analysis_code(F.col("content")))
+    kept = files.filter(paths.is_runtime(F.col("path")) & (behaves | F.col("path").rlike(r"(?i)\.sql$"))).filter(~text.is_analysis_code(F.col("content"), analysis))
     rows = kept.select("project", "id", "path", behaves.alias("behaves"), F.posexplode(text.lines(F.col("content"))).alias("at", "text_"))
     line, none = F.col("text_"), F.array().cast(text.FACT)
     facts = F.concat(text.table_facts(line), F.when(F.col("behaves"), F.concat(text.control_facts(line), text.ui_facts(line))).otherwise(none))

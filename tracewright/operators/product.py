@@ -134,12 +134,13 @@ def implied_edges(nodes: DataFrame) -> DataFrame:
     return held.select("project", F.explode(found).alias("e")).select("project", "e.source", "e.target", "e.label")
 
 
-def signals(symbols: DataFrame, edges: DataFrame, routes: DataFrame, files: DataFrame) -> DataFrame:
+def signals(symbols: DataFrame, edges: DataFrame, routes: DataFrame, files: DataFrame, analysis: tuple[str, ...] = ()) -> DataFrame:
     """What features are told by: of each symbol of a runtime path, id, path, content (null where the file is no source of
     signals), identity, edge_text and route_text.
 
     symbols: id, path, name, qualified_name; edges: source, ordinal, type, target_name, external_name; routes: handler,
-    route_path; files: path (not needed to be unique by project), page_id, content, joined by id.
+    route_path; files: path (not needed to be unique by project), page_id, content, joined by id. analysis: patterns of code
+    that analyses code, see ``text.is_analysis_code``.
     """
     low = F.lower(F.concat_ws(" ", "type", "target_name", "external_name"))
     said = edges.select("source", "ordinal", F.concat(F.lit(" "), low).alias("words"))
@@ -148,7 +149,7 @@ def signals(symbols: DataFrame, edges: DataFrame, routes: DataFrame, files: Data
     # short of EDGE_TEXT characters before its last edge, so a symbol's list is small
     said = said.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "words"))), lambda x: x.words), "").alias("edge_text"))
     to = routes.groupBy("handler").agg(F.array_join(F.array_sort(F.collect_set(F.lower("route_path"))), " ").alias("route_text"))
-    own = files.select(F.col("page_id").alias("id"), F.when(~text.is_analysis_code(F.col("content")), F.col("content")).alias("content"))
+    own = files.select(F.col("page_id").alias("id"), F.when(~text.is_analysis_code(F.col("content"), analysis), F.col("content")).alias("content"))
     met = symbols.filter(paths.is_runtime_behavior(F.col("path"))).join(own, "id", "left").join(said.withColumnRenamed("source", "id"), "id", "left").join(to.withColumnRenamed("handler", "id"), "id", "left")
     identity = F.lower(F.concat_ws(" ", "name", "qualified_name", "path"))
     return met.select("id", "path", "content", identity.alias("identity"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("edge_text", "route_text")))
