@@ -293,11 +293,12 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    ids = rows.groupBy("key", "page_id").agg(F.min(F.struct("url")).alias("u"), F.max(F.length("payload")).alias("payload_bytes"))
+    # a name in place of a null id: equal keys of join and window let one shuffle serve both
+    rows = rows.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    ids = rows.groupBy("key", "page").agg(F.min(F.struct("url")).alias("u"), F.min("page_id").alias("page_id"))
     firsts = ids.groupBy("key").agg(F.min(F.struct(F.isnull("page_id").alias("none"), "page_id", "u")).alias("first"))
-    decided = ids.join(firsts, "key").select(F.col("key").alias("k"), F.col("page_id").alias("id"), F.col("first.page_id").alias("first_id"), F.col("first.u.url").alias("refers_uri"))
-    met = rows.join(decided, (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("id")))
-    met = met.withColumn("copy", F.row_number().over(W.partitionBy("key", "page_id").orderBy("url")))
+    decided = ids.join(firsts, "key").select("key", "page", F.col("first.page_id").alias("first_id"), F.col("first.u.url").alias("refers_uri"))
+    met = rows.join(decided, ["key", "page"]).withColumn("copy", F.row_number().over(W.partitionBy("key", "page").orderBy("url")))
     named = lambda page_id, copy: F.concat_ws(":", F.lit("urn:page"), F.coalesce(page_id.cast("string"), F.lit("none")), copy.cast("string"), F.substring("key", 1, 16))
     size = F.length("payload")
     response = (size < min_bytes) | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1))
