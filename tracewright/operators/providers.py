@@ -46,5 +46,5 @@ class Registry:
 
 def default_registry() -> Registry:
     registry = Registry()
-    registry.add(Provider("native", PROFILES, lambda files: extract.symbols(extract.numbered(files)).withColumns({"confidence": F.lit("high"), "documentation": F.lit(False)})))
+    registry.add(Provider("native", PROFILES, lambda files: extract.symbols(extract.numbered(files)).withColumns({"documentation": F.lit(False)})))
     return registry

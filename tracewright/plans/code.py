@@ -4,47 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import extract, fusion, providers
 from tracewright.sources import reports, trees
 from tracewright.plans.base import query, table
 from tracewright.streaming import state
 
 
-def code_files(spark, sf_dir):
-    """A small class for every document, in PHP or Python by its number."""
-    d = F.col("doc_id").cast("string")
-    php = F.concat(F.lit("<?php\nclass A"), d, F.lit(" extends Base\n{\n  // new Nothing(\n  public function run"), d, F.lit("()\n  {\n    $x = new Item"), d, F.lit("();\n    $y = getenv('KEY_"), d, F.lit("');\n    return helper("), d, F.lit(");\n  }\n}\nfunction free"), d, F.lit("() { return fetch('SELECT a FROM t"), F.col("doc_id") % 5, F.lit("'); }\n"))
-    py = F.concat(F.lit("class A"), d, F.lit("(Base):\n    def run(self):\n        return os.getenv('KEY_"), d, F.lit("')\n\n@app.get('/items/"), d, F.lit("')\ndef free"), d, F.lit("():\n    return 1\n"))
-    even = F.col("doc_id") % 2 == 0
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/f"), d, F.when(even, ".php").otherwise(".py")).alias("path"), F.when(even, "PHP").otherwise("Python").alias("language"), F.when(even, php).otherwise(py).alias("content"))
-
-
-@query("x1_x3_symbols", """SELECT * FROM (SELECT 'src/f' || doc_id || '.php' AS path, unnest(['class', 'method', 'function']) AS type, unnest(['A' || doc_id, 'A' || doc_id || '.run' || doc_id, 'free' || doc_id]) AS qualified_name, unnest([2, 5, 12]) AS start_line, unnest([11, 10, 12]) AS end_line FROM documents WHERE doc_id % 2 = 0
- UNION ALL SELECT 'src/f' || doc_id || '.py', unnest(['class', 'method', 'function']), unnest(['A' || doc_id, 'A' || doc_id || '.run', 'free' || doc_id]), unnest([1, 2, 6]), unnest([4, 4, 8]) FROM documents WHERE doc_id % 2 = 1)""")
-def symbols(spark, sf_dir):
-    return extract.symbols(extract.numbered(code_files(spark, sf_dir))).select("path", "type", "qualified_name", "start_line", "end_line")
-
-
-@query("x1_x3_relationships", """SELECT 'src/f' || doc_id || '.php' AS path, unnest(['extends', 'instantiates', 'reads_env', 'uses_table']) AS type, unnest(['Base', 'Item' || doc_id, 'KEY_' || doc_id, 't' || doc_id % 5]) AS target_name, unnest([2, 7, 8, 12]) AS line_no FROM documents WHERE doc_id % 2 = 0
- UNION ALL SELECT 'src/f' || doc_id || '.py', unnest(['extends', 'reads_env']), unnest(['Base', 'KEY_' || doc_id]), unnest([1, 3]) FROM documents WHERE doc_id % 2 = 1""")
-def relationships(spark, sf_dir):
-    lines = extract.numbered(code_files(spark, sf_dir))
-    return extract.relationships(lines, extract.symbols(lines)).filter("type != 'calls'").select("path", "type", "target_name", "line_no")
-
-
-@query("x5_j12_routes", "SELECT 'src/f' || doc_id || '.py' AS path, 'GET' AS method, '/items/' || doc_id AS route, 'free' || doc_id AS handler FROM documents WHERE doc_id % 2 = 1")
-def routes(spark, sf_dir):
-    return extract.routes(extract.numbered(code_files(spark, sf_dir))).select("path", "method", "route", "handler")
-
-
-@query("x_providers_fused", "SELECT type, count(*) AS n, 'likely' AS label FROM (SELECT unnest(['class', 'method', 'function']) AS type FROM documents) GROUP BY 1")
-def fused(spark, sf_dir):
-    """From files through the registry's engines to fused symbols."""
-    facts = providers.default_registry().facts(code_files(spark, sf_dir), "maximum")
-    found = fusion.fuse_symbols(facts)
-    return found.groupBy("type", "label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("s10_semgrep_reports", "SELECT 'f' || (l_partkey % 100) AS path, CASE l_returnflag WHEN 'R' THEN 'risk' WHEN 'A' THEN 'attention' ELSE 'info' END AS severity, count(*) AS n, min(l_linenumber)::BIGINT AS line FROM lineitem GROUP BY ALL")
 def semgrep(spark, sf_dir):
     severity = F.when(F.col("l_returnflag") == "R", "ERROR").when(F.col("l_returnflag") == "A", "WARNING").otherwise("INFO")
