@@ -172,12 +172,6 @@ def test_throttle_batch_and_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/out")).select("event_id", "user_id", "failures", "locked").collect()} == want
 
 
-def test_job_states(spark):
-    log = [(1, 1, "enqueue", "quick"), (1, 2, "enqueue", "deep"), (1, 3, "claim", None), (1, 4, "enqueue", "maximum"), (1, 5, "finish", None), (1, 6, "finish", None), (1, 7, "enqueue", "quick"), (2, 1, "claim", None), (2, 2, "enqueue", "quick"), (2, 3, "fail", None), (2, 4, "claim", None), (2, 5, "fail", None)]
-    got = state.job_states(spark.createDataFrame(log, "project_id long, seq long, action string, profile string")).collect()
-    assert {tuple(r) for r in got} == {(1, 1, "completed", "deep", 3), (1, 7, "queued", "quick", 1), (2, 2, "failed", "quick", 1)}
-
-
 def test_distances_to_the_fix_point(spark, sf_dir):
     """Every node in reach has its distance, the far ones too."""
     import heapq

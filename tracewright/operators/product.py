@@ -83,7 +83,7 @@ def stack(files: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.select(F.expr("stack({}, {}) as (technology, files)".format(len(rules), ", ".join(f"'{n}', `{n}`" for n in rules)))).filter("files > 0")
 
 
-def detect(files: DataFrame, auth_by_role: bool = True) -> DataFrame:
+def detect(files: DataFrame) -> DataFrame:
     """Of each project: stack (in rule order) and nodes, its systems. files: project, path, language, content.
 
     One aggregate of existence tests a project; the ordered rules then read its single row.
@@ -106,7 +106,7 @@ def detect(files: DataFrame, auth_by_role: bool = True) -> DataFrame:
         "react": depends("react") | front & holds("react"), "vue": depends("vue") | (F.col("language") == "Vue"), "fastapi": python & holds("fastapi"), "django": low.contains("manage.py") | python & holds("django"),
         "flask": low.contains("src/flask/") | python & holds("flask"), "nest": depends("@nestjs/core") | front & holds("nest"), "express": depends("express") | front & holds("express"),
         "laravel": depends("laravel/framework", "composer.json") | low.contains("artisan"), "php": F.col("language") == "PHP", "supabase": live & holds("supabase"), "firebase": live & holds("firebase"),
-        "authjs": depends("next-auth") | depends("@auth/core"), "auth": auth | (paths.role(path, content) == "authentication") if auth_by_role else auth, "prisma": depends("@prisma/client") | low.contains("prisma/schema.prisma"),
+        "authjs": depends("next-auth") | depends("@auth/core"), "auth": auth | (paths.role(path, content) == "authentication"), "prisma": depends("@prisma/client") | low.contains("prisma/schema.prisma"),
         "drizzle": depends("drizzle-orm") | low.contains("packages/drizzle-orm/"), "database": holds("database"), "vercel": low.contains("vercel.json") | holds("vercel"), "docker": low.contains("dockerfile") | low.contains("docker-compose"),
     }
     kept = files.filter(paths.is_runtime(path) & (F.col("language") != "Markdown"))

@@ -46,11 +46,3 @@ def manifest_delta(spark, sf_dir):
 def throttle(spark, sf_dir):
     """Failures of each user in windows that start at the first one; tested against a plain fold."""
     return state.throttled(table(spark, sf_dir, "events"))
-
-
-@query("w1_job_states")
-def jobs(spark, sf_dir):
-    """Jobs from a log of requests; tested against a plain fold."""
-    action = F.create_map(*[F.lit(x) for pair in {"click": "enqueue", "view": "claim", "purchase": "finish", "error": "fail", "signup": "enqueue"}.items() for x in pair])[F.col("event_type")]
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), action.alias("action"), F.when(F.col("event_type") == "signup", "deep").otherwise("quick").alias("profile"))
-    return state.job_states(log)

@@ -86,7 +86,7 @@ _DETECT_SQL = f"""{CODE_SQL}, seen AS (SELECT project,
    WHEN {_DEPENDS("react")} OR {_has(_P["react"], _FRONT)} THEN 'React' WHEN {_DEPENDS("vue")} OR {_SPEAKS("Vue")} THEN 'Vue' END AS frontend,
   CASE WHEN {_has(_P["fastapi"], _PY)} THEN 'FastAPI' WHEN {_PATH("manage.py")} OR {_has(_P["django"], _PY)} THEN 'Django' WHEN {_PATH("src/flask/")} OR {_has(_P["flask"], _PY)} THEN 'Flask' WHEN {_DEPENDS("@nestjs/core")} OR {_has(_P["nest"], _FRONT)} THEN 'NestJS'
    WHEN {_DEPENDS("express")} OR {_has(_P["express"], _FRONT)} THEN 'Express' WHEN {_DEPENDS("laravel/framework", "composer.json")} OR {_PATH("artisan")} THEN 'Laravel' WHEN {_SPEAKS("PHP")} THEN 'PHP' END AS api,
-  {_has(_P["supabase"], _LIVE)} AS supabase, {_has(_P["firebase"], _LIVE)} AS firebase, {_DEPENDS("next-auth")} OR {_DEPENDS("@auth/core")} AS authjs, coalesce(bool_or(regexp_matches(path, '(?i)(^|/)(auth|authentication)([._/-]|$)')), false) AS auth,
+  {_has(_P["supabase"], _LIVE)} AS supabase, {_has(_P["firebase"], _LIVE)} AS firebase, {_DEPENDS("next-auth")} OR {_DEPENDS("@auth/core")} AS authjs, coalesce(bool_or(regexp_matches(path, '(?i)(^|/)(auth|authentication)([._/-]|$)') OR {_ROLE} = 'authentication'), false) AS auth,
   {_DEPENDS("@prisma/client")} OR {_PATH("prisma/schema.prisma")} AS prisma, {_DEPENDS("drizzle-orm")} OR {_PATH("packages/drizzle-orm/")} AS drizzle, {_has(_P["database"])} AS "database", {_PATH("vercel.json")} OR {_has(_P["vercel"])} AS vercel, {_PATH("dockerfile")} OR {_PATH("docker-compose")} AS docker
   FROM code WHERE runtime AND language <> 'Markdown' GROUP BY project)"""
 
@@ -95,7 +95,7 @@ _DETECT_SQL = f"""{CODE_SQL}, seen AS (SELECT project,
  CASE WHEN prisma THEN 'Prisma' END, CASE WHEN drizzle THEN 'Drizzle' END, CASE WHEN "database" THEN 'Database' END, CASE WHEN vercel THEN 'Vercel' END, CASE WHEN docker THEN 'Docker' END) AS stack FROM seen""")
 def project_stack(spark, sf_dir):
     """What each project is built with, by the ordered rules."""
-    found = product.detect(code_files(spark, sf_dir), auth_by_role=False)
+    found = product.detect(code_files(spark, sf_dir))
     return found.select("project", F.array_join("stack", ", ").alias("stack"))
 
 
@@ -107,7 +107,7 @@ _NODES_SQL = """nodes AS (SELECT project, unnest(list_filter([CASE WHEN frontend
  held AS (SELECT project, list(key) AS keys FROM nodes GROUP BY 1) SELECT project, source, target, label FROM held, rules WHERE list_has_all(keys, needs)""")
 def implied(spark, sf_dir):
     """Edges that follow from which systems a project has."""
-    found = product.detect(code_files(spark, sf_dir), auth_by_role=False)
+    found = product.detect(code_files(spark, sf_dir))
     return product.implied_edges(found.select("project", F.explode("nodes").alias("key")))
 
 

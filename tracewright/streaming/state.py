@@ -85,40 +85,3 @@ def throttle_stream(events: DataFrame, folder: str, key: str = "user_id", failur
         found.filter("event_id is null").select("k", "failures", "first").write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
-
-
-# States that end a job.
-TERMINAL = ("completed", "partial", "failed")
-
-
-def job_states(requests: DataFrame) -> DataFrame:
-    """Jobs of a project from its requests (project_id, seq, action, profile): enqueue joins the active job or opens one, claim
-    starts it, finish and fail end it. One row a job: state, profile (the last asked for), requests joined."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, job = None, None
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.project_id != held:
-                    if job:
-                        out.append(job)
-                    held, job = r.project_id, None
-                if r.action == "enqueue":
-                    if job and job[2] not in TERMINAL:
-                        job = (job[0], job[1], job[2], r.profile if job[2] == "queued" else job[3], job[4] + 1)
-                    else:
-                        if job:
-                            out.append(job)
-                        job = (r.project_id, r.seq, "queued", r.profile, 1)
-                elif job and job[2] not in TERMINAL:
-                    state = {"claim": "running", "finish": "completed", "fail": "failed"}.get(r.action, job[2])
-                    if job[2] == "queued" and state in ("completed", "failed"):
-                        continue
-                    job = (*job[:2], state, *job[3:])
-            yield pd.DataFrame(out, columns=["project_id", "job_id", "state", "profile", "joined"])
-        if job:
-            yield pd.DataFrame([job], columns=["project_id", "job_id", "state", "profile", "joined"])
-
-    dealt = requests.select("project_id", "seq", "action", "profile").repartition("project_id").sortWithinPartitions("project_id", "seq")
-    return dealt.mapInPandas(rows, "project_id long, job_id long, state string, profile string, joined long")
