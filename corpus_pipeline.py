@@ -1,6 +1,11 @@
 """Raw documents to token digests: quality filter, line dedup, near-duplicate removal, source mix, BPE.
 
 Every stage reads what the one before it wrote; all but the last return the columns of documents.
+
+Null texts count as empty: they have no lines, no shingles and no tokens, and the classifier scores them as the empty text.
+Texts of any length are taken whole. Of repeated rows the line stage keeps one that has lines, the n-gram stage one of each
+group, the mix as many as it takes. Ties go by doc_id (null first among lines, last among documents), then by text hash.
+An empty table gives an empty result. Extra columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations

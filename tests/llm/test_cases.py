@@ -17,7 +17,7 @@ from tests.llm.test_operators import junk, words
 from tracewright.llm import fingerprint, line_dedup, media, mixing, ngram_join, quality, toxicity
 from tracewright.llm import textvec as tv
 
-CLASHING = ("quality_text", "quality_text_", "mix_key", "mix_copy", "dedup_own", "lines", "own", "own_id", "own_mark", "gone_own", "row", "rows", "some", "mark", "known", "kept")
+CLASHING = ("quality_text", "quality_text_", "mix_key", "mix_copy", "dedup_own", "lines", "own", "own_id", "own_mark", "gone_own", "row", "rows", "some", "mark", "known", "kept", "x.y", "own.text", "a`b", "`", " lead", "Upper Case", "é")
 
 
 def with_clashes(docs):

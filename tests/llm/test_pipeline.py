@@ -30,6 +30,8 @@ def empty_folder(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{out}/embeddings.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{out}/pages.parquet")
     return str(out)
 
 

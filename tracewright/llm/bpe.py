@@ -4,7 +4,9 @@ A word's symbols form a doubly linked list. A heap holds one entry for each adja
 lowest rank (leftmost on ties) is merged first, and entries whose symbols have changed since are skipped as stale.
 Decoding concatenates vocabulary strings with single spaces between tokens, as a file without a decoder asks.
 
-Null and empty texts have no tokens. Very long texts are read whole, one text at a time.
+Null and empty texts have no tokens. Very long texts are read whole, one text at a time. Of merges of equal rank the leftmost
+goes first. Repeated rows and ids are rows of their own with equal values; an empty table gives no rows. Extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

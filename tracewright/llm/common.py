@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,12 +60,15 @@ def tidy(rows: Callable) -> Callable:
     return run
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that the frame does not have, case set aside."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def column(name: str, of: str = "") -> Column:
+    """A column (of a struct) by its name as it stands, dots and backticks included."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def places(df: DataFrame) -> list[str]:
+    """Names for a frame's columns by their place, for functions over Arrow batches, which take plain names only."""
+    return [f"c{k}" for k in range(len(df.columns))]
 
 
 def documents(df: DataFrame) -> DataFrame:

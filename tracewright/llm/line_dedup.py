@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by
-from tracewright.llm.common import free_name, shared_folder, small_batches, table, tidy, written
+from tracewright.llm.common import column, places, shared_folder, small_batches, table, tidy, written
 
 #: Edits between alike lines: a tenth of the shorter one and so many at most. Keys grow with the square of that number.
 EDITS, MOST_EDITS, TENTH = 2, 15, 10
@@ -47,7 +47,7 @@ def allowed(length, most: int = MOST_EDITS) -> np.ndarray:
 
 def chunks(length, most: int = MOST_EDITS) -> tuple[np.ndarray, np.ndarray]:
     """Chunks at each end, and their size, of lines of the given lengths. Sizes above 8 go in steps of a third to a half."""
-    h = allowed(length, most) // 2 + 1
+    h = allowed(np.maximum(length, 0), most) // 2 + 1
     size = np.asarray(length) // (2 * h)
     step = 1 << np.maximum(np.frexp(size)[1] - 2, 0)
     return h, np.where(size > 8, size // step * step, size)
@@ -425,7 +425,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     # rows equal in id and text: the first holds what stays
     known = by_row.groupBy("doc_id", "mark").agg(F.min_by("lines", "row").alias("lines"), F.min_by("some", "row").alias("some"), F.count(F.lit(1)).alias("rows"))
     known = written(known.filter("size(lines) > 0 or rows > 1"), f"{folder}/known")
-    own, text = F.struct(*(F.col(c) for c in names)).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own, text = F.struct(*(column(c) for c in names)).alias("own"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     marked_ = docs.select(own, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_mark"))
     on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))
     rest = marked_.join(known.filter("rows > 1").select("doc_id", "mark"), on, "left_anti")
@@ -434,7 +434,7 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         once = marked_.join(repeats.select("doc_id", "mark"), on, "left_semi").groupBy("own_id", "own_mark").agg(F.min_by("own", F.to_json("own")).alias("own"))
         rest = rest.unionByName(once)
     joined = rest.join(known.select("doc_id", "mark", "lines", "some"), on, "left").filter(F.coalesce("some", F.lit(True)))
-    extra = free_name(docs, "lines")
+    plain = places(docs)
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,9 +450,10 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                 if "n_chars" in columns:
                     sizes = pa.array([len(t) if c else None for t, c in zip(texts, changed, strict=True)]).cast(columns["n_chars"].type)
                     columns["n_chars"] = pc.if_else(pa.array(changed), sizes, columns["n_chars"])
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], plain)
 
-    return joined.select(*(F.col(f"own.`{c}`").alias(c) for c in names), F.col("lines").alias(extra)).mapInArrow(cut, docs.schema)
+    wide = joined.select(*(column(c, "own").alias(p) for c, p in zip(names, plain, strict=True)), F.col("lines").alias("gone_lines"))
+    return wide.mapInArrow(cut, docs.toDF(*plain).schema).toDF(*names)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tracewright.llm.common import shared_folder, table, written
+from tracewright.llm.common import column, shared_folder, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -156,11 +156,11 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents of the mix, in their columns: each row as often as its words are taken, to the nearest whole
     number (parts arise only where a source's target ends)."""
     by = taken(docs, block).groupBy("doc_id", "source", "mark").agg(F.sum("taken").alias("words"), F.sum("size").alias("of")).filter("of > 0")
-    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark")).alias("d")
+    own = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("own"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark")).alias("d")
     met = own.join(by.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.mark") == F.col("t.mark")))
     copies = F.floor(F.col("t.words") / F.col("t.of") + 0.5).cast("int")
     met = met.select("d.own", F.explode(F.array_repeat(F.lit(1), copies)))
-    return met.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    return met.select(*(column(c, "own").alias(c) for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, combined, entry_rows, join_components, passes, split_by, unblob
-from tracewright.llm.common import documents, shared_folder, small_batches, table, tidy, written
+from tracewright.llm.common import column, documents, shared_folder, small_batches, table, tidy, written
 
 WORDS = 5
 #: Bits of the map that picks the sets to fetch (2 MB), and of the prefix bitmaps of a set.
@@ -326,7 +326,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     known = written(known.groupBy(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("m")), f"{folder}/known")
     # the documents' own columns stay apart from the working ones
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_mark"))
+    marked = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_mark"))
     on = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_mark") == F.col("gone_mark"))
     # of rows equal in id and text all go, or one stays
     repeats = known.filter("stays and m > 1").select("gone_id", "gone_mark")
@@ -334,7 +334,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not repeats.isEmpty():
         once = marked.join(repeats, on, "left_semi").groupBy("own_id", "own_mark").agg(F.min_by("own", F.to_json("own")).alias("own"))
         out = out.select("own").unionByName(once.select("own"))
-    return out.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    return out.select(*(column(c, "own").alias(c) for c in docs.columns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.common import crc_bucket, documents, free_name, small_batches, table, tidy
+from tracewright.llm.common import crc_bucket, documents, places, small_batches, table, tidy
 
 #: Labelled documents of each kind to fit on, and lines of a chain in fitting.
 TRAIN_DOCUMENTS, CHAIN = 1500, 100
@@ -237,7 +237,7 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
     """The rows of ``docs``, all columns, that score the threshold or more, in one pass; without a model all stay."""
     if model is None:
         return docs
-    shared, names, extra = docs.sparkSession.sparkContext.broadcast(model), docs.columns, free_name(docs, "quality_text")
+    shared, names, extra = docs.sparkSession.sparkContext.broadcast(model), places(docs), "whole_text"
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,8 @@ def good_documents(docs: DataFrame, model: tuple[np.ndarray, ...] | None, thresh
             found = scores(lines_of(batch.column(batch.num_columns - 1)), shared.value)
             yield batch.select(names).filter(pa.array(found >= threshold))
 
-    return docs.withColumn(extra, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, docs.schema)
+    plain = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit(""))).toDF(*names, extra)
+    return plain.mapInArrow(rows, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def line_labels(docs: DataFrame, model: tuple[np.ndarray, ...]) -> DataFrame:

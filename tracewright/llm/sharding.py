@@ -5,7 +5,9 @@ the size; offset and skip come from digests of its name). Shards take turns: eac
 is still free, until all slots are taken. A key's slot is its digest modulo the size, so placement is one look-up in a
 table whose size is fixed, hence safe to broadcast. When a shard leaves, few keys of other shards move.
 
-Keys are compared as text; null keys count as the empty text. Repeated keys go to the same shard, whatever their number.
+Keys are compared as text; null keys count as the empty text, and keys of any length are digested whole. Repeated keys go to
+the same shard, whatever their number; where two shards prefer a slot, the one whose turn it is has it. An empty table gives
+no rows. Extra columns, whatever their names, stay; columns named slot or shard are replaced.
 """
 
 from __future__ import annotations
