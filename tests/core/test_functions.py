@@ -106,7 +106,7 @@ def test_tree_reader(spark, tmp_path):
 def test_providers(spark):
     files = spark.createDataFrame([("a.php", "PHP", "<?php\nclass A {\n function b() { }\n}\n")], "path string, language string, content string")
     registry = providers.default_registry()
-    assert {(r.type, r.qualified_name) for r in fusion.fuse_symbols(registry.facts(files, "quick")).collect()} == {("class", "A"), ("method", "A.b")}
+    assert {(r.type, r.qualified_name) for r in fusion.fuse_symbols(registry.facts(files, "quick")).collect()} == {("module", "a.php"), ("class", "A"), ("method", "A::b")}
     with pytest.raises(ValueError):
         registry.add(providers.Provider("native", ("quick",), lambda f: f))
     with pytest.raises(ValueError):
