@@ -178,3 +178,30 @@ def response_hints(content: Column) -> Column:
 def cited(text: Column, known: Column) -> Column:
     """Citation numbers of a text that are among the known ones, distinct, in order."""
     return F.array_intersect(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("long"))), known)
+
+
+#: Where sentences end, what a citation looks like, and what uncited sentences are called.
+SENTENCE_END, CITATION, INFERENCE = r"(?<=[.!?])\s+", r"\[(\d+)\]", "Inference:"
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def cited_answer(content: Column, known: Column) -> Column:
+    """An answer with its uncited sentences marked: struct of answer, citations (known ones, in order of mention) and inferences.
+
+    The content is plain text, or a JSON object whose answer and citations are taken. Secrets are masked. Sentences without
+    a citation that are not marked yet get the mark, and are listed. An empty answer gives nulls.
+    """
+    whole = F.try_parse_json(content)
+    is_json = F.coalesce(F.schema_of_variant(whole).rlike("^(?:OBJECT|ARRAY)"), F.lit(False))
+    said = F.when(is_json, F.coalesce(F.try_variant_get(whole, "$.answer", "string"), F.lit(""))).otherwise(content)
+    listed = F.when(is_json, F.try_variant_get(whole, "$.citations", "array<string>"))
+    claimed = F.concat(F.coalesce(listed, F.array().cast("array<string>")), F.regexp_extract_all(said, F.lit(CITATION), F.lit(1)))
+    numbers = F.array_distinct(F.filter(F.transform(claimed, lambda c: F.regexp_extract(c, r"^\s*(\d+)", 1).try_cast("long")), lambda n: n.isNotNull()))
+    answer = redact(_bare(said))
+    sentences = F.transform(F.split(answer, SENTENCE_END), lambda x: F.struct(x.alias("text"), (x.rlike(CITATION) | _bare(x).startswith(INFERENCE)).alias("kept")))
+    marked = F.transform(sentences, lambda x: F.struct(F.when(x.kept, x.text).otherwise(F.concat(F.lit(f"{INFERENCE} "), F.regexp_replace(x.text, r"^\s+", ""))).alias("text"), x.kept.alias("kept")))
+    out = F.struct(F.array_join(F.transform(marked, lambda x: x.text), " ").alias("answer"), F.filter(numbers, lambda n: F.array_contains(known, n)).alias("citations"), F.transform(F.filter(marked, lambda x: ~x.kept), lambda x: x.text).alias("inferences"))
+    return F.when(answer != "", out)
