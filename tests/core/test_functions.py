@@ -316,3 +316,34 @@ def test_targets_of_nothing_and_of_unknown_kinds(spark):
 def test_cited_answer(spark, content, want):
     got = one(spark, text.cited_answer(F.lit(content).cast("string"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     assert (got and (got.answer, got.citations, got.inferences)) == want
+
+
+def test_publication_is_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    rows = lambda *r: spark.createDataFrame(list(r), "project_id long, v string")
+    read = lambda name: {tuple(r) for r in snapshots.current(spark, folder, name).select("project_id", "v").collect()}
+    snapshots.begin(spark, folder)
+    snapshots.publish({"a": rows((1, "x"), (2, "y"), (2, "z")), "b": rows((1, "q"))}, rows((1, ""), (2, "")), folder)
+    first = read("a"), read("b")
+    assert first == ({(1, "x"), (2, "y"), (2, "z")}, {(1, "q")})
+    failing = rows((2, "new")).withColumn("v", F.raise_error(F.lit("broken")).cast("string"))
+    for second in ({"a": rows((2, "new")), "b": failing}, {"a": rows((2, "new"), (9, "other")), "b": rows((2, "new"))}):
+        with pytest.raises(Exception, match="broken|not published"):
+            snapshots.publish(second, rows((2, "")), folder)
+        assert (read("a"), read("b")) == first
+    snapshots.publish({"a": rows((2, "new")), "b": rows((2, "new"))}, rows((1, ""), (2, "")), folder)
+    assert (read("a"), read("b")) == ({(2, "new")}, {(2, "new")})
+    snapshots.begin(spark, folder)
+    assert read("a") == {(2, "new")}
+
+
+def test_history_and_single_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "project_id long, scan_run_id long, v string")
+    for run in (rows, rows.withColumn("scan_run_id", F.lit(2))):
+        snapshots.append_run(run, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).groupBy("scan_run_id").count().orderBy("scan_run_id").collect() == [(1, 2), (2, 2)]
+    snapshots.replace_project(rows, str(tmp_path / "r"))
+    snapshots.replace_project(rows.filter("project_id = 2").withColumn("v", F.lit("c")), str(tmp_path / "r"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "r")).select("project_id", "v").collect()} == {(1, "a"), (2, "c")}
+    new = snapshots.insert_new(rows, spark.createDataFrame([(1, 9, "no"), (3, 9, "yes"), (3, 9, "yes")], rows.schema), ["project_id"])
+    assert sorted(r.v for r in new.collect()) == ["a", "b", "yes"]

@@ -270,3 +270,22 @@ def finding_fusion(spark, sf_dir):
         F.col("l_linestatus").alias("title"), severity.alias("severity"), engine.alias("engine"), (F.col("l_suppkey") % 3).alias("engine_ord"), F.col("l_orderkey").alias("fact_ord"),
     )
     return fusion.fuse_findings(reported).select("path", "line", "type", "severity", F.array_join("engines", ",").alias("engines"), "label")
+
+
+@query("s15_s18_publication", """WITH s AS (SELECT p_partkey AS id, p_size % 10 AS project_id, p_name AS name FROM part)
+ SELECT project_id, id, CASE WHEN project_id % 3 = 0 THEN name || '!' ELSE name END AS name, CASE WHEN project_id % 3 = 0 THEN 2 ELSE 1 END AS runs FROM s WHERE project_id <> 6 AND (project_id % 3 <> 0 OR id % 2 = 0)""")
+def publication(spark, sf_dir):
+    """Symbols and runs of ten projects published, every third project published anew with half of its symbols under other
+    names, project 6 with none; read back through the manifest, with the number of runs that each project's history has."""
+    folder = snapshots.shared_folder(spark, "publication")
+    symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).cast("long").alias("project_id"), F.col("p_name").alias("name"))
+    third = symbols.filter("project_id % 3 = 0")
+    anew = third.filter("project_id != 6 and id % 2 = 0").withColumn("name", F.concat("name", F.lit("!")))
+    snapshots.begin(spark, f"{folder}/graph")
+    for run, (rows, projects) in enumerate(((symbols, symbols), (anew, third))):
+        totals = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("symbols"))
+        snapshots.publish({"symbols": rows, "totals": totals}, projects.select("project_id"), f"{folder}/graph")
+        snapshots.append_run(totals.withColumn("scan_run_id", F.lit(run)), f"{folder}/history")
+    runs = spark.read.parquet(f"{folder}/history").groupBy("project_id").agg(F.count(F.lit(1)).alias("runs"))
+    held = snapshots.current(spark, f"{folder}/graph", "totals").select("project_id")
+    return snapshots.current(spark, f"{folder}/graph", "symbols").join(held, "project_id", "left_semi").join(runs, "project_id").select("project_id", "id", "name", "runs")
