@@ -1,6 +1,6 @@
-"""Stateful streams: throttling of failures, and the life of queued jobs.
+"""Stateful streams: throttling of failures.
 
-Both fold a key's events in order into a small state. Rows are dealt and sorted by key and folded a row at a time, so
+A key's events are folded in order into a small state. Rows are dealt and sorted by key and folded a row at a time, so
 that a hot key's events stream through its task without being held. The stream form folds each micro-batch together with
 the states that the batch before it wrote; results and states are tables by batch number, so a batch that is run again
 writes the same rows.
