@@ -181,14 +181,15 @@ def plain_classes(corpus, edits):
     return classes
 
 
-def test_line_classes(docs, corpus, no_docs):
+@pytest.mark.parametrize("edits", [2, line_dedup.MOST_EDITS])
+def test_line_classes(docs, corpus, no_docs, edits):
     near = [(1000, "a line with some words in it, long enough\nother", "en", "s", 1), (1001, "a line with some w0rds in it, long enough\nx", "en", "s", 1), (1002, "a line with sme w0rds in it, long enogh", "en", "s", 1), (1003, "short line\nshort lane\nshrt line\nnine char\nnine chars", "en", "s", 1)]
     spark = docs.sparkSession
     more = docs.select("doc_id", "text", "lang", "source", "n_chars", "item", "part", "class", "mark").union(spark.createDataFrame([(*r, "p", "q", "r", "s") for r in near], "doc_id long, text string, lang string, source string, n_chars long, i string, p string, c string, m string"))
     got = {}
-    for r in line_dedup.line_classes(more).collect():
+    for r in line_dedup.line_classes(more, edits).collect():
         got.setdefault((r.doc_id, r.line_no, r.mark), set()).add((r.class_doc_id, r.class_line_no, r.keep))
-    classes = plain_classes([*corpus, *near], 2)
+    classes = plain_classes([*corpus, *near], edits)
     kept = Counter()
     for members in classes.values():
         first = min(members, key=lambda m: (m[0] is not None, m[0] or 0, m[1]))
@@ -248,6 +249,8 @@ def test_lines_with_a_changed_word(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.class_doc_id for r in line_dedup.op3_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: firsts[find(x)] for i, x in rows if x.strip()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in line_dedup.without_repeats(docs).collect()} == {i for i, x in rows if not x.strip() or firsts[find(x)] == i}
 
 
 # 4. quality

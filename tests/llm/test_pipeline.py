@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from tests.llm.test_operators import junk, plain_classes, plain_components, plain_targets, words
-from tracewright.llm import registry
+from tracewright.llm import line_dedup, registry
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -50,7 +50,7 @@ def test_stages(spark, folder, tmp_path):
             assert len([r for r in after if r.text and len(r.text) > 200]) > 0.9 * len([r for r in before if r.text and len(r.text) > 200 and (r.doc_id is None or r.doc_id < 2000)])
         elif name == "line_dedup":
             kept = Counter(x for r in {(r.doc_id, r.text) for r in after} for x in (r[1] or "").split("\n") if x.strip())
-            assert len(kept) == len(plain_classes(before, 2)) and max(kept.values()) == 1
+            assert len(kept) == len(plain_classes(before, line_dedup.MOST_EDITS)) and max(kept.values()) == 1
         elif name == "ngram_join":
             groups = plain_components([(r.doc_id, r.text) for r in before])
             assert {r.doc_id for r in after} == {i for i, _, c in groups if i is None or i == c} | {i for i in Counter(g[0] for g in groups) if (i, i) in {(g[0], g[2]) for g in groups}}

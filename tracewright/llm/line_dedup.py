@@ -1,7 +1,7 @@
 """Near-duplicate lines within an edit distance, and documents without their repeats.
 
 Lines are cut at line feeds. Lines of equal text are one item. Two lines are alike within the edits that the shorter one's
-length in code points allows: a tenth of it, rounded down, ``edits`` at most (MOST_EDITS in the query, EDITS by default).
+length in code points allows: a tenth of it, rounded down, ``edits`` at most (MOST_EDITS, in the query and in the pipeline).
 
 A line has h chunks of equal size from its start and h from its end, where 2 * h is more than its edits. Of two alike
 lines, one end of the shorter holds fewer than h edits; there some chunk j, counted from that end, is whole and has just j
@@ -31,7 +31,7 @@ from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows,
 from tracewright.llm.common import column, places, shared_folder, small_batches, table, tidy, written
 
 #: Edits between alike lines: a tenth of the shorter one and so many at most. Keys grow with the square of that number.
-EDITS, MOST_EDITS, TENTH = 2, 15, 10
+MOST_EDITS, TENTH = 15, 10
 PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 512, 4
 #: Pairs that go through the band together.
 BAND_PAIRS = 1024
@@ -233,7 +233,7 @@ def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def probe_entries(docs: DataFrame, parts: int, edits: int = EDITS) -> DataFrame:
+def probe_entries(docs: DataFrame, parts: int, edits: int = MOST_EDITS) -> DataFrame:
     """Keys of each line that may have an alike one, dealt by key: the low half of each key (the part tells more, and keys
     that meet by chance are told apart when their lines are compared), items, and how many keys each item has in a row."""
 
@@ -381,7 +381,7 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """One row for each non-blank line: doc_id, mark, row (a number of the document's row), line_no (from 0), the class's
     first line (class_doc_id, class_line_no), lines in the class, and whether this line stays."""
     spark = docs.sparkSession
@@ -415,7 +415,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """The documents with repeated lines taken out, in their columns; n_chars follows where there is one. A document whose
     lines are all repeats goes, so of rows equal in id and text one stays at most (the least by all columns); others that
     lose lines keep the rest in order. Rows without lines stay."""
@@ -457,5 +457,5 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_classes(table(spark, sf_dir, "documents"), MOST_EDITS)
+    found = line_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "class_doc_id", F.col("class_line_no").cast("long").alias("class_line_no"), "class_lines", "keep")
