@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans import code, enrich, extraction, files, graph, impact, more, relational, reports, rules, semantic  # noqa: F401  (their queries register themselves)
+from tracewright.plans import code, enrich, extraction, files, graph, guard, impact, more, relational, reports, rules, semantic  # noqa: F401  (their queries register themselves)
 from tracewright.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "e1_e6_symbol_fusion"
