@@ -42,7 +42,25 @@ def manifest_delta(spark, sf_dir):
     return trees.manifest_delta(before, after)
 
 
-@query("w7_throttle")
+# the SQL numbers failures since the last success, points from each to the first one a window later, and follows the pointers
+def _throttle_sql(user: str, micros: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY micros, event_id) AS since
+    FROM (SELECT event_id, {user} AS user_id, event_type, {micros} AS micros FROM events WHERE event_type IN ('error', 'purchase'))),
+  f AS (SELECT event_id, user_id, since, row_number() OVER (PARTITION BY user_id, since ORDER BY micros, event_id) AS n,
+    count(*) OVER (PARTITION BY user_id, since ORDER BY micros RANGE BETWEEN UNBOUNDED PRECEDING AND {state.WINDOW * 1_000_000 - 1} FOLLOWING) + 1 AS next FROM e WHERE event_type = 'error'),
+  s AS (SELECT user_id, since, n, next FROM f WHERE n = 1 UNION ALL SELECT f.user_id, f.since, f.n, f.next FROM s JOIN f ON f.user_id = s.user_id AND f.since = s.since AND f.n = s.next),
+  w AS (SELECT event_id, user_id, n - max(start) OVER (PARTITION BY user_id, since ORDER BY n) + 1 AS failures FROM (SELECT f.*, s.n AS start FROM f LEFT JOIN s USING (user_id, since, n)))
+  SELECT event_id, user_id, failures, failures >= {state.MOST_FAILURES} AS locked FROM w"""
+
+
+@query("w7_throttle", _throttle_sql("user_id", "epoch_us(ts)"))
 def throttle(spark, sf_dir):
-    """Failures of each user in windows that start at the first one; tested against a plain fold."""
+    """Failures of each user in windows that start at the first one."""
     return state.throttled(table(spark, sf_dir, "events"))
+
+
+@query("w7_throttle_busy", _throttle_sql("user_id % 4", "epoch_us(ts) // 128"))
+def throttle_busy(spark, sf_dir):
+    """The same with all users as four and 128 times as fast, so that keys lock and windows follow each other."""
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 128))
+    return state.throttled(table(spark, sf_dir, "events").withColumn("ts", at).withColumn("user_id", F.col("user_id") % 4))
