@@ -97,6 +97,33 @@ def next_within(marks: DataFrame, items: DataFrame, reach: int = 4) -> DataFrame
     return asked.join(items.select("key", "place").distinct(), ["key", "place"]).groupBy("key", "at").agg(F.min("place").alias("place"))
 
 
+def either_key(left: DataFrame, right: DataFrame, cells: int = 8, parts: int = 256) -> DataFrame:
+    """Distinct pairs (left, right) of rows whose keys are equal, or whose groups are and the left one is ``grouped``: left
+    rows (left, group, grouped), right rows (right, group). An OR of two equalities as a union of two equi-joins.
+
+    Pairs of one group may be many more than rows, so they are neither shuffled nor compared: keys are made distinct before
+    they meet, pairs of equal keys leave the second join, and only keys that both lie in several groups can meet twice.
+    Each group is a square of ``cells`` by ``cells`` joins, dealt to ``parts`` tasks.
+    """
+    equal = left.select("left").distinct().join(right.select("right").distinct(), F.col("left") == F.col("right"))
+
+    def members(rows: DataFrame, key: str) -> DataFrame:
+        groups = rows.filter("group is not null").select(key, "group").distinct()
+        return kept(groups.withColumn("several", F.count(F.lit(1)).over(W.partitionBy(key)) > 1))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        cell = F.pmod(F.xxhash64(key), F.lit(cells)).alias(own)
+        return rows.select(key, "group", cell, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias(other)).repartition(parts, "group", "row_", "column_")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = dealt(a, "left", "row_", "column_").join(dealt(b, "right", "column_", "row_").hint("shuffle_hash"), ["group", "row_", "column_"])
+        return pairs.filter(~F.coalesce(F.col("left") == F.col("right"), F.lit(False))).select("left", "right")
+
+    one, two = members(left.filter("grouped"), "left"), members(right, "right")
+    again = met(one.filter("several"), two.filter("several")).distinct()
+    return equal.union(met(one.filter("not several"), two)).union(met(one.filter("several"), two.filter("not several"))).union(again)
+
+
 def delta(before: DataFrame, after: DataFrame, key: list[str], value: str) -> DataFrame:
     """Keys that came, went or changed their value between two versions."""
     a = before.select(*key, F.col(value).alias("before"), F.lit(1).alias("in_before"))

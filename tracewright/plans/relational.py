@@ -94,11 +94,10 @@ def next_definition(spark, sf_dir):
 
 @query("j13_either_key", "SELECT DISTINCT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_custkey = s.s_suppkey OR (c.c_nationkey = s.s_nationkey AND c.c_mktsegment = 'BUILDING')")
 def either_key(spark, sf_dir):
-    """An OR of two equalities as a union of two equi-joins."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    one = c.join(s, F.col("c_custkey") == F.col("s_suppkey"))
-    two = c.filter("c_mktsegment = 'BUILDING'").join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    return one.select("c_custkey", "s_suppkey").union(two.select("c_custkey", "s_suppkey")).distinct()
+    left = c.select(F.col("c_custkey").alias("left"), F.col("c_nationkey").alias("group"), (F.col("c_mktsegment") == "BUILDING").alias("grouped"))
+    right = s.select(F.col("s_suppkey").alias("right"), F.col("s_nationkey").alias("group"))
+    return op.either_key(left, right).select(F.col("left").alias("c_custkey"), F.col("right").alias("s_suppkey"))
 
 
 @query("j14_needles_in_texts", "SELECT n.needle, count(*) AS texts FROM (VALUES ('ing'), ('tion'), ('eaux'), ('keit'), ('ción')) n(needle) JOIN documents d ON contains(d.text, n.needle) GROUP BY 1")
