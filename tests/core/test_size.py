@@ -28,3 +28,14 @@ def test_pairs_of_either_key_by_brute_force(spark):
 
 def test_pairs_of_either_key_are_not_compared(spark, sf_dir):
     assert plan(registry.QUERIES["j13_either_key"](spark, sf_dir)).startswith("Union")
+
+
+def test_findings_meet_under_short_keys(spark):
+    """No digest is shuffled; identities stay digests of the lower-cased parts."""
+    rows = [("Bug", "a/B", 1, "R", "t", "info", "e1", 1, 1), ("bug", "A/b", 1, "r", "u", "risk", "e0", 0, 5), ("Bug", None, None, None, "t", "info", "e1", 1, 2)]
+    found = fusion.fuse_findings(spark.createDataFrame(rows, "type string, path string, line int, rule string, title string, severity string, engine string, engine_ord int, fact_ord int"))
+    text = {"bug|a/b|1|r": ("u", "risk", ["e0", "e1"], "confirmed"), "bug||0|": ("t", "info", ["e1"], "single source")}
+    digests = {spark.range(1).select(F.sha2(F.lit(t), 256)).first()[0]: v for t, v in text.items()}
+    assert {r.identity: (r.title, r.severity, r.engines, r.label) for r in found.collect()} == digests
+    aggregate = plan(found)[plan(found).index("Aggregate") :]
+    assert "sha2" not in aggregate.lower()
