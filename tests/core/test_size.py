@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import fusion, relational
+from tracewright.operators import fusion, graph, relational
 from tracewright.plans import registry
 
 
@@ -39,3 +39,27 @@ def test_findings_meet_under_short_keys(spark):
     assert {r.identity: (r.title, r.severity, r.engines, r.label) for r in found.collect()} == digests
     aggregate = plan(found)[plan(found).index("Aggregate") :]
     assert "sha2" not in aggregate.lower()
+
+
+def test_traversals_broadcast_few_rows_only(spark, tmp_path, monkeypatch):
+    """Edges whose packed file is small are not sent to the driver, nor is a wide front."""
+    spark.range(1, 400).select((F.col("id") / 3).cast("long").alias("source"), F.col("id").alias("target")).coalesce(1).write.parquet(f"{tmp_path}/edges")
+    edges, seeds, plans, keep = spark.read.parquet(f"{tmp_path}/edges"), spark.range(1, 3).select(F.col("id").alias("seed")), [], graph.kept
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "kept", noted)
+    monkeypatch.setattr(graph, "FEW", 1, raising=False)
+    found = {(r.seed, r.node): r.depth for r in graph.reach(edges, seeds, None).collect()}
+    want = {}
+    for seed in (1, 2):
+        for node in range(400):
+            up, depth = node, 0
+            while up > seed:
+                up, depth = up // 3, depth + 1
+            if up == seed:
+                want[seed, node] = depth
+    assert found == want
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)

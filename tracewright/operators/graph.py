@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracewright.functions import labels
 
 
+#: Rows that joins of a traversal may send to every task.
+FEW = 20_000
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut: checkpointed in spark.checkpoint.dir (a temporary folder only in local sessions)."""
     spark = df.sparkSession
@@ -38,22 +42,32 @@ def confident(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, backwards: bool = False, both: bool = False) -> DataFrame:
     """(seed, node, depth) for nodes within ``depth`` hops of each seed (the seed itself at 0), by least depth; with None
-    for all nodes that can be reached."""
+    for all nodes that can be reached.
+
+    Sizes of checkpointed rows are guessed from files that are packed, so joins are told what to do: only a front, or what was seen, of
+    FEW rows at most is broadcast, never the edges.
+    """
     step = edges.select(F.col("source").alias("at"), F.col("target").alias("next"))
     turned = edges.select(F.col("target").alias("at"), F.col("source").alias("next"))
     step = step.union(turned) if both else turned if backwards else step
     step = kept(step.filter("at is not null and next is not null").distinct())
     seen = kept(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
-    front = seen
+    front, held = seen, (new := seen.count())
     for d in count(1) if depth is None else range(1, depth + 1):
-        front = front.join(step, front["node"] == step["at"]).select("seed", F.col("next").alias("node")).distinct()
-        front = kept(front.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+        front = _sized(front, new).join(step, front["node"] == step["at"]).select("seed", F.col("next").alias("node")).distinct()
+        front = kept(front.join(_sized(seen, held), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        new = front.count()
+        if not new:
             break
-        seen = seen.union(front)
+        seen, held = seen.union(front), held + new
     return seen
 
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with what a join of them shall do, by their number."""
+    return rows.hint("broadcast" if n <= FEW else "merge")
+
+
 def blast(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
     """Of each seed: dependents within ``depth`` reverse hops, tables and services one hop ahead of any of them, score and risk.
 
