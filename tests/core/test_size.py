@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import fusion, graph, relational
+from tracewright.functions import text
+from tracewright.operators import fusion, graph, product, relational
 from tracewright.plans import registry
 
 
@@ -63,3 +64,16 @@ def test_traversals_broadcast_few_rows_only(spark, tmp_path, monkeypatch):
                 want[seed, node] = depth
     assert found == want
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_terms_by_letters_first(spark):
+    """Every character that Java takes for a letter of ASCII in any case is folded to it; texts without the letters meet no pattern."""
+    texts = ["use STRIPE now", "stripes", "ſtripe", "STRİPE", "strıpe", "\u212aubernetes", "é stripe!", "éstripe", "api.stripe.com", "", None, "(Redis) sentry.io", "kind: Deployment", "S3://x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for term in ("stripe", "Stripe", "redis", "kubernetes", "sentry.io", "é"):
+        plain = F.col("t").rlike(r"(?iu)(?<![\p{L}\p{N}])\Q" + term + r"\E(?![\p{L}\p{N}])")
+        assert [r[0] for r in rows.select(text.contains_term(F.col("t"), term)).collect()] == [r[0] for r in rows.select(plain).collect()]
+    assert [r[0] for r in rows.select(product.services(F.col("t"))).collect()] == [["Stripe"], [], ["Stripe"], ["Stripe"], ["Stripe"], ["Kubernetes"], ["Stripe"], [], ["Stripe"], [], [], ["Redis", "Sentry"], ["Kubernetes"], []]
+    points = spark.range(128, 0x3000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert points.filter(F.col("c").rlike("(?iu)^[a-z]$") & ~text.folded(F.col("c")).rlike("^[a-z]$")).count() == 0
+    assert "contains" in plan(rows.select(text.contains_term(F.col("t"), "stripe"))).lower()

@@ -71,9 +71,17 @@ RESPONSE_HINTS = (
 FACT = "array<struct<kind: string, relationship: string, target: string>>"
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """The term between characters that are neither letters nor digits, in any case."""
-    return text.rlike(r"(?iu)(?<![\p{L}\p{N}])\Q" + term + r"\E(?![\p{L}\p{N}])")
+def folded(text: Column) -> Column:
+    """The text with every character that is an ASCII letter in some case as this letter's small form, others in any form."""
+    odd = text.contains("ſ") | text.contains("İ") | text.contains("ı")
+    return F.lower(F.when(odd, F.translate(text, "ſİı", "sii")).otherwise(text))
+
+
+def contains_term(text: Column, term: str, low: Column | None = None) -> Column:
+    """The term between characters that are neither letters nor digits, in any case. ``low`` is the folded text where it is
+    at hand: the pattern runs only on texts that hold the letters (terms in ASCII)."""
+    found = text.rlike(r"(?iu)(?<![\p{L}\p{N}])\Q" + term + r"\E(?![\p{L}\p{N}])")
+    return (folded(text) if low is None else low).contains(term.lower()) & found if term.isascii() else found
 
 
 def line_count(content: Column) -> Column:

@@ -66,8 +66,9 @@ DEPENDENCIES = 12
 
 
 def services(texts: Column) -> Column:
-    """Names of the services that a text mentions as terms."""
-    return F.array_compact(F.array(*(F.when(_any([text.contains_term(texts, n) for n in needles]), F.lit(name)) for name, needles in SERVICES.items())))
+    """Names of the services that a text mentions as terms; each text is folded once for all of them."""
+    named = lambda low: F.array(*(F.when(_any([text.contains_term(texts, n, low) for n in needles]), F.lit(name)) for name, needles in SERVICES.items()))
+    return F.array_compact(F.element_at(F.transform(F.array(text.folded(texts)), named), 1))
 
 
 def _any(columns: list[Column]) -> Column:
