@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import fusion, graph, product, relational
-from tracewright.plans import registry
+from tracewright.operators import extract, frameworks, fusion, graph, product, relational
+from tracewright.plans import extraction, registry
 
 
 def plan(frame) -> str:
@@ -77,3 +77,14 @@ def test_terms_by_letters_first(spark):
     points = spark.range(128, 0x3000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     assert points.filter(F.col("c").rlike("(?iu)^[a-z]$") & ~text.folded(F.col("c")).rlike("^[a-z]$")).count() == 0
     assert "contains" in plan(rows.select(text.contains_term(F.col("t"), "stripe"))).lower()
+
+
+def test_declared_symbols_are_those_of_all_facts(spark, sf_dir, monkeypatch):
+    """Without mentioned ones, and without a look for relationships; of lines only those with a rule's words are read again."""
+    lines = graph.kept(extract.numbered(extraction.code_files(spark, sf_dir).limit(60)))
+    every = lambda rows: sorted(map(str, rows.collect()))
+    mentioned = F.col("type").isin("environment_variable", "external_service") | (F.col("type") == "table") & ~F.col("language").eqNullSafe("SQL")
+    want = every(extract.symbols(lines).filter(~mentioned))
+    monkeypatch.setattr(extract, "_mentioned", None)
+    assert every(extract.declared(lines)) == want
+    assert 0 < frameworks.telling(lines).count() < lines.count() / 3

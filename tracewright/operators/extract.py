@@ -6,6 +6,8 @@ starts at the symbol that the line declares, else at the one that it belongs to,
 
 Swept lines are checkpointed, so that symbols and relationships read them instead of sweeping again.
 
+With ``own``, lines that declare nothing are left out once scopes are known; the relationships then lack theirs.
+
 Null contents count as empty, files of other languages have their module only. Facts of one identity count once.
 """
 
@@ -142,7 +144,7 @@ def modules(lines: DataFrame) -> DataFrame:
     return files.select(*FILE, "language", F.lit("module").alias("type"), paths.base_name(F.col("path")).alias("name"), F.col("path").alias("qualified_name"), F.lit(None).cast("string").alias("parent"), F.lit("unknown").alias("visibility"), F.lit(False).alias("exported"), F.lit(None).cast("string").alias("signature"), F.lit(1).alias("start_line"), F.col("last").alias("end_line"), F.lit("high").alias("confidence"), module.key.alias("key"))
 
 
-def script_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def script_facts(lines: DataFrame, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, relationships) of JavaScript and TypeScript lines."""
     lines = lines.filter(F.col("language").isin(*SCRIPTS))
     made = F.coalesce(_one(JS_FUNCTION), F.when(F.regexp_extract("trimmed", JS_FUNCTION, 1) == "", _one(JS_ARROW)))
@@ -154,7 +156,7 @@ def script_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = lines.withColumn("declared", _own(kind, name, F.concat("path", F.lit("#"), name)))
     rows = rows.withColumn("active", F.coalesce(filled(_owner("declared")), _module()))
     visibility = F.when(F.col("declared.type").isin("interface", "enum", "type"), "unknown").when(_one(JS_CLASS).isNull() & _one(JS_FUNCTION).isNull(), "package").otherwise("public")
-    rows = kept(rows)
+    rows = rows.filter("declared is not null") if own else kept(rows)
     symbols = _symbols(rows, "declared", F.lit(None).cast("string"), visibility, exported, F.col("line_no"))
     active = F.col("active")
     calls = F.filter(F.array_distinct(_every(JS_CALL)), lambda c: ~c.isin(*JS_NOT_CALLS) & ~F.col("trimmed").contains(F.concat(F.lit("function "), c)))
@@ -166,7 +168,7 @@ def script_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, edges
 
 
-def sql_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sql_facts(lines: DataFrame, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, relationships) of SQL lines: tables with their columns until a closing bracket, views and routines."""
     lines = lines.filter(F.col("language") == "SQL")
     table, other = _one(SQL_TABLE), _one(SQL_OTHER, 2)
@@ -177,14 +179,14 @@ def sql_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("event", event).withColumn("open", filled(F.col("event"), -1)).withColumn("open", F.when((F.col("open.name") != "") & F.col("made").isNull(), F.col("open")))
     column = F.when(F.col("open").isNotNull() & ~F.upper(F.regexp_extract("trimmed", SQL_COLUMN, 1)).isin(*SQL_NOT_COLUMNS), _one(SQL_COLUMN))
     rows = rows.withColumn("column", _own(F.lit("column"), column, F.concat("open.name", F.lit("."), column)))
-    rows, none = kept(rows), F.lit(None).cast("string")
+    rows, none = kept(rows.filter("declared is not null or column is not null") if own else rows), F.lit(None).cast("string")
     symbols = _symbols(rows, "declared", none, F.lit("unknown"), F.lit(True), F.col("line_no")).unionByName(_symbols(rows, "column", F.col("open.key"), F.lit("unknown"), F.lit(False), F.col("line_no")))
     foreign = F.array(F.when(F.col("open").isNotNull(), F.concat(F.lit("table:"), F.lower(_one(SQL_FOREIGN)))))
     source = F.struct(F.col("open.qualified_name"), F.col("open.key"))
     return symbols, _relationships(rows, _edges("defines", F.array(F.col("declared.qualified_name")), "high", _module()), _edges("foreign_key_to", foreign, "high", source))
 
 
-def python_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def python_facts(lines: DataFrame, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, relationships) of Python lines; scopes end before the next line that is indented no deeper."""
     rows = indented(lines.filter(F.col("language") == "Python"))
     decorator = F.col("trimmed").startswith("@")
@@ -199,10 +201,12 @@ def python_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("declared", _own(F.when(method, "method").otherwise(F.col("kind")), F.col("word"), qualified))
     # once more, now that each scope has its key
     keyed = rows.filter("declared is not null").select(*FILE, "line_no", F.struct("declared.qualified_name", "declared.key").alias("scope")).join(found.select(*FILE, "line_no", "end"), [*FILE, "line_no"])
-    rows = kept(owners(rows, keyed, "holder").join(found.select(*FILE, "line_no", "end"), [*FILE, "line_no"], "left"))
+    rows = owners(rows.withColumn("last", F.max("line_no").over(W.partitionBy(*FILE))), keyed, "holder")
+    rows = (rows.filter("declared is not null") if own else rows).join(found.select(*FILE, "line_no", "end"), [*FILE, "line_no"], "left")
+    rows = rows if own else kept(rows)
     private = F.col("word").startswith("_")
     parent = F.when(F.col("declared.type") == "method", F.col("holder.key"))
-    symbols = _symbols(rows.withColumn("last", F.max("line_no").over(W.partitionBy(*FILE))), "declared", parent, F.when(private, "private").otherwise("public"), ~private & (F.col("declared.type") != "method"), F.coalesce("end", "last"))
+    symbols = _symbols(rows, "declared", parent, F.when(private, "private").otherwise("public"), ~private & (F.col("declared.type") != "method"), F.coalesce("end", "last"))
     plain = rows.filter(~decorator & F.col("declared").isNull())
     source = F.coalesce("holder", _module())
     calls = F.filter(F.array_distinct(_every(PY_CALL)), lambda c: ~c.isin(*PY_NOT_CALLS))
@@ -212,11 +216,11 @@ def python_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         _edges("reads_env", env, "high", source), _edges("calls_service", _hosts(F.col("line")), "medium", source),
     )
     bases = F.split(F.regexp_extract("trimmed", PY_CLASS, 2), r"\s*,\s*")
-    own = F.struct("declared.qualified_name", "declared.key")
-    return symbols, edges.unionByName(_relationships(rows.filter("declared.type = 'class'"), _edges("extends", bases, "high", own)))
+    named = F.struct("declared.qualified_name", "declared.key")
+    return symbols, edges.unionByName(_relationships(rows.filter("declared.type = 'class'"), _edges("extends", bases, "high", named)))
 
 
-def php_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def php_facts(lines: DataFrame, own: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, relationships) of PHP lines; a class or function ends where the depth of braces falls back to its own."""
     bare = F.regexp_replace(F.regexp_replace("line", r"//.*$", ""), r"(['\"]).*?(?<!\\)\1", "")
     rows = braced(lines.filter(F.col("language") == "PHP"), bare)
@@ -236,19 +240,19 @@ def php_facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     scope = F.struct("function.qualified_name", "function.key").alias("scope")
     bodies = rows.filter(F.col("function").isNotNull() & ~F.col("trimmed").endswith(";"))
     functions = kept(ends(bodies.select(*FILE, "line_no", F.col("before").alias("level"), scope, shut.alias("shut")), rows, "after", "closes_to"))
-    rows = owners(rows, functions, "running")
+    # only relationships ask for the function that a line is in
+    rows = rows.withColumn("running", F.lit(None).cast(OWNER)) if own else owners(rows, functions, "running")
     of_class = F.when(inside, F.struct("holder.qualified_name", "holder.key"))
-    own = F.coalesce(_owner("function"), _owner("class"), F.col("running"), of_class, _module())
-    rows = rows.withColumn("source", own)
+    rows = rows.withColumn("source", F.coalesce(_owner("function"), _owner("class"), F.col("running"), of_class, _module()))
     word = F.concat(F.lit("$"), F.when(inside, _one(PHP_PROPERTY, 2)))
     rows = rows.withColumn("property", _own(F.lit("property"), word, F.concat("holder.name", F.lit("::"), word)))
     word = F.when(inside, _one(PHP_CONSTANT, 2))
     rows = rows.withColumn("constant", _own(F.lit("constant"), word, F.concat("holder.name", F.lit("::"), word)))
-    last = F.max("line_no").over(W.partitionBy(*FILE))
+    rows = rows.withColumn("last", F.max("line_no").over(W.partitionBy(*FILE)))
     closed = classes.select(*FILE, "line_no", "end").withColumn("what", F.lit("class")).unionByName(functions.select(*FILE, "line_no", "end").withColumn("what", F.lit("function")))
     closed = closed.groupBy(*FILE, "line_no").agg(F.max(F.when(F.col("what") == "class", F.col("end"))).alias("class_end"), F.max(F.when(F.col("what") == "function", F.col("end"))).alias("function_end"))
-    rows = kept(rows)
-    wide = rows.withColumn("last", last).join(closed, [*FILE, "line_no"], "left")
+    rows = kept(rows.filter("coalesce(class.key, function.key, property.key, constant.key) is not null") if own else rows)
+    wide = rows.join(closed, [*FILE, "line_no"], "left")
     none, here = F.lit(None).cast("string"), F.col("line_no")
     seen = lambda pattern: F.coalesce(F.lower(_one(pattern, 1)), F.lit("public"))
     symbols = reduce(DataFrame.unionByName, (
@@ -284,6 +288,12 @@ def facts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols.dropDuplicates(["project", "key"]), edges
 
 
+def declared(lines: DataFrame) -> DataFrame:
+    """Module symbols and what files declare, without what they mention: relationships are not looked for."""
+    parts = [rule(lines, own=True)[0].select(*SYMBOL_COLUMNS) for rule in (php_facts, script_facts, python_facts, sql_facts)]
+    return reduce(DataFrame.unionByName, (modules(lines).select(*SYMBOL_COLUMNS), *parts)).dropDuplicates(["project", "key"])
+
+
 def symbols(lines: DataFrame) -> DataFrame:
     return facts(lines)[0]
 

@@ -94,9 +94,17 @@ def _decorated(lines: DataFrame, symbols: DataFrame, framework: str, method: Col
     return _route(lines.join(handlers, [*FILE, "near"], "left"), framework, method, route, handler_key=F.col("found"), handler_name=F.col("near"))
 
 
+def telling(lines: DataFrame) -> DataFrame:
+    """Lines that a rule of ``offered`` may read: those that look like a route, and the defs that follow decorators."""
+    line, language = F.col("line"), F.col("language")
+    rules = {("PHP",): (LARAVEL_ROUTE,), ("Python",): (FASTAPI_ROUTE, FLASK_ROUTE, DJANGO_ROUTE, PY_HANDLER), ("JavaScript", "TypeScript"): (REACT_ROUTE,), SCRIPTS: (EXPRESS_ROUTE,)}
+    return lines.filter(reduce(Column.__or__, (language.isin(*names) & line.rlike(p) for names, patterns in rules.items() for p in patterns)) | line.rlike(VUE_ROUTE))
+
+
 def offered(files: DataFrame, lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Routes as each framework's rules offer them: ROUTE_COLUMNS and order, in which a framework names several of one identity."""
     known = detected(files)
+    lines = kept(telling(lines))
     php, python, scripts = (lines.filter(F.col("language").isin(*names)) for names in (("PHP",), ("Python",), ("JavaScript", "TypeScript")))
     line, web = F.col("line"), paths.web_path
     out = []

@@ -295,10 +295,10 @@ _FRAMEWORK_SQL = f"""{_PHP_SQL}, {_PY_SQL.removeprefix(_files_sql() + ', ')}, {_
 
 
 def _routed(spark, sf_dir):
-    """Files, lines, symbols and offered routes, the symbols written once as every framework asks for them."""
+    """Files, lines, declared symbols and offered routes, the symbols written once as every framework asks for them."""
     files = code_files(spark, sf_dir)
     lines = kept(numbered(files))
-    symbols = kept(X.symbols(lines))
+    symbols = kept(X.declared(lines))
     return files, lines, symbols, W.offered(files, lines, symbols)
 
 
