@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, components, fingerprint, line_dedup, lm, media, mixing, ngram_join, quality, sharding, toxicity
 
@@ -181,6 +183,29 @@ def plain_classes(corpus, edits):
     return classes
 
 
+def test_lines_send_few_probes_and_leave_little(spark, plain_docs, tmp_path, monkeypatch):
+    """Probes that meet no line's own chunk are not sent, though all that meet one are; what classes were made of is dropped."""
+    folder, texts = f"{tmp_path}/owned", plain_docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).coalesce(1)
+    lines = sorted({x for r in texts.collect() for x in r.text.split("\n")})
+    cut = line_dedup.Cut(pa.array(lines))
+    keys, _ = line_dedup.probes(cut, np.flatnonzero(line_dedup.allowed(cut.size) > 0), line_dedup.MOST_EDITS)
+    own = {k >> 1 for k in keys.tolist() if k & 1}
+    owned = line_dedup.Owned(folder, 3)
+    owned.write(texts, line_dedup.MOST_EDITS)
+    for part in range(3):
+        some = keys[line_dedup.part_of(keys, 3) == part]
+        held = owned.holds(part, some.astype(np.uint32))
+        marked = np.array([k >> 1 in own for k in some.tolist()])
+        assert held[marked].all() and held[~marked].mean() < 0.1
+    sent = sum(len(r["keys"]) // 4 for r in line_dedup.probe_entries(texts, 3, line_dedup.MOST_EDITS, owned).collect())
+    assert sent < len(keys) / 2
+    monkeypatch.setattr(line_dedup, "shared_folder", lambda spark, label: f"{tmp_path}/{label}")
+    line_dedup.line_classes(plain_docs.limit(30))
+    left = {p.name for p in tmp_path.glob("line-dedup/*")} | {p.name for p in tmp_path.glob("line-dedup/join/*")}
+    assert "classed" in left and not left & {"met", "owned", "contents", "stars", "pairs", "open"}
+
+
+
 @pytest.mark.parametrize("edits", [2, line_dedup.MOST_EDITS])
 def test_line_classes(docs, corpus, no_docs, edits):
     near = [(1000, "a line with some words in it, long enough\nother", "en", "s", 1), (1001, "a line with some w0rds in it, long enough\nx", "en", "s", 1), (1002, "a line with sme w0rds in it, long enogh", "en", "s", 1), (1003, "short line\nshort lane\nshrt line\nnine char\nnine chars", "en", "s", 1)]

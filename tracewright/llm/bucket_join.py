@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tracewright.llm.common import tidy, written
+from tracewright.llm.common import drop_folder, freed, tidy, written
 from tracewright.llm.components import connected
 from tracewright.llm.store import Store
 from tracewright.llm.textvec import mix
@@ -79,14 +79,13 @@ class Contents:
         return {**self.__dict__, "files": {}}
 
     def write(self, contents: DataFrame) -> None:
-        """Store rows (item, n, bits, content)."""
+        """Store rows (item, n, bits, content), of rows of one item one."""
         store, parts = Store(self.folder), self.parts
 
         def save(part: int, t: pa.Table) -> None:
-            items = t.column("item").to_numpy()
-            order = np.argsort(items, kind="stable")
-            t = t.take(pa.array(order))
-            store.save(f"{part}.items", items[order])
+            items, first = np.unique(t.column("item").to_numpy(), return_index=True)
+            t = t.take(pa.array(first))
+            store.save(f"{part}.items", items)
             store.save(f"{part}.n", t.column("n").to_numpy())
             store.save(f"{part}.bits", unblob(t.column("bits"), np.uint64))
             store.save(f"{part}.at", np.concatenate(([0], np.cumsum(pc.binary_length(t.column("content")).to_numpy(), dtype=np.int64))))
@@ -110,7 +109,8 @@ class Contents:
             yield pa.RecordBatch.from_arrays([pa.array([done])], ["n"])
 
         dealt = contents.select(F.pmod("item", F.lit(parts)).cast("int").alias("part"), "item", "n", "bits", "content")
-        dealt.repartition("part").sortWithinPartitions("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
+        with freed(contents.sparkSession):
+            dealt.repartition("part").sortWithinPartitions("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
 
     def _part(self, part: int):
         if part not in self.files:
@@ -231,6 +231,9 @@ def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Ca
     open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("bucket", "m")
     members = written(members.join(open_, "bucket"), f"{folder}/open")
     add(joining_links(members, store, may, similar), "open")
+    # the labels are written, so what they were made of can go
+    for name in ("contents", "stars", "pairs", "open", *(f"{step}-{kind}" for step in ("best", "stars", "open") for kind in ("links", "up", "cc"))):
+        drop_folder(spark, f"{folder}/{name}")
     return labels
 
 

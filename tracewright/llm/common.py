@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,9 +34,23 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here give their shuffle files back as soon as they end, not when the driver next collects garbage. Frames
+    run here are not to be run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, folder: str) -> DataFrame:
     """The frame after a round trip through Parquet: a cut lineage that survives lost executors."""
-    df.write.mode("overwrite").parquet(folder)
+    with freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -9,7 +9,8 @@ edits outside of it, so the other line has it at most j places away. h and the c
 line is entered under its own chunks, and probes, for its class and those of lengths within reach below it, the places
 where a chunk may be: h * h an end and class. A chunk's key is taken from its run of ``anchor`` characters with the least
 hash (short chunks: all of it), so that places next to each other mostly share one key and are entered once. Where a probe
-meets another line's chunk, both meet in a bucket; pairs are verified with a banded bit-parallel edit distance.
+meets another line's chunk, both meet in a bucket; pairs are verified with a banded bit-parallel edit distance. Lines' own
+chunks are marked in bit maps first: most probes name a place that is no line's chunk, and are not sent.
 
 Classes are connected components of alike lines. The first line of a class by doc_id (null first), line number, text
 hash stays; later ones are repeats, those in repeated rows included: of rows equal in id and text one holds the lines that
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
 from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by
-from tracewright.llm.common import column, places, shared_folder, small_batches, table, tidy, written
+from tracewright.llm.common import column, drop_folder, freed, places, shared_folder, small_batches, table, tidy, written
+from tracewright.llm.store import Store
 
 #: Edits between alike lines: a tenth of the shorter one and so many at most. Keys grow with the square of that number.
 MOST_EDITS, TENTH = 15, 10
 PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 512, 4
+#: Bits of a map for each chunk marked in it, and bits set for each.
+OWNED_BITS, OWNED_TIMES = 10, 3
 #: Pairs that go through the band together.
 BAND_PAIRS = 1024
 #: Lines that a task remembers so as not to enter a repeat twice.
@@ -191,11 +195,11 @@ class Cut:
         return self.text[self.start[i] : self.end[i]]
 
 
-def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def probes(cut: Cut, lines: np.ndarray, most: int, only_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the places where the lines may hold a chunk of an alike line of their length or shorter; the lowest bit marks
-    a line's own chunks. Second, the line of each key."""
+    a line's own chunks, to which ``only_own`` keeps. Second, the line of each key."""
     length, found, before = cut.size[lines], [], np.full(len(lines), -1)
-    for less in range(most + 1):
+    for less in range(1 if only_own else most + 1):
         h, width = chunks(length - less, most)
         kind = h * (1 << 32) + width
         # classes are runs of lengths: each is probed once, at the first length of it
@@ -212,9 +216,10 @@ def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
         for side in range(2):
             for j in range(n):
                 # places from j before to j after the chunk's own, and the runs in them
-                place = (size - (j + 1) * width if side else np.full(len(some), j * width))[:, None] + np.arange(-j, j + 1)
+                off = 0 if only_own else j
+                place = (size - (j + 1) * width if side else np.full(len(some), j * width))[:, None] + np.arange(-off, off + 1)
                 fits = (place >= 0) & (place + width <= size[:, None])
-                at = (start + place[:, 0])[:, None] + np.arange(2 * j + 1 + width - run)
+                at = (start + place[:, 0])[:, None] + np.arange(2 * off + 1 + width - run)
                 low = cut.hashes(np.clip(at, 0, len(cut.points) - run), np.full(1, run))
                 span = width - run + 1
                 while span > 1:
@@ -223,41 +228,120 @@ def probes(cut: Cut, lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
                     span -= step
                 # equal neighbours are entered once, nearest to the chunk's own place
                 keep = fits.copy()
-                keep[:, :j] &= (low[:, :j] != low[:, 1 : j + 1]) | ~fits[:, 1 : j + 1]
-                keep[:, j + 1 :] &= (low[:, j + 1 :] != low[:, j:-1]) | ~fits[:, j:-1]
+                keep[:, :off] &= (low[:, :off] != low[:, 1 : off + 1]) | ~fits[:, 1 : off + 1]
+                keep[:, off + 1 :] &= (low[:, off + 1 :] != low[:, off:-1]) | ~fits[:, off:-1]
                 i, c = np.nonzero(keep)
                 with np.errstate(over="ignore"):
                     made = tv.mix(low[i, c] + tv.mix(np.array([k * 4096 + side * 2048 + j], np.uint64)))
-                keys.append(made & ~np.uint64(1) | (own[i] & (c == j)).astype(np.uint64))
+                keys.append(made & ~np.uint64(1) | (own[i] & (c == off)).astype(np.uint64))
                 owners.append(lines[line[some[i]]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def probe_entries(docs: DataFrame, parts: int, edits: int = MOST_EDITS) -> DataFrame:
-    """Keys of each line that may have an alike one, dealt by key: the low half of each key (the part tells more, and keys
-    that meet by chance are told apart when their lines are compared), items, and how many keys each item has in a row."""
+class Owned:
+    """A bit map for each part of the keys of lines' own chunks, in mapped files. It may hold a key that is none, and lacks
+    none that is one."""
+
+    def __init__(self, folder: str, parts: int):
+        self.folder, self.parts, self.maps = folder, parts, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "maps": {}}
+
+    def write(self, docs: DataFrame, edits: int) -> None:
+        """Mark the chunks of rows (doc_id, text)."""
+        store, parts = Store(self.folder), self.parts
+
+        @tidy
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cut, once in new_lines(batches, edits):
+                keys, _ = probes(cut, once, edits, only_own=True)
+                for k, i in split_by(part_of(keys, parts), parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob(keys[i].astype(np.uint32))], pa.binary())], ["part", "keys"])
+
+        @tidy
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for b in batches:
+                for k, keys in zip(*b.columns, strict=True):
+                    held.setdefault(k.as_py(), []).append(np.frombuffer(keys.as_buffer(), np.uint32).copy())
+            for k in sorted(held):
+                keys = np.unique(np.concatenate(held.pop(k)))
+                bits = np.zeros(len(keys) * OWNED_BITS, bool)
+                for at in bits_of(keys, len(bits)):
+                    bits[at] = True
+                store.save(f"{k}.bits", np.packbits(bits, bitorder="little"))
+                yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], ["n"])
+
+        with freed(docs.sparkSession):
+            docs.mapInArrow(rows, "part int, keys binary").repartition("part").mapInArrow(mark, "n long").agg(F.sum("n")).collect()
+
+    def holds(self, part: int, low: np.ndarray) -> np.ndarray:
+        """Whether keys of a part may be those of lines' own chunks."""
+        if part not in self.maps:
+            try:
+                self.maps[part] = Store(self.folder).load(f"{part}.bits", np.uint8)
+            except FileNotFoundError:
+                self.maps[part] = np.zeros(0, np.uint8)
+        bits, left = self.maps[part], np.arange(len(low))
+        if not len(bits):
+            return np.zeros(len(low), bool)
+        # a map of n chunks has OWNED_BITS * n bits, filled up to whole bytes
+        for at in bits_of(low, len(bits) * 8 // OWNED_BITS * OWNED_BITS, lambda x: x[left]):
+            left = left[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0]
+        out = np.zeros(len(low), bool)
+        out[left] = True
+        return out
+
+
+def bits_of(low: np.ndarray, size: int, taken=lambda x: x) -> Iterator[np.ndarray]:
+    """The places of keys in a map, one of each key at a time, the mark of own chunks left out."""
+    h = tv.mix((low >> np.uint32(1)).astype(np.uint64))
+    for t in range(OWNED_TIMES):
+        x = taken(h)
+        yield (((x & np.uint64(0xFFFFFFFF)) + np.uint64(t) * (x >> np.uint64(32) | np.uint64(1))) % np.uint64(size)).astype(np.int64)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
+
+
+def new_lines(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[tuple[Cut, np.ndarray]]:
+    """Batches cut into lines, and which of them may have an alike one and did not come before."""
+    seen: set[int] = set()
+    for batch in small_batches(batches, limit=1 << 20):
+        cut = Cut(batch.column(1))
+        _, once = np.unique(cut.item, return_index=True)
+        once = once[allowed(cut.size[once], edits) > 0]
+        fresh = np.array([x not in seen for x in cut.item[once].tolist()], bool)
+        once = once[fresh]
+        if len(seen) > REMEMBER:
+            seen.clear()
+        seen.update(cut.item[once].tolist())
+        if len(once):
+            yield cut, once
+
+
+def probe_entries(docs: DataFrame, parts: int, edits: int, owned: Owned) -> DataFrame:
+    """Keys of each line that may have an alike one, those that meet no line's own chunk left out, dealt by key: the low half
+    of each key (the part tells more, and keys that meet by chance are told apart when their lines are compared), items, and
+    how many keys each item has in a row."""
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in small_batches(batches, limit=1 << 20):
-            cut = Cut(batch.column(1))
-            _, once = np.unique(cut.item, return_index=True)
-            once = once[allowed(cut.size[once], edits) > 0]
-            fresh = np.array([x not in seen for x in cut.item[once].tolist()], bool)
-            once = once[fresh]
-            if len(seen) > REMEMBER:
-                seen.clear()
-            seen.update(cut.item[once].tolist())
-            if not len(once):
-                continue
+        for cut, once in new_lines(batches, edits):
             keys, owner = probes(cut, once, edits)
-            order = np.argsort(owner.astype(np.int32), kind="stable")
-            keys, owner = keys[order], owner[order]
-            part = (tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
-            for k, i in split_by(part, parts):
-                who, counts = runs(owner[i])
-                row = (blob(keys[i].astype(np.uint32)), blob(cut.item[who]), blob(counts.astype(np.uint16)))
+            for k, i in split_by(part_of(keys, parts), parts):
+                low = keys[i].astype(np.uint32)
+                stay = (low & np.uint32(1)).astype(bool)
+                other = np.flatnonzero(~stay)
+                stay[other] = owned.holds(k, low[other])
+                low, i = low[stay], i[stay]
+                if not len(i):
+                    continue
+                order = np.argsort(owner[i], kind="stable")
+                who, counts = runs(owner[i[order]])
+                row = (blob(low[order]), blob(cut.item[who]), blob(counts.astype(np.uint16)))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "keys", "items", "counts"])
 
     return docs.mapInArrow(rows, "part int, keys binary, items binary, counts binary")
@@ -312,56 +396,50 @@ def met_entries(entries: DataFrame, parts: int) -> DataFrame:
     return entries.repartition("part").mapInArrow(rows, ENTRY_SCHEMA)
 
 
-def lines_and_texts(docs: DataFrame, pick: np.ndarray) -> DataFrame:
-    """doc_id, mark, items of its lines (null for blank ones); and of lines that may be candidates, item and text."""
-    pick = docs.sparkSession.sparkContext.broadcast(pick)
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("line", pa.string())]))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, items of its lines (null for blank ones)."""
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for batch in small_batches(batches, limit=1 << 20):
             cut = Cut(batch.column(1))
-            wanted = passes(pick.value, cut.item) if len(cut.item) else np.zeros(0, bool)
             at = np.concatenate(([0], np.cumsum(cut.count)))
             # a line is blank if it holds nothing but blanks and control characters
             solid = np.concatenate(([0], np.cumsum(cut.points > 32)))
             blank = solid[cut.end] == solid[cut.start]
-            texts: list[list] = [[] for _ in range(batch.num_rows)]
-            doc = np.repeat(np.arange(batch.num_rows), cut.count)
-            for i in np.flatnonzero(wanted).tolist():
-                item = int(cut.item[i])
-                if item not in sent:
-                    if len(sent) > REMEMBER:
-                        sent.clear()
-                    sent.add(item)
-                    texts[doc[i]].append({"item": item, "line": cut.line(i)})
             items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cut.item, pa.int64(), mask=blank))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), items, pa.array(texts, kind)], ["doc_id", "mark", "items", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), items], ["doc_id", "mark", "items"])
 
-    return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>, texts array<struct<item: long, line: string>>")
+    return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>")
 
 
-def line_contents(texts: DataFrame) -> DataFrame:
-    """item, length, a bitmap of its runs of MARK_CHARS characters, and the line in UTF-8. An edit takes so many runs away
-    at most and brings as many at most, so it changes twice as many bits at most."""
+def line_contents(docs: DataFrame, pick: np.ndarray, edits: int) -> DataFrame:
+    """Of lines that may be candidates, some more than once: item, length, a bitmap of its runs of MARK_CHARS characters, and
+    the line in UTF-8. An edit takes so many runs away at most and brings as many at most, so it changes twice as many bits
+    at most."""
+    pick = docs.sparkSession.sparkContext.broadcast(pick)
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "line", 1 << 20):
-            cut = np.concatenate(([0], np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(), dtype=np.int64)))
-            points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        for cut, once in new_lines(batches, edits):
+            once = once[passes(pick.value, cut.item[once])]
+            if not len(once):
+                continue
+            size = cut.size[once]
+            at = np.concatenate(([0], np.cumsum(size)))
+            points = cut.points[np.repeat(cut.start[once] - at[:-1], size) + np.arange(at[-1])].astype(np.uint64)
             h = np.zeros(max(len(points) - MARK_CHARS + 1, 0), np.uint64)
             for k in range(MARK_CHARS if len(h) else 0):
                 h = (h + points[k : k + len(h)]) * _CODE
-            line = np.repeat(np.arange(batch.num_rows), np.diff(cut))[: len(h)]
-            inside = np.arange(len(h)) + MARK_CHARS <= cut[line + 1]
-            bits = np.zeros((batch.num_rows, MARK_BITS), bool)
+            line = np.repeat(np.arange(len(once)), size)[: len(h)]
+            inside = np.arange(len(h)) + MARK_CHARS <= at[line + 1]
+            bits = np.zeros((len(once), MARK_BITS), bool)
             bits[line[inside], (tv.mix(h[inside]) % np.uint64(MARK_BITS)).astype(np.int64)] = True
-            marks = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut)), pa.array([m.tobytes() for m in marks], pa.binary()), batch.column(1).cast(pa.binary())], ["item", "n", "bits", "content"])
+            marks = [m.tobytes() for m in np.packbits(bits, axis=1)]
+            content = [cut.line(i).encode() for i in once.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(cut.item[once]), pa.array(size), pa.array(marks, pa.binary()), pa.array(content, pa.binary())], ["item", "n", "bits", "content"])
 
-    return texts.select("item", "line").mapInArrow(rows, "item long, n long, bits binary, content binary")
+    return docs.mapInArrow(rows, "item long, n long, bits binary, content binary")
 
 
 def alike(edits: int):
@@ -388,17 +466,21 @@ def line_classes(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     folder = shared_folder(spark, "line-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = marked(docs)
-    met = written(met_entries(probe_entries(docs.select("doc_id", "text"), parts, edits), parts), f"{folder}/met")
+    texts = docs.select("doc_id", "text")
+    owned = Owned(f"{folder}/owned", parts)
+    owned.write(texts, edits)
+    met = written(met_entries(probe_entries(texts, parts, edits, owned), parts), f"{folder}/met")
+    drop_folder(spark, owned.folder)
     pick = bitmap(met, "items", PICK_BITS)
-    # rows get numbers in the written table, where they are fixed
-    known = written(lines_and_texts(docs, pick).withColumn("row", F.monotonically_increasing_id()), f"{folder}/lines")
-    texts = known.select(F.explode("texts").alias("t")).select("t.item", "t.line").groupBy("item").agg(F.first("line").alias("line"))
 
     def may(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
         most = allowed(np.minimum(a, b), edits)
         return (np.abs(a - b) <= most) & (off <= 2 * MARK_CHARS * most)
 
-    labels = join_components(met, line_contents(texts), MARK_BITS // 64, may, alike(edits), f"{folder}/join")
+    labels = join_components(met, line_contents(texts, pick, edits), MARK_BITS // 64, may, alike(edits), f"{folder}/join")
+    drop_folder(spark, f"{folder}/met")
+    # rows get numbers in the written table, where they are fixed
+    known = written(lines_of(docs).withColumn("row", F.monotonically_increasing_id()), f"{folder}/lines")
     rows = known.select("doc_id", "mark", "row", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
     rows = written(rows.select("doc_id", "mark", "row", "line_no", "class"), f"{folder}/classed")
