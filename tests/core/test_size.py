@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import extract, frameworks, fusion, graph, product, relational
+from tracewright.operators import extract, frameworks, fusion, graph, product, providers, relational
 from tracewright.plans import extraction, registry
 
 
@@ -88,3 +88,13 @@ def test_declared_symbols_are_those_of_all_facts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(extract, "_mentioned", None)
     assert every(extract.declared(lines)) == want
     assert 0 < frameworks.telling(lines).count() < lines.count() / 3
+
+
+def test_fused_symbols_look_for_no_relationships(spark, sf_dir, monkeypatch):
+    """What files mention is set aside, so it is not looked for; what they declare is the same."""
+    files = extraction.code_files(spark, sf_dir).filter("project < 3").withColumn("path", F.concat(F.col("project").cast("string"), F.lit("/"), "path"))
+    every = providers.default_registry().facts(files, "maximum").filter("type not in ('environment_variable', 'external_service') and (type <> 'table' or path like '%.sql')")
+    own = providers.default_registry(mentioned=False).facts(files, "maximum")
+    assert sorted(map(str, every.select(own.columns).collect())) == sorted(map(str, own.collect()))
+    monkeypatch.setattr(extract, "facts", None)
+    assert registry.QUERIES["x_providers_fused"](spark, sf_dir).columns == ["type", "label", "n"]

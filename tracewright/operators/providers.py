@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.operators import extract
+from tracewright.operators.graph import kept
 
 PROFILES = ("quick", "deep", "security", "maximum")
 
@@ -44,7 +45,9 @@ class Registry:
         return out
 
 
-def default_registry() -> Registry:
+def default_registry(mentioned: bool = True) -> Registry:
+    """The engine of this library; without ``mentioned`` it gives what files declare only, and looks for no relationships."""
+    find = extract.symbols if mentioned else extract.declared
     registry = Registry()
-    registry.add(Provider("native", PROFILES, lambda files: extract.symbols(extract.numbered(files)).withColumns({"documentation": F.lit(False)})))
+    registry.add(Provider("native", PROFILES, lambda files: find(kept(extract.numbered(files))).withColumns({"documentation": F.lit(False)})))
     return registry

@@ -249,7 +249,7 @@ def script_relationships(spark, sf_dir):
 def fused(spark, sf_dir):
     """From files through the registry's engines to fused symbols; mentioned services, variables and tables set aside."""
     files = code_files(spark, sf_dir).withColumn("path", F.concat(F.col("project").cast("string"), F.lit("/"), "path"))
-    found = fusion.fuse_symbols(providers.default_registry().facts(files, "maximum"))
+    found = fusion.fuse_symbols(providers.default_registry(mentioned=False).facts(files, "maximum"))
     declared = ~F.col("type").isin("environment_variable", "external_service") & ~((F.col("type") == "table") & ~F.col("path").endswith(".sql"))
     return found.filter(declared).groupBy("type", "label").agg(F.count(F.lit(1)).alias("n"))
 
