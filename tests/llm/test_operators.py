@@ -205,6 +205,50 @@ def test_lines_send_few_probes_and_leave_little(spark, plain_docs, tmp_path, mon
     assert "classed" in left and not left & {"met", "owned", "contents", "stars", "pairs", "open"}
 
 
+def test_lines_that_meet_by_chance_go_before_their_contents_are_kept(spark, tmp_path, monkeypatch):
+    """Long lines with a common start meet under its chunk, but only those whose bitmaps may be alike go on; pairs of a large
+    group of near copies are not told one by one."""
+    import random
+
+    from tracewright.llm import bucket_join
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    lines = ["the same start of all lines " + "".join(rng.choice(letters) for _ in range(60)) for _ in range(300)]
+    lines += [lines[k][:70] + "#" + lines[k][71:] for k in range(10)]
+    near = "".join(rng.choice(letters) for _ in range(120))
+    group = [near[:k] + rng.choice("ABCDEFGH") + near[k + 1 :] for k in range(0, 120)]
+    rows = [(i, x) for i, x in enumerate([*lines, *dict.fromkeys(group)])]
+    kept = {}
+    write = bucket_join.Contents.write
+    monkeypatch.setattr(bucket_join.Contents, "write", lambda self, contents: (kept.update({r["item"]: bytes(r["content"]).decode() for r in contents.collect()}), write(self, contents))[1])
+    monkeypatch.setattr(line_dedup, "MANY", 4)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(texts).collect()}
+    assert got == {i: 310 if i >= 310 else i - 300 if i >= 300 else i for i, _ in rows}
+    assert {*lines[:10], *lines[300:], *group} <= set(kept.values()) and len(kept) < 200
+
+
+def test_far_pairs_of_long_lines_end_early():
+    import random
+
+    rng = random.Random(8)
+    lines = []
+    for _ in range(12):
+        base = [rng.choice("abcd ") for _ in range(rng.randint(60, 260))]
+        for edits in (0, 3, 9, 14, 15, 16, 17, 25, 60):
+            other = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randint(0, 1)] = [rng.choice("abcd ")] * rng.randint(0, 1)
+            lines.append("".join(other))
+    points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
+    i = np.repeat(np.arange(0, len(lines), 9), 9)
+    j = np.arange(len(lines))
+    got = line_dedup.distances(points, i, j, 15)
+    assert got.tolist() == [min(plain_distance(lines[x], lines[y]), 16) for x, y in zip(i, j, strict=True)]
+    assert (got == 16).any() and ((got > 9) & (got < 16)).any()
+
 
 @pytest.mark.parametrize("edits", [2, line_dedup.MOST_EDITS])
 def test_line_classes(docs, corpus, no_docs, edits):

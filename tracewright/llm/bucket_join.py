@@ -70,10 +70,11 @@ def sorted_entries(keys: np.ndarray, items: np.ndarray, scores: np.ndarray) -> t
 
 
 class Contents:
-    """Items' sizes, bitmaps and contents in mapped files, dealt by item: bitmaps tell most pairs apart, contents the rest."""
+    """Items' sizes, bitmaps and (where ``whole``) contents in mapped files, dealt by item: bitmaps tell most pairs apart,
+    contents the rest."""
 
-    def __init__(self, folder: str, parts: int, width: int):
-        self.folder, self.parts, self.width, self.files = folder, parts, width, {}
+    def __init__(self, folder: str, parts: int, width: int, whole: bool = True):
+        self.folder, self.parts, self.width, self.whole, self.files = folder, parts, width, whole, {}
 
     def __getstate__(self):
         return {**self.__dict__, "files": {}}
@@ -85,9 +86,7 @@ class Contents:
         def save(part: int, t: pa.Table) -> None:
             items, first = np.unique(t.column("item").to_numpy(), return_index=True)
             t = t.take(pa.array(first))
-            store.save(f"{part}.items", items)
-            store.save(f"{part}.n", t.column("n").to_numpy())
-            store.save(f"{part}.bits", unblob(t.column("bits"), np.uint64))
+            self.save_marks(part, items, t.column("n").to_numpy(), unblob(t.column("bits"), np.uint64))
             store.save(f"{part}.at", np.concatenate(([0], np.cumsum(pc.binary_length(t.column("content")).to_numpy(), dtype=np.int64))))
             store.save(f"{part}.data", unblob(t.column("content"), np.uint8))
 
@@ -112,9 +111,16 @@ class Contents:
         with freed(contents.sparkSession):
             dealt.repartition("part").sortWithinPartitions("part").mapInArrow(rows, "n long").agg(F.sum("n")).collect()
 
+    def save_marks(self, part: int, items: np.ndarray, n: np.ndarray, bits: np.ndarray) -> None:
+        """Sizes and bitmaps of a part's items, which are sorted and distinct."""
+        for kind, x in (("items", items), ("n", n), ("bits", bits)):
+            Store(self.folder).save(f"{part}.{kind}", x)
+
     def _part(self, part: int):
         if part not in self.files:
-            store, kinds = Store(self.folder), {"items": np.int64, "n": np.int64, "bits": np.uint64, "at": np.int64, "data": np.uint8}
+            store, kinds = Store(self.folder), {"items": np.int64, "n": np.int64, "bits": np.uint64}
+            if self.whole:
+                kinds |= {"at": np.int64, "data": np.uint8}
             try:
                 self.files[part] = {k: store.load(f"{part}.{k}", kind) for k, kind in kinds.items()}
             except FileNotFoundError:
@@ -162,38 +168,45 @@ def maybe(known: np.ndarray, n: np.ndarray, bits: np.ndarray, i: np.ndarray, j:
     return out
 
 
+STAR_SCHEMA = "a long, b long, support long, bucket long, item long"
+
+
 def stars(entries: DataFrame, store: Contents, may: Callable) -> DataFrame:
-    """Of entries dealt by part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
-    (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
+    """The rows of star_rows for entries dealt by part."""
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(unblob(b.column(1), np.int64), unblob(b.column(2), np.int64), unblob(b.column(3), np.float32)) for b in batches if b.num_rows]
-        if not held:
-            return
-        keys, items, at = sorted_entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        size = np.diff(at)
-        pivot = np.repeat(items[at[:-1]], size)
-        pair = items != pivot
-        if pair.any():
-            ab, support = np.unique(np.stack([pivot[pair], items[pair]]), axis=1, return_counts=True)
-            fit = store.near(ab[0], ab[1], may)
-            ab, support = ab[:, fit], support[fit]
-            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), pa.nulls(len(support), pa.int64()), pa.nulls(len(support), pa.int64())], ["a", "b", "support", "bucket", "item"])
-        with np.errstate(over="ignore"):
-            own = mix(items.view(np.uint64))
-            who = np.add.reduceat(own, at[:-1]) - own[at[:-1]] + size.astype(np.uint64)
-        _, once = np.unique(who, return_index=True)
-        once = once[size[once] >= 3]
-        take = np.zeros(len(size), bool)
-        take[once] = True
-        big = np.repeat(take, size)
-        big[at[:-1]] = False
-        if big.any():
-            n = int(big.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(np.repeat(who.view(np.int64), size)[big]), pa.array(items[big])], ["a", "b", "support", "bucket", "item"])
-
-    return entries.repartition("part").mapInArrow(rows, "a long, b long, support long, bucket long, item long")
+        if held:
+            yield from star_rows(*(np.concatenate(x) for x in zip(*held, strict=True)), store, may)
+
+    return entries.repartition("part").mapInArrow(rows, STAR_SCHEMA)
+
+
+def star_rows(keys: np.ndarray, items: np.ndarray, scores: np.ndarray, store: Contents, may: Callable) -> Iterator[pa.RecordBatch]:
+    """Of the entries of a part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
+    (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
+    keys, items, at = sorted_entries(keys, items, scores)
+    size = np.diff(at)
+    pivot = np.repeat(items[at[:-1]], size)
+    pair = items != pivot
+    if pair.any():
+        ab, support = np.unique(np.stack([pivot[pair], items[pair]]), axis=1, return_counts=True)
+        fit = store.near(ab[0], ab[1], may)
+        ab, support = ab[:, fit], support[fit]
+        yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), pa.nulls(len(support), pa.int64()), pa.nulls(len(support), pa.int64())], ["a", "b", "support", "bucket", "item"])
+    with np.errstate(over="ignore"):
+        own = mix(items.view(np.uint64))
+        who = np.add.reduceat(own, at[:-1]) - own[at[:-1]] + size.astype(np.uint64)
+    _, once = np.unique(who, return_index=True)
+    once = once[size[once] >= 3]
+    take = np.zeros(len(size), bool)
+    take[once] = True
+    big = np.repeat(take, size)
+    big[at[:-1]] = False
+    if big.any():
+        n = int(big.sum())
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(np.repeat(who.view(np.int64), size)[big]), pa.array(items[big])], ["a", "b", "support", "bucket", "item"])
 
 
 def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Callable, similar: Callable, folder: str) -> DataFrame:
@@ -203,7 +216,12 @@ def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Ca
     spark = entries.sparkSession
     store = Contents(f"{folder}/contents", int(spark.conf.get("spark.sql.shuffle.partitions")), width)
     store.write(contents)
-    both = written(stars(entries, store, may), f"{folder}/stars")
+    return star_components(written(stars(entries, store, may), f"{folder}/stars"), store, may, similar, folder)
+
+
+def star_components(both: DataFrame, store: Contents, may: Callable, similar: Callable, folder: str) -> DataFrame:
+    """(node, component) of items with a link, from rows of star_rows (in ``folder``/stars) and the items' contents (in
+    ``folder``/contents)."""
     pairs = both.filter("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     pairs = written(pairs, f"{folder}/pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b")
@@ -233,7 +251,7 @@ def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Ca
     add(joining_links(members, store, may, similar), "open")
     # the labels are written, so what they were made of can go
     for name in ("contents", "stars", "pairs", "open", *(f"{step}-{kind}" for step in ("best", "stars", "open") for kind in ("links", "up", "cc"))):
-        drop_folder(spark, f"{folder}/{name}")
+        drop_folder(both.sparkSession, f"{folder}/{name}")
     return labels
 
 
@@ -249,7 +267,8 @@ def tested(pairs: DataFrame, store: Contents, similar: Callable) -> DataFrame:
                 keep = similar(store.content(items), back[: some.num_rows], back[some.num_rows :])
                 yield some.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").mapInArrow(rows, "a long, b long")
+    # pairs are few bytes each and long to test, so they are not left to partitions by size
+    return pairs.select("a", "b").repartition(store.parts, "a", "b").mapInArrow(rows, "a long, b long")
 
 
 class Joined:

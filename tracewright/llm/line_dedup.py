@@ -8,9 +8,11 @@ lines, one end of the shorter holds fewer than h edits; there some chunk j, coun
 edits outside of it, so the other line has it at most j places away. h and the chunk size follow from length classes. A
 line is entered under its own chunks, and probes, for its class and those of lengths within reach below it, the places
 where a chunk may be: h * h an end and class. A chunk's key is taken from its run of ``anchor`` characters with the least
-hash (short chunks: all of it), so that places next to each other mostly share one key and are entered once. Where a probe
-meets another line's chunk, both meet in a bucket; pairs are verified with a banded bit-parallel edit distance. Lines' own
-chunks are marked in bit maps first: most probes name a place that is no line's chunk, and are not sent.
+hash (short chunks: all of it), so that places next to each other mostly share one key and are entered once. Lines' own
+chunks and a bitmap of each line are kept in mapped files first, with bit maps of the chunks: most probes name a place that
+is no line's chunk, and are not sent. Where a probe or a chunk meets another line's chunk, lengths and bitmaps tell which
+lines may be alike (their bound is exact); only of those the contents are kept, and their pairs are verified with a banded
+bit-parallel edit distance.
 
 Classes are connected components of alike lines. The first line of a class by doc_id (null first), line number, text
 hash stays; later ones are repeats, those in repeated rows included: of rows equal in id and text one holds the lines that
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.bucket_join import ENTRY_SCHEMA, bitmap, blob, entry_rows, join_components, passes, split_by
+from tracewright.llm.bucket_join import BLOCK, STAR_SCHEMA, Contents, bitmap, blob, passes, split_by, star_components, star_rows
 from tracewright.llm.common import column, drop_folder, freed, places, shared_folder, small_batches, table, tidy, written
 from tracewright.llm.store import Store
 
@@ -37,11 +39,13 @@ MOST_EDITS, TENTH = 15, 10
 PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 512, 4
 #: Bits of a map for each chunk marked in it, and bits set for each.
 OWNED_BITS, OWNED_TIMES = 10, 3
+#: Pairs an entry up to which a key's pairs are told one by one.
+MANY = 64
 #: Pairs that go through the band together.
 BAND_PAIRS = 1024
 #: Lines that a task remembers so as not to enter a repeat twice.
 REMEMBER = 200_000
-_CODE = np.uint64(0xD6E8FEB86659FD93)
+_CODE, _RUN_CODE = np.uint64(0xD6E8FEB86659FD93), np.uint32(0x9E3779B1)
 
 
 def allowed(length, most: int = MOST_EDITS) -> np.ndarray:
@@ -115,6 +119,15 @@ def _banded(left: list[np.ndarray], right: list[np.ndarray], most: int) -> np.nd
         if t % 16 == 0 and t:
             # the last row can fall by one a step at most, so pairs beyond 3 * most + 1 are far
             live = (now <= 3 * most + 1) & (cols > t)
+            if t % 32 == 0:
+                # a path of so few edits crosses this column within the band, at a distance that is no larger
+                least, value = now.copy(), now.copy()
+                last = rows - t + most - 1
+                for r in range(width - 2, -1, -1):
+                    value -= np.where(last >= r, (up >> np.uint64(r) & one).astype(np.int64) - (down >> np.uint64(r) & one).astype(np.int64), 0)
+                    np.minimum(least, value, out=least)
+                now = np.where(live & (least > most), 3 * most + 2, now)
+                live &= least <= most
             if not live.all():
                 ended = cols <= t
                 out[ids[ended]] = np.minimum(now[ended], most + 1)
@@ -191,13 +204,19 @@ class Cut:
         with np.errstate(over="ignore"):
             return tv.mix((self.total[start + size] - self.total[start]) * self.down[start] + size.astype(np.uint64))
 
+    def runs(self, start: np.ndarray, size: int) -> np.ndarray:
+        """As hashes, for runs of one size that are compared with each other only."""
+        with np.errstate(over="ignore"):
+            return (self.total[start + size] - self.total[start]) * self.down[start]
+
     def line(self, i: int) -> str:
         return self.text[self.start[i] : self.end[i]]
 
 
-def probes(cut: Cut, lines: np.ndarray, most: int, only_own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def probes(cut: Cut, lines: np.ndarray, most: int, only_own: bool = False, with_own: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the places where the lines may hold a chunk of an alike line of their length or shorter; the lowest bit marks
-    a line's own chunks, to which ``only_own`` keeps. Second, the line of each key."""
+    a line's own chunks, to which ``only_own`` keeps and which are left out unless ``with_own``. Second, the line of each
+    key."""
     length, found, before = cut.size[lines], [], np.full(len(lines), -1)
     for less in range(1 if only_own else most + 1):
         h, width = chunks(length - less, most)
@@ -208,65 +227,131 @@ def probes(cut: Cut, lines: np.ndarray, most: int, only_own: bool = False) -> tu
         found.append((new, kind[new], np.full(len(new), less == 0)))
     line, kind, first = (np.concatenate(x) for x in zip(*found, strict=True))
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, lines.dtype)]
-    for k in np.unique(kind).tolist():
+    order = np.argsort(kind, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
+        k = int(kind[some[0]])
         n, width = divmod(k, 1 << 32)
-        some = np.flatnonzero(kind == k)
-        start, size, own = cut.start[lines[line[some]]], length[line[some]], first[some]
-        run = anchor(width)
+        if only_own:
+            who, size = lines[line[some]], length[line[some]][:, None]
+            step = np.arange(n) * width
+            at = cut.start[who][:, None] + np.concatenate([np.broadcast_to(step, (len(some), n)), size - step - width], axis=1)
+            code = tv.mix(np.array([_chunk_code(k, side, j) for side in range(2) for j in range(n)], np.uint64))
+            with np.errstate(over="ignore"):
+                keys.append((tv.mix(_least(cut, at, width)[:, :, 0] + code) | np.uint64(1)).ravel())
+            owners.append(np.repeat(who, 2 * n))
+            continue
         for side in range(2):
             for j in range(n):
-                # places from j before to j after the chunk's own, and the runs in them
-                off = 0 if only_own else j
-                place = (size - (j + 1) * width if side else np.full(len(some), j * width))[:, None] + np.arange(-off, off + 1)
-                fits = (place >= 0) & (place + width <= size[:, None])
-                at = (start + place[:, 0])[:, None] + np.arange(2 * off + 1 + width - run)
-                low = cut.hashes(np.clip(at, 0, len(cut.points) - run), np.full(1, run))
-                span = width - run + 1
-                while span > 1:
-                    step = span // 2
-                    low = np.minimum(low[:, : low.shape[1] - step], low[:, step:])
-                    span -= step
+                # places from j before to j after the chunk's own
+                who = some if j or with_own else some[~first[some]]
+                start, size, own = cut.start[lines[line[who]]], length[line[who]], first[who]
+                place = size - (j + 1) * width if side else np.full(len(who), j * width)
+                near = place[:, None] + np.arange(-j, j + 1)
+                keep = (near >= 0) & (near + width <= size[:, None])
+                low = _least(cut, (start + place - j)[:, None], width, 2 * j + 1)[:, 0]
                 # equal neighbours are entered once, nearest to the chunk's own place
-                keep = fits.copy()
-                keep[:, :off] &= (low[:, :off] != low[:, 1 : off + 1]) | ~fits[:, 1 : off + 1]
-                keep[:, off + 1 :] &= (low[:, off + 1 :] != low[:, off:-1]) | ~fits[:, off:-1]
+                if j:
+                    same = (low[:, 1:] == low[:, :-1]) & keep[:, 1:] & keep[:, :-1]
+                    keep[:, :j] &= ~same[:, :j]
+                    keep[:, j + 1 :] &= ~same[:, j:]
+                if not with_own:
+                    keep[own, j] = False
                 i, c = np.nonzero(keep)
                 with np.errstate(over="ignore"):
-                    made = tv.mix(low[i, c] + tv.mix(np.array([k * 4096 + side * 2048 + j], np.uint64)))
-                keys.append(made & ~np.uint64(1) | (own[i] & (c == off)).astype(np.uint64))
-                owners.append(lines[line[some[i]]])
+                    made = tv.mix(low[i, c] + tv.mix(np.array([_chunk_code(k, side, j)], np.uint64)))
+                keys.append(made & ~np.uint64(1) | (own[i] & (c == j)).astype(np.uint64))
+                owners.append(lines[line[who[i]]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _chunk_code(kind: int, side: int, j: int) -> int:
+    return kind * 4096 + side * 2048 + j
+
+
+def _least(cut: Cut, at: np.ndarray, width: int, places: int = 1) -> np.ndarray:
+    """Hashes of the runs that stand for chunks of the given width from each of ``at`` (two axes) on, for so many places next
+    to each other (third axis)."""
+    run = anchor(width)
+    span = width - run + 1
+    at = at[:, :, None] + np.arange(places + span - 1)
+    np.maximum(at, 0, out=at)
+    low = cut.runs(np.minimum(at, len(cut.points) - run, out=at), run)
+    while span > 1:
+        step = span // 2
+        low = np.minimum(low[:, :, : low.shape[2] - step], low[:, :, step:])
+        span -= step
+    return low
+
+
+def line_marks(cut: Cut, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lines and a bitmap of each one's runs of MARK_CHARS characters (a row of 64-bit words). An edit takes so
+    many runs away at most and brings as many at most, so it changes twice as many bits at most."""
+    size = cut.size[lines]
+    at = np.concatenate(([0], np.cumsum(size)))
+    points = cut.points[np.repeat(cut.start[lines] - at[:-1], size) + np.arange(at[-1])]
+    n = max(len(points) - MARK_CHARS + 1, 0)
+    h = np.zeros(n, np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(MARK_CHARS if n else 0):
+            h = (h ^ points[k : k + n]) * _RUN_CODE
+            h ^= h >> np.uint32(15)
+        h = h * _RUN_CODE >> np.uint32(23)
+    inside = np.ones(at[-1], bool)
+    for k in range(1, MARK_CHARS):
+        inside[np.maximum(at[1:] - k, at[:-1])[size > 0]] = False
+    inside = inside[:n]
+    bits = np.zeros(len(lines) * MARK_BITS, bool)
+    bits[(np.repeat(np.arange(len(lines)) * MARK_BITS, size)[:n] + h)[inside]] = True
+    return size, np.packbits(bits).view(np.uint64).reshape(len(lines), MARK_BITS // 64)
+
+
 class Owned:
-    """A bit map for each part of the keys of lines' own chunks, in mapped files. It may hold a key that is none, and lacks
-    none that is one."""
+    """Lines' own chunks (keys and items in order of the keys) and a bit map of their keys, for each part of the keys, and
+    lines' lengths and bitmaps, in mapped files. A bit map may hold a key that is none, and lacks none that is one."""
 
     def __init__(self, folder: str, parts: int):
         self.folder, self.parts, self.maps = folder, parts, {}
+        self.marks = Contents(f"{folder}/marks", parts, MARK_BITS // 64, whole=False)
 
     def __getstate__(self):
         return {**self.__dict__, "maps": {}}
 
     def write(self, docs: DataFrame, edits: int) -> None:
-        """Mark the chunks of rows (doc_id, text)."""
-        store, parts = Store(self.folder), self.parts
+        """Store the chunks and the bitmaps of rows (doc_id, text)."""
+        store, parts, marks = Store(self.folder), self.parts, self.marks
 
         @tidy
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cut, once in new_lines(batches, edits):
-                keys, _ = probes(cut, once, edits, only_own=True)
-                for k, i in split_by(part_of(keys, parts), parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob(keys[i].astype(np.uint32))], pa.binary())], ["part", "keys"])
+                keys, owner = probes(cut, once, edits, only_own=True)
+                out = [(k, *row, None, None) for k, row in key_rows(cut, keys, owner, parts)]
+                (size, bits), items = line_marks(cut, once), cut.item[once]
+                out += [(k, None, blob(items[i]), None, blob(size[i].astype(np.int64)), blob(bits[i])) for k, i in split_by(items % parts, parts)]
+                yield dealt(out, ["keys", "items", "counts", "n", "bits"])
 
         @tidy
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
+        def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, list] = {}
+            line: dict[int, list] = {}
             for b in batches:
-                for k, keys in zip(*b.columns, strict=True):
-                    held.setdefault(k.as_py(), []).append(np.frombuffer(keys.as_buffer(), np.uint32).copy())
-            for k in sorted(held):
-                keys = np.unique(np.concatenate(held.pop(k)))
+                for k, keys, items, counts, n, bits in zip(*b.columns, strict=True):
+                    items = np.frombuffer(items.as_buffer(), np.int64)
+                    if keys.is_valid:
+                        own.setdefault(k.as_py(), []).append((np.frombuffer(keys.as_buffer(), np.uint32), items, np.frombuffer(counts.as_buffer(), np.uint16)))
+                    else:
+                        line.setdefault(k.as_py(), []).append((items, np.frombuffer(n.as_buffer(), np.int64), np.frombuffer(bits.as_buffer(), np.uint64)))
+            for k in sorted(line):
+                items, n, bits = (np.concatenate(x) for x in zip(*line.pop(k), strict=True))
+                items, at = np.unique(items, return_index=True)
+                marks.save_marks(k, items, n[at], bits.reshape(-1, marks.width)[at])
+            for k in sorted(own):
+                keys, items, counts = (np.concatenate(x) for x in zip(*own.pop(k), strict=True))
+                items = np.repeat(items, counts)
+                order = np.argsort(keys, kind="stable")
+                keys, items = keys[order], items[order]
+                store.save(f"{k}.keys", keys)
+                store.save(f"{k}.items", items)
+                keys = keys[np.diff(keys, prepend=keys[:1] ^ np.uint32(2)) != 0]
                 bits = np.zeros(len(keys) * OWNED_BITS, bool)
                 for at in bits_of(keys, len(bits)):
                     bits[at] = True
@@ -274,7 +359,15 @@ class Owned:
                 yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], ["n"])
 
         with freed(docs.sparkSession):
-            docs.mapInArrow(rows, "part int, keys binary").repartition("part").mapInArrow(mark, "n long").agg(F.sum("n")).collect()
+            sent = docs.mapInArrow(rows, "part int, keys binary, items binary, counts binary, n binary, bits binary")
+            sent.repartition("part").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+
+    def chunks(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and items of a part's own chunks."""
+        try:
+            return Store(self.folder).load(f"{part}.keys", np.uint32), Store(self.folder).load(f"{part}.items", np.int64)
+        except FileNotFoundError:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def holds(self, part: int, low: np.ndarray) -> np.ndarray:
         """Whether keys of a part may be those of lines' own chunks."""
@@ -322,27 +415,35 @@ def new_lines(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[tuple[C
             yield cut, once
 
 
+def key_rows(cut: Cut, keys: np.ndarray, owner: np.ndarray, parts: int, stays=None) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+    """Keys by part: the low half of each (the part tells more, and keys that meet by chance are told apart when their lines
+    are compared), items, and how many keys each item has in a row."""
+    for k, i in split_by(part_of(keys, parts), parts):
+        low = keys[i].astype(np.uint32)
+        if stays:
+            stay = stays(k, low)
+            low, i = low[stay], i[stay]
+        if len(i):
+            order = np.argsort(owner[i], kind="stable")
+            who, counts = runs(owner[i[order]])
+            yield k, (blob(low[order]), blob(cut.item[who]), blob(counts.astype(np.uint16)))
+
+
+def dealt(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of a part's number and binary columns of these names."""
+    part, *columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["part", *names])
+
+
 def probe_entries(docs: DataFrame, parts: int, edits: int, owned: Owned) -> DataFrame:
-    """Keys of each line that may have an alike one, those that meet no line's own chunk left out, dealt by key: the low half
-    of each key (the part tells more, and keys that meet by chance are told apart when their lines are compared), items, and
-    how many keys each item has in a row."""
+    """Rows of key_rows, dealt by key, of each line that may have an alike one: places other than its own chunks whose keys
+    may be those of a line's own chunk."""
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut, once in new_lines(batches, edits):
-            keys, owner = probes(cut, once, edits)
-            for k, i in split_by(part_of(keys, parts), parts):
-                low = keys[i].astype(np.uint32)
-                stay = (low & np.uint32(1)).astype(bool)
-                other = np.flatnonzero(~stay)
-                stay[other] = owned.holds(k, low[other])
-                low, i = low[stay], i[stay]
-                if not len(i):
-                    continue
-                order = np.argsort(owner[i], kind="stable")
-                who, counts = runs(owner[i[order]])
-                row = (blob(low[order]), blob(cut.item[who]), blob(counts.astype(np.uint16)))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "keys", "items", "counts"])
+            keys, owner = probes(cut, once, edits, with_own=False)
+            yield dealt([(k, *row) for k, row in key_rows(cut, keys, owner, parts, owned.holds)], ["keys", "items", "counts"])
 
     return docs.mapInArrow(rows, "part int, keys binary, items binary, counts binary")
 
@@ -355,45 +456,86 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def met_entries(entries: DataFrame, parts: int) -> DataFrame:
-    """Entries of keys under which some line's own chunk and another line meet."""
-
-    def met(low: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # keys are sorted together with their places
-        both = np.sort((low.astype(np.uint64) >> np.uint64(1) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
-        place = both.astype(np.uint32)
-        both >>= np.uint64(32)
-        edge = np.ones(len(both) + 1, bool)
-        edge[1:-1] = both[1:] != both[:-1]
-        # most keys are met by one line only
-        some = np.flatnonzero(~(edge[:-1] & edge[1:]))
-        keys, place = both[some], place[some]
-        del both
-        items, own = items[place], low[place] & np.uint32(1)
-        first = edge[:-1][some]
-        at = np.flatnonzero(first)
-        size = np.diff(np.append(at, len(keys)))
-        if not len(at):
-            return keys, items
-        keep = (np.add.reduceat(own, at) > 0) & (np.maximum.reduceat(items, at) != np.minimum.reduceat(items, at))
-        keep = np.repeat(keep, size)
-        return keys[keep], items[keep]
+def met_lines(entries: DataFrame, parts: int, edits: int, owned: Owned, may) -> DataFrame:
+    """Rows of star_rows for the buckets in which some line's own chunk and another line meet and may be alike."""
+    # parts without probes have own chunks that meet
+    every = entries.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), *(F.lit(b"").alias(c) for c in ("keys", "items", "counts")))
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
+        held: dict[int, list] = {}
         for b in batches:
-            for k, keys, items, counts in zip(*b.columns, strict=True):
-                items = np.repeat(np.frombuffer(items.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.uint16))
-                held.setdefault(k.as_py(), []).append((np.frombuffer(keys.as_buffer(), np.uint32).copy(), items))
+            for k, *x in zip(*b.columns, strict=True):
+                held.setdefault(k.as_py(), []).append([np.frombuffer(c.as_buffer(), t) for c, t in zip(x, (np.uint32, np.int64, np.uint16), strict=True)])
         # keys of two parts are not compared: each part stands for itself
         for k in sorted(held):
-            keys, items = met(*(np.concatenate(x) for x in zip(*held.pop(k), strict=True)))
+            low, items, counts = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
+            own_low, own_items = owned.chunks(k)
+            low, items = np.concatenate([own_low, low]), np.concatenate([own_items, np.repeat(items, counts)])
+            ab, keys, items = near_entries(low, items, owned.marks, edits, may)
+            if ab.shape[1]:
+                ab, support = np.unique(ab, axis=1, return_counts=True)
+                none = pa.nulls(len(support), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), none, none], ["a", "b", "support", "bucket", "item"])
             if len(keys):
-                keys = tv.mix(keys + np.uint64(k << 32))
-                yield entry_rows(keys.view(np.int64), items, np.zeros(len(keys)), parts)
-
-    return entries.repartition("part").mapInArrow(rows, ENTRY_SCHEMA)
+                with np.errstate(over="ignore"):
+                    keys = tv.mix(keys + np.uint64(k << 32)).view(np.int64)
+                yield from star_rows(keys, items, np.zeros(len(keys), np.float32), owned.marks, may)
+
+    return entries.unionByName(every).repartition("part").mapInArrow(rows, STAR_SCHEMA)
+
+
+def near_entries(low: np.ndarray, items: np.ndarray, marks: Contents, edits: int, may) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of items (two rows, the smaller one first) that meet under a key which is an own chunk of one of them and that
+    may be alike by length and bitmap. Where a key has more than MANY such pairs an entry, keys and items of the entries in
+    them instead; where it has more than BLOCK * BLOCK pairs of like lengths, of all its entries."""
+    # keys are sorted together with their places
+    both = np.sort((low.astype(np.uint64) >> np.uint64(1) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+    place = both.astype(np.uint32)
+    both >>= np.uint64(32)
+    edge = np.ones(len(both) + 1, bool)
+    edge[1:-1] = both[1:] != both[:-1]
+    # most keys are met by one line only
+    some = np.flatnonzero(~(edge[:-1] & edge[1:]))
+    keys, place = both[some], place[some]
+    del both
+    items, own = items[place], (low[place] & np.uint32(1)).astype(bool)
+    uniq, who = np.unique(items, return_inverse=True)
+    _, n, bits = marks.of(uniq)
+    order = np.lexsort((~own, who, n[who], keys))
+    keys, who, own = keys[order], who[order], own[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])
+    keys, who, own = keys[new], who[new], own[new]
+    size = n[who]
+    least = allowed(size, edits)
+    # lengths in a row: those of one key within the edits of a line come right after it
+    row = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))[: len(keys)]) * (int(size.max(initial=0)) + edits + 1) + size
+    reach = np.searchsorted(row, row + least, "right") - np.arange(len(row)) - 1
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+    entries = np.diff(np.append(first, len(keys)))
+    bucket = np.repeat(np.arange(len(first)), entries)
+    dense = np.add.reduceat(reach, first) > BLOCK * BLOCK if len(first) else np.zeros(0, bool)
+    keep, count, found = dense[bucket], np.zeros(len(first), np.int64), [np.zeros((2, 0), np.int64)]
+    left, off = np.flatnonzero((reach > 0) & ~keep), 1
+    while len(left):
+        # of dense keys it matters only which entries are in a pair
+        t = left[(own[left] | own[left + off]) & ~(keep[left] & keep[left + off] & dense[bucket[left]])]
+        for i in range(0, len(t), 65536):
+            a = t[i : i + 65536]
+            x, y = who[a], who[a + off]
+            a = a[may(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64))]
+            keep[a] = keep[a + off] = True
+            at = bucket[a]
+            found.append(np.stack([a, a + off])[:, ~dense[at]])
+            np.add.at(count, at, 1)
+            dense[at] |= count[at] > MANY * entries[at]
+        off += 1
+        left = left[reach[left] >= off]
+    pairs = np.concatenate(found, axis=1)
+    pairs = uniq[who[pairs[:, ~dense[bucket[pairs[0]]]]]]
+    keep &= dense[bucket]
+    return np.sort(pairs, axis=0), keys[keep], uniq[who[keep]]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -414,9 +556,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def line_contents(docs: DataFrame, pick: np.ndarray, edits: int) -> DataFrame:
-    """Of lines that may be candidates, some more than once: item, length, a bitmap of its runs of MARK_CHARS characters, and
-    the line in UTF-8. An edit takes so many runs away at most and brings as many at most, so it changes twice as many bits
-    at most."""
+    """Of lines that may be candidates, some more than once: item, length, bitmap, and the line in UTF-8."""
     pick = docs.sparkSession.sparkContext.broadcast(pick)
 
     @tidy
@@ -425,19 +565,9 @@ def line_contents(docs: DataFrame, pick: np.ndarray, edits: int) -> DataFrame:
             once = once[passes(pick.value, cut.item[once])]
             if not len(once):
                 continue
-            size = cut.size[once]
-            at = np.concatenate(([0], np.cumsum(size)))
-            points = cut.points[np.repeat(cut.start[once] - at[:-1], size) + np.arange(at[-1])].astype(np.uint64)
-            h = np.zeros(max(len(points) - MARK_CHARS + 1, 0), np.uint64)
-            for k in range(MARK_CHARS if len(h) else 0):
-                h = (h + points[k : k + len(h)]) * _CODE
-            line = np.repeat(np.arange(len(once)), size)[: len(h)]
-            inside = np.arange(len(h)) + MARK_CHARS <= at[line + 1]
-            bits = np.zeros((len(once), MARK_BITS), bool)
-            bits[line[inside], (tv.mix(h[inside]) % np.uint64(MARK_BITS)).astype(np.int64)] = True
-            marks = [m.tobytes() for m in np.packbits(bits, axis=1)]
+            size, bits = line_marks(cut, once)
             content = [cut.line(i).encode() for i in once.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(cut.item[once]), pa.array(size), pa.array(marks, pa.binary()), pa.array(content, pa.binary())], ["item", "n", "bits", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(cut.item[once]), pa.array(size), pa.array([blob(x) for x in bits], pa.binary()), pa.array(content, pa.binary())], ["item", "n", "bits", "content"])
 
     return docs.mapInArrow(rows, "item long, n long, bits binary, content binary")
 
@@ -467,18 +597,25 @@ def line_classes(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = marked(docs)
     texts = docs.select("doc_id", "text")
-    owned = Owned(f"{folder}/owned", parts)
-    owned.write(texts, edits)
-    met = written(met_entries(probe_entries(texts, parts, edits, owned), parts), f"{folder}/met")
-    drop_folder(spark, owned.folder)
-    pick = bitmap(met, "items", PICK_BITS)
 
     def may(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
         most = allowed(np.minimum(a, b), edits)
         return (np.abs(a - b) <= most) & (off <= 2 * MARK_CHARS * most)
 
-    labels = join_components(met, line_contents(texts, pick, edits), MARK_BITS // 64, may, alike(edits), f"{folder}/join")
-    drop_folder(spark, f"{folder}/met")
+    @tidy
+    def met_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = np.concatenate([c.drop_null().to_numpy() for c in b.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([blob(items)], pa.binary())], ["items"])
+
+    owned = Owned(f"{folder}/owned", parts)
+    owned.write(texts, edits)
+    met = written(met_lines(probe_entries(texts, parts, edits, owned), parts, edits, owned, may), f"{folder}/join/stars")
+    drop_folder(spark, owned.folder)
+    pick = bitmap(met.select("a", "b", "item").mapInArrow(met_items, "items binary"), "items", PICK_BITS)
+    store = Contents(f"{folder}/join/contents", parts, MARK_BITS // 64)
+    store.write(line_contents(texts, pick, edits))
+    labels = star_components(met, store, may, alike(edits), f"{folder}/join")
     # rows get numbers in the written table, where they are fixed
     known = written(lines_of(docs).withColumn("row", F.monotonically_increasing_id()), f"{folder}/lines")
     rows = known.select("doc_id", "mark", "row", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
