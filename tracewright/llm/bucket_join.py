@@ -267,8 +267,9 @@ def tested(pairs: DataFrame, store: Contents, similar: Callable) -> DataFrame:
                 keep = similar(store.content(items), back[: some.num_rows], back[some.num_rows :])
                 yield some.filter(pa.array(keep, pa.bool_()))
 
-    # pairs are few bytes each and long to test, so they are not left to partitions by size
-    return pairs.select("a", "b").repartition(store.parts, "a", "b").mapInArrow(rows, "a long, b long")
+    # pairs are few bytes each and long to test, so they are not left to partitions by size (an order of columns in which they
+    # are dealt already would be left as it is)
+    return pairs.select("a", "b").repartition(store.parts, "b", "a").mapInArrow(rows, "a long, b long")
 
 
 class Joined:
@@ -299,7 +300,7 @@ def joining_links(members: DataFrame, store: Contents, may: Callable, similar: C
     own = F.pmod(F.xxhash64("item"), blocks)
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "item", "component")
-    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    dealt = rows.repartition(store.parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
