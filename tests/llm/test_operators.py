@@ -229,6 +229,61 @@ def test_lines_that_meet_by_chance_go_before_their_contents_are_kept(spark, tmp_
     assert {*lines[:10], *lines[300:], *group} <= set(kept.values()) and len(kept) < 200
 
 
+def test_lines_that_meet_in_many_buckets_are_compared_once(spark, tmp_path, monkeypatch):
+    """Variants of one line, farther apart than the edits allowed, meet under most of its chunks; each pair's contents are
+    compared once, though their buckets are many."""
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    base = [rng.choice(letters) for _ in range(480)]
+    lines = []
+    for _ in range(170):
+        line = list(base)
+        for at in rng.sample(range(10, 470, 20), 3):
+            line[at : at + 6] = [rng.choice("ABCDEFGH") for _ in range(6)]
+        lines.append("".join(line))
+    log, alike = f"{tmp_path}/pairs", line_dedup.alike
+
+    def counted(edits):
+        test = alike(edits)
+
+        def run(contents, i, j):
+            with open(log, "a") as f:
+                f.write(f"{len(i)}\n")
+            return test(contents, i, j)
+
+        return run
+
+    monkeypatch.setattr(line_dedup, "alike", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(docs).collect()}
+    points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
+    i, j = np.triu_indices(len(lines), 1)
+    near = line_dedup.distances(points, i, j, 15) <= 15
+    top = list(range(len(lines)))
+    for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+        while top[x] != x:
+            x = top[x]
+        while top[y] != y:
+            y = top[y]
+        top[max(x, y)] = min(x, y)
+    for k in range(len(top)):
+        top[k] = top[top[k]]
+    assert got == dict(enumerate(top)) and len(set(top)) > 100
+    with open(log) as f:
+        assert sum(map(int, f)) <= 1.5 * len(i)
+
+
+def test_settled_components_leave_the_rounds(spark, tmp_path):
+    links = [(k, k + 1) for k in range(40)] + [(1000, 1001 + k) for k in range(500)]
+    got = {(r.node, r.component) for r in components.connected(spark.createDataFrame(links, "a long, b long"), f"{tmp_path}/cc").collect()}
+    assert got == {(k, 0) for k in range(41)} | {(1000 + k, 1000) for k in range(501)}
+    rounds = sorted(int(p.name) for p in tmp_path.glob("cc/*") if p.name.isdigit())
+    assert len(rounds) > 2
+    assert spark.read.parquet(f"{tmp_path}/cc/{rounds[-1]}").count() <= 40
+
+
 def test_far_pairs_of_long_lines_end_early():
     import random
 

@@ -71,10 +71,10 @@ def sorted_entries(keys: np.ndarray, items: np.ndarray, scores: np.ndarray) -> t
 
 class Contents:
     """Items' sizes, bitmaps and (where ``whole``) contents in mapped files, dealt by item: bitmaps tell most pairs apart,
-    contents the rest."""
+    contents the rest, ``chunk`` pairs at a time."""
 
-    def __init__(self, folder: str, parts: int, width: int, whole: bool = True):
-        self.folder, self.parts, self.width, self.whole, self.files = folder, parts, width, whole, {}
+    def __init__(self, folder: str, parts: int, width: int, whole: bool = True, chunk: int = CHUNK):
+        self.folder, self.parts, self.width, self.whole, self.chunk, self.files = folder, parts, width, whole, chunk, {}
 
     def __getstate__(self):
         return {**self.__dict__, "files": {}}
@@ -122,7 +122,8 @@ class Contents:
             if self.whole:
                 kinds |= {"at": np.int64, "data": np.uint8}
             try:
-                self.files[part] = {k: store.load(f"{part}.{k}", kind) for k, kind in kinds.items()}
+                # plain views of the maps: pieces of a map cost more
+                self.files[part] = {k: np.asarray(store.load(f"{part}.{k}", kind)) for k, kind in kinds.items()}
             except FileNotFoundError:
                 self.files[part] = None
         return self.files[part]
@@ -140,7 +141,7 @@ class Contents:
         for part, i, at in self._found(items):
             cut, data = self.files[part]["at"], self.files[part]["data"]
             for k, a, b in zip(i.tolist(), cut[at].tolist(), cut[at + 1].tolist(), strict=True):
-                out[k] = np.asarray(data[a:b])
+                out[k] = data[a:b]
         return out
 
     def _found(self, items: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,9 +184,10 @@ def stars(entries: DataFrame, store: Contents, may: Callable) -> DataFrame:
     return entries.repartition("part").mapInArrow(rows, STAR_SCHEMA)
 
 
-def star_rows(keys: np.ndarray, items: np.ndarray, scores: np.ndarray, store: Contents, may: Callable) -> Iterator[pa.RecordBatch]:
+def star_rows(keys: np.ndarray, items: np.ndarray, scores: np.ndarray, store: Contents, may: Callable, by_pivot: bool = False) -> Iterator[pa.RecordBatch]:
     """Of the entries of a part: rows (a, b, support) of members with their bucket's pivot that may be similar, and rows
-    (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part."""
+    (bucket, item) of the other members of buckets of three and more, each distinct set of them once a part. Where
+    ``by_pivot``, buckets are named by their pivots, so those of one pivot are one."""
     keys, items, at = sorted_entries(keys, items, scores)
     size = np.diff(at)
     pivot = np.repeat(items[at[:-1]], size)
@@ -205,8 +207,11 @@ def star_rows(keys: np.ndarray, items: np.ndarray, scores: np.ndarray, store: Co
     big = np.repeat(take, size)
     big[at[:-1]] = False
     if big.any():
-        n = int(big.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(np.repeat(who.view(np.int64), size)[big]), pa.array(items[big])], ["a", "b", "support", "bucket", "item"])
+        rows = np.stack([pivot if by_pivot else np.repeat(who.view(np.int64), size), items])[:, big]
+        if by_pivot:
+            rows = np.unique(rows, axis=1)
+        n = rows.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(rows[0]), pa.array(rows[1])], ["a", "b", "support", "bucket", "item"])
 
 
 def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Callable, similar: Callable, folder: str) -> DataFrame:
@@ -219,9 +224,10 @@ def join_components(entries: DataFrame, contents: DataFrame, width: int, may: Ca
     return star_components(written(stars(entries, store, may), f"{folder}/stars"), store, may, similar, folder)
 
 
-def star_components(both: DataFrame, store: Contents, may: Callable, similar: Callable, folder: str) -> DataFrame:
+def star_components(both: DataFrame, store: Contents, may: Callable, similar: Callable, folder: str, by_pivot: bool = False) -> DataFrame:
     """(node, component) of items with a link, from rows of star_rows (in ``folder``/stars) and the items' contents (in
-    ``folder``/contents)."""
+    ``folder``/contents). Where buckets are named ``by_pivot``, those whose pivot is in another one join that, so that
+    members who meet in many buckets are compared once or few times."""
     pairs = both.filter("a is not null").groupBy("a", "b").agg(F.sum("support").alias("support"))
     pairs = written(pairs, f"{folder}/pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b")
@@ -248,9 +254,13 @@ def star_components(both: DataFrame, store: Contents, may: Callable, similar: Ca
     members = labelled(both.filter("bucket is not null").select("bucket", "item").distinct(), "item", "component")
     open_ = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).filter("x != y").select("bucket", "m")
     members = written(members.join(open_, "bucket"), f"{folder}/open")
+    if by_pivot and not members.isEmpty():
+        into = members.groupBy("item").agg(F.min("bucket").alias("top")).select(F.col("item").alias("bucket"), "top")
+        members = members.join(into, "bucket", "left").select(F.least("bucket", "top").alias("bucket"), "item", "component").distinct()
+        members = written(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket"), f"{folder}/grouped")
     add(joining_links(members, store, may, similar), "open")
     # the labels are written, so what they were made of can go
-    for name in ("contents", "stars", "pairs", "open", *(f"{step}-{kind}" for step in ("best", "stars", "open") for kind in ("links", "up", "cc"))):
+    for name in ("contents", "stars", "pairs", "open", "grouped", *(f"{step}-{kind}" for step in ("best", "stars", "open") for kind in ("links", "up", "cc"))):
         drop_folder(both.sparkSession, f"{folder}/{name}")
     return labels
 
@@ -260,18 +270,31 @@ def tested(pairs: DataFrame, store: Contents, similar: Callable) -> DataFrame:
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, CHUNK):
-                some = batch.slice(k, CHUNK)
-                items, back = np.unique(np.concatenate([c.to_numpy() for c in some.columns]), return_inverse=True)
-                keep = similar(store.content(items), back[: some.num_rows], back[some.num_rows :])
-                yield some.filter(pa.array(keep, pa.bool_()))
+        for a, b in gathered(batches, store.chunk):
+            items, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keep = similar(store.content(items), back[: len(a)], back[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     # pairs are few bytes each and long to test, so they are not left to partitions by size (an order of columns in which they
     # are dealt already would be left as it is)
     return pairs.select("a", "b").repartition(store.parts, "b", "a").mapInArrow(rows, "a long, b long")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows, n rows at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, n):
+            some = batch.slice(k, n)
+            if held and size + some.num_rows > n:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+            held.append([c.to_numpy() for c in some.columns])
+            size += some.num_rows
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 class Joined:
     """Sets of components found to be one, by their smallest name; components never met stand for themselves."""
 
@@ -330,9 +353,9 @@ def joining_links(members: DataFrame, store: Contents, may: Callable, similar: C
             fit = maybe(known, n, bits, i, j, may)
             i, j = i[fit], j[fit]
             out = []
-            for k in range(0, len(i), CHUNK):
+            for k in range(0, len(i), store.chunk):
                 # pairs that the links before have joined, and those tested before, need no test
-                some = [(x, y) for x, y in zip(i[k : k + CHUNK].tolist(), j[k : k + CHUNK].tolist(), strict=True) if joined.find(int(comp_of[x])) != joined.find(int(comp_of[y])) and (int(uniq[x]), int(uniq[y])) not in seen]
+                some = [(x, y) for x, y in zip(i[k : k + store.chunk].tolist(), j[k : k + store.chunk].tolist(), strict=True) if joined.find(int(comp_of[x])) != joined.find(int(comp_of[y])) and (int(uniq[x]), int(uniq[y])) not in seen]
                 if not some:
                     continue
                 x, y = np.array(some).T

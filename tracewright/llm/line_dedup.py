@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewright.llm import textvec as tv
-from tracewright.llm.bucket_join import BLOCK, STAR_SCHEMA, Contents, bitmap, blob, passes, split_by, star_components, star_rows
+from tracewright.llm.bucket_join import STAR_SCHEMA, Contents, bitmap, blob, passes, split_by, star_components, star_rows
 from tracewright.llm.common import column, drop_folder, freed, places, shared_folder, small_batches, table, tidy, written
 from tracewright.llm.store import Store
 
@@ -39,13 +39,15 @@ MOST_EDITS, TENTH = 15, 10
 PICK_BITS, MARK_BITS, MARK_CHARS = 1 << 24, 512, 4
 #: Bits of a map for each chunk marked in it, and bits set for each.
 OWNED_BITS, OWNED_TIMES = 10, 3
-#: Pairs an entry up to which a key's pairs are told one by one.
-MANY = 64
-#: Pairs that go through the band together.
-BAND_PAIRS = 1024
+#: Pairs an entry up to which a key's pairs are told one by one; pairs of like lengths up to which a key's are looked at first.
+MANY, LOOKED_AT = 16, 1 << 24
+#: Pairs whose contents are compared together.
+TESTED = 16384
+#: Pairs that go through the band together, their characters, and the columns after which far ones leave it.
+BAND_PAIRS, BAND_CHARS, BAND_STEP = 8192, 1 << 22, 32
 #: Lines that a task remembers so as not to enter a repeat twice.
 REMEMBER = 200_000
-_CODE, _RUN_CODE = np.uint64(0xD6E8FEB86659FD93), np.uint32(0x9E3779B1)
+_CODE, _MARK_SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(64 - MARK_BITS.bit_length() + 1)
 
 
 def allowed(length, most: int = MOST_EDITS) -> np.ndarray:
@@ -76,92 +78,145 @@ def distances(lines: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int)
     """Edit distances of pairs of lines (code points), most + 1 for larger ones; ``most`` is 31 at most.
 
     Common ends go first. Then, for many pairs at once, bit vectors hold the steps of a band of 2 * most + 1 diagonals; the
-    band moves down one row with each character of the second line, and the distance is followed along its lower edge, then
-    along the last row.
+    band moves down one row with each character of the second line, and the distance is followed along its lower edge.
     """
-    out = np.full(len(i), most + 1)
-    left, right, place = [], [], []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        if abs(len(lines[x]) - len(lines[y])) > most:
-            continue
-        a, b = trimmed(lines[x], lines[y])
-        if not len(a) or not len(b):
-            out[k] = min(len(a) + len(b), most + 1)
-            continue
-        left.append(a)
-        right.append(b)
-        place.append(k)
-    # pairs of like lengths go through the band together
-    order = sorted(range(len(place)), key=lambda k: -len(right[k]))
-    for k in range(0, len(order), BAND_PAIRS):
-        some = order[k : k + BAND_PAIRS]
-        out[[place[x] for x in some]] = _banded([left[x] for x in some], [right[x] for x in some], most)
+    out, size = np.full(len(i), most + 1), np.array([len(x) for x in lines], np.int64)
+    if not len(i):
+        return out
+    lines = numbered(lines)
+    near = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
+    # pairs of like lengths go together, so many that their characters are of bounded size
+    near = near[np.argsort(-size[i[near]], kind="stable")]
+    while len(near):
+        n = max(1, min(BAND_PAIRS, BAND_CHARS // (int(size[i[near[0]]]) + 2 * most + 1)))
+        some, near = near[:n], near[n:]
+        out[some] = _near(lines, size, i[some], j[some], most)
     return out
 
 
-def _banded(left: list[np.ndarray], right: list[np.ndarray], most: int) -> np.ndarray:
-    """Distances of pairs, the longest second lines first."""
+def numbered(lines: list[np.ndarray]) -> list[np.ndarray]:
+    """Lines with their characters numbered from 1, in the least type that has two numbers to spare."""
+    flat = np.concatenate(lines)
+    if not len(flat):
+        return lines
+    seen = np.zeros(int(flat.max()) + 1, bool)
+    seen[flat] = True
+    number, n = np.cumsum(seen), int(seen.sum())
+    kind = np.uint8 if n < 254 else np.uint16 if n < 65534 else np.uint32
+    flat, at = number.astype(kind)[flat], np.cumsum([0, *map(len, lines)]).tolist()
+    return [flat[k:n] for k, n in zip(at[:-1], at[1:], strict=True)]
+
+
+def _near(lines: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Distances of pairs whose lengths are within ``most`` of each other."""
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = back[: len(i)], back[len(i) :]
+    n = size[used]
+    some = [lines[k] for k in used.tolist()]
+    inside = np.arange(int(n.max(initial=0)) + 1) < n[:, None]
+    ahead, behind = np.zeros(inside.shape, some[0].dtype), np.zeros(inside.shape, some[0].dtype)
+    flat = np.concatenate(some)
+    ahead[inside] = flat
+    behind[::-1][inside[::-1]] = flat[::-1]
+    # 0 stands behind each line's end, so lines that begin alike part there
+    off = ahead[x] != ahead[y]
+    start = np.where(off.any(1), off.argmax(1), n[x])
+    off = behind[x] != behind[y]
+    least = np.minimum(n[x], n[y])
+    stop = np.minimum(np.where(off.any(1), off.argmax(1), n[x]), least - start)
+    rows, cols = n[x] - start - stop, n[y] - start - stop
+    out = np.maximum(rows, cols)
+    live = np.flatnonzero((rows > 0) & (cols > 0))
+    live = live[np.argsort(-cols[live], kind="stable")]
+    if len(live):
+        out[live] = _banded(ahead, x[live], y[live], start[live], rows[live], cols[live], most)
+    return np.minimum(out, most + 1)
+
+
+def _banded(text: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarray, rows: np.ndarray, cols: np.ndarray, most: int) -> np.ndarray:
+    """Distances of so many characters from ``start`` on in rows x and y of a text, the longest ones of y first."""
     width = 2 * most + 1
-    rows, cols = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    out, ids = np.full(len(left), most + 1), np.arange(len(left))
-    one, mask = np.uint64(1), np.uint64((1 << width) - 1)
-    # places outside of a line hold a number that is no character
-    a = np.full((len(left), max(int(rows.max()), int(cols.max())) + 2 * most + 65), 0xFFFFFFFF, np.uint32)
-    b = np.full((len(left), int(cols.max())), 0xFFFFFFFE, np.uint32)
-    for k, (x, y) in enumerate(zip(left, right, strict=True)):
-        a[k, most : most + len(x)] = x
-        b[k, : len(y)] = y
+    word = np.uint32 if width <= 32 else np.uint64
+    one, mask, below = word(1), word((1 << width) - 1), word((1 << (width - 1)) - 1)
+    out, ids = np.full(len(x), most + 1), np.arange(len(x))
+    # matches are made for so many columns at once; what is left of them lies behind the longest line
+    ended = -(-int(cols[0]) // BAND_STEP) * BAND_STEP
+    # places outside of a line hold numbers that are no characters
+    none = np.iinfo(text.dtype).max
+    a = np.full((len(x), ended + width), none, text.dtype)
+    b = np.full((len(x), ended), none - 1, text.dtype)
+    for k, (p, q, at, m, n) in enumerate(zip(x.tolist(), y.tolist(), start.tolist(), rows.tolist(), cols.tolist(), strict=True)):
+        a[k, most : most + m] = text[p, at : at + m]
+        b[k, :n] = text[q, at : at + n]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     # bit r of column t stands for row t - most + r (from 1); rows from 1 on rise by one in column 0
-    up = np.full(len(left), mask & ~np.uint64((1 << most) - 1))
-    down = np.zeros(len(left), np.uint64)
-    now = np.minimum(rows, most)
-    for t in range(int(cols.max())):
-        if t % 16 == 0 and t:
-            # the last row can fall by one a step at most, so pairs beyond 3 * most + 1 are far
-            live = (now <= 3 * most + 1) & (cols > t)
-            if t % 32 == 0:
-                # a path of so few edits crosses this column within the band, at a distance that is no larger
-                least, value = now.copy(), now.copy()
-                last = rows - t + most - 1
-                for r in range(width - 2, -1, -1):
-                    value -= np.where(last >= r, (up >> np.uint64(r) & one).astype(np.int64) - (down >> np.uint64(r) & one).astype(np.int64), 0)
-                    np.minimum(least, value, out=least)
-                now = np.where(live & (least > most), 3 * most + 2, now)
-                live &= least <= most
+    up, down = np.full(len(x), mask & ~word((1 << most) - 1)), np.zeros(len(x), word)
+    edge, done = np.full(len(x), most, np.int32), 0
+    for t in range(ended):
+        if t % BAND_STEP == 0:
+            # a path of so few edits crosses this column within the band, at a distance that is no larger
+            live = (cols > t) & (edge - _fall(up & below, down & below) <= most)
             if not live.all():
-                ended = cols <= t
-                out[ids[ended]] = np.minimum(now[ended], most + 1)
-                a, b, rows, cols, up, down, now, ids = (x[live] for x in (a, b, rows, cols, up, down, now, ids))
+                rows, cols, up, down, edge, ids = (v[live] for v in (rows, cols, up, down, edge, ids))
                 if not len(ids):
-                    return out
-        same = np.packbits(a[:, t : t + 64] == b[:, t : t + 1], axis=1, bitorder="little").view("<u8").ravel() & mask
-        diagonal = (((same & up) + up) ^ up | same | down) & mask
+                    break
+                a, b = a[t - done :, live], b[t - done :, live]
+                done = t
+            same = _matches(a[t - done : t - done + BAND_STEP + width], b[t - done : t - done + BAND_STEP], width, word)
+            left = (len(cols) - np.searchsorted(cols[::-1], np.arange(t, t + BAND_STEP + 1), "right")).tolist()
+        s = same[t % BAND_STEP]
+        diagonal = (((s & up) + up) ^ up) | s | down
+        diagonal &= mask
+        edge += 1 - (diagonal >> word(width - 1)).astype(np.int32)
         plus = (down | ~(diagonal | up)) & mask
         minus = diagonal & up
-        bottom = rows - (t + 1) + most  # the bit of the last row
-        bit = np.clip(bottom, 0, width - 1).astype(np.uint64)
-        inside = (plus >> bit & one).astype(np.int64) - (minus >> bit & one).astype(np.int64)
-        step = np.where(bottom >= width - 1, 1 - (diagonal >> bit & one).astype(np.int64), inside)
-        now = np.where(cols > t, now + step, now)
-        up = (minus | ~(diagonal >> one | plus)) & mask
-        down = diagonal >> one & plus
-    out[ids] = np.where(now <= most, now, most + 1)
+        diagonal >>= one
+        up = (minus | ~(diagonal | plus)) & mask
+        down = diagonal & plus
+        # of lines that end here, from the edge up to the last row
+        here = slice(left[t % BAND_STEP + 1], left[t % BAND_STEP])
+        if here.start < here.stop:
+            beyond = below & (below << np.clip(rows[here] - t + most - 1, 0, width - 1).astype(word))
+            d = edge[here] - np.bitwise_count(up[here] & beyond).astype(np.int64) + np.bitwise_count(down[here] & beyond)
+            out[ids[here]] = np.minimum(d, most + 1)
     return out
 
 
-def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both without their common start and end."""
-    n = _common(a, b)
-    a, b = a[n:], b[n:]
-    n = _common(a[::-1], b[::-1])
-    return a[: len(a) - n], b[: len(b) - n]
+def _matches(a: np.ndarray, b: np.ndarray, width: int, word) -> np.ndarray:
+    """For each row of b a word whose bit r tells whether it is what stands r rows further in a."""
+    out = np.zeros((*b.shape, np.dtype(word).itemsize), np.uint8)
+    bits, same = np.empty(b.shape, np.uint8), np.empty(b.shape, bool)
+    for k in range(0, width, 8):
+        bits[:] = 0
+        # the first of the eight ends up in the lowest bit
+        for r in range(min(k + 8, width) - 1, k - 1, -1):
+            np.equal(a[r : r + len(b)], b, out=same)
+            np.add(bits, bits, out=bits)
+            np.bitwise_or(bits, same.view(np.uint8), out=bits)
+        out[:, :, k >> 3] = bits
+    return out.view(word)[:, :, 0]
+
 
+def _fall(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """How far the steps of each word fall at most, taken from the highest bit on, backwards."""
+    now, most = np.zeros(len(up), np.int32), np.zeros(len(up), np.int32)
+    size = up.dtype.itemsize
+    up, down = up.view(np.uint8).reshape(-1, size), down.view(np.uint8).reshape(-1, size)
+    for k in range(size - 1, -1, -1):
+        at = up[:, k].astype(np.int32) << 8 | down[:, k]
+        np.maximum(most, now + _FALLS[at], out=most)
+        now += _STEPS[at]
+    return most
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    off = a[:n] != b[:n]
-    k = int(off.argmax()) if n else 0
-    return k if n and off[k] else n
+
+def _falls() -> tuple[np.ndarray, np.ndarray]:
+    """Of every eight steps, up and down: the sum, and the largest sum from the highest bit to any."""
+    at = np.arange(1 << 16)
+    step = np.array([(at >> (8 + k) & 1) - (at >> k & 1) for k in range(7, -1, -1)])
+    return step.sum(0).astype(np.int32), np.maximum(step.cumsum(0).max(0), 0).astype(np.int32)
+
+
+_STEPS, _FALLS = _falls()
 
 
 def _codes(points: np.ndarray) -> np.ndarray:
@@ -176,10 +231,10 @@ class Cut:
 
     def __init__(self, column: pa.Array):
         data, offsets = tv.utf8(column)
-        lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         self.text = data.tobytes().decode()
         self.points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        rows = lead[offsets]
+        # of a character's bytes the first one counts
+        rows = offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
         n = len(self.points)
         breaks = np.flatnonzero(self.points == 10)
         # every line begins at its row or after a break, and ends at the next break or its row's end
@@ -287,24 +342,19 @@ def line_marks(cut: Cut, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of lines and a bitmap of each one's runs of MARK_CHARS characters (a row of 64-bit words). An edit takes so
     many runs away at most and brings as many at most, so it changes twice as many bits at most."""
     size = cut.size[lines]
-    at = np.concatenate(([0], np.cumsum(size)))
-    points = cut.points[np.repeat(cut.start[lines] - at[:-1], size) + np.arange(at[-1])]
-    n = max(len(points) - MARK_CHARS + 1, 0)
-    h = np.zeros(n, np.uint32)
+    count = np.maximum(size - MARK_CHARS + 1, 0)
+    first = np.cumsum(count) - count
     with np.errstate(over="ignore"):
-        for k in range(MARK_CHARS if n else 0):
-            h = (h ^ points[k : k + n]) * _RUN_CODE
-            h ^= h >> np.uint32(15)
-        h = h * _RUN_CODE >> np.uint32(23)
-    inside = np.ones(at[-1], bool)
-    for k in range(1, MARK_CHARS):
-        inside[np.maximum(at[1:] - k, at[:-1])[size > 0]] = False
-    inside = inside[:n]
+        h = (cut.total[MARK_CHARS:] - cut.total[:-MARK_CHARS]) * cut.down[: max(len(cut.points) - MARK_CHARS + 1, 0)] >> _MARK_SHIFT
     bits = np.zeros(len(lines) * MARK_BITS, bool)
-    bits[(np.repeat(np.arange(len(lines)) * MARK_BITS, size)[:n] + h)[inside]] = True
+    at = np.arange(int(count.sum()))
+    bits[h[at + np.repeat(cut.start[lines] - first, count)].view(np.int64) + np.repeat(np.arange(len(lines)) * MARK_BITS, count)] = True
     return size, np.packbits(bits).view(np.uint64).reshape(len(lines), MARK_BITS // 64)
 
 
+_LINES = {"doc_id": pa.int64(), "mark": pa.int64(), "lines": pa.list_(pa.int64())}
+
+
 class Owned:
     """Lines' own chunks (keys and items in order of the keys) and a bit map of their keys, for each part of the keys, and
     lines' lengths and bitmaps, in mapped files. A bit map may hold a key that is none, and lacks none that is one."""
@@ -316,25 +366,31 @@ class Owned:
     def __getstate__(self):
         return {**self.__dict__, "maps": {}}
 
-    def write(self, docs: DataFrame, edits: int) -> None:
-        """Store the chunks and the bitmaps of rows (doc_id, text)."""
+    def write(self, docs: DataFrame, edits: int, folder: str = "") -> DataFrame | None:
+        """Store the chunks and the bitmaps of rows (doc_id, text, mark); in ``folder``, where it is given, doc_id, mark and
+        the items of the lines (null for blank ones) of each."""
         store, parts, marks = Store(self.folder), self.parts, self.marks
 
         @tidy
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cut, once in new_lines(batches, edits):
+            for batch, cut, once in new_lines(batches, edits, every=True):
+                if folder:
+                    yield lines_of(batch, cut, parts)
                 keys, owner = probes(cut, once, edits, only_own=True)
                 out = [(k, *row, None, None) for k, row in key_rows(cut, keys, owner, parts)]
                 (size, bits), items = line_marks(cut, once), cut.item[once]
                 out += [(k, None, blob(items[i]), None, blob(size[i].astype(np.int64)), blob(bits[i])) for k, i in split_by(items % parts, parts)]
-                yield dealt(out, ["keys", "items", "counts", "n", "bits"])
+                some = dealt(out, ["keys", "items", "counts", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.nulls(len(some), t) for t in _LINES.values())], [*some.schema.names, *_LINES])
 
         @tidy
         def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[int, list] = {}
             line: dict[int, list] = {}
             for b in batches:
-                for k, keys, items, counts, n, bits in zip(*b.columns, strict=True):
+                own_rows = pc.is_valid(b.column("items"))
+                yield b.filter(pc.invert(own_rows)).select(list(_LINES))
+                for k, keys, items, counts, n, bits in zip(*b.filter(own_rows).columns[:6], strict=True):
                     items = np.frombuffer(items.as_buffer(), np.int64)
                     if keys.is_valid:
                         own.setdefault(k.as_py(), []).append((np.frombuffer(keys.as_buffer(), np.uint32), items, np.frombuffer(counts.as_buffer(), np.uint16)))
@@ -347,20 +403,25 @@ class Owned:
             for k in sorted(own):
                 keys, items, counts = (np.concatenate(x) for x in zip(*own.pop(k), strict=True))
                 items = np.repeat(items, counts)
-                order = np.argsort(keys, kind="stable")
-                keys, items = keys[order], items[order]
+                both = np.sort(keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+                keys = (both >> np.uint64(32)).astype(np.uint32)
                 store.save(f"{k}.keys", keys)
-                store.save(f"{k}.items", items)
+                store.save(f"{k}.items", items[both.astype(np.uint32)])
                 keys = keys[np.diff(keys, prepend=keys[:1] ^ np.uint32(2)) != 0]
                 bits = np.zeros(len(keys) * OWNED_BITS, bool)
                 for at in bits_of(keys, len(bits)):
                     bits[at] = True
                 store.save(f"{k}.bits", np.packbits(bits, bitorder="little"))
-                yield pa.RecordBatch.from_arrays([pa.array([len(keys)])], ["n"])
 
+        lines = "doc_id long, mark long, lines array<long>"
+        sent = docs.mapInArrow(rows, f"part int, keys binary, items binary, counts binary, n binary, bits binary, {lines}")
+        saved = sent.repartition("part").mapInArrow(save, lines)
+        if folder:
+            # rows get numbers in the written table, where they are fixed
+            return written(saved.withColumn("row", F.monotonically_increasing_id()), folder)
         with freed(docs.sparkSession):
-            sent = docs.mapInArrow(rows, "part int, keys binary, items binary, counts binary, n binary, bits binary")
-            sent.repartition("part").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+            saved.count()
+        return None
 
     def chunks(self, part: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and items of a part's own chunks."""
@@ -399,8 +460,9 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (tv.mix(keys >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
 
 
-def new_lines(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[tuple[Cut, np.ndarray]]:
-    """Batches cut into lines, and which of them may have an alike one and did not come before."""
+def new_lines(batches: Iterator[pa.RecordBatch], edits: int, every: bool = False) -> Iterator[tuple[pa.RecordBatch, Cut, np.ndarray]]:
+    """Batches, cut into lines, and which of these may have an alike one and did not come before; batches without such only
+    for ``every``."""
     seen: set[int] = set()
     for batch in small_batches(batches, limit=1 << 20):
         cut = Cut(batch.column(1))
@@ -411,8 +473,8 @@ def new_lines(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[tuple[C
         if len(seen) > REMEMBER:
             seen.clear()
         seen.update(cut.item[once].tolist())
-        if len(once):
-            yield cut, once
+        if every or len(once):
+            yield batch, cut, once
 
 
 def key_rows(cut: Cut, keys: np.ndarray, owner: np.ndarray, parts: int, stays=None) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
@@ -441,7 +503,7 @@ def probe_entries(docs: DataFrame, parts: int, edits: int, owned: Owned) -> Data
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, once in new_lines(batches, edits):
+        for _, cut, once in new_lines(batches, edits):
             keys, owner = probes(cut, once, edits, with_own=False)
             yield dealt([(k, *row) for k, row in key_rows(cut, keys, owner, parts, owned.holds)], ["keys", "items", "counts"])
 
@@ -472,23 +534,22 @@ def met_lines(entries: DataFrame, parts: int, edits: int, owned: Owned, may) ->
             low, items, counts = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
             own_low, own_items = owned.chunks(k)
             low, items = np.concatenate([own_low, low]), np.concatenate([own_items, np.repeat(items, counts)])
-            ab, keys, items = near_entries(low, items, owned.marks, edits, may)
-            if ab.shape[1]:
-                ab, support = np.unique(ab, axis=1, return_counts=True)
+            ab, support, keys, items = near_entries(low, items, owned.marks, edits, may)
+            if len(support):
                 none = pa.nulls(len(support), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1]), pa.array(support.astype(np.int64)), none, none], ["a", "b", "support", "bucket", "item"])
             if len(keys):
                 with np.errstate(over="ignore"):
                     keys = tv.mix(keys + np.uint64(k << 32)).view(np.int64)
-                yield from star_rows(keys, items, np.zeros(len(keys), np.float32), owned.marks, may)
+                yield from star_rows(keys, items, np.zeros(len(keys), np.float32), owned.marks, may, by_pivot=True)
 
     return entries.unionByName(every).repartition("part").mapInArrow(rows, STAR_SCHEMA)
 
 
-def near_entries(low: np.ndarray, items: np.ndarray, marks: Contents, edits: int, may) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_entries(low: np.ndarray, items: np.ndarray, marks: Contents, edits: int, may) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of items (two rows, the smaller one first) that meet under a key which is an own chunk of one of them and that
-    may be alike by length and bitmap. Where a key has more than MANY such pairs an entry, keys and items of the entries in
-    them instead; where it has more than BLOCK * BLOCK pairs of like lengths, of all its entries."""
+    may be alike by length and bitmap, and under how many keys they do. Where a key has more than MANY such pairs an entry, keys and items of the entries in
+    them instead; where it has more than LOOKED_AT pairs of like lengths, of all its entries."""
     # keys are sorted together with their places
     both = np.sort((low.astype(np.uint64) >> np.uint64(1) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
     place = both.astype(np.uint32)
@@ -515,7 +576,7 @@ def near_entries(low: np.ndarray, items: np.ndarray, marks: Contents, edits: int
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
     entries = np.diff(np.append(first, len(keys)))
     bucket = np.repeat(np.arange(len(first)), entries)
-    dense = np.add.reduceat(reach, first) > BLOCK * BLOCK if len(first) else np.zeros(0, bool)
+    dense = np.add.reduceat(reach, first) > LOOKED_AT if len(first) else np.zeros(0, bool)
     keep, count, found = dense[bucket], np.zeros(len(first), np.int64), [np.zeros((2, 0), np.int64)]
     left, off = np.flatnonzero((reach > 0) & ~keep), 1
     while len(left):
@@ -533,26 +594,23 @@ def near_entries(low: np.ndarray, items: np.ndarray, marks: Contents, edits: int
         off += 1
         left = left[reach[left] >= off]
     pairs = np.concatenate(found, axis=1)
-    pairs = uniq[who[pairs[:, ~dense[bucket[pairs[0]]]]]]
+    pairs = np.sort(who[pairs[:, ~dense[bucket[pairs[0]]]]], axis=0)
+    # items are in order, so their numbers are
+    code, support = np.unique(pairs[0] * len(uniq) + pairs[1], return_counts=True)
     keep &= dense[bucket]
-    return np.sort(pairs, axis=0), keys[keep], uniq[who[keep]]
-
+    return uniq[np.stack([code // max(len(uniq), 1), code % max(len(uniq), 1)])], support, keys[keep], uniq[who[keep]]
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, items of its lines (null for blank ones)."""
 
-    @tidy
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=1 << 20):
-            cut = Cut(batch.column(1))
-            at = np.concatenate(([0], np.cumsum(cut.count)))
-            # a line is blank if it holds nothing but blanks and control characters
-            solid = np.concatenate(([0], np.cumsum(cut.points > 32)))
-            blank = solid[cut.end] == solid[cut.start]
-            items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cut.item, pa.int64(), mask=blank))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), items], ["doc_id", "mark", "items"])
-
-    return docs.mapInArrow(rows, "doc_id long, mark long, items array<long>")
+def lines_of(batch: pa.RecordBatch, cut: Cut, parts: int) -> pa.RecordBatch:
+    """Rows of Owned.write: doc_id, mark, items of the lines (null for blank ones)."""
+    at = np.concatenate(([0], np.cumsum(cut.count)))
+    # a line is blank if it holds nothing but blanks and control characters
+    solid = np.concatenate(([0], np.cumsum(cut.points > 32)))
+    blank = solid[cut.end] == solid[cut.start]
+    items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cut.item, pa.int64(), mask=blank))
+    n = batch.num_rows
+    part = pa.array((np.arange(n) + int(cut.item[0]) % parts if len(cut.item) else np.arange(n)) % parts, pa.int32())
+    return pa.RecordBatch.from_arrays([part, *[pa.nulls(n, pa.binary())] * 5, batch.column(0), batch.column(2), items], ["part", "keys", "items", "counts", "n", "bits", *_LINES])
 
 
 def line_contents(docs: DataFrame, pick: np.ndarray, edits: int) -> DataFrame:
@@ -561,7 +619,7 @@ def line_contents(docs: DataFrame, pick: np.ndarray, edits: int) -> DataFrame:
 
     @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut, once in new_lines(batches, edits):
+        for _, cut, once in new_lines(batches, edits):
             once = once[passes(pick.value, cut.item[once])]
             if not len(once):
                 continue
@@ -596,7 +654,6 @@ def line_classes(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     folder = shared_folder(spark, "line-dedup")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = marked(docs)
-    texts = docs.select("doc_id", "text")
 
     def may(a: np.ndarray, b: np.ndarray, off: np.ndarray) -> np.ndarray:
         most = allowed(np.minimum(a, b), edits)
@@ -609,16 +666,15 @@ def line_classes(docs: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([blob(items)], pa.binary())], ["items"])
 
     owned = Owned(f"{folder}/owned", parts)
-    owned.write(texts, edits)
+    known = owned.write(docs, edits, f"{folder}/lines")
+    texts = docs.select("doc_id", "text")
     met = written(met_lines(probe_entries(texts, parts, edits, owned), parts, edits, owned, may), f"{folder}/join/stars")
     drop_folder(spark, owned.folder)
     pick = bitmap(met.select("a", "b", "item").mapInArrow(met_items, "items binary"), "items", PICK_BITS)
-    store = Contents(f"{folder}/join/contents", parts, MARK_BITS // 64)
+    store = Contents(f"{folder}/join/contents", parts, MARK_BITS // 64, chunk=TESTED)
     store.write(line_contents(texts, pick, edits))
-    labels = star_components(met, store, may, alike(edits), f"{folder}/join")
-    # rows get numbers in the written table, where they are fixed
-    known = written(lines_of(docs).withColumn("row", F.monotonically_increasing_id()), f"{folder}/lines")
-    rows = known.select("doc_id", "mark", "row", F.posexplode("items").alias("line_no", "item")).filter("item is not null")
+    labels = star_components(met, store, may, alike(edits), f"{folder}/join", by_pivot=True)
+    rows = known.select("doc_id", "mark", "row", F.posexplode("lines").alias("line_no", "item")).filter("item is not null")
     rows = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("class", F.coalesce("component", "item"))
     rows = written(rows.select("doc_id", "mark", "row", "line_no", "class"), f"{folder}/classed")
     own = F.struct("doc_id", "line_no", "mark", "row")
